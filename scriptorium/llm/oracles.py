@@ -1,5 +1,14 @@
 """DuckDB SQL for the rows of the queries that SQL can express."""
 
+OP1 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first FROM d),
+r AS (SELECT *, payload_bytes >= 1000 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to FROM r
+"""
+
 OP2 = r"""
 WITH RECURSIVE
 lowered AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -20,4 +29,50 @@ SELECT z.doc_id, z.n_shingles, coalesce(g.component, z.doc_id) AS component_id,
 FROM sized z LEFT JOIN members m ON z.doc_id = m.doc_id LEFT JOIN groups g ON m.rep = g.rep
 """
 
-ORACLES = {"op2_minhash_near_dedup": OP2}
+OP3 = r"""
+WITH crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+rows_ AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+  xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS text_crc32 FROM documents, crc),
+sums AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS LAST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM rows_),
+cut AS (SELECT *, least(15, ((2 * before + size) * 16) // (2 * total)) AS shard FROM sums)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut
+"""
+
+OP4 = r"""
+WITH RECURSIVE rows_ AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '#17'), 1, 13) AS BIGINT) AS spot FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM rows_ GROUP BY source),
+fill(step, pos, s, w, capped, target) AS (
+  SELECT 0, pos, source_size, CAST(CASE pos % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE), FALSE, CAST(0 AS DOUBLE) FROM totals
+  UNION ALL
+  SELECT step + 1, pos, s, w, capped OR t > 2 * s, t FROM (
+    SELECT *, CASE WHEN capped THEN CAST(2 * s AS DOUBLE)
+      ELSE (CAST(150 * sum(s) OVER () - 200 * coalesce(sum(s) FILTER (capped) OVER (), 0) AS DOUBLE) / 100) * w / sum(w) FILTER (NOT capped) OVER () END AS t
+    FROM fill WHERE step <= (SELECT count(*) FROM totals))),
+goals AS (SELECT t.source, t.source_size, t.n, f.target, least(CAST(round_even(f.target, 0) AS BIGINT), 2 * t.source_size) AS words
+  FROM totals t JOIN fill f ON t.pos = f.pos WHERE f.step = (SELECT count(*) + 1 FROM totals)),
+plans AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE least(2, words // source_size) END AS passes FROM goals),
+runs AS (SELECT r.doc_id, r.size, p.source_size, p.target, p.passes, p.words - p.passes * p.source_size AS rest,
+  sum(r.size) OVER (PARTITION BY r.source ORDER BY r.spot, r.doc_id, r.size ROWS UNBOUNDED PRECEDING) - r.size AS before
+  FROM rows_ r JOIN plans p ON r.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, CAST(passes * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM runs
+"""
+
+OP6 = r"""
+WITH usable AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+ORACLES = {
+    "op1_warc_dictionary": OP1,
+    "op2_minhash_near_dedup": OP2,
+    "op3_prefix_sum_shards": OP3,
+    "op4_hypergeometric_mix": OP4,
+    "op6_exact_topk": OP6,
+}

@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from ..session import attach
+from .op1_warc import archive
 from .op2_minhash import near_duplicates
+from .op3_shards import balanced_shards
+from .op4_mixing import mix
+from .op5_bpe import encode, public_vocabulary
+from .op6_topk import top_k
+from .op7_langid import held_out, identify
 from .oracles import ORACLES
 
 
@@ -15,10 +23,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archive(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(_table(spark, sf_dir, "documents"))
+
+
+def op4_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_table(spark, sf_dir, "documents"), *public_vocabulary())
+
+
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_cross_parsing_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = held_out("doc_id", 4, 2)
+    found = identify(docs, ~held)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
