@@ -16,6 +16,9 @@ from .op4_mixing import mix
 from .op5_bpe import encode, public_vocabulary
 from .op6_topk import top_k
 from .op7_langid import held_out, identify
+from .op8_fingerprints import edited_fingerprints
+from .op9_lm import score_documents
+from .op10_toxicity import score_toxicity
 from .oracles import ORACLES
 
 
@@ -56,6 +59,22 @@ def op7_cross_parsing_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op8_one_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op9_gru_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = held_out("doc_id", 5, 1)
+    found = score_documents(_table(spark, sf_dir, "documents"), ~held)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op10_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = held_out("doc_id", 5, 0)
+    found = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held)
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
