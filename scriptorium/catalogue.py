@@ -1,15 +1,332 @@
-"""The registry of queries over the driver's tables and the SQL they are held against."""
+"""The registry of queries over the driver's tables and the SQL they are held against.
+
+The tables stand in for a vault: each of ``documents`` is a note whose path, front matter, id,
+aliases and links are derived from its columns by arithmetic, ``pages`` give headings,
+``benchmark`` the queries, ``events`` the traces and ``labels`` the judgements.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from . import oracles
+from .functions import paths as P
+from .functions import text as T
+from .operators import catalog as C
+from .operators import chunks, evaluation, ledger, retrieval, traces
+from .session import attach
+
+COLLECTIONS = [
+    C.Collection("sources", ("Sources",), related=("english", "archive")),
+    C.Collection("english", ("sources/EN",), entrypoints=("Sources/en/README.md",), related=("romance",)),
+    C.Collection("romance", ("Sources/fr", "Sources/es", "Sources/it"), related=("english", "sources")),
+    C.Collection("first", ("Sources/en/src1", "Sources/de/src1")),
+    C.Collection("archive", ("Archive",)),
+]
+QUERIES = ["doc_12", "Doc 7", "d42", "sources/en/src1", "SRC3/doc_1", "doc 99"]
+PREFIXES = ["Sources", "Sources/en"]
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, title, id, aliases, outlinks, sha256 of every document as a note."""
+    d = _read(spark, sf_dir, "documents")
+    n = F.col("doc_id")
+    path = F.concat(F.lit("Sources/"), F.coalesce("lang", F.lit("xx")), F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/doc_"), n, F.lit(".md"))
+    note = lambda x: F.concat(F.lit("note_"), F.md5(x.cast("string").cast("binary")))
+    own = F.when(n % 10 == 0, "").when(n % 10 == 5, F.concat(F.lit("NOTE-"), n)).when(n % 50 == 1, note(-F.floor(n / 100) - 1)).otherwise(note(n))
+    targets = F.array(
+        F.concat(F.lit("doc_"), n + 1), F.concat(F.lit("Doc "), n * 7), F.concat(F.lit("d"), n % 397), F.concat(F.lit("doc_"), n - 1, F.lit(".md")),
+        F.concat(F.lit("../x/doc_"), n),
+    )
+    return d.select(
+        path.alias("path"), F.concat(F.lit("Doc "), n).alias("title"), own.alias("id"), F.array(F.concat(F.lit("d"), n % 397)).alias("aliases"),
+        targets.alias("outlinks"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), n.alias("doc_id"),
+    )
+
+
+def _edited(notes: DataFrame) -> DataFrame:
+    """A later snapshot: some notes deleted, moved or changed."""
+    n = F.col("doc_id")
+    kept = notes.where((n % 11 != 0) | n.isNull())
+    return kept.select(
+        F.when(n % 17 == 0, F.concat(F.lit("Moved/doc_"), n, F.lit(".md"))).otherwise(F.col("path")).alias("path"),
+        F.when(n % 7 == 0, F.sha2(F.concat("sha256", F.lit("!")), 256)).otherwise(F.col("sha256")).alias("sha256"),
+    )
+
+
+def tokenize_docs(spark, sf):
+    found = _read(spark, sf, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens_md5"))
+
+
+def term_freq(spark, sf):
+    return retrieval.postings(_read(spark, sf, "documents"))
+
+
+def doc_freq(spark, sf):
+    return retrieval.postings(_read(spark, sf, "documents")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def corpus_stats(spark, sf):
+    return retrieval.corpus_stats(retrieval.lengths(_read(spark, sf, "documents"))).select("n_docs", F.round("avg_len", 6).alias("avg_len"))
+
+
+def bm25_topk(spark, sf):
+    found = retrieval.bm25(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+    return retrieval.top(found, 10, "item_id").select("item_id", "doc_id", "rank", "score")
+
+
+def bm25_scoped(spark, sf):
+    docs = _read(spark, sf, "documents").withColumn("scope", F.coalesce("lang", F.lit("xx")))
+    found = retrieval.bm25(docs, _read(spark, sf, "benchmark"), scope_col="scope")
+    return retrieval.top(found, 5, "item_id", "scope").select("item_id", "scope", "doc_id", "rank", "score")
+
+
+def hash_embed_dims(spark, sf):
+    return retrieval.hash_vectors(_read(spark, sf, "documents")).select("doc_id", "dim", "weight")
+
+
+def dense_topk_vectors(spark, sf):
+    rows = _read(spark, sf, "embeddings").where("embedding is not null and label is not null")
+    dims = F.transform("embedding", lambda _, i: i)
+    vectors = rows.select(F.col("vec_id").alias("doc_id"), dims.alias("dims"), F.transform("embedding", lambda x: x.cast("double")).alias("weights"))
+    cells = rows.select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("weight"))
+    means = retrieval.gathered(cells.withColumnRenamed("label", "item_id"), "item_id")
+    width = rows.agg(F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()[0]
+    near = retrieval.dense(vectors, means.select(F.col("item_id").cast("long"), "dims", "weights"), 6, width)
+    return retrieval.top(near, 6, "item_id").select("item_id", "doc_id", "rank", "score")
+
+
+def hybrid_topk(spark, sf):
+    return retrieval.hybrid(_read(spark, sf, "documents"), _read(spark, sf, "benchmark"))
+
+
+def split_windows(spark, sf):
+    found = chunks.split_windows(_read(spark, sf, "documents"))
+    return found.select("doc_id", "piece", F.length("content").cast("long").alias("n_chars"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+def _page_notes(spark, sf):
+    html = F.regexp_replace(F.coalesce("html", F.lit("")), r"<h([1-6])>", "\n<h$1>")
+    text = html
+    for level in range(1, 5):
+        text = F.regexp_replace(text, rf"<h{level}>([^<\n]*)</h{level}>", "#" * level + " $1\n")
+    return _read(spark, sf, "pages").select("page_id", text.alias("text"))
+
+
+def heading_sections(spark, sf):
+    found = chunks.sections(_page_notes(spark, sf), "page_id")
+    return found.select("page_id", F.col("section").cast("int").alias("section"), "heading_path", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+def extract_links(spark, sf):
+    text = F.regexp_replace(F.coalesce("html", F.lit("")), r'<a href="([^"]*)">([^<]*)</a>', "[[$1|$2]]")
+    found = _read(spark, sf, "pages").select("page_id", F.posexplode(T.links(text)).alias("ord", "l"))
+    return found.select("page_id", "ord", "l.target", "l.heading", "l.alias")
+
+
+def resolve_links(spark, sf):
+    return C.resolve_links(_notes(spark, sf))
+
+
+def backlink_counts(spark, sf):
+    return C.backlinks(_notes(spark, sf))
+
+
+def match_tiers(spark, sf):
+    return C.find(_notes(spark, sf), QUERIES)
+
+
+def find_exact(spark, sf):
+    return C.find(_notes(spark, sf), QUERIES, exact=True)
+
+
+def find_page(spark, sf):
+    return C.find_page(_notes(spark, sf), "doc_1", 20)
+
+
+def resolve_path(spark, sf):
+    return C.resolve(_notes(spark, sf), ["sources/EN/src0/DOC_0", "Sources/en/src1/doc_1.md", "no/such"])
+
+
+def collection_membership(spark, sf):
+    return C.membership(_notes(spark, sf), COLLECTIONS)
+
+
+def primary_collection(spark, sf):
+    found = C.with_collections(_notes(spark, sf), COLLECTIONS)
+    return found.groupBy("primary_collection").agg(F.count(F.lit(1)).alias("files"))
+
+
+def collection_summary(spark, sf):
+    return C.collection_summary(C.membership(_notes(spark, sf), COLLECTIONS))
+
+
+def child_counts(spark, sf):
+    return C.child_counts(_notes(spark, sf), PREFIXES)
+
+
+def related_collections(spark, sf):
+    found = C.related(C.membership(_notes(spark, sf), COLLECTIONS), COLLECTIONS)
+    return found.groupBy("collection").agg(F.count(F.lit(1)).alias("files"))
+
+
+def ancestor_paths(spark, sf):
+    notes = _notes(spark, sf).select("path")
+    readmes = notes.select(F.concat(P.parent(F.col("path")), F.lit("/README.md")).alias("path")).distinct()
+    top = notes.sparkSession.createDataFrame([("README.md",), ("Sources/README.md",)], "path string")
+    found = C.ancestor_readmes(notes.union(readmes).union(top))
+    return found.select("path", "readme", "distance")
+
+
+def frontmatter_fields(spark, sf):
+    d = _read(spark, sf, "documents")
+    raw = F.concat(
+        F.lit("---\ntitle: Doc "), F.col("doc_id"), F.lit("\ntype: "), F.coalesce("lang", F.lit("")), F.lit("\n# note\narea:  "), F.coalesce("source", F.lit("")),
+        F.lit("\ntags: [a"), F.col("doc_id") % 3, F.lit(", b]\ntitle: Last "), F.col("doc_id"), F.lit("\n---\n"), F.coalesce("text", F.lit("")),
+    )
+    m = d.select("doc_id", T.front_matter(raw).alias("m"))
+    return m.select("doc_id", F.col("m")["title"].alias("title"), F.col("m")["type"].alias("type"), F.col("m")["area"].alias("area"), F.array_join(T.list_items(F.col("m")["tags"]), "|").alias("tags"), F.size("m").alias("fields"))
+
+
+def identity_summary(spark, sf):
+    return C.identity_summary(_notes(spark, sf))
+
+
+def duplicate_ids(spark, sf):
+    return C.duplicate_ids(_notes(spark, sf))
+
+
+def ambiguous_names(spark, sf):
+    return C.ambiguous_names(_notes(spark, sf))
+
+
+def snapshot_diff(spark, sf):
+    notes = _notes(spark, sf)
+    return C.snapshot_diff(notes, _edited(notes)).groupBy("change").agg(F.count(F.lit(1)).alias("files"))
+
+
+def possible_moves(spark, sf):
+    notes = _notes(spark, sf)
+    return C.possible_moves(notes, _edited(notes))
+
+
+def chunk_audit(spark, sf):
+    pieces = chunks.split_windows(_read(spark, sf, "documents"))
+    name = P.chunk_id(F.concat(F.lit("Doc_"), F.col("doc_id")), F.col("piece"))
+    want = pieces.select(name.alias("chunk_id"))
+    have = pieces.where("doc_id % 13 <> 0").select(F.when(F.col("piece") == 2, F.concat(name, F.lit("x"))).otherwise(name).alias("chunk_id"))
+    return C.chunk_audit(want, have)
+
+
+def catalog_issues(spark, sf):
+    return C.issues(_notes(spark, sf), COLLECTIONS, ("Sources/en",))
+
+
+def severity_counts(spark, sf):
+    return C.severity_counts(C.issues(_notes(spark, sf), COLLECTIONS, ("Sources/en",)))
+
+
+def content_digest(spark, sf):
+    return C.digest(_notes(spark, sf), "path", "sha256")
+
+
+def ledger_cross_check(spark, sf):
+    notes = _notes(spark, sf)
+    n = F.col("doc_id")
+    status = F.element_at(F.array(*map(F.lit, ("captured", "integrated", "verified", "blocked"))), (n % 4 + 1).cast("int"))
+    clean = F.element_at(F.array(*map(F.lit, ("not-ready", "ready-for-cleanup", "raw-and-draft-cleaned"))), (n % 3 + 1).cast("int"))
+    sha = F.when(n % 5 == 0, F.lit("")).when(n % 5 == 1, F.sha2(F.lit("other"), 256)).otherwise(F.col("sha256"))
+    presence = F.when(n % 7 == 0, "removed").when(n % 7 == 1, "unknown").otherwise("present")
+    path = F.when(n % 6 == 0, F.concat(F.lit("Gone/"), n)).otherwise(F.col("path"))
+    inputs = F.array(F.struct(F.when(n % 2 == 0, "raw").otherwise("other").alias("role"), path.alias("path"), sha.alias("sha256"), presence.alias("presence")))
+    out = F.struct(F.lit("official").alias("role"), path.alias("path"), F.when(n % 3 == 0, F.col("id")).otherwise("").alias("note_id"))
+    units = notes.select(
+        F.concat(F.lit("u"), n).alias("unit_id"), F.concat(F.lit("s"), n % 9).alias("source_id"), status.alias("processing_status"), clean.alias("cleanup_status"),
+        inputs.alias("inputs"), F.when(n % 8 == 0, F.filter(F.array(out), lambda _: F.lit(False))).otherwise(F.array(out)).alias("outputs"),
+    )
+    sources = notes.sparkSession.range(7).select(F.concat(F.lit("s"), F.col("id")).alias("source_id"))
+    found = ledger.cross_check(units, sources, notes, C.identity_index(notes))
+    return found.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("issues"), F.min("unit_id").alias("first_unit"), F.count_if(F.col("target") != "").alias("with_target"))
+
+
+def _traces(spark, sf):
+    e = _read(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    return e.select(
+        "event_id", F.col("ts").alias("timestamp"), F.col("user_id").alias("session_key"), F.when(F.col("event_id") % 3 == 0, "rag").otherwise("task").alias("component"),
+        F.col("event_type").alias("operation"), F.lit("ok").alias("status"), F.col("value").alias("duration_ms"),
+        F.create_map(F.lit("action"), F.col("event_type"), F.lit("k"), k, F.lit("result_count"), k, F.lit("secret"), F.lit("x")).alias("attributes"), F.lit(None).cast("string").alias("target"),
+    )
+
+
+def event_redaction(spark, sf):
+    found = traces.sanitize(_traces(spark, sf))
+    return found.select("event_id", "name", F.array_join(F.array_sort(F.map_keys("attributes")), ",").alias("keys"), F.col("attributes")["result_count"].alias("result_count"))
+
+
+def event_spans(spark, sf):
+    return traces.spans(_traces(spark, sf)).select("event_id", "start_ns", "end_ns", "span_kind")
+
+
+def session_supersede(spark, sf):
+    found = traces.session_steps(_traces(spark, sf), target="operation")
+    return found.groupBy("session_key", "step").agg(F.count(F.lit(1)).alias("steps"))
+
+
+def pending_events(spark, sf):
+    rows = _read(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("file"))
+    lines = rows.withColumn("line", F.row_number().over(W.partitionBy("file").orderBy("event_id")))
+    cursors = lines.groupBy("file").agg(F.floor(F.max("line") / 3).alias("acked")).where("day(to_date(file)) % 2 = 0")
+    left = traces.pending(lines, cursors)
+    return left.groupBy("file").agg(F.count(F.lit(1)).alias("pending"), F.min("event_id").alias("first_event"))
+
+
+def _adopted(spark, sf):
+    d = _read(spark, sf, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), "n_chars")
+    good = _read(spark, sf, "labels").where("quality = 1").select("doc_id").distinct()
+    return d, d.join(good, "doc_id"), d.where("n_chars > 1000")
+
+
+def eval_recall(spark, sf):
+    _, wanted, found = _adopted(spark, sf)
+    return evaluation.recall(wanted, found, "source", "doc_id")
+
+
+def eval_jaccard(spark, sf):
+    docs, a, b = _adopted(spark, sf)
+    both = a.select("source", "doc_id", F.lit("a").alias("agent")).union(b.select("source", "doc_id", F.lit("b")))
+    return evaluation.jaccard(both, "source", "doc_id", "agent", 2, docs)
+
+
+def eval_rollup(spark, sf):
+    rows = _read(spark, sf, "labels").select(
+        F.concat(F.lit("m"), F.col("doc_id") % 4).alias("metric"),
+        F.when(F.col("doc_id") % 5 == 0, "skipped").when(F.col("quality") == 1, "passed").otherwise("failed").alias("status"),
+    )
+    return evaluation.rollup(rows)
+
+
+_NAMES = (
+    "tokenize_docs term_freq doc_freq corpus_stats bm25_topk bm25_scoped hash_embed_dims dense_topk_vectors hybrid_topk split_windows"
+    " heading_sections extract_links resolve_links backlink_counts match_tiers find_exact find_page resolve_path collection_membership"
+    " primary_collection collection_summary child_counts related_collections ancestor_paths frontmatter_fields identity_summary duplicate_ids"
+    " ambiguous_names snapshot_diff possible_moves chunk_audit catalog_issues severity_counts content_digest ledger_cross_check event_redaction"
+    " event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: globals()[name] for name in _NAMES.split()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
