@@ -64,7 +64,7 @@ def frames(content: bytes) -> Iterator[bytes]:
     """The decompressed records of one archive, in order."""
     import zstandard
 
-    at, known = 0, None
+    at, known, view = 0, None, memoryview(content)
     while at < len(content):
         (magic,) = struct.unpack_from("<I", content, at)
         if magic == SKIPPABLE:
@@ -72,9 +72,15 @@ def frames(content: bytes) -> Iterator[bytes]:
             known = _dictionary(content[at + 8 : at + 8 + size])
             at += 8 + size
             continue
-        one = zstandard.ZstdDecompressor(dict_data=known).decompressobj()
-        yield one.decompress(content[at:])
-        at = len(content) - len(one.unused_data)
+        one, out = zstandard.ZstdDecompressor(dict_data=known).decompressobj(), []
+        while not one.eof:
+            piece = view[at : at + 8192]
+            if not len(piece):
+                raise ValueError("an archive ends inside a record")
+            out.append(one.decompress(piece))
+            at += len(piece)
+        at -= len(one.unused_data)
+        yield b"".join(out)
 
 
 def _one_line(text: str) -> str:
