@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 DIMENSIONS = 384
 # The token pattern and the range of ideographs.
@@ -31,7 +32,7 @@ def match_key(text: Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_key(text):
     """The lookup key for any script: NFKC, case folding, blanks collapsed."""
     import unicodedata

@@ -37,7 +37,8 @@ def _matches(path: Column, collections: list[Collection]) -> Column:
         hits = [F.when(P.under(path, F.lit(p), fold=True), F.lit(0 if p in ("", ".") else len(p.split("/")))) for p in c.paths]
         best = hits[0] if len(hits) == 1 else F.greatest(*hits)
         found.append(F.when(best.isNotNull(), F.struct((-best).alias("rank"), F.lit(order).alias("ord"), F.lit(c.name).alias("name"))))
-    return F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    listed = F.array(*found).cast("array<struct<rank: int, ord: int, name: string>>")
+    return F.array_sort(F.filter(listed, lambda x: x.isNotNull()))
 
 
 def membership(notes: DataFrame, collections: list[Collection]) -> DataFrame:
