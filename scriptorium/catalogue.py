@@ -18,6 +18,7 @@ from .functions import paths as P
 from .functions import text as T
 from .operators import catalog as C
 from .operators import chunks, evaluation, ledger, retrieval, traces
+from .plans import envelopes
 from .session import attach
 
 COLLECTIONS = [
@@ -258,6 +259,17 @@ def ledger_cross_check(spark, sf):
     return found.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("issues"), F.min("unit_id").alias("first_unit"), F.count_if(F.col("target") != "").alias("with_target"))
 
 
+def envelope_routes(spark, sf):
+    notes = _notes(spark, sf).withColumn("type", F.when(F.col("doc_id") % 23 == 0, "project").otherwise("note"))
+    parts = [
+        C.Collection("german", ("Sources/de",), workflow="process-input", processor="book"),
+        C.Collection("first", ("Sources/de/src1", "Sources/fr/src1"), workflow="update-note", processor="ghost"),
+        C.Collection("french", ("Sources/fr",), processor="book"),
+    ]
+    found = envelopes.envelopes(notes, parts, {"book": ("read_book", "validate"), "project": ("read_plan",)})
+    return found.select("path", "workflow", "processor", F.array_join("blocks", ",").alias("blocks"), F.array_join("required_checks", ",").alias("required_checks"), "ready")
+
+
 def _traces(spark, sf):
     e = _read(spark, sf, "events")
     k = F.get_json_object("props", "$.k")
@@ -319,7 +331,7 @@ _NAMES = (
     "tokenize_docs term_freq doc_freq corpus_stats bm25_topk bm25_scoped hash_embed_dims dense_topk_vectors hybrid_topk split_windows"
     " heading_sections extract_links resolve_links backlink_counts match_tiers find_exact find_page resolve_path collection_membership"
     " primary_collection collection_summary child_counts related_collections ancestor_paths frontmatter_fields identity_summary duplicate_ids"
-    " ambiguous_names snapshot_diff possible_moves chunk_audit catalog_issues severity_counts content_digest ledger_cross_check event_redaction"
+    " ambiguous_names snapshot_diff possible_moves chunk_audit catalog_issues severity_counts content_digest ledger_cross_check envelope_routes event_redaction"
     " event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
 )
 

@@ -236,6 +236,15 @@ SQL = {
     "content_digest": f"""WITH {_NOTES}, h AS (SELECT sha256(path || chr(31) || sha256) AS h FROM notes), lots AS (SELECT substr(h, 1, 3) AS lot, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1)
         SELECT sha256(string_agg(h, '' ORDER BY lot)) AS digest FROM lots""",
     "ledger_cross_check": f"WITH {_LEDGER} SELECT severity, code, count(*) AS issues, min(unit_id) AS first_unit, count(*) FILTER (target <> '') AS with_target FROM found GROUP BY severity, code",
+    "envelope_routes": f"""WITH {_NOTES}, t AS (
+          SELECT path, doc_id % 23 = 0 AS hub, starts_with(lower(path), 'sources/de/') AS de, starts_with(lower(path), 'sources/fr/') AS fr, regexp_matches(lower(path), '^sources/(de|fr)/src1/') AS one FROM notes),
+        r AS (SELECT path, CASE WHEN hub THEN 'update-project' WHEN de AND one THEN 'unresolved' WHEN de THEN 'process-input' ELSE 'update-note' END AS workflow,
+            CASE WHEN hub THEN 'project' WHEN one THEN 'ghost' WHEN de OR fr THEN 'book' ELSE '' END AS processor,
+            CASE WHEN hub THEN '' WHEN de AND one THEN 'workflow_registry_conflict,workflow_unresolved,processor_undefined' WHEN one THEN 'processor_undefined' ELSE '' END AS blocks FROM t)
+        SELECT *, CASE workflow WHEN 'process-input' THEN 'read_target,read_entrypoints,ledger_exact,register_ledger_input,dedupe_exact,extract_candidates,resolve_candidates,update_ledger,validate'
+            WHEN 'update-project' THEN 'read_project_hub,validate_hub_references,read_declared_evidence,sync_indexes,validate'
+            ELSE 'resolve_target,read_target,read_entrypoints,inspect_direct_links,extract_candidates,resolve_candidates,sync_indexes,validate' END
+          || CASE processor WHEN 'book' THEN ',read_book' WHEN 'project' THEN ',read_plan' ELSE '' END AS required_checks, blocks = '' AS ready FROM r""",
     "event_redaction": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'rag' ELSE 'task' END || '.' || event_type AS name, 'action,result_count' AS keys, json_extract_string(props, '$.k') AS result_count FROM events""",
     "event_spans": """SELECT event_id, epoch_us(ts) * 1000 AS start_ns, epoch_us(ts) * 1000 + CAST(trunc(greatest(0.0, coalesce(value, 0.0)) * 1000000) AS BIGINT) AS end_ns,
         CASE WHEN event_id % 3 = 0 THEN 'RETRIEVER' ELSE 'TASK' END AS span_kind FROM events""",
