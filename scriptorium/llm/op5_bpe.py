@@ -4,10 +4,11 @@ A task turns its texts into pieces (the vocabulary's pattern) and numbers the
 distinct ones.  Each distinct piece is a byte array in one row of words; there,
 ``aggregate`` folds the ranked merges over it: in every step the smallest rank
 among adjacent pairs, leftmost first, is merged.  Pair ranks are looked up in a
-literal map of the vocabulary: a two-choice hash table (left id, right id) -> id
-in two constant arrays.  Decoding concatenates the ids' binary pieces, also by a
+literal map of the vocabulary, (left id, right id) -> id, laid out as two constant
+arrays (``rank_map``).  Decoding concatenates the ids' binary pieces, also by a
 fold.  The same task then lays the encoded pieces back into each document, in
-order.  Nothing is shuffled; a row of words holds at most ``flush_bytes`` of text.
+order.  Nothing is shuffled; a row of words stands for about ``flush_bytes`` of text,
+and a task folds a distinct piece once until it knows ``most_words`` of them.
 
 Pieces of over ``fold_most`` bytes would cost the fold quadratic time; an
 equivalent merge with a heap takes those.
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-_NONE = 1 << 30
+_NONE = 1 << 17
+_FREE = 1 << 60
 _SIDES = (300_007, 310_019)
 _ROWS = (
-    "ids array<long>, counts array<int>, seq array<int>, words array<array<smallint>>, far array<array<int>>"
+    "ids array<long>, counts array<int>, seq array<int>, fresh boolean, words array<array<smallint>>, far array<array<int>>"
 )
 
 
@@ -45,24 +47,29 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     }
 
 
-def two_choice_table(pairs: dict[tuple[int, int], int]) -> list[np.ndarray]:
-    """Two arrays of ``key << 17 | id``: a pair is at key mod its size in one of them."""
-    sizes = list(_SIDES)
+def rank_map(pairs: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
+    """Two arrays that hold the merged id of a pair (a, b) at ``k = a << 17 | b`` modulo the
+    size of one of them, as ``k << 17 | id``.
+
+    ``min(first[k % n] ^ k << 17, second[k % m] ^ k << 17)`` is the id, and at least
+    ``_NONE`` for pairs that don't merge, since a foreign entry differs above bit 17.
+    """
+    sizes = _SIDES
     while True:
-        sides = [np.full(n, -1, np.int64) for n in sizes]
+        sides = [[_FREE] * n for n in sizes]
         if all(_place(sides, (a << 17 | b) << 17 | r) for (a, b), r in pairs.items()):
-            return sides
-        sizes = [n * 2 + 1 for n in sizes]
+            return np.array(sides[0], np.int64), np.array(sides[1], np.int64)
+        sizes = tuple(n * 2 + 1 for n in sizes)
 
 
-def _place(sides: list[np.ndarray], entry: int) -> bool:
-    at = 0
-    for _ in range(500):
-        spot = (entry >> 17) % len(sides[at])
-        entry, sides[at][spot] = int(sides[at][spot]), entry
-        if entry < 0:
+def _place(sides: list[list[int]], entry: int) -> bool:
+    """Puts the entry in its place, moving what it finds to the other side, and so on."""
+    for turn in range(500):
+        side = sides[turn & 1]
+        spot = (entry >> 17) % len(side)
+        entry, side[spot] = side[spot], entry
+        if entry == _FREE:
             return True
-        at ^= 1
     return False
 
 
@@ -86,12 +93,12 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int):
+def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int, most_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find, ranks = regex.compile(pattern).findall, read_ranks(ranks_path)
-        ids, counts, seq, words, far, number, held = [], [], [], [], [], {}, 0
+        ids, counts, seq, words, far, number, held, fresh, old = [], [], [], [], [], {}, 0, True, [0, 0]
 
         def row() -> pa.RecordBatch:
             flat = np.concatenate(seq) if seq else np.zeros(0, np.int32)
@@ -103,10 +110,11 @@ def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int):
                     one(ids, pa.int64()),
                     one(counts, pa.int32()),
                     one(pa.array(flat), None),
+                    pa.array([fresh]),
                     one(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(bytes_)), None),
                     one(pa.array(far, pa.list_(pa.int32())), None),
                 ],
-                names=["ids", "counts", "seq", "words", "far"],
+                names=["ids", "counts", "seq", "fresh", "words", "far"],
             )
 
         def code(piece: str) -> int:
@@ -117,9 +125,9 @@ def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int):
                 return -1 - whole
             if len(raw) > fold_most:
                 far.append(merge_long(raw, ranks))
-                return 2 * len(far) - 1
+                return 2 * (old[1] + len(far)) - 1
             words.append(raw)
-            return 2 * len(words) - 2
+            return 2 * (old[0] + len(words)) - 2
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -133,7 +141,10 @@ def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int):
                 held += len(text)
                 if held >= flush_bytes:
                     yield row()
-                    ids, counts, seq, words, far, number, held = [], [], [], [], [], {}, 0
+                    fresh = len(number) >= most_words
+                    old = [0, 0] if fresh else [old[0] + len(words), old[1] + len(far)]
+                    ids, counts, seq, words, far, held = [], [], [], [], [], 0
+                    number = {} if fresh else number
         if ids:
             yield row()
 
@@ -143,7 +154,7 @@ def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int):
 def _fold(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Adds ``tokens`` (ids of each word) and ``bytes`` (each word decoded again)."""
     spark = rows.sparkSession
-    sides = two_choice_table(pair_ranks(ranks))
+    sides = rank_map(pair_ranks(ranks))
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
@@ -151,38 +162,37 @@ def _fold(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         pa.table({
             "first": pa.array([sides[0]], pa.list_(pa.int64())),
             "second": pa.array([sides[1]], pa.list_(pa.int64())),
-            "alphabet": pa.array([[ranks[bytes([i])] for i in range(256)]], pa.list_(pa.int32())),
+            "alphabet": pa.array([[ranks[bytes([i])] for i in range(256)]], pa.list_(pa.int64())),
             "pieces": pa.array([pieces], pa.list_(pa.binary())),
         })
     )
-    one, two = len(sides[0]), len(sides[1])
     known = rows.withColumns({c: literal.select(c).scalar() for c in literal.columns})
 
-    def rank(a: str, b: str) -> str:
-        key = f"(cast({a} as bigint) * 131072 + {b})"
-        probe = lambda side, n: f"element_at({side}, cast({key} % {n} as int) + 1)"
-        hit = lambda side, n: f"shiftright({probe(side, n)}, 17) = {key}"
-        value = lambda side, n: f"cast({probe(side, n)} & 131071 as int)"
-        return f"if({hit('first', one)}, {value('first', one)}, if({hit('second', two)}, {value('second', two)}, {_NONE}))"
-
-    # State: ids of the parts and the rank of each part with its right neighbour.
-    begin = "transform(w, b -> element_at(alphabet, b + 1))"
-    ranked = f"transform(sequence(1, size(p) - 1), i -> {rank('element_at(p, i)', 'element_at(p, i + 1)')})"
-    start = f"transform(array({begin}), p -> named_struct('p', p, 'r', if(size(p) < 2, array({_NONE}), {ranked})))[0]"
-    none = "cast(array() as array<int>)"
-    left = f"if(x.at > 1, array({rank('element_at(s.p, x.at - 1)', 'x.m')}), {none})"
-    right = f"if(x.at + 2 <= size(s.p), array({rank('x.m', 'element_at(s.p, x.at + 2)')}), {none})"
-    merged = (
-        "named_struct('p', concat(slice(s.p, 1, x.at - 1), array(x.m), slice(s.p, x.at + 2, size(s.p))),"
-        f" 'r', concat(slice(s.r, 1, greatest(x.at - 2, 0)), {left}, {right}, slice(s.r, x.at + 2, size(s.r))))"
-    )
-    least = "named_struct('m', array_min(s.r), 'at', cast(array_position(s.r, array_min(s.r)) as int))"
-    step = f"if(size(s.p) < 2, s, transform(array({least}), x -> if(x.m >= {_NONE}, s, {merged}))[0])"
-    fold = f"aggregate(sequence(1, greatest(size(w) - 1, 1)), {start}, (s, i) -> {step}, s -> s.p)"
+    one, two = map(len, sides)
+
+    def joint(a: str, b: str) -> str:
+        """Rank of the pair (a, b) above the id a; without a pair ``_NONE`` above it."""
+        first = f"get(first, cast(k % {one} as int)) ^ shiftleft(k, 17)"
+        second = f"get(second, cast(k % {two} as int)) ^ shiftleft(k, 17)"
+        rank = f"least({first}, {second}, {_NONE}L)"
+        return f"transform(array(shiftleft({a}, 17) + {b}), k -> shiftleft(if(k is null, {_NONE}L, {rank}), 17) + {a})[0]"
+
+    # State: for each part its rank with the right neighbour above its id.  Equal ranks are
+    # equal pairs, so the least entry is the least rank, and its first place the leftmost.
+    begin = "transform(w, b -> get(alphabet, cast(b as int)))"
+    start = f"transform(array({begin}), p -> transform(p, (a, i) -> {joint('a', 'get(p, i + 1)')}))[0]"
+    none = "cast(array() as array<bigint>)"
+    id_at = "(get(s, {}) & 131071L)"
+    left = f"if(at > 1, array({joint(id_at.format('at - 2'), 'm')}), {none})"
+    right = f"array({joint('m', id_at.format('at + 1'))})"
+    merged = f"concat(slice(s, 1, greatest(at - 2, 0)), {left}, {right}, slice(s, at + 2, size(s)))"
+    placed = f"transform(array(cast(array_position(s, low) as int)), at -> transform(array(shiftright(low, 17)), m -> {merged})[0])[0]"
+    step = f"transform(array(array_min(s)), low -> if(low >= {_NONE << 17}L, s, {placed}))[0]"
+    fold = f"aggregate(sequence(1, greatest(size(w) - 1, 1)), {start}, (s, i) -> {step}, s -> transform(s, x -> x & 131071L))"
     tokens = known.withColumn("tokens", F.expr(f"transform(words, w -> {fold})"))
-    decode = "aggregate(t, cast('' as binary), (acc, k) -> concat(acc, element_at(pieces, k + 1)))"
+    decode = "aggregate(t, cast('' as binary), (acc, k) -> concat(acc, get(pieces, cast(k as int))))"
     return tokens.withColumn("bytes", F.expr(f"transform(tokens, t -> {decode})")).select(
-        "ids", "counts", "seq", "far", "tokens", "bytes"
+        "ids", "counts", "seq", "far", F.col("tokens").cast("array<array<int>>").alias("tokens"), "bytes", "fresh"
     )
 
 
@@ -192,17 +202,22 @@ def _lay(ranks_path: str, full: bool):
         spell = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             spell[rank] = token
+        pool, size, decoded, far_ids, far_bytes = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], [], []
         for batch in batches:
             for r in range(batch.num_rows):
+                if batch.column(6)[r].as_py():
+                    pool, size, decoded, far_ids, far_bytes = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], [], []
                 docs = batch.column(0)[r].values
                 counts = batch.column(1)[r].values.to_numpy()
                 seq = batch.column(2)[r].values.to_numpy()
                 far, tokens = batch.column(3)[r].values, batch.column(4)[r].values
-                decoded = batch.column(5)[r].values.to_pylist()
-                far_ids = far.to_pylist()
-                far_bytes = [b"".join(map(spell.__getitem__, x)) for x in far_ids]
-                at = tokens.offsets.to_numpy().astype(np.int64)
-                pool, size = tokens.values.to_numpy().astype(np.uint32), np.diff(at)
+                decoded += batch.column(5)[r].values.to_pylist()
+                far_ids += far.to_pylist()
+                far_bytes += [b"".join(map(spell.__getitem__, x)) for x in far_ids[len(far_bytes) :]]
+                span = tokens.offsets.to_numpy().astype(np.int64)
+                pool = np.concatenate([pool, tokens.values.to_numpy()[span[0] : span[-1]].astype(np.uint32)])
+                size = np.concatenate([size, np.diff(span)])
+                at = np.cumsum(size) - size
                 done = 0
                 out: list[list] = [[], [], [], [], []]
                 for count in counts.tolist():
@@ -248,8 +263,9 @@ def encode(
     text_col: str = "text",
     *,
     full: bool = False,
-    flush_bytes: int = 16 << 20,
+    flush_bytes: int = 8 << 20,
     fold_most: int = 512,
+    most_words: int = 600_000,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ``full`` also token_ids and decoded.
 
@@ -259,7 +275,7 @@ def encode(
     ``ranks_path`` must be readable on every worker.  An empty table gives no rows.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = narrow.mapInArrow(_cut(ranks_path, pattern, flush_bytes, fold_most), _ROWS)
+    cut = narrow.mapInArrow(_cut(ranks_path, pattern, flush_bytes, fold_most, most_words), _ROWS)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return _fold(cut, read_ranks(ranks_path)).mapInArrow(_lay(ranks_path, full), schema + (", token_ids array<int>, decoded string" if full else ""))
 
