@@ -52,7 +52,9 @@ def _bin(x: Column) -> Column:
 
 def packed_bins(hashes: Column) -> Column:
     """Low bits of every bin as array<tinyint>, from sorted shingle hashes; empty stays empty."""
-    least = F.filter(hashes, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(hashes, i - 1))))
+    # Bound by let: a filter on the result may pull this expression into itself, and the
+    # hashes must not be worked out again for every element then.
+    least = let(hashes, lambda h: F.filter(h, lambda x, i: (i == 0) | (_bin(x) != _bin(F.get(h, i - 1)))))
 
     def dense(mins: Column) -> Column:
         places = F.transform(mins, _bin)

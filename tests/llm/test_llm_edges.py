@@ -278,7 +278,10 @@ def test_fingerprints(spark, small):
     from scriptorium.llm.op8_fingerprints import edited_fingerprints, fingerprints
 
     def gap(frame, rows, tolerance):
-        sets = lambda t: {tuple(words(t))} if 0 < len(words(t)) < 5 else {tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)}
+        def sets(t):
+            w = words(t)
+            return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
         alike = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
         found = {r.doc_id: r for r in edited_fingerprints(frame, bucket_rows=16).collect()}
         assert len(found) == len(rows)
