@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,3 +34,10 @@ def durable(df: DataFrame) -> DataFrame:
     a lost executor costs nothing that was computed before."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Collects what finished rounds left in the driver, so that Spark's cleaner drops
+    their shuffle files, broadcasts and checkpoints now and not at its next turn."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import durable
+from .cluster import durable, release
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,30 +14,30 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Each round a node takes the smallest label among its neighbours and itself,
     then the label of that label (pointer jumping), until nothing changes.  Rounds
     are cut by checkpoints; nothing is collected.  Hubs are pre-aggregated before
-    the shuffle, and the label lookups are plain joins that AQE can split.
+    the shuffle, and the label lookups are merge joins that AQE can split (not
+    broadcast ones: dozens of small broadcasts would pile up in the driver).
     A null end drops the link.  An empty input gives an empty result.
     """
     both = links.where("a is not null and b is not null and a <> b").select("a", "b")
     edges = durable(both.union(both.select(F.col("b"), F.col("a"))).toDF("src", "dst").distinct())
-    labels = durable(edges.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")))
+    labels = edges.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label"))
     for _ in range(max_rounds):
         spread = (
-            edges.join(labels, edges.src == labels.node)
+            edges.join(labels.hint("merge"), edges.src == labels.node)
             .groupBy(F.col("dst").alias("node"))
             .agg(F.min("label").alias("near"))
         )
-        offered = durable(
-            labels.join(spread, "node", "left").select(
-                "node", F.col("label").alias("was"), F.least("label", "near").alias("label")
-            )
+        offered = labels.join(spread.hint("merge"), "node", "left").select(
+            "node", F.col("label").alias("was"), F.least("label", "near").alias("label")
         )
         target = offered.select(F.col("node").alias("label"), F.col("label").alias("jump"))
         jumped = durable(
-            offered.join(target, "label", "left").select(
+            offered.join(target.hint("merge"), "label", "left").select(
                 "node", "was", F.coalesce(F.least("label", "jump"), "label").alias("label")
             )
         )
         labels = jumped.select("node", "label")
         if jumped.where("was <> label").isEmpty():
+            release(links.sparkSession)
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

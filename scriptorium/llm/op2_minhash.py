@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cluster import durable
@@ -149,7 +150,7 @@ def _stars(rows: DataFrame) -> DataFrame:
 
     spread = rows.repartition("key").sortWithinPartitions("key", "rep")
     found = spread.mapInArrow(run, "a long, b long, local boolean")
-    return found.groupBy("a", "b").agg(F.max("local").alias("local"))
+    return found.groupBy("a", "b").agg(F.max("local").alias("local"), F.count(F.lit(1)).alias("hits"))
 
 
 def _sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, width: int, bits_log2: int = 23) -> DataFrame:
@@ -184,13 +185,13 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, wid
 
     base = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
     sets = base.select("rep", "text", spot.alias("s")).mapInArrow(run, "rep long, found binary")
-    return sets.join(wanted, "rep", "left_semi")
+    return sets.join(wanted.hint("merge"), "rep", "left_semi")
 
 
 def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, inter, na, nb) of pairs (a, b), counted on the full sets."""
-    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("found").alias("fa")), "a")
-    both = left.join(sets.select(F.col("rep").alias("b"), F.col("found").alias("fb")), "b")
+    left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("found").alias("fa")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("rep").alias("b"), F.col("found").alias("fb")).hint("merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,6 +209,76 @@ def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long, inter long, na long, nb long")
 
 
+def _named(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs with the present components ``ca`` and ``cb`` of their ends."""
+    side = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias("c" + x))
+    found = pairs.join(side("a").hint("merge"), "a", "left").join(side("b").hint("merge"), "b", "left")
+    return found.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+
+
+def _confirm(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component) from links confirmed on full sets.
+
+    A pair whose ends are connected already can't change the components, so pairs are
+    confirmed in rounds: each node's most promising centre (most shared buckets) first,
+    then the most promising pairs of each component, and at last all pairs that still
+    join different components.  The rounds only order the work: no pair is left out.
+    """
+    most_parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    close = F.expr(f"100 * inter >= {int(percent)} * (na + nb - inter)")
+    far = F.expr("1 - inter / (na + nb - inter)")
+    judged = sets.sparkSession.createDataFrame([], "a long, b long, inter long, na long, nb long, linked boolean, far double")
+    groups = sets.sparkSession.createDataFrame([], "node long, component long")
+
+    def settle(pairs: DataFrame) -> None:
+        nonlocal judged, groups
+        for side, most in (("a", 1), ("ca", 32), ("", 0)):
+            open_ = _named(pairs.join(judged.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), groups).where("ca <> cb")
+            if side:
+                turn = F.row_number().over(W.partitionBy(side).orderBy(F.col("hits").desc(), "b", "a"))
+                open_ = open_.withColumn("turn", turn).where(F.col("turn") <= most)
+            open_ = durable(open_.select("a", "b"))
+            if open_.isEmpty():
+                return
+            found = judged.union(_shared(open_, sets).withColumn("linked", close).withColumn("far", far))
+            judged = durable(found.coalesce(most_parts))  # unions would add up their partitions
+            groups = connected_components(judged.where("linked").select("a", "b"))
+
+    pairs = stars.select("a", "b", "hits", "local")
+    settle(pairs)
+    # Members that a batch linked to a centre of its own meet the bucket's centres, where components differ.
+    placed = _named(pairs, groups)
+    below = placed.where("local").select("a", F.col("b").alias("mid"), (F.col("ca") != F.col("cb")).alias("torn"))
+    above = placed.select(F.col("a").alias("mid"), F.col("b").alias("up"), (F.col("ca") != F.col("cb")).alias("apart"))
+    climbed = below.join(above.where("apart").hint("merge"), "mid").select("a", "up").union(below.where("torn").join(above.hint("merge"), "mid").select("a", "up"))
+    climbed = durable(climbed.where("up < a").select("a", F.col("up").alias("b"), F.lit(1).alias("hits"), F.lit(False).alias("local")).distinct())
+    if not climbed.isEmpty():
+        pairs = durable(pairs.union(climbed).dropDuplicates(["a", "b"]))
+        settle(pairs)
+    # What a centre rejected meets the rest of its star, as far as components differ.
+    refused = judged.where("not linked")
+    if not refused.isEmpty():
+        limit = 1 - percent / 100 + 1e-9
+        known = pairs.select("a", "b").join(judged.select("a", "b", "far").hint("merge"), ["a", "b"], "left")
+        named = durable(_named(known, groups))
+        spokes = named.select(F.col("a").alias("x"), "far", F.col("ca").alias("cx"), F.col("b").alias("c")).union(
+            named.select("b", "far", "cb", "a")
+        )
+        main = (
+            spokes.groupBy("c", "cx").agg(F.count(F.lit(1)).alias("n")).groupBy("c").agg(F.max_by("cx", F.struct("n", "cx")).alias("main"), F.count(F.lit(1)).alias("kinds"))
+        )
+        mixed = main.where("kinds > 1").select("c", "main")
+        spokes = durable(spokes.join(mixed.hint("merge"), "c"))
+        ends = refused.select(F.col("a").alias("x"), F.col("b").alias("c")).union(refused.select("b", "a")).distinct()
+        lone = spokes.join(ends.hint("merge"), ["x", "c"], "left_semi").select("c", F.col("x").alias("p"), F.col("far").alias("pf"), F.col("cx").alias("cp"), "main")
+        rest = spokes.select("c", "x", "far", "cx")
+        met = lone.where("cp <> main").join(rest.hint("merge"), "c").union(lone.join(spokes.where("cx <> main").select("c", "x", "far", "cx").hint("merge"), "c"))
+        met = met.where(f"cp <> cx and (far is null or abs(pf - far) <= {limit})")
+        met = met.select(F.greatest("p", "x").alias("a"), F.least("p", "x").alias("b"), F.lit(1).alias("hits"), F.lit(False).alias("local"))
+        settle(durable(met.distinct()))
+    return groups
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -233,48 +304,19 @@ def near_duplicates(
     notes = durable(signatures(base, "doc_id", "text", width, tables, rows))
     live = notes.where("n_shingles > 0 and doc_id is not null")
     classes = durable(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    sized = live.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sized = live.join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     reps = sized.groupBy(F.col("doc_id").alias("rep"), "d1", "d2").agg(F.first("halves").alias("halves"), F.first("n_shingles").alias("n"))
     reps = durable(reps)
 
     stars = durable(_stars(_bucket_rows(reps, tables, hot)))
-    parents = stars.select(F.col("a").alias("mid"), F.col("b").alias("up"))
-    climbed = stars.where("local").select("a", F.col("b").alias("mid")).join(parents, "mid").where("up < a").select("a", F.col("up").alias("b"))
-    pairs = stars.select("a", "b").union(climbed).distinct()
-    counts = reps.groupBy("rep").agg(F.max("n").alias("n"), F.min("n").alias("n_min"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    ends = stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     sets = durable(_sets_of(base, "doc_id", "text", durable(ends), width).distinct())
-    del counts
-
-    close = F.expr(f"100 * inter >= {int(percent)} * (na + nb - inter)")
-    judged = durable(_shared(pairs, sets).withColumn("linked", close).withColumn("far", F.expr("1 - inter / (na + nb - inter)")))
-    links = judged.where("linked").select("a", "b")
-    if not judged.where("not linked").isEmpty():
-        limit = 1 - percent / 100 + 1e-9
-        spokes = judged.select(F.col("a").alias("x"), F.col("b").alias("c"), "far", F.col("na").alias("nx")).union(
-            judged.select("b", "a", "far", "nb")
-        )
-        lone = judged.where("not linked").select(F.col("a").alias("p"), F.col("b").alias("c"), F.col("far").alias("pf"), F.col("na").alias("np"))
-        groups = connected_components(links)
-        met = (
-            lone.join(spokes, "c")
-            .where(f"p <> x and abs(pf - far) <= {limit} and 100 * least(np, nx) >= {int(percent)} * greatest(np, nx)")
-            .select(F.least("p", "x").alias("a"), F.greatest("p", "x").alias("b"))
-            .distinct()
-        )
-        met = met.join(groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        met = met.join(groups.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        fresh = met.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        fresh = durable(fresh.join(judged.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti"))
-        if not fresh.isEmpty():
-            links = links.union(_shared(fresh, sets).where(close).select("a", "b"))
-    groups = connected_components(links)
-
-    known = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(
+    groups = _confirm(stars, sets, percent)
+    known = classes.join(groups.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
         "d1", "d2", F.coalesce("component", "rep").alias("component")
     )
     known = durable(known)
-    named = notes.join(known, ["d1", "d2"], "left")
+    named = notes.join(known.hint("merge"), ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
     return named.select(
         "doc_id",
