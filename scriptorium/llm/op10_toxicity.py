@@ -75,17 +75,17 @@ def fit(texts: list[str], toxic: list[int], *, least_z: float = 3.0, penalty: fl
     size = 1 << HASH_BITS
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(size, np.float32), 500.0 if len(y) and y[0] else -500.0)
-    found = [hits(*_codes([t]), None)[1] for t in texts]
     count = [np.zeros(size), np.zeros(size)]
-    for places, label in zip(found, toxic):
-        count[label][places] += 1
+    for text, label in zip(texts, toxic):
+        count[label][hits(*_codes([text]), None)[1]] += 1
     pos, neg = count[1] + 1, count[0] + 1
     ratio = np.log(pos / (y.sum() + 2)) - np.log(neg / ((1 - y).sum() + 2))
     wanted = np.abs(ratio) / np.sqrt(1 / pos + 1 / neg) >= least_z
     column = np.cumsum(wanted) - 1
-    kept = [column[p[wanted[p]]] for p in found]
+    # Hashed a second time, so that no list of all features of all texts is held.
+    kept = [column[hits(*_codes([t]), wanted)[1]].astype(np.int32) for t in texts]
     scale = ratio[wanted]
-    index = np.concatenate(kept).astype(np.int64)
+    index = np.concatenate(kept)
     row = np.repeat(np.arange(len(y)), [len(k) for k in kept])
     w, bias = np.zeros(len(scale)), 0.0
     moment, speed = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
