@@ -14,8 +14,8 @@ Candidates.  A bucket links each member to its smallest member only (a star).
 Where a batch alone holds ``hot`` members of a bucket, they are linked to their
 smallest there and only that one is shuffled on, so that one bucket never fills a
 task.  All stars are confirmed on full sets.  What a centre rejects meets
-the rest of that star afterwards, unless the triangle inequality of the
-Jaccard distance rules a link out.
+the rest of that star afterwards, members hidden behind a batch's own centre
+included, unless the triangle inequality of the Jaccard distance rules a link out.
 """
 
 from __future__ import annotations
@@ -244,6 +244,33 @@ def _confirm(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             judged = durable(found.coalesce(most_parts))  # unions would add up their partitions
             groups = connected_components(judged.where("linked").select("a", "b"))
 
+    def settle_hidden(pairs: DataFrame, refused: DataFrame, limit: float) -> None:
+        """What a centre rejected meets the members that a batch hid behind a local centre of that star.
+
+        Only local centres of the star's own component matter: behind the others every member has
+        climbed to the centre.  ``low`` is the least distance that the triangle inequality leaves
+        between the rejected node and the local centre.
+        """
+        hidden = pairs.where("local").select(F.col("a").alias("x"), F.col("b").alias("mid"))
+        if hidden.isEmpty():
+            return
+        distance = judged.select("a", "b", "far")
+        mids = pairs.select("a", "b").join(hidden.select(F.col("mid").alias("a")).distinct().hint("merge"), "a", "left_semi")
+        mids = _named(mids.join(distance.hint("merge"), ["a", "b"], "left"), groups).where("ca = cb")
+        mids = mids.select(F.col("a").alias("mid"), F.col("b").alias("c"), F.col("far").alias("mf"), F.col("ca").alias("cm"))
+        lone = _named(refused.select("a", "b", "far"), groups).where("ca <> cb")
+        lone = lone.select(F.col("a").alias("p"), F.col("b").alias("c"), F.col("far").alias("pf"), F.col("ca").alias("cp"))
+        near = lone.join(mids.hint("merge"), "c").where("cp <> cm").groupBy("p", "mid").agg(F.max(F.abs(F.col("pf") - F.col("mf"))).alias("low"))
+        near = near.withColumns({"a": F.greatest("p", "mid"), "b": F.least("p", "mid")}).join(distance.hint("merge"), ["a", "b"], "left")
+        near = near.select("p", "mid", F.coalesce("far", "low", F.lit(0.0)).alias("low"))
+        spokes = hidden.select(F.col("x").alias("a"), F.col("mid").alias("b")).join(distance.hint("merge"), ["a", "b"], "left")
+        spokes = spokes.select(F.col("a").alias("x"), F.col("b").alias("mid"), F.col("far").alias("xf"))
+        met = near.join(spokes.hint("merge"), "mid").where(f"p <> x and (xf is null or low - xf <= {limit})")
+        met = met.select(F.greatest("p", "x").alias("a"), F.least("p", "x").alias("b"), F.lit(1).alias("hits"), F.lit(False).alias("local"))
+        met = durable(met.distinct())
+        if not met.isEmpty():
+            settle(met)
+
     pairs = stars.select("a", "b", "hits", "local")
     settle(pairs)
     # Members that a batch linked to a centre of its own meet the bucket's centres, where components differ.
@@ -276,6 +303,7 @@ def _confirm(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         met = met.where(f"cp <> cx and (far is null or abs(pf - far) <= {limit})")
         met = met.select(F.greatest("p", "x").alias("a"), F.least("p", "x").alias("b"), F.lit(1).alias("hits"), F.lit(False).alias("local"))
         settle(durable(met.distinct()))
+        settle_hidden(pairs, refused, 1 - percent / 100 + 1e-9)
     return groups
 
 

@@ -104,6 +104,33 @@ def test_near_duplicates(spark, hot):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+@pytest.mark.parametrize("slices, shift, seed", [([[2, 3], [1], [4]], 8, None), (None, 6, 1)])
+def test_links_to_members_hidden_in_a_slice(spark, slices, shift, seed):
+    """One bucket dealt over several slices; every pair of it is held against brute force."""
+    from scriptorium.llm import op2_minhash as O
+
+    sets = {i: set(range(i * shift, i * shift + 100)) for i in range(1, 5)}
+    if slices is None:
+        draw = random.Random(seed)
+        order = draw.sample(range(1, 41), 40)
+        at = {i: draw.randrange(45) * shift for i in order}
+        sets = {i: set(range(at[i], at[i] + 100)) for i in order}
+        slices = [order[k : k + 5] for k in range(0, 35, 5)] + [[i] for i in order[35:]]
+    part = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 85 * (200 - both):
+                low, high = sorted((part[a], part[b]))
+                part = {i: low if p == high else p for i, p in part.items()}
+    half = np.arange(2, dtype=np.uint64).tobytes()
+    dealt = spark.sparkContext.parallelize(slices, len(slices)).flatMap(lambda ids: [(i, bytearray(half)) for i in ids])
+    stars = O._stars(O._bucket_rows(spark.createDataFrame(dealt, "rep long, halves binary"), 1, 2))
+    found = spark.createDataFrame([(i, bytearray(np.array(sorted(s), np.uint64).tobytes())) for i, s in sets.items()], "rep long, found binary")
+    got = {r.node: r.component for r in O._confirm(stars.checkpoint(), found.checkpoint(), 85).collect()}
+    assert {i: got.get(i, i) for i in sets} == part
+
+
 def test_near_duplicates_odd_rows(spark):
     from scriptorium.llm.op2_minhash import drop_near_duplicates, near_duplicates
 
