@@ -7,17 +7,19 @@ text; the walk through the automaton yields those match lengths.  The language
 that needs the fewest phrases for each character, times the log of its training
 length over the log of the text's (Ziv and Merhav's normalisation), wins.
 
-The automaton is laid out as a transition table whose missing entries already
-restart at the root and count a phrase, so a step is one array lookup.  All
+Every letter of the training texts has a symbol of its own.  The automata are
+sparse: the transitions of all states lie interleaved in one pair of arrays (row
+displacement), so their size goes by the training text and not by the alphabet.  A
+missing transition restarts at the root and counts a phrase.  All
 documents of a batch step together, longest first; once few are left the rest of
 each is walked in plain Python.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count as numbers
 
 import numpy as np
 import pyarrow as pa
@@ -58,12 +60,41 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return after
 
 
+def displaced(states: list[dict[int, int]], width: int) -> tuple[list[int], int]:
+    """(base of each state, size): ``base + symbol`` is a place of no other transition; bases differ."""
+    base, taken, used = [0] * len(states), set(), bytearray(2 * width + 2)
+    low, single = 0, False
+    for s in sorted(range(len(states)), key=lambda i: -len(states[i])):
+        moves = sorted(states[s])
+        if not moves:
+            at = next(x for x in numbers() if x not in taken)
+        else:
+            if len(moves) == 1 and not single:
+                low, single = 0, True
+            place, tries = used.find(0, low), 0
+            while True:
+                at = place - moves[0]
+                if len(used) <= place + width + 1:
+                    used.extend(bytes(len(used)))
+                if at >= 0 and at not in taken and not any(used[at + m] for m in moves):
+                    break
+                place, tries = used.find(0, place + 1), tries + 1
+            if tries > 64 or (single and not tries):
+                low = place
+            for m in moves:
+                used[at + m] = 1
+        base[s] = at
+        taken.add(at)
+    return base, max(taken) + width
+
+
 @dataclass
 class Model:
     languages: list[str]
     symbols: np.ndarray  # code point -> symbol
-    width: int
-    table: np.ndarray  # (state row + symbol) -> next state row * 2 + phrase ended
+    owner: np.ndarray  # base of the state whose transition lies here; a state is known by its base
+    target: np.ndarray  # the next state's base
+    again: np.ndarray  # (symbols, languages): where a missing transition leads
     roots: np.ndarray
     lengths: np.ndarray
 
@@ -86,40 +117,49 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
-def fit(samples: dict[str, list[str]], train_chars: int, alphabet: int = 62) -> Model:
-    """The model of whole texts by language, at most ``train_chars`` characters for each."""
+def _share(sizes: list[int], most: int) -> int:
+    """The largest part of each text such that no more than ``most`` characters are taken together."""
+    part = most
+    for k, n in enumerate(sorted(sizes)):
+        part = most // (len(sizes) - k)
+        if n > part:
+            break
+        most -= n
+    return part
+
+
+def fit(samples: dict[str, list[str]], train_chars: int) -> Model:
+    """The model of texts by language, at most ``train_chars`` characters for each language, spread over its texts."""
     training: dict[str, str] = {}
     for language, texts in sorted(samples.items()):
-        joined = ""
-        for text in texts:
-            if len(joined) >= train_chars:
-                break
-            joined += " " + simplify(text)
-        training[language] = (joined + " ")[:train_chars]
-    seen = Counter(c for t in training.values() for c in t if c != " ")
-    common = sorted(c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:alphabet])
-    symbols = np.full(0x110000, _OTHER, np.uint8)
+        parts = [" " + simplify(text) for text in texts]
+        share = _share([len(x) for x in parts], train_chars)
+        training[language] = ("".join(x[:share] for x in parts) + " ")[:train_chars]
+    letters = sorted({c for t in training.values() for c in t if c != " "})
+    symbols = np.full(0x110000, _OTHER, np.int32)
     symbols[~_letters()] = 0
-    for i, c in enumerate(common):
+    for i, c in enumerate(letters):
         symbols[ord(c)] = i + 2
-    width = len(common) + 2
-    tables, roots, at = [], [], 0
-    for text in training.values():
+    width = len(letters) + 2
+    owners, targets, roots, size = [np.full(1, -1, np.int32)], [np.zeros(1, np.int32)], [], 1
+    again = np.zeros((width, len(training)), np.int32)
+    for g, text in enumerate(training.values()):
         states = suffix_automaton(symbols[_codes([text])[0]].tolist())
-        rows = np.full((len(states), width), -1, np.int64)
+        base, more = displaced(states, width)
+        owner, target = np.full(more, -1, np.int32), np.zeros(more, np.int32)
         for s, moves in enumerate(states):
-            rows[s, list(moves)] = list(moves.values())
-        root = rows[0].copy()
-        lost = rows < 0
-        again = np.where(root >= 0, root, 0)
-        rows = np.where(lost, again[None, :], rows)
-        rows = ((rows + at) * width) * 2 + lost
-        tables.append(rows.astype(np.int32))
-        roots.append(at * width)
-        at += len(states)
-    table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            for c, to in moves.items():
+                owner[base[s] + c] = base[s] + size
+                target[base[s] + c] = base[to] + size
+        again[:, g] = base[0] + size
+        for c, to in states[0].items():
+            again[c, g] = base[to] + size
+        owners.append(owner)
+        targets.append(target)
+        roots.append(base[0] + size)
+        size += more
     lengths = np.array([len(t) for t in training.values()], float)
-    return Model(list(training), symbols, width, table, np.array(roots, np.int32), lengths)
+    return Model(list(training), symbols, np.concatenate(owners), np.concatenate(targets), again, np.array(roots, np.int32), lengths)
 
 
 def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -132,25 +172,30 @@ def phrases(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     state = np.repeat(model.roots[None, :], len(order), 0)
     count = np.zeros((len(order), langs), np.int32)
     begin = np.cumsum(sizes) - sizes
-    flat = np.concatenate([texts[i] for i in order]) if longest else np.zeros(0, np.uint8)
+    flat = np.concatenate([texts[i] for i in order]) if longest else np.zeros(0, np.int32)
     active = np.searchsorted(-sizes, -np.arange(longest), "left")  # documents longer than t
     t = 0
     while t < longest and active[t] > _LANES:
         n = int(active[t])
-        step = model.table.take(state[:n] + flat[begin[:n] + t][:, None])
-        count[:n] += step & 1
-        state[:n] = step >> 1
+        now, seen = state[:n], flat[begin[:n] + t]
+        at = now + seen[:, None]
+        lost = model.owner.take(at) != now
+        count[:n] += lost
+        state[:n] = np.where(lost, model.again.take(seen, axis=0), model.target.take(at))
         t += 1
     if t < longest:
-        table = memoryview(model.table)
+        owner, target = memoryview(model.owner), memoryview(model.target)
+        again = [memoryview(np.ascontiguousarray(model.again[:, g])) for g in range(langs)]
         for d in range(int(active[t])):
             rest = flat[begin[d] + t : begin[d] + sizes[d]].tolist()
             for g in range(langs):
-                s, found = int(state[d, g]), 0
+                s, found, restart = int(state[d, g]), 0, again[g]
                 for c in rest:
-                    s = table[s + c]
-                    found += s & 1
-                    s >>= 1
+                    if owner[s + c] == s:
+                        s = target[s + c]
+                    else:
+                        s = restart[c]
+                        found += 1
                 count[d, g] += found
     out[order] = count + (sizes > 0)[:, None]
     return out
@@ -189,24 +234,24 @@ def score(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
     return names, sure
 
 
-def train(labelled: DataFrame, text_col: str, lang_col: str, key: Column, *, train_texts: int, train_chars: int, most_languages: int) -> Model:
-    """Fits on about ``train_texts`` whole texts for each language, chosen by hash.
+def train(labelled: DataFrame, text_col: str, lang_col: str, *, train_texts: int, train_chars: int) -> Model:
+    """Fits on about ``train_texts`` distinct texts for each language, chosen by hash.
 
-    The sample is bounded: ``train_texts`` texts and ``train_chars`` characters for each
-    of the ``most_languages`` most frequent languages.
+    The sample is bounded for each language, by ``train_texts`` texts and ``train_chars``
+    characters spread over them; every language is learnt.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
-    known = sorted(map(tuple, counts.orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()))
-    if not known:
+    text = F.col(text_col).cast("string")
+    rows = labelled.where(F.col(lang_col).isNotNull() & text.isNotNull())
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.lit("langid"), text).alias("h"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    if not counts:
         return fit({}, train_chars)
-    spot = F.pmod(F.xxhash64(F.lit("langid"), key), F.lit(1 << 30))
-    pick = F.lit(False)
-    for lang, n in known:
-        pick = pick | ((F.col(lang_col) == lang) & (spot < int(min(1.0, 2 * train_texts / n) * (1 << 30)) + 1))
-    sample = rows.where(pick).select(F.col(lang_col), F.substring(text_col, 1, train_chars), spot, key).collect()
+    limits = [(lang, int(min(1.0, 2 * train_texts / max(n, 1)) * (1 << 30)) + 1) for lang, n in counts]
+    limit = F.broadcast(labelled.sparkSession.createDataFrame(limits, "lang string, below long"))
+    drawn = rows.join(limit, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("below")).dropDuplicates(["lang", "h"])
+    sample = drawn.select("lang", F.substring("text", 1, train_chars), F.pmod("h", F.lit(1 << 30))).collect()
     samples: dict[str, list[str]] = {}
-    for lang, text, *_ in sorted(sample, key=lambda r: (r[0], r[2], str(r[3]), r[1])):
+    for lang, text, _ in sorted(sample, key=lambda r: (r[0], r[2], r[1])):
         if len(samples.setdefault(lang, [])) < train_texts:
             samples[lang].append(text)
     return fit(samples, train_chars)
@@ -221,7 +266,6 @@ def identify(
     *,
     train_texts: int = 64,
     train_chars: int = 24_000,
-    most_languages: int = 64,
 ) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs``, whole texts.
 
@@ -231,8 +275,8 @@ def identify(
     order of names.  Repeated rows are predicted alike.  An empty table gives no rows.
     """
     model = train(
-        docs.where(F.coalesce(trusted, F.lit(False))), text_col, lang_col, F.col(id_col).cast("string"),
-        train_texts=train_texts, train_chars=train_chars, most_languages=most_languages,
+        docs.where(F.coalesce(trusted, F.lit(False))), text_col, lang_col,
+        train_texts=train_texts, train_chars=train_chars,
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

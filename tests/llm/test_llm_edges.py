@@ -298,6 +298,21 @@ def test_language(spark, small):
     assert untaught.lang_pred == "und" and identify(docs(spark, []), F.lit(True)).count() == 0
 
 
+def test_every_language_and_letter_is_learnt(spark):
+    from scriptorium.llm import op7_langid as L
+
+    draw = random.Random(6)
+    rows = []
+    for i in range(70):
+        letters = [chr(0x4E00 + 8 * i + k) for k in range(8)]
+        vocabulary = ["".join(draw.choice(letters) for _ in range(3)) for _ in range(9)]
+        rows += [(len(rows) + k, " ".join(draw.choice(vocabulary) for _ in range(40)), f"l{i:02}") for k in range(3)]
+    found = L.identify(docs(spark, rows), F.col("doc_id") % 3 > 0).collect()
+    assert {(r.doc_id, r.lang_pred) for r in found} == {(i, lang) for i, _, lang in rows}
+    long = L.fit({"x": ["a" * 30000, "b c"]}, 24000)  # one long text leaves room for the others
+    assert long.lengths[0] == 24000 and long.symbols[ord("b")] > 1
+
+
 # --- op8 -----------------------------------------------------------------
 
 
