@@ -7,8 +7,9 @@ a rare class by its shape (length, letters beyond ASCII, last byte), whose membe
 share its mass in proportion to count + 0.5; one share stands for the unknown word.
 
 Model.  A GRU (see ``gru``) predicts the class of each token and the member of a head
-class.  Groups of sampled training documents (a fixed fraction of the corpus) are
-trained side by side from one start, the unigram distribution, and averaged.
+class.  All training documents are dealt into rounds and, in a round, into groups.  The
+groups of a round are trained side by side from the mean of the round before (at first
+from the unigram distribution) and averaged.
 
 Scores.  Documents of a batch run side by side, the state carried over windows to
 their ends.  Counts of the most frequent words, at most ``known_most``, go to the tasks (a
@@ -144,35 +145,38 @@ def lexicon(counts: DataFrame, documents: int, head: int, head_classes: int, kno
     )
 
 
-def train(docs: DataFrame, key: Column, text_col: str, lex, layout: gru.Layout, start: np.ndarray, *, part: float, group_docs: int) -> np.ndarray:
-    """Parameters averaged over groups of about ``group_docs`` sampled documents.
+def train(docs: DataFrame, key: Column, text_col: str, lex, layout: gru.Layout, start: np.ndarray, *, rounds: int, group_docs: int) -> np.ndarray:
+    """Parameters averaged over groups of about ``group_docs`` documents, in up to ``rounds`` rounds.
 
-    ``part`` of the training documents are taken, at every size of the corpus.  Groups are trained
-    on the executors; only the averages come back.
+    Every document is in one group of one round.  Groups are trained on the executors; only
+    the averages come back.
     """
     spot = F.xxhash64(F.lit("gru"), key)
-    sample = docs.where(F.pmod(spot, F.lit(1 << 20)) < int(part * (1 << 20))).select(F.col(text_col).cast("string").alias("text"), spot.alias("spot"))
-    groups = max(1, -(-sample.count() // group_docs))
+    dealt = docs.select(F.col(text_col).cast("string").alias("text"), spot.alias("spot"))
+    groups = max(1, -(-docs.count() // group_docs))
+    rounds = min(rounds, groups)
+    dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("spot"), F.lit(groups)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["spot", "text"], na_position="first")
         known, texts = lex.value, []
         for hashes, shape in tokens(pa.array(frame.text, pa.string())):
             texts.append(np.append(known.look_up(hashes, shape)[0], np.int32(known.end_input)))
-        flat = gru.flatten(gru.fit(layout, gru.restore(layout, start), texts, known.end_input))
+        flat = gru.flatten(gru.fit(layout, gru.restore(layout, begin.value), texts, known.end_input))
         pieces = [flat[i : i + 4096].astype(float) for i in range(0, len(flat), 4096)]
         return pd.DataFrame({"piece": range(len(pieces)), "values": pieces})
 
-    dealt = sample.withColumn("lot", F.pmod(F.xxhash64("spot"), F.lit(groups)))
-    trained = dealt.groupBy("lot").applyInPandas(run, "piece int, values array<double>")
-    means = (
-        trained.select("piece", F.posexplode("values").alias("at", "value")).groupBy("piece", "at").agg(F.avg("value").alias("mean")).toPandas()
-    )
-    if not len(means):
-        return start
-    flat = np.empty(len(start))
-    flat[means["piece"].to_numpy() * 4096 + means["at"].to_numpy()] = means["mean"].to_numpy()
-    return flat.astype(np.float32)
+    for turn in range(rounds):
+        begin = docs.sparkSession.sparkContext.broadcast(start)
+        trained = dealt.where(F.col("lot") % rounds == turn).groupBy("lot").applyInPandas(run, "piece int, values array<double>")
+        means = (
+            trained.select("piece", F.posexplode("values").alias("at", "value")).groupBy("piece", "at").agg(F.avg("value").alias("mean")).toPandas()
+        )
+        if len(means):
+            flat = np.empty(len(start))
+            flat[means["piece"].to_numpy() * 4096 + means["at"].to_numpy()] = means["mean"].to_numpy()
+            start = flat.astype(np.float32)
+    return start
 
 
 def score_documents(
@@ -184,7 +188,7 @@ def score_documents(
     head: int = 1500,
     head_classes: int = 32,
     known_most: int = 1 << 18,
-    part: float = 1 / 16,
+    rounds: int = 8,
     group_docs: int = 1000,
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
@@ -202,7 +206,7 @@ def score_documents(
     lex, layout = spark.sparkContext.broadcast(lex_), lex_.layout
     start = gru.flatten(gru.initial(layout, lex_.class_log, lex_.word_log))
     key = F.concat_ws("#", F.col(id_col).cast("string"), F.length(F.col(text_col).cast("string")))
-    found = train(learnt, key, text_col, lex, layout, start, part=part, group_docs=group_docs)
+    found = train(learnt, key, text_col, lex, layout, start, rounds=rounds, group_docs=group_docs)
     parameters = spark.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

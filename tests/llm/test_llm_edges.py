@@ -395,6 +395,14 @@ def test_scoring(spark, small):
     assert blank.n_known == 0 and blank.train_tokens == 0 and abs(blank.base_score) < 1e-9
 
 
+def test_every_document_trains_the_model(spark):
+    from scriptorium.llm.op9_lm import score_documents
+
+    for i in (1, 2):  # without training the score of a lone document is the base
+        lone = score_documents(docs(spark, [(i, "one two three four " * 400)]), F.lit(True)).first()
+        assert lone.score - lone.base_score > 0.01 * abs(lone.base_score), (lone.score, lone.base_score)
+
+
 # --- op10 ----------------------------------------------------------------
 
 
