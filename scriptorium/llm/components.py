@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cluster import durable, release
@@ -11,33 +12,48 @@ from .cluster import durable, release
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every end of ``links(a, b)``: the smallest node reachable.
 
-    Each round a node takes the smallest label among its neighbours and itself,
-    then the label of that label (pointer jumping), until nothing changes.  Rounds
-    are cut by checkpoints; nothing is collected.  Hubs are pre-aggregated before
-    the shuffle, and the label lookups are merge joins that AQE can split (not
-    broadcast ones: dozens of small broadcasts would pile up in the driver).
-    A null end drops the link.  An empty input gives an empty result.
+    Each round deals the links out by their larger end, which keeps the least of its
+    smaller ends and links the others to that one.  Once no end has two, the links
+    are a forest; its nodes then take their parent's parent until all parents are roots.
+    A component's root is never the key of a deal, so hubs with many links don't fill a
+    task; the lookups are merge joins that AQE can split (not broadcast ones: dozens of
+    small broadcasts would pile up in the driver).  Rounds are cut by checkpoints; nothing
+    is collected.  A null end or a loop drops the link.  An empty input gives an empty result.
     """
-    both = links.where("a is not null and b is not null and a <> b").select("a", "b")
-    edges = durable(both.union(both.select(F.col("b"), F.col("a"))).toDF("src", "dst").distinct())
-    labels = edges.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label"))
+    spark = links.sparkSession
+    larger, smaller = F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")
+    edges = links.where("a is not null and b is not null and a <> b").select(larger, smaller)
+    least = F.min("b").over(W.partitionBy("a"))
     for _ in range(max_rounds):
-        spread = (
-            edges.join(labels.hint("merge"), edges.src == labels.node)
-            .groupBy(F.col("dst").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        offered = labels.join(spread.hint("merge"), "node", "left").select(
-            "node", F.col("label").alias("was"), F.least("label", "near").alias("label")
-        )
-        target = offered.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        jumped = durable(
-            offered.join(target.hint("merge"), "label", "left").select(
-                "node", "was", F.coalesce(F.least("label", "jump"), "label").alias("label")
-            )
-        )
-        labels = jumped.select("node", "label")
-        if jumped.where("was <> label").isEmpty():
-            release(links.sparkSession)
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        ends = edges.repartition("a").distinct().withColumn("least", least)
+        extra = F.col("b") > F.col("least")
+        found = durable(ends.select(F.when(extra, F.col("b")).otherwise(F.col("a")).alias("a"), F.col("least").alias("b"), extra.alias("extra")))
+        edges = found.select("a", "b")
+        if found.where("extra").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    for _ in range(max_rounds):
+        upper = edges.select(F.col("a").alias("b"), F.col("b").alias("top"))
+        found = durable(edges.join(upper.hint("merge"), "b", "left").select("a", F.coalesce("top", "b").alias("b"), F.col("top").isNotNull().alias("rose")))
+        edges = found.select("a", "b")
+        if found.where("rose").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    release(spark)
+    return edges.union(edges.select("b", "b").distinct()).toDF("node", "component")
+
+
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups (node, component)`` after ``links (a, b)`` between nodes have joined components.
+
+    Only the components that links touch are solved again.
+    """
+    side = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias("c" + x)).hint("merge")
+    bridges = links.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("ca <> cb")
+    bridges = durable(bridges.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if bridges.isEmpty():
+        return groups
+    solved = connected_components(bridges).toDF("component", "joined")
+    return durable(groups.join(solved.hint("merge"), "component", "left").select("node", F.coalesce("joined", "component").alias("component")))

@@ -10,12 +10,17 @@ the same width would need.  A pair of similarity s shares a key with probability
 Classes.  Documents with equal shingle sets form a class; the smallest doc_id
 stands for it, so copies never meet in a bucket.
 
-Candidates.  A bucket links each member to its smallest member only (a star).
-Where a batch alone holds ``hot`` members of a bucket, they are linked to their
-smallest there and only that one is shuffled on, so that one bucket never fills a
-task.  All stars are confirmed on full sets.  What a centre rejects meets
-the rest of that star afterwards, members hidden behind a batch's own centre
-included, unless the triangle inequality of the Jaccard distance rules a link out.
+Candidates.  Pairs that share a bucket.  A bucket links each member to one centre (a
+star): the member whose half-keys are commonest, since that is near the middle of its
+group.  Where a batch alone holds ``hot`` members of a bucket, they are linked to a
+centre there and only that one is shuffled on, so that one bucket never fills a task.
+All stars are confirmed on full sets.
+
+Families.  Members of a bucket are always connected by stars, so every candidate pair
+lies in one family (component of the stars).  Families whose members are in several
+components once the stars are confirmed are searched again without loss, by what
+each member differs in from one reference set of the family (``_open_pairs``).  So sharing
+no key is the only way in which a link can be missed.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cluster import durable
-from .components import connected_components
+from .components import connected_components, merged
 from .textkit import mix, mix_one, shingles, words
 
 _SEED = 0x5DEECE66D
@@ -81,22 +86,63 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, tables:
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _NOTE)
 
 
-def _bucket_rows(reps: DataFrame, tables: int, hot: int) -> DataFrame:
-    """(key, rep, centre): a row for each bucket of each representative.  Rows with a
-    centre are links made inside a batch already; their key only spreads them."""
+def _common_halves(reps: DataFrame, tables: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the commonest half-keys, at most ``most``, hashes ascending.
+
+    They only say which member of a bucket is its centre, not who is compared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half, n = np.unique(_slots(batch.column(0), tables), return_counts=True)
+            yield pa.record_batch([pa.array(half.view(np.int64)), pa.array(n)], names=["half", "n"])
+
+    counts = reps.select("halves").mapInArrow(run, "half long, n long").groupBy("half").agg(F.sum("n").alias("n")).where("n > 2")
+    counts = durable(counts)
+    seen, least = 0, None
+    for n, kinds in sorted(map(tuple, counts.groupBy("n").agg(F.count(F.lit(1))).collect()), reverse=True):
+        seen += kinds
+        if seen > most:
+            break
+        least = n
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = counts.where(F.col("n") >= least).toPandas()
+    half = found.half.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(half)
+    return half[order], found.n.to_numpy(np.int64)[order]
+
+
+def _slots(halves: pa.Array, tables: int) -> np.ndarray:
+    """Half-keys as numbers that also tell their places."""
+    half = np.frombuffer(b"".join(halves.to_pylist()), np.uint64).reshape(len(halves), 2 * tables)
+    return mix(half + np.arange(1, 2 * tables + 1, dtype=np.uint64))
+
+
+def _bucket_rows(reps: DataFrame, tables: int, hot: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(key, weight, rep, centre): a row for each bucket of each representative.  Rows with
+    a centre are links made inside a batch already; their key only spreads them."""
     salt = np.array([mix_one(7919 * (t + 1)) for t in range(tables * tables)], np.uint64)
+    shared = reps.sparkSession.sparkContext.broadcast(common or (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
                 half = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(ids), 2 * tables)
-                keys, reps_, centres = [], [], []
+                weight = np.zeros(len(ids), np.int64)
+                if len(known):
+                    slots = _slots(batch.column(1), tables)
+                    spot = np.minimum(np.searchsorted(known, slots), len(known) - 1)
+                    weight = np.where(known[spot] == slots, counts[spot], 0).sum(axis=1)
+                rank = np.argsort(np.lexsort((ids, -weight)))  # the most common first, then by id
+                keys, reps_, centres, weights = [], [], [], []
                 for i in range(tables):
                     for j in range(tables):
                         key = mix((half[:, i] ^ salt[i * tables + j]) + half[:, tables + j] * np.uint64(0x9E3779B97F4A7C15))
-                        order = np.lexsort((ids, key))
+                        order = np.lexsort((rank, key))
                         k, r = key[order], ids[order]
                         first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, int)
                         count = np.diff(np.r_[first, len(k)])
@@ -104,36 +150,38 @@ def _bucket_rows(reps: DataFrame, tables: int, hot: int) -> DataFrame:
                         local = np.repeat(count >= hot, count) & (r != centre)
                         keys.append(np.where(local, mix(r.view(np.uint64)), k).view(np.int64))
                         reps_.append(r)
+                        weights.append(weight[order])
                         centres.append((centre, local))
                 local = np.concatenate([x for _, x in centres]) if centres else np.zeros(0, bool)
                 rows = pa.record_batch(
                     [
                         pa.array(np.concatenate(keys)),
+                        pa.array(np.concatenate(weights)),
                         pa.array(np.concatenate(reps_)),
                         pa.array(np.concatenate([x for x, _ in centres]), mask=~local),
                     ],
-                    names=["key", "rep", "centre"],
+                    names=["key", "weight", "rep", "centre"],
                 )
                 if local.any():  # a batch repeats the same local link in many tables
-                    t = pa.Table.from_batches([rows]).group_by(["key", "rep", "centre"]).aggregate([])
-                    yield from t.select(["key", "rep", "centre"]).to_batches()
+                    names = ["key", "weight", "rep", "centre"]
+                    yield from pa.Table.from_batches([rows]).group_by(names).aggregate([]).select(names).to_batches()
                 else:
                     yield rows
 
-    return reps.select("rep", "halves").mapInArrow(run, "key long, rep long, centre long")
+    return reps.select("rep", "halves").mapInArrow(run, "key long, weight long, rep long, centre long")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """(a, b, local) from bucket rows: member and centre of every star."""
+    """(a, b, hits) from bucket rows: member, centre, and how many buckets say so."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key_now, centre_now = None, 0
         for batch in batches:
             key = batch.column(0).to_numpy(zero_copy_only=False)
-            rep = batch.column(1).to_numpy(zero_copy_only=False)
-            made = batch.column(2)
+            rep = batch.column(2).to_numpy(zero_copy_only=False)
+            made = batch.column(3)
             ready = made.is_valid().to_numpy(zero_copy_only=False)
-            out = {(int(a), int(b), True) for a, b in zip(rep[ready], made.filter(made.is_valid()).to_numpy(zero_copy_only=False))}
+            ends = [(rep[ready], made.filter(made.is_valid()).to_numpy(zero_copy_only=False))]
             k, r = key[~ready], rep[~ready]
             if len(k):
                 first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
@@ -143,14 +191,14 @@ def _stars(rows: DataFrame) -> DataFrame:
                 centre = np.repeat(lead, np.diff(np.r_[first, len(k)]))
                 key_now, centre_now = k[-1], lead[-1]
                 pick = r != centre
-                out |= {(int(a), int(b), False) for a, b in zip(r[pick], centre[pick])}
-            if out:
-                a, b, local = zip(*out)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(local, pa.bool_())], names=["a", "b", "local"])
+                ends.append((r[pick], centre[pick]))
+            a, b = (np.concatenate([e[i] for e in ends]).astype(np.int64) for i in (0, 1))
+            if len(a):
+                found = pa.table({"a": a, "b": b}).group_by(["a", "b"]).aggregate([([], "count_all")])
+                yield from found.select(["a", "b", "count_all"]).rename_columns(["a", "b", "hits"]).to_batches()
 
-    spread = rows.repartition("key").sortWithinPartitions("key", "rep")
-    found = spread.mapInArrow(run, "a long, b long, local boolean")
-    return found.groupBy("a", "b").agg(F.max("local").alias("local"), F.count(F.lit(1)).alias("hits"))
+    spread = rows.repartition("key").sortWithinPartitions("key", F.col("weight").desc(), "rep")
+    return spread.mapInArrow(run, "a long, b long, hits long").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
 
 
 def _sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, width: int, bits_log2: int = 23) -> DataFrame:
@@ -167,8 +215,8 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, wid
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("bits"))
     )
     bitmap = np.zeros(1 << (bits_log2 - 5), np.uint32)
-    for row in cells.toLocalIterator():
-        bitmap[row.cell] = row.bits
+    found = cells.toPandas()  # bounded by the bitmap's size
+    bitmap[found.cell.to_numpy(np.int64)] = found.bits.to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,123 +236,137 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, wid
     return sets.join(wanted.hint("merge"), "rep", "left_semi")
 
 
-def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, inter, na, nb) of pairs (a, b), counted on the full sets."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with the full sets ``fa`` and ``fb`` of their ends."""
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("found").alias("fa")).hint("merge"), "a")
-    both = left.join(sets.select(F.col("rep").alias("b"), F.col("found").alias("fb")).hint("merge"), "b")
+    return left.join(sets.select(F.col("rep").alias("b"), F.col("found").alias("fb")).hint("merge"), "b")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are links, judged on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            inter, na, nb = [], [], []
+            keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                inter.append(len(np.intersect1d(x, y, assume_unique=True)))
-                na.append(len(x))
-                nb.append(len(y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _with_sets(pairs.select("a", "b"), sets).select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
+
+
+def _references(members: DataFrame, sets: DataFrame, ballot: int = 15) -> DataFrame:
+    """(fam, ref): the shingles that most of up to ``ballot`` members of each family have.
+
+    Any set would do as a reference; one near the middle makes the differences short.
+    """
+    turn = F.row_number().over(W.partitionBy("fam").orderBy(F.xxhash64("rep"), "rep"))
+    voters = members.select("fam", "rep").withColumn("turn", turn).where(F.col("turn") <= ballot)
+    votes = voters.join(sets.hint("merge"), "rep").groupBy("fam").agg(F.collect_list("found").alias("votes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            refs = []
+            for votes in batch.column(1).to_pylist():
+                el, n = np.unique(np.frombuffer(b"".join(votes), np.uint64), return_counts=True)
+                refs.append(el[2 * n > len(votes)].tobytes())
+            yield pa.record_batch([batch.column(0), pa.array(refs, pa.binary())], names=["fam", "ref"])
+
+    return votes.mapInArrow(run, "fam long, ref binary")
+
+
+def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(fam, rep, comp, n, e, slack, els) of members (fam, rep, comp).
+
+    E is what a member's set and its family's reference don't have in common, e its size, n
+    the member's own.  ``els`` are the first of E's elements, as many as any link can need.
+    """
+    low, high = 100 - percent, 100 + percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, es, els = [], [], []
+            for x, r in zip(batch.column(3), batch.column(4)):
+                x, r = (np.frombuffer(v.as_py(), np.uint64) for v in (x, r))
+                more, less = np.setdiff1d(x, r, assume_unique=True), np.setdiff1d(r, x, assume_unique=True)
+                # Elements beyond the reference are the rarer ones and come first.
+                first = np.concatenate([part[np.argsort(mix(part))] for part in (more, less)])
+                sizes.append(len(x))
+                es.append(len(first))
+                els.append(first[: low * len(x) // percent + 1].view(np.int64))
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (inter, na, nb))],
-                names=["a", "b", "inter", "na", "nb"],
+                [*(batch.column(i) for i in range(3)), pa.array(sizes, pa.int64()), pa.array(es, pa.int64()), pa.array(els, pa.list_(pa.int64()))],
+                names=["fam", "rep", "comp", "n", "e", "els"],
             )
 
-    return both.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long, inter long, na long, nb long")
+    full = members.select("fam", "rep", "comp").join(sets.hint("merge"), "rep").join(_references(members, sets).hint("merge"), "fam")
+    rows = full.select("fam", "rep", "comp", "found", "ref").mapInArrow(run, "fam long, rep long, comp long, n long, e long, els array<long>")
+    return rows.withColumn("slack", low * F.col("n") - high * F.col("e"))
 
 
-def _named(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs with the present components ``ca`` and ``cb`` of their ends."""
-    side = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias("c" + x))
-    found = pairs.join(side("a").hint("merge"), "a", "left").join(side("b").hint("merge"), "b", "left")
-    return found.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+def _open_pairs(stars: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, crowd: int) -> DataFrame:
+    """Pairs (a, b) across components that may be links, from families with several components.
 
+    Sets x and y are linked if and only if ``|E_x ^ E_y| <= t (|x| + |y|)``, where E is the
+    difference from any one reference and t = (100 - percent) / (100 + percent): if E_x
+    and E_y share at least ``-(slack_x + slack_y) / 2`` elements, slack = t |x| - e_x.
 
-def _confirm(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component) from links confirmed on full sets.
+    * Where the slacks of a pair sum to 0 or more, both are links of the family's member with
+      the most slack, the lead.  Each member that is so (a near one) is paired with it.
+    * Of other pairs one is not near.  They share at least one element, so under one order
+      of all elements they share one among the first ``e - least + 1``, least being
+      the least number that a link needs: over ``(slack_lead - slack_x) / 2`` for any x with a
+      member that isn't near, and at least ``e - (100 - percent) / percent * n`` for any.
 
-    A pair whose ends are connected already can't change the components, so pairs are
-    confirmed in rounds: each node's most promising centre (most shared buckets) first,
-    then the most promising pairs of each component, and at last all pairs that still
-    join different components.  The rounds only order the work: no pair is left out.
+    An element that over ``crowd`` members have so early makes them a family of their own,
+    with a reference of its own; after four such turns they meet as they are.
     """
-    most_parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    close = F.expr(f"100 * inter >= {int(percent)} * (na + nb - inter)")
-    far = F.expr("1 - inter / (na + nb - inter)")
-    judged = sets.sparkSession.createDataFrame([], "a long, b long, inter long, na long, nb long, linked boolean, far double")
-    groups = sets.sparkSession.createDataFrame([], "node long, component long")
-
-    def settle(pairs: DataFrame) -> None:
-        nonlocal judged, groups
-        for side, most in (("a", 1), ("ca", 32), ("", 0)):
-            open_ = _named(pairs.join(judged.select("a", "b").hint("merge"), ["a", "b"], "left_anti"), groups).where("ca <> cb")
-            if side:
-                turn = F.row_number().over(W.partitionBy(side).orderBy(F.col("hits").desc(), "b", "a"))
-                open_ = open_.withColumn("turn", turn).where(F.col("turn") <= most)
-            open_ = durable(open_.select("a", "b"))
-            if open_.isEmpty():
-                return
-            found = judged.union(_shared(open_, sets).withColumn("linked", close).withColumn("far", far))
-            judged = durable(found.coalesce(most_parts))  # unions would add up their partitions
-            groups = connected_components(judged.where("linked").select("a", "b"))
-
-    def settle_hidden(pairs: DataFrame, refused: DataFrame, limit: float) -> None:
-        """What a centre rejected meets the members that a batch hid behind a local centre of that star.
-
-        Only local centres of the star's own component matter: behind the others every member has
-        climbed to the centre.  ``low`` is the least distance that the triangle inequality leaves
-        between the rejected node and the local centre.
-        """
-        hidden = pairs.where("local").select(F.col("a").alias("x"), F.col("b").alias("mid"))
-        if hidden.isEmpty():
-            return
-        distance = judged.select("a", "b", "far")
-        mids = pairs.select("a", "b").join(hidden.select(F.col("mid").alias("a")).distinct().hint("merge"), "a", "left_semi")
-        mids = _named(mids.join(distance.hint("merge"), ["a", "b"], "left"), groups).where("ca = cb")
-        mids = mids.select(F.col("a").alias("mid"), F.col("b").alias("c"), F.col("far").alias("mf"), F.col("ca").alias("cm"))
-        lone = _named(refused.select("a", "b", "far"), groups).where("ca <> cb")
-        lone = lone.select(F.col("a").alias("p"), F.col("b").alias("c"), F.col("far").alias("pf"), F.col("ca").alias("cp"))
-        near = lone.join(mids.hint("merge"), "c").where("cp <> cm").groupBy("p", "mid").agg(F.max(F.abs(F.col("pf") - F.col("mf"))).alias("low"))
-        near = near.withColumns({"a": F.greatest("p", "mid"), "b": F.least("p", "mid")}).join(distance.hint("merge"), ["a", "b"], "left")
-        near = near.select("p", "mid", F.coalesce("far", "low", F.lit(0.0)).alias("low"))
-        spokes = hidden.select(F.col("x").alias("a"), F.col("mid").alias("b")).join(distance.hint("merge"), ["a", "b"], "left")
-        spokes = spokes.select(F.col("a").alias("x"), F.col("b").alias("mid"), F.col("far").alias("xf"))
-        met = near.join(spokes.hint("merge"), "mid").where(f"p <> x and (xf is null or low - xf <= {limit})")
-        met = met.select(F.greatest("p", "x").alias("a"), F.least("p", "x").alias("b"), F.lit(1).alias("hits"), F.lit(False).alias("local"))
-        met = durable(met.distinct())
-        if not met.isEmpty():
-            settle(met)
-
-    pairs = stars.select("a", "b", "hits", "local")
-    settle(pairs)
-    # Members that a batch linked to a centre of its own meet the bucket's centres, where components differ.
-    placed = _named(pairs, groups)
-    below = placed.where("local").select("a", F.col("b").alias("mid"), (F.col("ca") != F.col("cb")).alias("torn"))
-    above = placed.select(F.col("a").alias("mid"), F.col("b").alias("up"), (F.col("ca") != F.col("cb")).alias("apart"))
-    climbed = below.join(above.where("apart").hint("merge"), "mid").select("a", "up").union(below.where("torn").join(above.hint("merge"), "mid").select("a", "up"))
-    climbed = durable(climbed.where("up < a").select("a", F.col("up").alias("b"), F.lit(1).alias("hits"), F.lit(False).alias("local")).distinct())
-    if not climbed.isEmpty():
-        pairs = durable(pairs.union(climbed).dropDuplicates(["a", "b"]))
-        settle(pairs)
-    # What a centre rejected meets the rest of its star, as far as components differ.
-    refused = judged.where("not linked")
-    if not refused.isEmpty():
-        limit = 1 - percent / 100 + 1e-9
-        known = pairs.select("a", "b").join(judged.select("a", "b", "far").hint("merge"), ["a", "b"], "left")
-        named = durable(_named(known, groups))
-        spokes = named.select(F.col("a").alias("x"), "far", F.col("ca").alias("cx"), F.col("b").alias("c")).union(
-            named.select("b", "far", "cb", "a")
-        )
-        main = (
-            spokes.groupBy("c", "cx").agg(F.count(F.lit(1)).alias("n")).groupBy("c").agg(F.max_by("cx", F.struct("n", "cx")).alias("main"), F.count(F.lit(1)).alias("kinds"))
-        )
-        mixed = main.where("kinds > 1").select("c", "main")
-        spokes = durable(spokes.join(mixed.hint("merge"), "c"))
-        ends = refused.select(F.col("a").alias("x"), F.col("b").alias("c")).union(refused.select("b", "a")).distinct()
-        lone = spokes.join(ends.hint("merge"), ["x", "c"], "left_semi").select("c", F.col("x").alias("p"), F.col("far").alias("pf"), F.col("cx").alias("cp"), "main")
-        rest = spokes.select("c", "x", "far", "cx")
-        met = lone.where("cp <> main").join(rest.hint("merge"), "c").union(lone.join(spokes.where("cx <> main").select("c", "x", "far", "cx").hint("merge"), "c"))
-        met = met.where(f"cp <> cx and (far is null or abs(pf - far) <= {limit})")
-        met = met.select(F.greatest("p", "x").alias("a"), F.least("p", "x").alias("b"), F.lit(1).alias("hits"), F.lit(False).alias("local"))
-        settle(durable(met.distinct()))
-        settle_hidden(pairs, refused, 1 - percent / 100 + 1e-9)
-    return groups
+    high = 100 + percent
+    families = connected_components(stars.select("a", "b"))
+    placed = families.select("node", F.col("component").alias("fam")).join(groups.hint("merge"), "node")
+    several = placed.groupBy("fam").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("one"), F.max("component").alias("two"))
+    several = several.where("size > 2 and one < two").select("fam")
+    members = durable(placed.withColumnsRenamed({"node": "rep", "component": "comp"}).join(several.hint("merge"), "fam", "left_semi"))
+    found = None
+    for turn in range(5):
+        rows = durable(_differences(members, sets, percent))
+        top = F.struct("slack", "rep")
+        lead = rows.groupBy("fam").agg(F.max_by("rep", top).alias("lead"), F.max_by("comp", top).alias("first"), F.max("slack").alias("most"))
+        rows = rows.join(lead.hint("merge"), "fam").withColumn("near", F.col("slack") + F.col("most") >= 0)
+        met = rows.where("near and comp <> first").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b"))
+        least = F.greatest(F.floor((F.col("most") - F.col("slack")) / F.lit(2 * high)) + 1, F.lit(1))
+        rows = rows.withColumn("within", F.col("e") - least + 1)
+        first = F.when(F.col("near"), F.slice("els", F.lit(1), F.greatest(F.col("within"), F.lit(0)).cast("int"))).otherwise(F.col("els"))
+        elements = rows.select("fam", "rep", "comp", "n", "e", "slack", "near", "within", F.posexplode(first).alias("at", "el"))
+        elements = durable(elements.withColumn("inner", F.col("at") < F.col("within")).drop("within", "at"))
+        shared = elements.groupBy("fam", "el").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("one"), F.max("comp").alias("two"))
+        crowded = (F.col("k") > (crowd if turn < 4 else 1 << 62)).alias("crowded")
+        shared = durable(shared.where("one < two").select("fam", "el", crowded))
+        crowds = shared.where("crowded").select("fam", "el")
+        meeting = elements.join(shared.where("not crowded").hint("merge"), ["fam", "el"], "left_semi")
+        x, y = meeting.alias("x"), meeting.alias("y")
+        roles = "x.inner and y.inner and not (x.near and y.near) or x.near and x.inner and not y.near or y.near and y.inner and not x.near"
+        fits = f"-(x.slack + y.slack) <= {2 * high} * least(x.e, y.e) and 100 * least(x.n, y.n) >= {int(percent)} * greatest(x.n, y.n)"
+        same = (F.col("x.fam") == F.col("y.fam")) & (F.col("x.el") == F.col("y.el"))
+        pairs = x.join(y.hint("merge"), same & F.expr(f"x.rep < y.rep and x.comp <> y.comp and ({roles}) and {fits}"))
+        pairs = met.union(pairs.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")))
+        found = pairs if found is None else found.union(pairs)
+        if crowds.isEmpty():
+            break
+        inside = elements.join(crowds.hint("merge"), ["fam", "el"], "left_semi")
+        members = durable(inside.select(F.xxhash64("fam", "el").alias("fam"), "rep", "comp"))
+    return found.distinct()
+
+
+def _confirm(stars: DataFrame, sets: DataFrame, percent: int, crowd: int = 128) -> DataFrame:
+    """(node, component) from links confirmed on full sets: those of all stars, then those
+    that ``_open_pairs`` finds between components."""
+    nodes = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    solved = connected_components(_linked(stars, sets, percent))
+    groups = durable(nodes.join(solved.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    return merged(groups, _linked(_open_pairs(stars, groups, sets, percent, crowd), sets, percent))
 
 
 def near_duplicates(
@@ -317,6 +379,7 @@ def near_duplicates(
     tables: int = 10,
     rows: int = 3,
     hot: int = 64,
+    common_halves: int = 1 << 17,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -331,12 +394,10 @@ def near_duplicates(
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     notes = durable(signatures(base, "doc_id", "text", width, tables, rows))
     live = notes.where("n_shingles > 0 and doc_id is not null")
-    classes = durable(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    sized = live.join(classes.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    reps = sized.groupBy(F.col("doc_id").alias("rep"), "d1", "d2").agg(F.first("halves").alias("halves"), F.first("n_shingles").alias("n"))
-    reps = durable(reps)
-
-    stars = durable(_stars(_bucket_rows(reps, tables, hot)))
+    classes = durable(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("halves", "doc_id").alias("halves")))
+    reps = classes.select("rep", "halves")
+    common = _common_halves(reps, tables, common_halves)
+    stars = durable(_stars(_bucket_rows(reps, tables, hot, common)))
     ends = stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     sets = durable(_sets_of(base, "doc_id", "text", durable(ends), width).distinct())
     groups = _confirm(stars, sets, percent)
