@@ -8,6 +8,7 @@ for each rare class.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,45 +67,62 @@ def restore(layout: Layout, flat: np.ndarray) -> list[np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return F32(1) / (F32(1) + np.exp(-np.clip(x, -30, 30)))
+    out = np.tanh(x * F32(0.5))
+    out += F32(1)
+    out *= F32(0.5)
+    return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _exp_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp of each row above its shift, log of the row's sum of exp), in place of ``x``."""
+    shift = x.max() if x.size else F32(0)
+    if shift > 60 or (x.size and x.min() < -60):  # else float32 holds every exp as it is
+        top = x.max(axis=1, keepdims=True)
+        x -= top
+        np.exp(x, out=x)
+        total = x @ np.ones(x.shape[1], F32)
+        return x / total[:, None], np.log(total) + top[:, 0]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], F32)
+    return x / total[:, None] if x.size else x, np.log(total)
 
 
 def output_log(layout: Layout, par: list[np.ndarray], states: np.ndarray, tokens: np.ndarray, grads: list[np.ndarray] | None = None):
     """Natural log probability of each token after its state; with ``grads``, also the
     gradient of the summed loss (added to ``grads``) with respect to the states."""
     wc, bc, wo, bo = par[4:]
-    group = layout.classes[tokens]
-    logs = _log_softmax(states @ wc + bc)
-    out = logs[np.arange(len(tokens)), group]
+    group, every = layout.classes[tokens], np.arange(len(tokens))
+    logits = states @ wc
+    logits += bc
+    out = logits[every, group].astype(float)
+    chance, logs = _exp_rows(logits)
+    out -= logs
     back = None
     if grads is not None:
-        off = np.exp(logs)
-        off[np.arange(len(tokens)), group] -= 1
-        grads[4] += states.T @ off
-        grads[5] += off.sum(axis=0)
-        back = off @ wc.T
-    order = np.argsort(group, kind="stable")
+        chance[every, group] -= F32(1)
+        grads[4] += states.T @ chance
+        grads[5] += chance.sum(axis=0)
+        back = chance @ wc.T
+    order = np.argsort(group.astype(np.int16), kind="stable")
     cut = np.searchsorted(group[order], np.arange(len(layout.sizes) + 1))
     starts = layout.starts()
+    inside, by_class = layout.member[tokens[order]], states[order[: cut[-1]]]
     for g in range(len(layout.sizes)):
-        rows = order[cut[g] : cut[g + 1]]
-        if not len(rows) or layout.sizes[g] < 2:
+        lo, hi = cut[g], cut[g + 1]
+        if lo == hi or layout.sizes[g] < 2:
             continue
-        span = slice(starts[g], starts[g] + layout.sizes[g])
-        inner = _log_softmax(states[rows] @ wo[span].T + bo[span])
-        member = layout.member[tokens[rows]]
-        out[rows] += inner[np.arange(len(rows)), member]
+        span, rows = slice(starts[g], starts[g] + layout.sizes[g]), order[lo:hi]
+        own, member = by_class[lo:hi], inside[lo:hi]
+        logits = own @ wo[span].T
+        logits += bo[span]
+        picked = logits[np.arange(hi - lo), member].astype(float)
+        chance, logs = _exp_rows(logits)
+        out[rows] += picked - logs
         if grads is not None:
-            off = np.exp(inner)
-            off[np.arange(len(rows)), member] -= 1
-            grads[6][span] += off.T @ states[rows]
-            grads[7][span] += off.sum(axis=0)
-            back[rows] += off @ wo[span]
+            chance[np.arange(hi - lo), member] -= F32(1)
+            grads[6][span] += chance.T @ own
+            grads[7][span] += chance.sum(axis=0)
+            back[rows] += chance @ wo[span]
     return out, back
 
 
@@ -121,8 +139,17 @@ def lanes(texts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray,
     return order, inputs, targets, sizes
 
 
-def score(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start: int, window: int = 16, most: int = 16384) -> np.ndarray:
-    """Natural log probability of each whole text; the state runs on from window to window."""
+def score(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start: int, window: int = 16, most: int = 16384, width: int = 1024) -> np.ndarray:
+    """Natural log probability of each whole text; the state runs on from window to window.
+
+    Texts of like length run side by side, ``width`` at a time.
+    """
+    if len(texts) > width:
+        out, order = np.zeros(len(texts)), np.argsort([len(t) for t in texts], kind="stable")
+        for at in range(0, len(order), width):
+            part = order[at : at + width]
+            out[part] = score(layout, par, [texts[i] for i in part], start, window, most, width)
+        return out
     order, inputs, targets, sizes = lanes(texts, start)
     begin, longest = np.cumsum(sizes) - sizes, int(sizes.max(initial=0))
     h = layout.hidden
@@ -154,60 +181,125 @@ def score(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start:
     return out
 
 
-def fit(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start: int, *, window: int = 24, lanes_: int | None = None, rate: float = 0.01, epochs: int = 1, seed: int = 3) -> list[np.ndarray]:
+def deal(texts: list[np.ndarray], start: int, lanes_: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, begins, live), each (steps, lanes): whole texts one after another in each lane.
+
+    ``begins`` marks where a text begins after ``start`` with a state of its own, ``live``
+    where a lane still has tokens.  Texts go, longest first, to the lane with the least.
+    """
+    load: list[tuple[int, int]] = [(0, k) for k in range(lanes_)]
+    place: list[list[np.ndarray]] = [[] for _ in range(lanes_)]
+    for text in sorted(texts, key=len, reverse=True):
+        n, k = heapq.heappop(load)
+        place[k].append(text)
+        heapq.heappush(load, (n + len(text), k))
+    steps = max((n for n, _ in load), default=0)
+    inputs, targets = np.zeros((steps, lanes_), np.int32), np.zeros((steps, lanes_), np.int32)
+    begins, live = np.zeros((steps, lanes_), bool), np.zeros((steps, lanes_), bool)
+    for k, own in enumerate(place):
+        at = 0
+        for text in own[::-1]:
+            if len(text):
+                targets[at : at + len(text), k] = text
+                inputs[at, k], inputs[at + 1 : at + len(text), k] = start, text[:-1]
+                begins[at, k] = True
+                at += len(text)
+        live[:at, k] = True
+    return inputs, targets, begins, live
+
+
+def window_grads(layout: Layout, par: list[np.ndarray], state: np.ndarray, inputs: np.ndarray, targets: np.ndarray, begins: np.ndarray, live: np.ndarray):
+    """(loss, tokens, gradients, last state) of one window of steps by lanes, backpropagated inside it."""
+    h, (steps, width) = layout.hidden, inputs.shape
+    grads = [np.zeros_like(x) for x in par]
+    x = par[0].take(inputs.ravel(), axis=0)
+    gates = (x @ par[1] + par[3]).reshape(steps, width, 3 * h)
+    past, hidden = np.empty((steps, width, h), F32), np.empty((steps, width, 3 * h), F32)
+    zr, new, after = np.empty((steps, width, 2 * h), F32), np.empty((steps, width, h), F32), np.empty((steps, width, h), F32)
+    fresh = ~begins[:, :, None]
+    for t in range(steps):
+        np.multiply(state, fresh[t], out=past[t])
+        np.matmul(past[t], par[2], out=hidden[t])
+        zr[t] = _sigmoid(gates[t, :, : 2 * h] + hidden[t, :, : 2 * h])
+        inner = zr[t, :, h:] * hidden[t, :, 2 * h :]
+        inner += gates[t, :, 2 * h :]
+        np.tanh(inner, out=new[t])
+        state = past[t] - new[t]
+        state *= zr[t, :, :h]
+        state += new[t]
+        after[t] = state
+    seen = np.flatnonzero(live.ravel())
+    everything = len(seen) == live.size
+    flat = after.reshape(-1, h)
+    logs, back_seen = output_log(layout, par, flat if everything else flat[seen], targets.ravel()[seen], grads)
+    back = back_seen if everything else np.zeros_like(flat)
+    if not everything:
+        back[seen] = back_seen
+    back = back.reshape(steps, width, h)
+    # What doesn't depend on the steps after: the gates' slopes.
+    z, r = zr[:, :, :h], zr[:, :, h:]
+    slope_n = (1 - z) * (1 - new * new)
+    slope_z = (past - new) * z * (1 - z)
+    slope_r = hidden[:, :, 2 * h :] * r * (1 - r)
+    dx, dh = np.empty((steps, width, 3 * h), F32), np.empty((steps, width, 3 * h), F32)
+    carry = np.zeros((width, h), F32)
+    across = np.ascontiguousarray(par[2].T)
+    for t in range(steps - 1, -1, -1):
+        d = carry + back[t]
+        dn = d * slope_n[t]
+        dx[t, :, 2 * h :] = dn
+        np.multiply(d, slope_z[t], out=dx[t, :, :h])
+        np.multiply(dn, slope_r[t], out=dx[t, :, h : 2 * h])
+        dh[t, :, : 2 * h] = dx[t, :, : 2 * h]
+        np.multiply(dn, r[t], out=dh[t, :, 2 * h :])
+        carry = dh[t] @ across
+        carry += d * z[t]
+        carry *= fresh[t]
+    dx, dh = dx.reshape(-1, 3 * h), dh.reshape(-1, 3 * h)
+    grads[1] += x.T @ dx
+    grads[3] += dx.sum(axis=0)
+    grads[2] += past.reshape(-1, h).T @ dh
+    order = np.argsort(inputs.ravel(), kind="stable")
+    ranked = inputs.ravel()[order]
+    first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
+    grads[0][ranked[first]] += np.add.reduceat((dx @ par[1].T)[order], first, axis=0)
+    return -float(logs.sum()), len(seen), grads, state
+
+
+def fit(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start: int, *, window: int = 24, lanes_: int | None = None, rate: float = 0.01, epochs: int = 1) -> list[np.ndarray]:
     """Adam on truncated backpropagation through time; states are carried across windows.
 
-    A window in which few texts are left takes a step as much smaller, so the end of one
-    long text doesn't undo what the others taught.
+    Texts follow one another in lanes, so all lanes stay full to the end of the longest.  A
+    window in which few lanes are left takes a step as much smaller.
     """
-    lanes_ = lanes_ or min(96, max(16, len(texts) // 16))
+    total = sum(map(len, texts))
+    longest = max(map(len, texts), default=0)
+    lanes_ = lanes_ or int(min(192, max(16, total // max(longest, 24 * window))))
     par = [p.copy() for p in par]
     mean, var, steps = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par], 0
-    h = layout.hidden
-    texts = sorted(texts, key=len)
-    packs = [texts[i : i + lanes_] for i in range(0, len(texts), lanes_)]
-    draw = np.random.default_rng(seed)
+    inputs, targets, begins, live = deal(texts, start, lanes_)
     for _ in range(epochs):
-        for p in draw.permutation(len(packs)):
-            _, inputs, targets, sizes = lanes(packs[p], start)
-            begin, longest = np.cumsum(sizes) - sizes, int(sizes.max(initial=0))
-            state = np.zeros((len(sizes), h), F32)
-            for at in range(0, longest, window):
-                tape, grads = [], [np.zeros_like(x) for x in par]
-                for t in range(at, min(longest, at + window)):
-                    n = int(np.searchsorted(-sizes, -t, "left"))
-                    spot = begin[:n] + t
-                    x = par[0].take(inputs[spot], axis=0)
-                    now = state[:n].copy()
-                    gate_x, gate_h = x @ par[1] + par[3], now @ par[2]
-                    zr = _sigmoid(gate_x[:, : 2 * h] + gate_h[:, : 2 * h])
-                    new = np.tanh(gate_x[:, 2 * h :] + zr[:, h:] * gate_h[:, 2 * h :])
-                    state[:n] = new + zr[:, :h] * (now - new)
-                    tape.append((n, spot, x, now, gate_h, zr, new, state[:n].copy()))
-                seen = np.concatenate([targets[x[1]] for x in tape])
-                _, back = output_log(layout, par, np.concatenate([x[7] for x in tape]), seen, grads)
-                ends = np.cumsum([0] + [x[0] for x in tape])
-                carry = np.zeros((len(sizes), h), F32)
-                for k in range(len(tape) - 1, -1, -1):
-                    n, spot, x, now, gate_h, zr, new, _ = tape[k]
-                    d = carry[:n] + back[ends[k] : ends[k + 1]]
-                    z, r = zr[:, :h], zr[:, h:]
-                    dn = d * (1 - z) * (1 - new**2)
-                    dz = d * (now - new) * z * (1 - z)
-                    dr = dn * gate_h[:, 2 * h :] * r * (1 - r)
-                    dx = np.concatenate([dz, dr, dn], axis=1)
-                    dh = np.concatenate([dz, dr, dn * r], axis=1)
-                    grads[1] += x.T @ dx
-                    grads[3] += dx.sum(axis=0)
-                    grads[2] += now.T @ dh
-                    np.add.at(grads[0], inputs[spot], dx @ par[1].T)
-                    carry[:n] = d * z + dh @ par[2].T
-                steps += 1
-                count = F32(len(seen))
-                for i, g in enumerate(grads):
-                    g = np.clip(g / count, -0.1, 0.1)
-                    mean[i] += F32(0.1) * (g - mean[i])
-                    var[i] += F32(0.01) * (g * g - var[i])
-                    up = mean[i] / F32(1 - 0.9**steps)
-                    par[i] -= F32(rate * min(1.0, 2 * float(count) / (lanes_ * window))) * up / (np.sqrt(var[i] / F32(1 - 0.99**steps)) + F32(1e-6))
+        state = np.zeros((lanes_, layout.hidden), F32)
+        for at in range(0, len(inputs), window):
+            span = slice(at, at + window)
+            width = lanes_ if live[at].all() else int(live[at].nonzero()[0].max(initial=-1)) + 1
+            if live[at].sum() < width // 2:  # the lanes that still run come together
+                keep = np.flatnonzero(live[at])
+                inputs, targets, begins, live = (np.ascontiguousarray(v[:, keep]) for v in (inputs, targets, begins, live))
+                state, width = state[keep], len(keep)
+            now = [np.ascontiguousarray(v[span, :width]) for v in (inputs, targets, begins, live)]
+            _, count, grads, last = window_grads(layout, par, state[:width], *now)
+            state = last
+            inputs, targets, begins, live = (v[:, :width] for v in (inputs, targets, begins, live))
+            if not count:
+                continue
+            steps += 1
+            scale = F32(rate * min(1.0, 2 * count / (lanes_ * window)) / (1 - 0.9**steps))
+            for i, g in enumerate(grads):
+                g *= F32(1 / count)
+                np.clip(g, -0.1, 0.1, out=g)
+                mean[i] += F32(0.1) * (g - mean[i])
+                g *= g
+                var[i] += F32(0.01) * (g - var[i])
+                par[i] -= scale * mean[i] / (np.sqrt(var[i] / F32(1 - 0.99**steps)) + F32(1e-6))
     return par

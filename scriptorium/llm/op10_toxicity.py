@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,17 +114,40 @@ def score(model: Model, wanted: np.ndarray, texts: list[str]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_col: str, usable: Column, *, train_docs: int, train_chars: int) -> Model:
-    """Fits on at most ``train_docs`` labelled documents of either label, chosen by hash,
-    and at most ``train_chars`` characters of each."""
+    """Fits on whole texts of at most ``train_docs`` labelled documents of either label.
+
+    They are chosen by hash, one row of an id, and passed over where they would take
+    the sample of a label beyond ``train_chars`` characters.
+    """
     marks = labels.where(F.col(id_col).isNotNull() & F.col(toxic_col).isin(0, 1) & usable)
     marks = marks.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(toxic_col).cast("int").alias("_toxic"))
     spot = F.xxhash64(F.lit("toxicity"), "_id")
     parts = [marks.where(F.col("_toxic") == t).orderBy(spot, "_id").limit(train_docs) for t in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]))  # at most 2 * train_docs rows of an id and a label
-    text = F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, train_chars)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_text")).join(chosen, "_id").collect()
-    rows = sorted({(r["_id"], r["_text"], r["_toxic"]) for r in rows})[: 4 * train_docs]
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")).join(chosen, "_id")
+    sizes = rows.groupBy("_id", "_toxic").agg(F.max(F.length("_text")).alias("n")).select("_id", "_toxic", "n", spot.alias("spot")).collect()
+    left, wanted = [train_chars, train_chars], []
+    for r in sorted(sizes, key=lambda r: (r["spot"], r["_id"])):
+        if r["n"] <= left[r["_toxic"]]:
+            left[r["_toxic"]] -= r["n"]
+            wanted.append(r["_id"])
+    if not wanted:
+        return fit([], [])
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in wanted], "_id long")
+    found = rows.join(F.broadcast(wanted), "_id").groupBy("_id").agg(F.max(F.struct("_toxic", "_text")).alias("r")).collect()
+    sample = sorted((r["_id"], r["r"]["_text"], r["r"]["_toxic"]) for r in found)
+    return fit([r[1] for r in sample], [r[2] for r in sample])
+
+
+def toxicity_column(model: Model, docs: DataFrame):
+    """A function that gives the score of a text column, row by row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(score(shared.value, shared.value.weight != 0, [x or "" for x in texts]))
+
+    return scored
 
 
 def score_toxicity(
@@ -135,7 +159,7 @@ def score_toxicity(
     toxic_col: str = "toxic",
     *,
     train_docs: int = 2000,
-    train_chars: int = 20_000,
+    train_chars: int = 20_000_000,
 ) -> DataFrame:
     """(doc_id, score, predicted) for every row of ``docs``, whole texts.
 

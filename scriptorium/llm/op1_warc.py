@@ -21,7 +21,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .cluster import durable, shared_dir
@@ -102,6 +102,25 @@ def _roles(pages: DataFrame, revisit_least: int) -> DataFrame:
     )
 
 
+def _fields(page: int | None, url: str, digest: str, size: int, refers: int | None) -> dict[str, str]:
+    """The header of a page's record; ``refers`` is the response of a revisit."""
+    named = lambda k: f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(k.encode()).digest())}>"
+    fields = {
+        "WARC-Type": "response" if refers is None else "revisit",
+        "WARC-Record-ID": named(f"{page}|{url}"),
+        "WARC-Page-ID": "" if page is None else str(page),
+        "WARC-Target-URI": _one_line(url),
+        "WARC-Date": "1970-01-01T00:00:00Z",
+        "WARC-Payload-Digest": f"sha1:{digest}",
+        "WARC-Payload-Length": str(size),
+        "Content-Type": "text/html; charset=utf-8",
+    }
+    if refers is not None:
+        fields["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+        fields["WARC-Refers-To-Page-ID"] = str(refers)
+    return fields
+
+
 def write_archives(
     pages: DataFrame,
     folder: str,
@@ -113,12 +132,14 @@ def write_archives(
     dictionary_bytes: int = 65536,
     dictionary_records: int = 1000,
     archive_bytes: int = 16 << 20,
+    sample_bytes: int = 65536,
 ) -> DataFrame:
     """Writes a record for every row; returns (path, records, bytes) of the archives.
 
     Of records with equal payloads of at least ``revisit_least`` bytes the one with the
     largest id is the response and the others revisit it; rows that repeat that id are
-    responses as well, and so is a group without any id.  Null html is an empty
+    responses as well, and so is a group without any id.  The dictionary is trained on at
+    most ``dictionary_records`` records, and of each on its first ``sample_bytes`` bytes.  Null html is an empty
     payload, a null url an empty target.  An empty table writes no archive.
     """
     text = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
@@ -129,8 +150,8 @@ def write_archives(
     count = base.count()
     portion = min(1.0, 2.0 * dictionary_records / count) if count else 0.0
     chosen = base.where(F.pmod(spot, F.lit(1 << 20)) < int(portion * (1 << 20)) + 1).orderBy(spot).limit(dictionary_records)
-    # A sample holds whole payloads up to 64 KiB and the first 64 KiB of longer ones: the trainer reads no more.
-    trained = train([bytes(x.p) for x in chosen.select(F.substring("payload", 1, 65536).alias("p")).collect()], dictionary_bytes)
+    sample = chosen.select("page_id", "url", F.substring("payload", 1, sample_bytes).alias("p"), F.length("payload").alias("n"), F.sha1("payload").alias("d")).collect()
+    trained = train([record(_fields(x.page_id, x.url, x.d, x.n, None), bytes(x.p))[:sample_bytes] for x in sample], dictionary_bytes)
     run_id = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +167,8 @@ def write_archives(
         held, size, n, serial = [lead], 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            name = f"{root}/part-{context.partitionId():06d}-{serial:04d}.warc.zst"
+            # An attempt's archives are its own: what a lost or repeated attempt left is in no result.
+            name = f"{root}/part-{context.partitionId():06d}-{context.taskAttemptId()}-{serial:04d}.warc.zst"
             draft = f"{root}/_draft-{run_id}-{context.taskAttemptId()}-{serial}"
             with disk.open_output_stream(draft) as out:
                 for x in held:
@@ -156,20 +178,7 @@ def write_archives(
 
         for batch in batches:
             for page, url, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
-                revisit = refers is not None
-                fields = {
-                    "WARC-Type": "revisit" if revisit else "response",
-                    "WARC-Record-ID": f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page}|{url}'.encode()).digest())}>",
-                    "WARC-Page-ID": "" if page is None else str(page),
-                    "WARC-Target-URI": _one_line(url),
-                    "WARC-Date": "1970-01-01T00:00:00Z",
-                    "WARC-Payload-Digest": f"sha1:{digest}",
-                    "WARC-Payload-Length": str(len(payload)),
-                    "Content-Type": "text/html; charset=utf-8",
-                }
-                if revisit:
-                    fields["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-                    fields["WARC-Refers-To-Page-ID"] = str(refers)
+                fields, revisit = _fields(page, url, digest, len(payload), refers), refers is not None
                 block = press.compress(record(fields, b"" if revisit else payload))
                 held.append(block)
                 size, n = size + len(block), n + 1
@@ -183,18 +192,24 @@ def write_archives(
     return marked.mapInArrow(run, "path string, records long, bytes long")
 
 
-def read_archives(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record.
+def read_archives(paths: DataFrame, folder: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record
+    of the archives that ``paths (path)`` names, on the file system of ``folder``.
 
     A response's length and digest come from its payload as read; a revisit's are
     those its record states.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        disk, _ = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content in batch.column(0):
+            for path in batch.column(0).to_pylist():
                 rows: list[tuple] = []
-                for raw in frames(content.as_py()):
+                with disk.open_input_stream(path, compression=None) as file:
+                    content = file.read()
+                for raw in frames(content):
                     fields, payload = parse(raw)
                     page, refers = fields["WARC-Page-ID"], fields.get("WARC-Refers-To-Page-ID")
                     kind = fields["WARC-Type"]
@@ -209,8 +224,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
-    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return content.mapInArrow(run, _READ)
+    return paths.select("path").mapInArrow(run, _READ)
 
 
 def archive(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
@@ -218,7 +232,5 @@ def archive(pages: DataFrame, folder: str | None = None, **options) -> DataFrame
     and returns what reading them back gives."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    written = write_archives(pages, folder, **options).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
-    if not written:
-        return spark.createDataFrame([], _READ)
-    return read_archives(spark, folder)
+    written = durable(write_archives(pages, folder, **options))
+    return read_archives(written, folder)

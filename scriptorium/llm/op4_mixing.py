@@ -122,8 +122,11 @@ def mix(
     seed: int = 17,
     block_rows: int = 64,
     most_blocks: int = 4096,
+    carry: Column | None = None,
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, draws) for every row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken, draws) for every row of ``docs``.
+
+    ``carry`` is one more column of ``docs`` that each row takes along, as ``row``.
 
     taken: words that the mix takes of the row, repeats counted; a source's taken
     words are its target rounded.  draws: the output shard of each pass over the
@@ -135,13 +138,14 @@ def mix(
     gives no rows.
     """
     spark = docs.sparkSession
-    rows = durable(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            word_count(F.col(text_col).cast("string")).alias("size"),
-        )
+    kept = [] if carry is None else [carry.alias("row")]
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(source_col).cast("string").alias("source"),
+        word_count(F.col(text_col).cast("string")).alias("size"),
+        *kept,
     )
+    rows = rows if kept else durable(rows)
     sources = sources_of(rows)
     dim = _dimension(spark, sources, block_rows, most_blocks)
     spot = _unit(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed)))
@@ -184,28 +188,33 @@ def mix(
     joined = ranked.join(plan, ["source_at", "block"], "left")
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - F.col("inner")))
     taken = F.coalesce(F.col("whole") * F.col("size") + F.col("part") * last, F.lit(0)).cast("long")
-    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws")
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "draws", *(["row"] if kept else []))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, spread: int = 1024, **options
+) -> DataFrame:
     """``docs`` as the mix draws them: a row as often as its words are taken, in shuffled shards.
 
-    A document that the mix takes only in part becomes its first words, one blank between them.  Rows are
-    spread by output shard and, inside it, ordered by a hash.
+    Every row keeps its own share, rows of one id included.  A document that the mix takes only
+    in part becomes its first words, one blank between them.  Rows are spread by output
+    shard, each in up to ``spread`` parts, and inside a part ordered by a hash.
+
+    Null and empty texts have no words and aren't taken.  A null source is a source of its
+    own; null ids are taken like any other.  An empty table gives no rows.  Columns
+    may have any names.
     """
-    plan = mix(docs, id_col, text_col, source_col, **options)
-    take = plan.where("taken > 0").groupBy(F.col("doc_id").alias("_mix_id")).agg(
-        F.first("taken").alias("_mix_taken"), F.first("size").alias("_mix_size"), F.first("draws").alias("_mix_draws")
-    )
-    joined = docs.join(take, docs[id_col].cast("long").eqNullSafe(take["_mix_id"]))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    plan = mix(docs, id_col, text_col, source_col, carry=row, **options)
     pieces = F.expr(
-        "transform(sequence(1, cast(ceil(_mix_taken / _mix_size) as int)),"
-        " p -> struct(least(_mix_size, _mix_taken - (p - 1) * _mix_size) as words, _mix_draws[p - 1] as shard, p as pass))"
+        "transform(sequence(1, cast(ceil(taken / size) as int)),"
+        " p -> struct(least(size, taken - (p - 1) * size) as words, draws[p - 1] as shard, p as pass))"
     )
-    spread = joined.withColumn("_mix", F.explode(pieces))
-    first_words = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(_WORD), F.lit(0)), F.lit(1), F.col("_mix.words").cast("int")), " ")
-    cut = F.when(F.col("_mix.words") < F.col("_mix_size"), first_words).otherwise(F.col(text_col))
-    order = _unit(F.lit("order"), F.col("_mix.pass"), F.coalesce(F.col("_mix_id").cast("string"), F.lit("")))
-    shuffled = spread.withColumn(text_col, cut).withColumn("_mix_order", order)
-    shuffled = shuffled.repartition("_mix.shard", F.expr("_mix_order % 16")).sortWithinPartitions("_mix.shard", "_mix_order")
-    return shuffled.select(*(F.col(f"`{c}`") for c in docs.columns))
+    drawn = plan.where("taken > 0").select("doc_id", "size", "row", F.explode(pieces).alias("piece"))
+    text = F.col("row").getField(text_col)
+    first_words = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lit(1), F.col("piece.words").cast("int")), " ")
+    cut = F.when(F.col("piece.words") < F.col("size"), first_words).otherwise(text)
+    order = _unit(F.lit("order"), F.col("piece.pass"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    placed = drawn.select("row", F.col("piece.shard").alias("shard"), cut.alias("cut"), order.alias("order"))
+    placed = placed.repartition("shard", F.expr(f"order % {int(spread)}")).sortWithinPartitions("shard", "order")
+    return placed.select(*(F.col("cut").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -7,8 +7,12 @@ among adjacent pairs, leftmost first, is merged.  Pair ranks are looked up in a
 literal map of the vocabulary, (left id, right id) -> id, laid out as two constant
 arrays (``rank_map``).  Decoding concatenates the ids' binary pieces, also by a
 fold.  The same task then lays the encoded pieces back into each document, in
-order.  Nothing is shuffled; a row of words stands for about ``flush_bytes`` of text,
-and a task folds a distinct piece once until it knows ``most_words`` of them.
+order.
+
+Pieces that most tasks have are folded once for all of them: a first pass counts in how
+many tasks each distinct piece occurs, the ``most_shared`` commonest are folded, and their
+ids go to the tasks (a table bounded by that parameter).  A task folds a piece beyond
+them once until it knows ``most_words`` of them.  No text is shuffled.
 
 Pieces of over ``fold_most`` bytes would cost the fold quadratic time; an
 equivalent merge with a heap takes those.
@@ -20,12 +24,16 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cluster import durable
+from .textkit import gather, slices, span_hashes, utf8
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _NONE = 1 << 17
 _FREE = 1 << 60
@@ -93,66 +101,224 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int, most_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: The pattern that ``splits`` follows without the regular expression; any other goes through it.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_OTHER, _LETTER, _NUMBER, _BLANK = range(4)
+_tables: dict[str, np.ndarray] = {}
+
+
+def _kinds() -> np.ndarray:
+    """The pattern's class of every code point."""
+    if "kinds" not in _tables:
         import regex
 
-        find, ranks = regex.compile(pattern).findall, read_ranks(ranks_path)
-        ids, counts, seq, words, far, number, held, fresh, old = [], [], [], [], [], {}, 0, True, [0, 0]
-
-        def row() -> pa.RecordBatch:
-            flat = np.concatenate(seq) if seq else np.zeros(0, np.int32)
-            sizes = np.cumsum([0, *map(len, words)])
-            bytes_ = np.frombuffer(b"".join(words), np.uint8).astype(np.int16)
-            one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind) if not isinstance(values, pa.Array) else values)
-            return pa.record_batch(
-                [
-                    one(ids, pa.int64()),
-                    one(counts, pa.int32()),
-                    one(pa.array(flat), None),
-                    pa.array([fresh]),
-                    one(pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(bytes_)), None),
-                    one(pa.array(far, pa.list_(pa.int32())), None),
-                ],
-                names=["ids", "counts", "seq", "fresh", "words", "far"],
-            )
-
-        def code(piece: str) -> int:
-            """Below 0: a token as it stands; even: a word of this row; odd: a long piece."""
-            raw = piece.encode()
-            whole = ranks.get(raw)
-            if whole is not None:
-                return -1 - whole
-            if len(raw) > fold_most:
-                far.append(merge_long(raw, ranks))
-                return 2 * (old[1] + len(far)) - 1
-            words.append(raw)
-            return 2 * (old[0] + len(words)) - 2
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        place = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+        kinds = np.full(0x110000, _OTHER, np.uint8)
+        for kind, name in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"\s+")):
+            for found in regex.finditer(name, every):
+                kinds[place[found.start() : found.end()]] = kind
+        _tables["kinds"] = kinds
+    return _tables["kinds"]
+
 
+def splits(raw: np.ndarray, offs: np.ndarray, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """(byte starts of all pieces and the end, pieces of each text) of texts ``raw[offs[i]:offs[i + 1]]``."""
+    if pattern != PATTERN:
+        import regex
+
+        find = regex.compile(pattern).findall
+        pieces = [[len(p.encode()) for p in find(raw[a:b].tobytes().decode())] for a, b in zip(offs[:-1], offs[1:])]
+        return np.cumsum([0, *(n for p in pieces for n in p)]), np.array([len(p) for p in pieces], np.int64)
+    if not len(raw):
+        return np.zeros(1, np.int64), np.zeros(len(offs) - 1, np.int64)
+    code = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+    at_byte = np.flatnonzero((raw & 0xC0) != 0x80)  # first byte of each code point
+    first = np.zeros(len(code) + 1, bool)
+    first[np.searchsorted(at_byte, offs)] = True  # texts begin, or the buffer ends
+    kind = _kinds()[code]
+    cut = first[:-1].copy()
+    cut[1:] |= kind[1:] != kind[:-1]
+    runs = np.flatnonzero(cut)
+    ends = np.r_[runs[1:], len(code)]
+    cut = np.r_[cut, True]
+    # The last of several blanks before other text stands alone or, if a space, begins the next piece.
+    blank = (kind[runs] == _BLANK) & ~first[ends]
+    last = ends[blank] - 1
+    cut[last] = True
+    spaced = code[last] == 32
+    cut[last[spaced] + 1] = False
+    # A single apostrophe without a space takes the letters of a contraction.
+    mark = (kind[runs] == _OTHER) & (ends - runs == 1) & (code[runs] == 39) & cut[runs] & ~first[ends]
+    for place, stop in zip(ends[mark].tolist(), np.r_[ends, 0][np.flatnonzero(mark) + 1].tolist()):
+        short = "".join(map(chr, code[place : min(stop, place + 2)]))
+        n = 1 if short[:1] in ("s", "t", "m", "d") else 2 if short in ("re", "ve", "ll") else 0
+        if n and kind[place] == _LETTER:
+            cut[place] = False
+            cut[place + n] = True
+    starts = np.flatnonzero(cut[:-1])
+    counts = np.diff(np.searchsorted(starts, np.searchsorted(at_byte, offs)))
+    return np.r_[at_byte[starts], len(raw)], counts
+
+
+def _known(ranks: dict[bytes, int], seed: int, extra: tuple[np.ndarray, np.ndarray] | None) -> list[np.ndarray]:
+    """[hash, second hash, entry] of all tokens and of extra pieces, hashes ascending."""
+    tokens = sorted(ranks, key=ranks.get)
+    flat, offs = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum([0, *map(len, tokens)])
+    h, g = span_hashes(flat, offs[:-1], offs[1:], seed)
+    entry = np.array([ranks[t] for t in tokens], np.int64)
+    if extra is not None and len(extra[1]) > 1:
+        h2, g2 = span_hashes(extra[0], extra[1][:-1], extra[1][1:], seed)
+        h, g, entry = np.r_[h, h2], np.r_[g, g2], np.r_[entry, max(ranks.values()) + 1 + np.arange(len(h2))]
+    order = np.argsort(h)
+    return [h[order], g[order], entry[order]]
+
+
+def _find(known: list[np.ndarray], h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The entry of each hash, -1 where unknown; raises where two pieces share a hash."""
+    at = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+    met = known[0][at] == h
+    if (known[1][at[met]] != g[met]).any():
+        raise _Clash
+    return np.where(met, known[2][at], -1)
+
+
+class _Clash(Exception):
+    """Two pieces share a 64-bit hash; another seed parts them."""
+
+
+def _distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place of each distinct hash, which of them each is)."""
+    _, first, which = np.unique(h, return_index=True, return_inverse=True)
+    if (g[first][which] != g).any():
+        raise _Clash
+    return first, which
+
+
+def _presence(ranks_path: str, pattern: str, fold_most: int):
+    """A row for each distinct piece of a task that is no token and not long."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _known(read_ranks(ranks_path), 0, None)[0]
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py() or ""
-                pieces = find(text)
-                for piece in set(pieces).difference(number):
-                    number[piece] = code(piece)
-                seq.append(np.array([number[p] for p in pieces], np.int32))
-                ids.append(doc)
-                counts.append(len(pieces))
-                held += len(text)
-                if held >= flush_bytes:
-                    yield row()
-                    fresh = len(number) >= most_words
-                    old = [0, 0] if fresh else [old[0] + len(words), old[1] + len(far)]
-                    ids, counts, seq, words, far, held = [], [], [], [], [], 0
-                    number = {} if fresh else number
-        if ids:
-            yield row()
+            raw, offs = utf8(batch.column(0))
+            for a, b in slices(offs, 4 << 20):
+                part = raw[offs[a] : offs[b]]
+                at, _ = splits(part, offs[a : b + 1] - offs[a], pattern)
+                h, _ = span_hashes(part, at[:-1], at[1:], 0)
+                h, first = np.unique(h, return_index=True)
+                spot = np.minimum(np.searchsorted(seen, h), len(seen) - 1)
+                new = seen[spot] != h
+                seen = np.sort(np.r_[seen, h[new]])
+                first = first[new]
+                size = at[first + 1] - at[first]
+                first, size = first[size <= fold_most], size[size <= fold_most]
+                flat = gather(part, at[first], size)
+                yield pa.record_batch([_binary(flat, size)], names=["piece"])
 
     return run
 
 
-def _fold(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Adds ``tokens`` (ids of each word) and ``bytes`` (each word decoded again)."""
+def _binary(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    offs = np.cumsum(np.r_[0, size]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offs), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of 1024 words from rows of one piece each."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            flat, offs = utf8(batch.column(0).slice(at, 1024))
+            words = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat.astype(np.int16)))
+            yield pa.record_batch([pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], names=["words"])
+
+
+@dataclass
+class Shared:
+    """Pieces folded for all tasks: their bytes and their ids, each with offsets."""
+
+    flat: np.ndarray
+    offs: np.ndarray
+    ids: np.ndarray
+    at: np.ndarray
+
+
+def share(texts: DataFrame, ranks_path: str, pattern: str, fold_most: int, most_shared: int) -> Shared:
+    """The pieces that occur in most tasks, at most ``most_shared``, folded."""
+    none = Shared(np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(1, np.int64))
+    found = texts.mapInArrow(_presence(ranks_path, pattern, fold_most), "piece binary").groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    found = durable(found.where("n > 1"))
+    seen, least = 0, None
+    for n, kinds in sorted(map(tuple, found.groupBy("n").agg(F.count(F.lit(1))).collect()), reverse=True):
+        seen += kinds
+        if seen > most_shared:
+            break
+        least = n
+    if least is None:
+        return none
+    words = found.where(F.col("n") >= least).select("piece").mapInArrow(_packs, "words array<array<smallint>>")
+    table = _fold(words, read_ranks(ranks_path), []).toArrow()
+    tokens, spelt = (pa.chunked_array([c for c in table.column(n).chunks]).combine_chunks().flatten() for n in ("tokens", "bytes"))
+    flat, offs = utf8(spelt)
+    at = tokens.offsets.to_numpy().astype(np.int64)
+    return Shared(flat.copy(), offs.copy(), tokens.values.to_numpy()[at[0] : at[-1]].astype(np.uint32), at - at[0])
+
+
+def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int, most_words: int, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, extra, seed = read_ranks(ranks_path), shared.value, 0
+        base = max(ranks.values()) + 1 + len(extra.offs) - 1
+        known, held, fresh = _known(ranks, seed, (extra.flat, extra.offs)), 0, True
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        for batch in batches:
+            raw, offs = utf8(batch.column(1))
+            for a, b in slices(offs, flush_bytes):
+                part = raw[offs[a] : offs[b]]
+                at, counts = splits(part, offs[a : b + 1] - offs[a], pattern)
+                while True:
+                    try:
+                        h, g = span_hashes(part, at[:-1], at[1:], seed)
+                        first, which = _distinct(h, g)
+                        entry = _find(known, h[first], g[first])
+                        break
+                    except _Clash:
+                        seed += 1
+                        known, held, fresh = _known(ranks, seed, (extra.flat, extra.offs)), 0, True
+                new = np.flatnonzero(entry < 0)
+                size = at[first[new] + 1] - at[first[new]]
+                new = new[np.argsort(size > fold_most, kind="stable")]  # words before long pieces
+                entry[new] = base + held + np.arange(len(new))
+                begin, size = at[first[new]], at[first[new] + 1] - at[first[new]]
+                short = int((size <= fold_most).sum())
+                spelt = gather(part, begin[:short], size[:short]).astype(np.int16)
+                words = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, size[:short]]), pa.int32()), pa.array(spelt))
+                far = [merge_long(part[x : x + n].tobytes(), ranks) for x, n in zip(begin[short:], size[short:])]
+                yield pa.record_batch(
+                    [
+                        one(batch.column(0).slice(a, b - a).cast(pa.int64())),
+                        one(pa.array(counts, pa.int32())),
+                        one(pa.array(entry[which], pa.int32())),
+                        pa.array([fresh]),
+                        one(words),
+                        one(pa.array(far, pa.list_(pa.int32()))),
+                    ],
+                    names=["ids", "counts", "seq", "fresh", "words", "far"],
+                )
+                held += len(new)
+                fresh = held >= most_words
+                if fresh:
+                    known, held = _known(ranks, seed, (extra.flat, extra.offs)), 0
+                elif len(new):
+                    place = np.argsort(h[first[new]])
+                    more = [h[first[new]][place], g[first[new]][place], entry[new][place]]
+                    spot = np.searchsorted(known[0], more[0])
+                    known = [np.insert(k, spot, m) for k, m in zip(known, more)]
+
+    return run
+
+
+def _fold(rows: DataFrame, ranks: dict[bytes, int], keep: list[str]) -> DataFrame:
+    """``tokens`` (ids of each of the ``words``), ``bytes`` (each word decoded again) and the columns to keep."""
     spark = rows.sparkSession
     sides = rank_map(pair_ranks(ranks))
     pieces = [b""] * (max(ranks.values()) + 1)
@@ -192,63 +358,66 @@ def _fold(rows: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     tokens = known.withColumn("tokens", F.expr(f"transform(words, w -> {fold})"))
     decode = "aggregate(t, cast('' as binary), (acc, k) -> concat(acc, get(pieces, cast(k as int))))"
     return tokens.withColumn("bytes", F.expr(f"transform(tokens, t -> {decode})")).select(
-        "ids", "counts", "seq", "far", F.col("tokens").cast("array<array<int>>").alias("tokens"), "bytes", "fresh"
+        *keep, F.col("tokens").cast("array<array<int>>").alias("tokens"), "bytes"
     )
 
 
-def _lay(ranks_path: str, full: bool):
+class _Pool:
+    """Growing list of arrays, kept flat: entry i is ``flat[at[i]:at[i + 1]]``."""
+
+    def __init__(self, flat: np.ndarray, at: np.ndarray):
+        self.flat, self.at = flat, at
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.r_[self.flat, flat]
+        self.at = np.r_[self.at, self.at[-1] + np.cumsum(sizes)]
+
+    def take(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.at[entries + 1] - self.at[entries]
+        return gather(self.flat, self.at[entries], sizes), sizes
+
+
+def _lay(ranks_path: str, full: bool, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(ranks_path)
+        ranks, extra = read_ranks(ranks_path), shared.value
         spell = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             spell[rank] = token
-        pool, size, decoded, far_ids, far_bytes = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], [], []
+        spelling = np.frombuffer(b"".join(spell), np.uint8)
+        spans = np.cumsum([0, *map(len, spell)])
+        first = [
+            (np.r_[np.arange(len(spell), dtype=np.uint32), extra.ids], np.r_[np.arange(len(spell) + 1), len(spell) + extra.at[1:]]),
+            (np.r_[spelling, extra.flat], np.r_[spans, spans[-1] + extra.offs[1:]]),
+        ]
+        ids, bytes_ = _Pool(*first[0]), _Pool(*first[1])
         for batch in batches:
             for r in range(batch.num_rows):
-                if batch.column(6)[r].as_py():
-                    pool, size, decoded, far_ids, far_bytes = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], [], []
-                docs = batch.column(0)[r].values
-                counts = batch.column(1)[r].values.to_numpy()
-                seq = batch.column(2)[r].values.to_numpy()
-                far, tokens = batch.column(3)[r].values, batch.column(4)[r].values
-                decoded += batch.column(5)[r].values.to_pylist()
-                far_ids += far.to_pylist()
-                far_bytes += [b"".join(map(spell.__getitem__, x)) for x in far_ids[len(far_bytes) :]]
-                span = tokens.offsets.to_numpy().astype(np.int64)
-                pool = np.concatenate([pool, tokens.values.to_numpy()[span[0] : span[-1]].astype(np.uint32)])
-                size = np.concatenate([size, np.diff(span)])
-                at = np.cumsum(size) - size
-                done = 0
-                out: list[list] = [[], [], [], [], []]
-                for count in counts.tolist():
-                    codes = seq[done : done + count]
-                    done += count
-                    word, whole = (codes >= 0) & (codes & 1 == 0), codes < 0
-                    lengths = np.ones(count, np.int64)
-                    lengths[word] = size[codes[word] >> 1]
-                    if (odd := ~word & ~whole).any():
-                        lengths[odd] = [len(far_ids[k >> 1]) for k in codes[odd]]
-                    begin = np.cumsum(lengths) - lengths
-                    ids = np.zeros(int(lengths.sum()), np.uint32)
-                    ids[begin[whole]] = -1 - codes[whole]
-                    if word.any():
-                        n, first = lengths[word], at[codes[word] >> 1]
-                        inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                        ids[np.repeat(begin[word], n) + inner] = pool[np.repeat(first, n) + inner]
-                    for k in np.flatnonzero(odd):
-                        ids[begin[k] : begin[k] + lengths[k]] = far_ids[codes[k] >> 1]
-                    text = b"".join([spell[-1 - c] if c < 0 else far_bytes[c >> 1] if c & 1 else decoded[c >> 1] for c in codes.tolist()])
-                    packed = ids.astype("<u4").tobytes()
-                    out[0].append(len(ids))
-                    out[1].append(hashlib.sha256(packed).hexdigest())
-                    out[2].append(hashlib.sha256(text).hexdigest())
-                    if full:
-                        out[3].append(ids.astype(np.int32))
-                        out[4].append(text)
-                columns = [docs, pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])]
+                docs, counts, seq, far, fresh, tokens, decoded = (batch.column(i)[r] for i in range(7))
+                if fresh.as_py():
+                    ids, bytes_ = _Pool(*first[0]), _Pool(*first[1])
+                for found in (tokens.values, far.values):
+                    at = found.offsets.to_numpy().astype(np.int64)
+                    ids.add(found.values.to_numpy()[at[0] : at[-1]].astype(np.uint32), np.diff(at))
+                flat, offs = utf8(decoded.values)
+                bytes_.add(flat, np.diff(offs))
+                for found in far.values.to_pylist():
+                    long = b"".join(map(spell.__getitem__, found))
+                    bytes_.add(np.frombuffer(long, np.uint8), np.array([len(long)]))
+                entries, bounds = seq.values.to_numpy(), np.cumsum(np.r_[0, counts.values.to_numpy()])
+                numbers, sizes = ids.take(entries)
+                text, widths = bytes_.take(entries)
+                id_at, byte_at = (np.r_[0, np.cumsum(x)][bounds] for x in (sizes, widths))
+                packed = numbers.astype("<u4")
+                columns = [
+                    docs.values,
+                    pa.array(np.diff(id_at), pa.int64()),
+                    pa.array([hashlib.sha256(packed[a:b]).hexdigest() for a, b in zip(id_at[:-1], id_at[1:])], pa.string()),
+                    pa.array([hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(byte_at[:-1], byte_at[1:])], pa.string()),
+                ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if full:
-                    columns += [pa.array(out[3], pa.list_(pa.int32())), pa.array([x.decode("utf-8", "replace") for x in out[4]])]
+                    columns.append(pa.array([numbers[a:b].astype(np.int32) for a, b in zip(id_at[:-1], id_at[1:])], pa.list_(pa.int32())))
+                    columns.append(pa.array([text[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(byte_at[:-1], byte_at[1:])], pa.string()))
                     names += ["token_ids", "decoded"]
                 yield pa.record_batch(columns, names=names)
 
@@ -263,9 +432,10 @@ def encode(
     text_col: str = "text",
     *,
     full: bool = False,
-    flush_bytes: int = 8 << 20,
+    flush_bytes: int = 4 << 20,
     fold_most: int = 512,
     most_words: int = 600_000,
+    most_shared: int = 1 << 19,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ``full`` also token_ids and decoded.
 
@@ -275,9 +445,11 @@ def encode(
     ``ranks_path`` must be readable on every worker.  An empty table gives no rows.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cut = narrow.mapInArrow(_cut(ranks_path, pattern, flush_bytes, fold_most, most_words), _ROWS)
+    shared = docs.sparkSession.sparkContext.broadcast(share(narrow.select("text"), ranks_path, pattern, fold_most, most_shared))
+    cut = narrow.mapInArrow(_cut(ranks_path, pattern, flush_bytes, fold_most, most_words, shared), _ROWS)
+    folded = _fold(cut, read_ranks(ranks_path), ["ids", "counts", "seq", "far", "fresh"])
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _fold(cut, read_ranks(ranks_path)).mapInArrow(_lay(ranks_path, full), schema + (", token_ids array<int>, decoded string" if full else ""))
+    return folded.mapInArrow(_lay(ranks_path, full, shared), schema + (", token_ids array<int>, decoded string" if full else ""))
 
 
 def public_vocabulary(spark: SparkSession | None = None) -> tuple[str, str]:

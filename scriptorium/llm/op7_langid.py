@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from itertools import count as numbers
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -289,6 +290,17 @@ def identify(
     return narrow.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def language_column(model: Model, docs: DataFrame):
+    """A function that gives the predicted language of a text column, row by row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("string")
+    def named(texts: pd.Series) -> pd.Series:
+        return pd.Series(score(shared.value, [x or "" for x in texts])[0], dtype=object)
+
+    return named
+
+
 def held_out(id_col: str, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves ``part`` modulo ``parts``; a null id does not."""
     text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))

@@ -188,8 +188,8 @@ def score_documents(
     head: int = 1500,
     head_classes: int = 32,
     known_most: int = 1 << 18,
-    rounds: int = 8,
-    group_docs: int = 1000,
+    rounds: int = 4,
+    group_docs: int = 4000,
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 

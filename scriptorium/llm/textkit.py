@@ -51,6 +51,33 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each ``raw[start:end]``, by content alone."""
+    up, down = _power(len(raw) + 1)
+    out = []
+    for k in (2 * seed, 2 * seed + 1):
+        code = mix(np.arange(1, 257, dtype=np.uint64) + np.uint64(mix_one(k + 77)))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(code[raw] * up[: len(raw)], out=total[1:])
+        out.append(mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)))
+    return out[0], out[1]
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """``flat[start:start + size]`` of all spans, one after another."""
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    at = 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        begin = int(ends[at - 1]) if at else 0
+        n = size[at:to]
+        inner = np.arange(int(n.sum())) + np.repeat(start[at:to] - (np.cumsum(n) - n), n)
+        out[begin : begin + len(inner)] = flat[inner]
+        at = to
+    return out
+
+
 @dataclass
 class Words:
     """Words of the documents ``first .. first + docs``; ``owner`` counts from 0."""
