@@ -85,12 +85,26 @@ class Lexicon:
     word_log: np.ndarray
     rare_log: np.ndarray  # natural log of each rare class's mass
 
+    start_bits: int = 20
+
+    def __post_init__(self) -> None:
+        """Where the hashes of each beginning are found."""
+        first = np.arange(1 << self.start_bits, dtype=np.uint64) << np.uint64(64 - self.start_bits)
+        self.starts = np.minimum(np.searchsorted(self.hashes, first), max(len(self.hashes) - 1, 0))
+
     def look_up(self, hashes: np.ndarray, shape: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(model input, count, found) of words; the count is 0 where not found."""
         if not len(self.hashes):
             return self.layout.head + shape, np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        at = self.starts[(hashes >> np.uint64(64 - self.start_bits)).astype(np.int64)]
         found = self.hashes[at] == hashes
+        left = np.flatnonzero(self.hashes[at] < hashes)
+        while len(left):  # a few steps to the right, in a short run of like leading bits
+            at[left] += 1
+            now = self.hashes[np.minimum(at[left], len(self.hashes) - 1)]
+            found[left] = (now == hashes[left]) & (at[left] < len(self.hashes))
+            left = left[(now < hashes[left]) & (at[left] < len(self.hashes))]
+        at = np.minimum(at, len(self.hashes) - 1)
         return (np.where(found, self.inputs[at], self.layout.head + shape).astype(np.int32), np.where(found, self.counts[at], 0), found)
 
 
