@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import durable
-from .textkit import gather, slices, span_hashes, utf8
+from .textkit import gather, give_back, slices, span_hashes, utf8
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _NONE = 1 << 17
@@ -112,8 +112,8 @@ def _kinds() -> np.ndarray:
     if "kinds" not in _tables:
         import regex
 
-        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-        place = np.array([c for c in range(0x110000) if not 0xD800 <= c < 0xE000])
+        place = np.r_[0:0xD800, 0xE000:0x110000].astype(np.uint32)
+        every = place.tobytes().decode("utf-32-le")
         kinds = np.full(0x110000, _OTHER, np.uint8)
         for kind, name in ((_LETTER, r"\p{L}+"), (_NUMBER, r"\p{N}+"), (_BLANK, r"\s+")):
             for found in regex.finditer(name, every):
@@ -202,7 +202,7 @@ def _presence(ranks_path: str, pattern: str, fold_most: int):
         seen = _known(read_ranks(ranks_path), 0, None)[0]
         for batch in batches:
             raw, offs = utf8(batch.column(0))
-            for a, b in slices(offs, 4 << 20):
+            for a, b in slices(offs):
                 part = raw[offs[a] : offs[b]]
                 at, _ = splits(part, offs[a : b + 1] - offs[a], pattern)
                 h, _ = span_hashes(part, at[:-1], at[1:], 0)
@@ -271,7 +271,8 @@ def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int, most_w
         known, held, fresh = _known(ranks, seed, (extra.flat, extra.offs)), 0, True
         one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
         for batch in batches:
-            raw, offs = utf8(batch.column(1))
+            docs, (raw, offs) = batch.column(0), utf8(batch.column(1))
+            batch = None
             for a, b in slices(offs, flush_bytes):
                 part = raw[offs[a] : offs[b]]
                 at, counts = splits(part, offs[a : b + 1] - offs[a], pattern)
@@ -295,7 +296,7 @@ def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int, most_w
                 far = [merge_long(part[x : x + n].tobytes(), ranks) for x, n in zip(begin[short:], size[short:])]
                 yield pa.record_batch(
                     [
-                        one(batch.column(0).slice(a, b - a).cast(pa.int64())),
+                        one(docs.slice(a, b - a).cast(pa.int64())),
                         one(pa.array(counts, pa.int32())),
                         one(pa.array(entry[which], pa.int32())),
                         pa.array([fresh]),
@@ -304,6 +305,7 @@ def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int, most_w
                     ],
                     names=["ids", "counts", "seq", "fresh", "words", "far"],
                 )
+                give_back()
                 held += len(new)
                 fresh = held >= most_words
                 if fresh:
@@ -313,6 +315,8 @@ def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int, most_w
                     more = [h[first[new]][place], g[first[new]][place], entry[new][place]]
                     spot = np.searchsorted(known[0], more[0])
                     known = [np.insert(k, spot, m) for k, m in zip(known, more)]
+            raw = part = None
+            give_back()
 
     return run
 
@@ -420,6 +424,7 @@ def _lay(ranks_path: str, full: bool, shared):
                     columns.append(pa.array([text[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(byte_at[:-1], byte_at[1:])], pa.string()))
                     names += ["token_ids", "decoded"]
                 yield pa.record_batch(columns, names=names)
+                give_back()
 
     return run
 
@@ -432,7 +437,7 @@ def encode(
     text_col: str = "text",
     *,
     full: bool = False,
-    flush_bytes: int = 4 << 20,
+    flush_bytes: int = 1 << 20,
     fold_most: int = 512,
     most_words: int = 600_000,
     most_shared: int = 1 << 19,

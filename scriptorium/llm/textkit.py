@@ -8,6 +8,8 @@ A word is ``[^\\x20\\x09-\\x0D]+``; A-Z are lower-cased.  Null texts are empty.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +53,13 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, so that workers that are kept don't hold their peaks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each ``raw[start:end]``, by content alone."""
     up, down = _power(len(raw) + 1)
