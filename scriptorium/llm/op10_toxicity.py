@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import slices
+from .textkit import give_back, slices
 
 HASH_BITS = 20
 GRAMS = (3, 4, 5, 6)
@@ -86,14 +86,19 @@ def fit(texts: list[str], toxic: list[int], *, least_z: float = 3.0, penalty: fl
     # Hashed a second time, so that no list of all features of all texts is held.
     kept = [column[hits(*_codes([t]), wanted)[1]].astype(np.int32) for t in texts]
     scale = ratio[wanted]
-    index = np.concatenate(kept)
-    row = np.repeat(np.arange(len(y)), [len(k) for k in kept])
     w, bias = np.zeros(len(scale)), 0.0
     moment, speed = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
+    blocks = range(0, len(kept), 256)  # so that no array of all features of all texts is made in a step
+    parts = [(i, min(i + 256, len(kept)), np.concatenate(kept[i : i + 256])) for i in blocks]
+    owners = [np.repeat(np.arange(j - i, dtype=np.int32), [len(k) for k in kept[i:j]]) for i, j, _ in parts]
+    kept.clear()
     for step in range(1, steps + 1):  # Adam on the whole sample
-        total = np.bincount(row, (w * scale)[index], len(y)) + bias
-        off = 1 / (1 + np.exp(-np.clip(total, -500, 500))) - y
-        grad = np.append(np.bincount(index, off[row], len(scale)) * scale / len(y) + penalty * w, off.mean())
+        own, slope, miss = w * scale, np.zeros(len(scale)), 0.0
+        for (i, j, index), row in zip(parts, owners):
+            off = 1 / (1 + np.exp(-np.clip(np.bincount(row, own[index], j - i) + bias, -500, 500))) - y[i:j]
+            slope += np.bincount(index, off[row], len(scale))
+            miss += off.sum()
+        grad = np.append(slope * scale / len(y) + penalty * w, miss / len(y))
         moment = 0.9 * moment + 0.1 * grad
         speed = 0.999 * speed + 0.001 * grad**2
         change = 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(speed / (1 - 0.999**step)) + 1e-8)
@@ -136,7 +141,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, toxic_
     wanted = docs.sparkSession.createDataFrame([(i,) for i in wanted], "_id long")
     found = rows.join(F.broadcast(wanted), "_id").groupBy("_id").agg(F.max(F.struct("_toxic", "_text")).alias("r")).collect()
     sample = sorted((r["_id"], r["r"]["_text"], r["r"]["_toxic"]) for r in found)
-    return fit([r[1] for r in sample], [r[2] for r in sample])
+    found.clear()
+    model = fit([r[1] for r in sample], [r[2] for r in sample])
+    sample.clear()
+    give_back()
+    return model
 
 
 def toxicity_column(model: Model, docs: DataFrame):
@@ -145,7 +154,9 @@ def toxicity_column(model: Model, docs: DataFrame):
 
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(score(shared.value, shared.value.weight != 0, [x or "" for x in texts]))
+        found = pd.Series(score(shared.value, shared.value.weight != 0, [x or "" for x in texts]))
+        give_back()
+        return found
 
     return scored
 
@@ -178,6 +189,7 @@ def score_toxicity(
             yield pa.record_batch(
                 [batch.column(0), pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"]
             )
+            give_back()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, score double, predicted int")

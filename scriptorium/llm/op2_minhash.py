@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .cluster import durable
 from .components import connected_components, merged
-from .textkit import mix, mix_one, shingles, words
+from .textkit import give_back, mix, mix_one, shingles, words
 
 _SEED = 0x5DEECE66D
 _NOTE = "doc_id long, n_shingles long, d1 long, d2 long, halves binary"
@@ -82,6 +82,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, tables:
                 ],
                 names=["doc_id", "n_shingles", "d1", "d2", "halves"],
             )
+            give_back()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _NOTE)
 
@@ -167,6 +168,7 @@ def _bucket_rows(reps: DataFrame, tables: int, hot: int, common: tuple[np.ndarra
                     yield from pa.Table.from_batches([rows]).group_by(names).aggregate([]).select(names).to_batches()
                 else:
                     yield rows
+            give_back()
 
     return reps.select("rep", "halves").mapInArrow(run, "key long, weight long, rep long, centre long")
 
@@ -230,6 +232,7 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, wid
             for part in words(batch.column(1)):
                 sets += [x.tobytes() for x in shingles(part.hashes(), part.bounds, width)]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "found"])
+            give_back()
 
     base = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
     sets = base.select("rep", "text", spot.alias("s")).mapInArrow(run, "rep long, found binary")

@@ -215,6 +215,7 @@ def _presence(ranks_path: str, pattern: str, fold_most: int):
                 first, size = first[size <= fold_most], size[size <= fold_most]
                 flat = gather(part, at[first], size)
                 yield pa.record_batch([_binary(flat, size)], names=["piece"])
+            give_back()
 
     return run
 

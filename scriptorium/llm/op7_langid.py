@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import give_back
+
 UNKNOWN = "und"
 _OTHER = 1  # symbol of characters that training doesn't hold
 _LANES = 48
@@ -285,6 +287,7 @@ def identify(
         for batch in batches:
             names, sure = score(shared.value, [x or "" for x in batch.column(1).to_pylist()])
             yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            give_back()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -296,7 +299,9 @@ def language_column(model: Model, docs: DataFrame):
 
     @F.pandas_udf("string")
     def named(texts: pd.Series) -> pd.Series:
-        return pd.Series(score(shared.value, [x or "" for x in texts])[0], dtype=object)
+        found = pd.Series(score(shared.value, [x or "" for x in texts])[0], dtype=object)
+        give_back()
+        return found
 
     return named
 

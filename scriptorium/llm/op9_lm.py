@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .cluster import durable
-from .textkit import Words, mix_one, words
+from .textkit import Words, give_back, mix_one, words
 
 END = np.uint64(mix_one(0xE0D0F0D0C0))
 _LENGTHS, _TAILS = (6, 9), 10
@@ -253,6 +253,7 @@ def score_documents(
                 ],
                 names=["doc_id", "n_tokens", "n_known", "base", "model", "tails", "counts"],
             )
+            give_back()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, n_known long, base double, model double, tails array<long>, counts array<long>"
