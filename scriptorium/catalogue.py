@@ -188,6 +188,31 @@ def ancestor_paths(spark, sf):
     return found.select("path", "readme", "distance")
 
 
+def readme_ancestors(spark, sf):
+    notes = _notes(spark, sf).select("path")
+    readmes = notes.select(F.concat(P.parent(F.col("path")), F.lit("/README.md")).alias("path")).distinct()
+    top = notes.sparkSession.createDataFrame([("README.md",), ("Sources/README.md",)], "path string")
+    return C.readmes_above(notes.union(readmes).union(top))
+
+
+def identity_totals(spark, sf):
+    return C.identity_totals(_notes(spark, sf), ("Sources/en",))
+
+
+def legacy_moves(spark, sf):
+    notes, n = _notes(spark, sf), F.col("doc_id")
+    later = notes.where((n % 11 != 0) | n.isNull()).withColumn("path", F.when(n % 17 == 0, F.concat(F.lit("Moved/doc_"), n, F.lit(".md"))).otherwise(F.col("path")))
+    return C.legacy_moves(notes, later)
+
+
+def issue_bag(spark, sf):
+    return C.issue_bag(_notes(spark, sf), COLLECTIONS, ("Sources/en",))
+
+
+def issue_totals(spark, sf):
+    return C.issue_totals(issue_bag(spark, sf))
+
+
 def frontmatter_fields(spark, sf):
     d = _read(spark, sf, "documents")
     raw = F.concat(
@@ -332,7 +357,7 @@ _NAMES = (
     " heading_sections extract_links resolve_links backlink_counts match_tiers find_exact find_page resolve_path collection_membership"
     " primary_collection collection_summary child_counts related_collections ancestor_paths frontmatter_fields identity_summary duplicate_ids"
     " ambiguous_names snapshot_diff possible_moves chunk_audit catalog_issues severity_counts content_digest ledger_cross_check envelope_routes event_redaction"
-    " event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
+    " readme_ancestors identity_totals legacy_moves issue_bag issue_totals event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
 )
 
 

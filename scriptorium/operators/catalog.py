@@ -87,6 +87,16 @@ def ancestor_readmes(notes: DataFrame, name: str = "README.md") -> DataFrame:
     return made.join(notes.select(F.col("path").alias("readme")), "readme", "left_semi")
 
 
+def readmes_above(notes: DataFrame, name: str = "README.md") -> DataFrame:
+    """(path, depth, readme): the cataloged README files of the folders on the way to each note.
+
+    Depth 1 is the top folder; the root's own file is none of them, a README's own path is.
+    """
+    above = notes.select("path", F.explode(P.ancestors(F.col("path"))).alias("folder")).where("folder <> ''")
+    made = above.select("path", F.size(F.split("folder", "/")).alias("depth"), F.concat("folder", F.lit("/" + name)).alias("readme"))
+    return made.join(notes.select(F.col("path").alias("readme")).distinct(), "readme", "left_semi").select("path", "depth", "readme")
+
+
 # --- lookup and links ----------------------------------------------------
 
 
@@ -202,6 +212,22 @@ def identity_summary(notes: DataFrame) -> DataFrame:
     return notes.groupBy(identity_state(F.col("id"), F.col("path")).alias("state")).agg(F.count(F.lit(1)).alias("files"))
 
 
+def managed(path: Column, identity_paths: tuple[str, ...]) -> Column:
+    """Whether a path lies where notes must have stable ids."""
+    out = F.lit(False)
+    for p in identity_paths:
+        out = out | P.under(path, F.lit(p), fold=True)
+    return out
+
+
+def identity_totals(notes: DataFrame, identity_paths: tuple[str, ...] = ("",)) -> DataFrame:
+    """One row (stable, legacy, malformed, managed_legacy), zeros included."""
+    state = identity_state(F.col("id"), F.col("path"))
+    counted = {s: state == s for s in ("stable", "legacy", "malformed")}
+    counted["managed_legacy"] = (state == "legacy") & managed(F.col("path"), identity_paths)
+    return notes.agg(*(F.count(F.when(test, 1)).alias(name) for name, test in counted.items()))
+
+
 def identity_index(notes: DataFrame) -> DataFrame:
     """(id, path) of stable ids that exactly one note carries."""
     stable = notes.where(identity_state(F.col("id"), F.col("path")) == "stable")
@@ -231,6 +257,14 @@ def possible_moves(old: DataFrame, new: DataFrame) -> DataFrame:
     return gone.select("sha256", "old_path").join(come.select("sha256", "new_path"), "sha256").select("old_path", "new_path")
 
 
+def legacy_moves(old: DataFrame, new: DataFrame, identity_paths: tuple[str, ...] = ("",)) -> DataFrame:
+    """(old_path, new_path) of possible moves among managed notes without ids (path, id, sha256)."""
+    loose = lambda df: df.where((identity_state(F.col("id"), F.col("path")) == "legacy") & managed(F.col("path"), identity_paths) & (F.col("sha256") != ""))
+    gone = loose(old).join(new.select("path"), "path", "left_anti").groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("old_path")).where("n = 1")
+    come = loose(new).join(old.select("path"), "path", "left_anti").groupBy("sha256").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("new_path")).where("n = 1")
+    return gone.select("sha256", "old_path").join(come.select("sha256", "new_path"), "sha256").select("old_path", "new_path")
+
+
 def chunk_audit(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(chunk_id, problem): chunks that are missing, and chunks nothing asks for."""
     lost = expected.select("chunk_id").join(actual.select("chunk_id"), "chunk_id", "left_anti").withColumn("problem", F.lit("missing"))
@@ -286,5 +320,19 @@ def issues(notes: DataFrame, collections: list[Collection], identity_paths: tupl
     return out
 
 
+def issue_bag(notes: DataFrame, collections: list[Collection], identity_paths: tuple[str, ...] = ("",), more: DataFrame | None = None) -> DataFrame:
+    """All issues with ``more`` of them (of a scan, a ledger); notes without ids are one issue, at the first path."""
+    found = issues(notes, collections, identity_paths)
+    missing = found.where("code = 'missing_stable_id'").agg(F.count(F.lit(1)).alias("n"), F.min_by("path", F.struct(F.lower("path"), "path")).alias("path"))
+    first = missing.where("n > 0").select(F.lit("warning").alias("severity"), F.lit("missing_stable_id").alias("code"), "path", F.lit("").alias("target"))
+    out = found.where("code <> 'missing_stable_id'").unionByName(first)
+    return out if more is None else out.unionByName(more.select("severity", "code", "path", "target"))
+
+
+def issue_totals(found: DataFrame) -> DataFrame:
+    """One row (errors, warnings) of issues."""
+    return found.agg(F.count(F.when(F.col("severity") == "error", 1)).alias("errors"), F.count(F.when(F.col("severity") == "warning", 1)).alias("warnings"))
+
+
 def severity_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("issues"))

@@ -37,6 +37,8 @@ def cross_check(units: DataFrame, sources: DataFrame, notes: DataFrame, identity
     (role, path, sha256, presence) and outputs (role, path, note_id); ``notes(path, sha256, id)``;
     ``identity(id, path)``.  Rules within a unit are projections; the others are equi joins.
     """
+    listed = lambda c: F.coalesce(c, F.array().cast(units.schema[c].dataType))  # noqa: E731  an absent list is an empty one
+    units = units.withColumns({"inputs": listed("inputs"), "outputs": listed("outputs")})
     official = F.exists("outputs", lambda o: o["role"] == "official")
     loose = F.filter("inputs", lambda i: i["role"].isin("raw", "draft"))
     unhashed = F.exists(loose, lambda i: ~i["presence"].isin("present", "removed") | (F.coalesce(i["sha256"], F.lit("")) == ""))

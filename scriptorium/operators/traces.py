@@ -14,18 +14,35 @@ SAFE_ATTRIBUTES = (
 )
 
 
+# The fields of an exported event, and those that are "unknown" where absent.
+EVENT_FIELDS = ("timestamp", "trace_id", "run_id", "span_id", "parent_span_id", "agent", "session_key", "component", "operation", "status", "duration_ms")
+NAMED_FIELDS = ("agent", "component", "operation", "status")
+
+
 def redact(attributes: Column) -> Column:
-    """The allowed attributes of a map."""
-    return F.map_filter(attributes, lambda k, _: k.isin(*SAFE_ATTRIBUTES))
+    """The allowed attributes of a map that are scalars; nested values, which arrive as JSON, go."""
+    nested = lambda v: F.coalesce(v.rlike(r"^\s*[\[{]") & F.try_parse_json(v).isNotNull(), F.lit(False))
+    return F.map_filter(attributes, lambda k, v: k.isin(*SAFE_ATTRIBUTES) & ~nested(v))
 
 
 def sanitize(events: DataFrame, local_context: bool = False) -> DataFrame:
-    """Events without private attributes, named ``component.operation``; the target path stays
-    only with ``local_context``."""
-    unknown = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
-    name = F.concat(unknown("component"), F.lit("."), unknown("operation"))
-    out = events.withColumn("attributes", redact(F.coalesce("attributes", F.expr("cast(map() as map<string, string>)")))).withColumn("name", name)
-    return out.withColumn("content_included", F.lit(False)).drop(*([] if local_context else ["target"]))
+    """Events as they may leave the machine: a fixed list of fields, whatever others come in.
+
+    They are named ``component.operation`` and keep their event_id, by which a sink drops repeats.
+    Only allowed scalar attributes stay, and the target path only with ``local_context``.
+    """
+    has = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
+    field = lambda c: F.coalesce(has(c), F.lit("unknown")) if c in NAMED_FIELDS else has(c)
+    plain = F.expr("cast(map() as map<string, string>)")
+    attributes = F.coalesce("attributes", plain) if "attributes" in events.columns else plain
+    return events.select(
+        *(["event_id"] if "event_id" in events.columns else []),
+        F.concat(field("component"), F.lit("."), field("operation")).alias("name"),
+        *(field(c).alias(c) for c in EVENT_FIELDS),
+        redact(attributes).alias("attributes"),
+        F.lit(False).alias("content_included"),
+        *([has("target").alias("target")] if local_context else []),
+    )
 
 
 def spans(events: DataFrame) -> DataFrame:

@@ -232,6 +232,21 @@ SQL = {
         SELECT chunk_id, 'missing' AS problem FROM named WHERE chunk_id NOT IN (SELECT chunk_id FROM have) UNION ALL
         SELECT chunk_id, 'orphaned' FROM have WHERE chunk_id NOT IN (SELECT chunk_id FROM named)""",
     "catalog_issues": f"WITH {_ISSUES} SELECT severity, code, path, target FROM found",
+    "readme_ancestors": f"""WITH {_NOTES}, files AS (
+          SELECT path FROM notes UNION ALL SELECT DISTINCT folder || '/README.md' FROM notes UNION ALL SELECT unnest(['README.md', 'Sources/README.md'])),
+        parts AS (SELECT path, string_split(path, '/') AS p FROM files),
+        way AS (SELECT path, n AS depth, array_to_string(p[1:n], '/') || '/README.md' AS readme FROM (SELECT path, p, unnest(range(1, len(p))) AS n FROM parts))
+        SELECT path, CAST(depth AS INTEGER) AS depth, readme FROM way WHERE readme IN (SELECT path FROM files)""",
+    "identity_totals": f"""WITH {_NOTES} SELECT count(*) FILTER (state = 'stable') AS stable, count(*) FILTER (state = 'legacy') AS legacy, count(*) FILTER (state = 'malformed') AS malformed,
+        count(*) FILTER (state = 'legacy' AND starts_with(lower(path), 'sources/en/')) AS managed_legacy FROM state""",
+    "legacy_moves": f"""WITH {_NOTES}, after AS (SELECT CASE WHEN doc_id % 17 = 0 THEN 'Moved/doc_' || doc_id || '.md' ELSE path END AS path, id, sha256 FROM notes WHERE doc_id % 11 <> 0),
+        gone AS (SELECT sha256, min(path) AS old_path FROM notes WHERE id = '' AND path NOT IN (SELECT path FROM after) GROUP BY sha256 HAVING count(*) = 1),
+        come AS (SELECT sha256, min(path) AS new_path FROM after WHERE id = '' AND path NOT IN (SELECT path FROM notes) GROUP BY sha256 HAVING count(*) = 1)
+        SELECT old_path, new_path FROM gone JOIN come USING (sha256)""",
+    "issue_bag": f"""WITH {_ISSUES} SELECT severity, code, path, target FROM found WHERE code <> 'missing_stable_id' UNION ALL
+        (SELECT severity, code, path, target FROM found WHERE code = 'missing_stable_id' ORDER BY lower(path), path LIMIT 1)""",
+    "issue_totals": f"""WITH {_ISSUES} SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning' AND code <> 'missing_stable_id')
+        + CAST(bool_or(code = 'missing_stable_id') AS BIGINT) AS warnings FROM found""",
     "severity_counts": f"WITH {_ISSUES} SELECT severity, code, count(*) AS issues FROM found GROUP BY ALL",
     "content_digest": f"""WITH {_NOTES}, h AS (SELECT sha256(path || chr(31) || sha256) AS h FROM notes), lots AS (SELECT substr(h, 1, 3) AS lot, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1)
         SELECT sha256(string_agg(h, '' ORDER BY lot)) AS digest FROM lots""",

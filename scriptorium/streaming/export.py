@@ -47,10 +47,13 @@ def preview(spark: SparkSession, log: str, cursors: DataFrame, limit: int = 5) -
     """
     from pyspark.sql import Window as W
 
-    rows = spark.read.schema(EVENT).option("recursiveFileLookup", "true").json(log).withColumn("file", F.input_file_name())
-    lines = rows.withColumn("line", F.row_number().over(W.partitionBy("file").orderBy("timestamp", "event_id")))
+    read = spark.read.schema(EVENT).option("recursiveFileLookup", "true").json(log)
+    place = ("_metadata.file_block_start", F.monotonically_increasing_id().alias("place"))
+    rows = read.select("*", F.col("_metadata.file_path").alias("file"), *place)
+    # A line's number is its place in the file, so a late event moves no line that was acknowledged.
+    lines = rows.withColumn("line", F.row_number().over(W.partitionBy("file").orderBy("file_block_start", "place")))
     left = traces.sanitize(traces.pending(lines, cursors))
-    return left.orderBy("timestamp", "event_id").drop("file", "line").limit(limit).collect(), left.count()
+    return left.orderBy("timestamp", "event_id").limit(limit).collect(), left.count()
 
 
 def session_steps(starts: DataFrame, key: str = "session_key", target: str = "target") -> DataFrame:
