@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import SparkSession
 
+#: Rows and bytes of texts that a Python worker gets at once; Spark's own defaults are for narrow rows.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2048"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216b")}
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -13,8 +15,12 @@ def attach(spark: SparkSession) -> SparkSession:
     """Let Python workers started by ``spark`` import this package.
 
     Workers get the driver's import path for it; where the package is installed or
-    shipped with ``--py-files`` this changes nothing.
+    shipped with ``--py-files`` this changes nothing.  Batches for the workers are made
+    smaller where the session leaves them at Spark's defaults.
     """
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
     environment = spark.sparkContext.environment
     known = environment.get("PYTHONPATH", "")
     if _ROOT not in known.split(os.pathsep):
