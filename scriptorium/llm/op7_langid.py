@@ -215,9 +215,12 @@ def _sequences(model: Model, texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def score(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
+def score(model: Model, texts: list[str], most_chars: int = 8 << 20) -> tuple[list[str], list[float]]:
     """Predicted language and confidence: the winner's margin to the runner-up in bits
     for each character, squashed to 0..1.  Without letters ``und`` and 0."""
+    if len(texts) > 1 and sum(map(len, texts)) > most_chars:  # halves, so that no array of a whole large batch is made
+        half = len(texts) // 2
+        return tuple(x + y for x, y in zip(score(model, texts[:half], most_chars), score(model, texts[half:], most_chars)))
     sequences = _sequences(model, texts)
     found = phrases(model, sequences)
     names, sure = [], []
