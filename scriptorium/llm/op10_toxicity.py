@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import give_back, slices
+from .textkit import give_back, slices, tidy
 
 HASH_BITS = 20
 GRAMS = (3, 4, 5, 6)
@@ -192,4 +192,4 @@ def score_toxicity(
             give_back()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, score double, predicted int")
+    return narrow.mapInArrow(tidy(run), "doc_id long, score double, predicted int")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .cluster import durable
 from .components import connected_components, merged
-from .textkit import give_back, mix, mix_one, shingles, words
+from .textkit import give_back, mix, mix_one, shingles, tidy, words
 
 _SEED = 0x5DEECE66D
 _NOTE = "doc_id long, n_shingles long, d1 long, d2 long, halves binary"
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, tables:
             )
             give_back()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, _NOTE)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(run), _NOTE)
 
 
 def _common_halves(reps: DataFrame, tables: int, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +98,7 @@ def _common_halves(reps: DataFrame, tables: int, most: int) -> tuple[np.ndarray,
             half, n = np.unique(_slots(batch.column(0), tables), return_counts=True)
             yield pa.record_batch([pa.array(half.view(np.int64)), pa.array(n)], names=["half", "n"])
 
-    counts = reps.select("halves").mapInArrow(run, "half long, n long").groupBy("half").agg(F.sum("n").alias("n")).where("n > 2")
+    counts = reps.select("halves").mapInArrow(tidy(run), "half long, n long").groupBy("half").agg(F.sum("n").alias("n")).where("n > 2")
     counts = durable(counts)
     seen, least = 0, None
     for n, kinds in sorted(map(tuple, counts.groupBy("n").agg(F.count(F.lit(1))).collect()), reverse=True):
@@ -170,7 +170,7 @@ def _bucket_rows(reps: DataFrame, tables: int, hot: int, common: tuple[np.ndarra
                     yield rows
             give_back()
 
-    return reps.select("rep", "halves").mapInArrow(run, "key long, weight long, rep long, centre long")
+    return reps.select("rep", "halves").mapInArrow(tidy(run), "key long, weight long, rep long, centre long")
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def _stars(rows: DataFrame) -> DataFrame:
                 yield from found.select(["a", "b", "count_all"]).rename_columns(["a", "b", "hits"]).to_batches()
 
     spread = rows.repartition("key").sortWithinPartitions("key", F.col("weight").desc(), "rep")
-    return spread.mapInArrow(run, "a long, b long, hits long").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+    return spread.mapInArrow(tidy(run), "a long, b long, hits long").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
 
 
 def _sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, width: int, bits_log2: int = 23) -> DataFrame:
@@ -235,7 +235,7 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, wid
             give_back()
 
     base = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
-    sets = base.select("rep", "text", spot.alias("s")).mapInArrow(run, "rep long, found binary")
+    sets = base.select("rep", "text", spot.alias("s")).mapInArrow(tidy(run), "rep long, found binary")
     return sets.join(wanted.hint("merge"), "rep", "left_semi")
 
 
@@ -257,7 +257,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _with_sets(pairs.select("a", "b"), sets).select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
+    return _with_sets(pairs.select("a", "b"), sets).select("a", "b", "fa", "fb").mapInArrow(tidy(run), "a long, b long")
 
 
 def _references(members: DataFrame, sets: DataFrame, ballot: int = 15) -> DataFrame:
@@ -277,7 +277,7 @@ def _references(members: DataFrame, sets: DataFrame, ballot: int = 15) -> DataFr
                 refs.append(el[2 * n > len(votes)].tobytes())
             yield pa.record_batch([batch.column(0), pa.array(refs, pa.binary())], names=["fam", "ref"])
 
-    return votes.mapInArrow(run, "fam long, ref binary")
+    return votes.mapInArrow(tidy(run), "fam long, ref binary")
 
 
 def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -305,7 +305,7 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             )
 
     full = members.select("fam", "rep", "comp").join(sets.hint("merge"), "rep").join(_references(members, sets).hint("merge"), "fam")
-    rows = full.select("fam", "rep", "comp", "found", "ref").mapInArrow(run, "fam long, rep long, comp long, n long, e long, els array<long>")
+    rows = full.select("fam", "rep", "comp", "found", "ref").mapInArrow(tidy(run), "fam long, rep long, comp long, n long, e long, els array<long>")
     return rows.withColumn("slack", low * F.col("n") - high * F.col("e"))
 
 

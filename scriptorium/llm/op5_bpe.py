@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import durable
-from .textkit import gather, give_back, slices, span_hashes, utf8
+from .textkit import gather, give_back, slices, span_hashes, tidy, utf8
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 _NONE = 1 << 17
@@ -217,7 +217,7 @@ def _presence(ranks_path: str, pattern: str, fold_most: int):
                 yield pa.record_batch([_binary(flat, size)], names=["piece"])
             give_back()
 
-    return run
+    return tidy(run)
 
 
 def _binary(flat: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -319,7 +319,7 @@ def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int, most_w
             raw = part = None
             give_back()
 
-    return run
+    return tidy(run)
 
 
 def _fold(rows: DataFrame, ranks: dict[bytes, int], keep: list[str]) -> DataFrame:
@@ -427,7 +427,7 @@ def _lay(ranks_path: str, full: bool, shared):
                 yield pa.record_batch(columns, names=names)
                 give_back()
 
-    return run
+    return tidy(run)
 
 
 def encode(

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import give_back
+from .textkit import give_back, tidy
 
 UNKNOWN = "und"
 _OTHER = 1  # symbol of characters that training doesn't hold
@@ -293,7 +293,7 @@ def identify(
             give_back()
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return narrow.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def language_column(model: Model, docs: DataFrame):

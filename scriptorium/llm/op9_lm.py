@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .cluster import durable
-from .textkit import Words, give_back, mix_one, words
+from .textkit import Words, give_back, mix_one, tidy, words
 
 END = np.uint64(mix_one(0xE0D0F0D0C0))
 _LENGTHS, _TAILS = (6, 9), 10
@@ -67,7 +67,7 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
             h, first, c = np.unique(hashes, return_index=True, return_counts=True)
             yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c), pa.array(shape[first])], names=["h", "c", "shape"])
 
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "h long, c long, shape int")
+    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(tidy(run), "h long, c long, shape int")
     return counted.groupBy("h").agg(F.sum("c").alias("c"), F.min("shape").alias("shape"))
 
 
@@ -257,7 +257,7 @@ def score_documents(
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, n_known long, base double, model double, tails array<long>, counts array<long>"
-    rows = durable(narrow.mapInArrow(run, schema)).withColumn("row", F.monotonically_increasing_id())
+    rows = durable(narrow.mapInArrow(tidy(run), schema)).withColumn("row", F.monotonically_increasing_id())
     tail = rows.select("row", F.explode(F.arrays_zip("tails", "counts")).alias("t")).select("row", F.col("t.tails").alias("h"), F.col("t.counts").alias("n"))
     met = tail.join(counts.select("h", "c"), "h", "left")
     logs = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
