@@ -368,18 +368,33 @@ def _fold(rows: DataFrame, ranks: dict[bytes, int], keep: list[str]) -> DataFram
 
 
 class _Pool:
-    """Growing list of arrays, kept flat: entry i is ``flat[at[i]:at[i + 1]]``."""
+    """Entries of values: ``flat[at[i]:at[i + 1]]``, those of all tasks first and then those of this one."""
 
     def __init__(self, flat: np.ndarray, at: np.ndarray):
-        self.flat, self.at = flat, at
+        self.first = flat, at
+        self.clear()
+
+    def clear(self) -> None:
+        self.flat, self.at = np.zeros(0, self.first[0].dtype), np.zeros(1, np.int64)
 
     def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.flat = np.r_[self.flat, flat]
-        self.at = np.r_[self.at, self.at[-1] + np.cumsum(sizes)]
+        self.flat = np.concatenate([self.flat, flat])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
 
     def take(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = self.at[entries + 1] - self.at[entries]
-        return gather(self.flat, self.at[entries], sizes), sizes
+        base = len(self.first[1]) - 1
+        known, own = np.flatnonzero(entries < base), np.flatnonzero(entries >= base)
+        sizes = np.zeros(len(entries), np.int64)
+        for which, (flat, at), less in ((known, self.first, 0), (own, (self.flat, self.at), base)):
+            sizes[which] = at[entries[which] - less + 1] - at[entries[which] - less]
+        begin = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), self.flat.dtype)
+        for which, (flat, at), less in ((known, self.first, 0), (own, (self.flat, self.at), base)):
+            for part in (which[i : i + 65536] for i in range(0, len(which), 65536)):
+                n = sizes[part]
+                inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                out[np.repeat(begin[part], n) + inner] = flat[np.repeat(at[entries[part] - less].astype(np.int64), n) + inner]
+        return out, sizes
 
 
 def _lay(ranks_path: str, full: bool, shared):
@@ -390,16 +405,14 @@ def _lay(ranks_path: str, full: bool, shared):
             spell[rank] = token
         spelling = np.frombuffer(b"".join(spell), np.uint8)
         spans = np.cumsum([0, *map(len, spell)])
-        first = [
-            (np.r_[np.arange(len(spell), dtype=np.uint32), extra.ids], np.r_[np.arange(len(spell) + 1), len(spell) + extra.at[1:]]),
-            (np.r_[spelling, extra.flat], np.r_[spans, spans[-1] + extra.offs[1:]]),
-        ]
-        ids, bytes_ = _Pool(*first[0]), _Pool(*first[1])
+        ids = _Pool(np.r_[np.arange(len(spell), dtype=np.uint32), extra.ids], np.r_[np.arange(len(spell) + 1), len(spell) + extra.at[1:]].astype(np.int32))
+        bytes_ = _Pool(np.r_[spelling, extra.flat], np.r_[spans, spans[-1] + extra.offs[1:]].astype(np.int32))
         for batch in batches:
             for r in range(batch.num_rows):
                 docs, counts, seq, far, fresh, tokens, decoded = (batch.column(i)[r] for i in range(7))
                 if fresh.as_py():
-                    ids, bytes_ = _Pool(*first[0]), _Pool(*first[1])
+                    ids.clear()
+                    bytes_.clear()
                 for found in (tokens.values, far.values):
                     at = found.offsets.to_numpy().astype(np.int64)
                     ids.add(found.values.to_numpy()[at[0] : at[-1]].astype(np.uint32), np.diff(at))

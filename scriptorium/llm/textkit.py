@@ -71,7 +71,12 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of each ``raw[start:end]``, by content alone."""
+    """Two independent 64-bit hashes of each ``raw[start:end]``, by content alone; spans in order."""
+    if len(raw) > SLICE_BYTES and len(start) > 1:  # in halves, so that no array of a whole large buffer is made
+        mid = len(start) // 2
+        sides = [(a, b, int(start[a]), int(end[b - 1])) for a, b in ((0, mid), (mid, len(start)))]
+        found = [span_hashes(raw[lo:hi], start[a:b] - lo, end[a:b] - lo, seed) for a, b, lo, hi in sides]
+        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
     up, down = _power(len(raw) + 1)
     out = []
     for k in (2 * seed, 2 * seed + 1):
