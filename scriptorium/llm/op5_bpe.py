@@ -21,6 +21,7 @@ equivalent merge with a heap takes those.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -43,7 +44,9 @@ _ROWS = (
 )
 
 
+@functools.lru_cache(2)
 def read_ranks(path: str) -> dict[bytes, int]:
+    """Token to rank; read once in a worker, not to be changed."""
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
@@ -306,7 +309,6 @@ def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int, most_w
                     ],
                     names=["ids", "counts", "seq", "fresh", "words", "far"],
                 )
-                give_back()
                 held += len(new)
                 fresh = held >= most_words
                 if fresh:
@@ -438,7 +440,6 @@ def _lay(ranks_path: str, full: bool, shared):
                     columns.append(pa.array([text[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(byte_at[:-1], byte_at[1:])], pa.string()))
                     names += ["token_ids", "decoded"]
                 yield pa.record_batch(columns, names=names)
-                give_back()
 
     return tidy(run)
 
