@@ -67,62 +67,81 @@ def restore(layout: Layout, flat: np.ndarray) -> list[np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    out = np.tanh(x * F32(0.5))
-    out += F32(1)
-    out *= F32(0.5)
-    return out
+    """In place of ``x``."""
+    x *= F32(0.5)
+    np.tanh(x, out=x)
+    x += F32(1)
+    x *= F32(0.5)
+    return x
+
 
+def _flat(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether float32 holds every exp of these outputs as it is: states lie between -1 and 1."""
+    return float((np.abs(weights).sum(axis=1) + np.abs(bias)).max(initial=0)) < 60
 
-def _exp_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exp of each row above its shift, log of the row's sum of exp), in place of ``x``."""
-    shift = x.max() if x.size else F32(0)
-    if shift > 60 or (x.size and x.min() < -60):  # else float32 holds every exp as it is
+
+def _exp_rows(x: np.ndarray, flat: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of exp of each row, its log), ``x`` becoming the exp; rows are shifted unless ``flat``."""
+    top = None
+    if not flat:
         top = x.max(axis=1, keepdims=True)
         x -= top
-        np.exp(x, out=x)
-        total = x @ np.ones(x.shape[1], F32)
-        return x / total[:, None], np.log(total) + top[:, 0]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], F32)
-    return x / total[:, None] if x.size else x, np.log(total)
+    logs = np.log(total)
+    return total, logs if top is None else logs + top[:, 0]
+
+
+#: Rows of class outputs that are worked on at once, so that they stay in a core's cache.
+_ROWS = 1536
 
 
 def output_log(layout: Layout, par: list[np.ndarray], states: np.ndarray, tokens: np.ndarray, grads: list[np.ndarray] | None = None):
     """Natural log probability of each token after its state; with ``grads``, also the
     gradient of the summed loss (added to ``grads``) with respect to the states."""
     wc, bc, wo, bo = par[4:]
-    group, every = layout.classes[tokens], np.arange(len(tokens))
-    logits = states @ wc
-    logits += bc
-    out = logits[every, group].astype(float)
-    chance, logs = _exp_rows(logits)
-    out -= logs
-    back = None
-    if grads is not None:
-        chance[every, group] -= F32(1)
-        grads[4] += states.T @ chance
-        grads[5] += chance.sum(axis=0)
-        back = chance @ wc.T
+    group = layout.classes[tokens]
+    out, back = np.empty(len(tokens)), None if grads is None else np.empty_like(states)
+    flat = _flat(wc.T, bc)
+    for at in range(0, len(tokens), _ROWS):
+        rows = slice(at, at + _ROWS)
+        own, picked = states[rows], group[rows]
+        every = np.arange(len(picked))
+        chance = own @ wc
+        chance += bc
+        out[rows] = chance[every, picked]
+        total, logs = _exp_rows(chance, flat)
+        out[rows] -= logs
+        if grads is not None:
+            chance *= (1 / total)[:, None]
+            chance[every, picked] -= F32(1)
+            grads[4] += own.T @ chance
+            grads[5] += np.ones(len(picked), F32) @ chance
+            np.matmul(chance, wc.T, out=back[rows])
     order = np.argsort(group.astype(np.int16), kind="stable")
     cut = np.searchsorted(group[order], np.arange(len(layout.sizes) + 1))
-    starts = layout.starts()
-    inside, by_class = layout.member[tokens[order]], states[order[: cut[-1]]]
-    for g in range(len(layout.sizes)):
-        lo, hi = cut[g], cut[g + 1]
-        if lo == hi or layout.sizes[g] < 2:
-            continue
-        span, rows = slice(starts[g], starts[g] + layout.sizes[g]), order[lo:hi]
-        own, member = by_class[lo:hi], inside[lo:hi]
-        logits = own @ wo[span].T
-        logits += bo[span]
-        picked = logits[np.arange(hi - lo), member].astype(float)
-        chance, logs = _exp_rows(logits)
-        out[rows] += picked - logs
+    order = order[: cut[-1]]
+    inside, by_class = layout.member[tokens[order]], states[order]
+    gain, slope = np.zeros(len(order)), None if grads is None else np.zeros_like(by_class)
+    flat, starts = _flat(wo, bo), layout.starts()
+    for g in np.flatnonzero((layout.sizes > 1) & (np.diff(cut) > 0)).tolist():
+        rows, span = slice(cut[g], cut[g + 1]), slice(starts[g], starts[g] + layout.sizes[g])
+        own, member = by_class[rows], inside[rows]
+        every = np.arange(len(member))
+        chance = own @ wo[span].T
+        chance += bo[span]
+        gain[rows] = chance[every, member]
+        total, logs = _exp_rows(chance, flat)
+        gain[rows] -= logs
         if grads is not None:
-            chance[np.arange(hi - lo), member] -= F32(1)
+            chance *= (1 / total)[:, None]
+            chance[every, member] -= F32(1)
             grads[6][span] += chance.T @ own
-            grads[7][span] += chance.sum(axis=0)
-            back[rows] += chance @ wo[span]
+            grads[7][span] += np.ones(len(member), F32) @ chance
+            np.matmul(chance, wo[span], out=slope[rows])
+    out[order] += gain
+    if grads is not None:
+        back[order] += slope
     return out, back
 
 
@@ -166,10 +185,13 @@ def score(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start:
             now = state[:n]
             gate_h = now @ par[2]
             zr = _sigmoid(gate_x[:, : 2 * h] + gate_h[:, : 2 * h])
-            new = np.tanh(gate_x[:, 2 * h :] + zr[:, h:] * gate_h[:, 2 * h :])
-            new += zr[:, :h] * (now - new)
-            state[:n] = new
-            states.append(new)
+            new = zr[:, h:] * gate_h[:, 2 * h :]
+            new += gate_x[:, 2 * h :]
+            np.tanh(new, out=new)
+            now -= new
+            now *= zr[:, :h]
+            now += new
+            states.append(now.copy())
             seen.append(targets[spot])
             owner.append(np.arange(n))
         states_, seen_, owner_ = np.concatenate(states), np.concatenate(seen), np.concatenate(owner)
@@ -213,21 +235,22 @@ def window_grads(layout: Layout, par: list[np.ndarray], state: np.ndarray, input
     h, (steps, width) = layout.hidden, inputs.shape
     grads = [np.zeros_like(x) for x in par]
     x = par[0].take(inputs.ravel(), axis=0)
-    gates = (x @ par[1] + par[3]).reshape(steps, width, 3 * h)
+    gates = x @ par[1]
+    gates += par[3]
+    gates = gates.reshape(steps, width, 3 * h)
     past, hidden = np.empty((steps, width, h), F32), np.empty((steps, width, 3 * h), F32)
     zr, new, after = np.empty((steps, width, 2 * h), F32), np.empty((steps, width, h), F32), np.empty((steps, width, h), F32)
-    fresh = ~begins[:, :, None]
+    fresh = (~begins[:, :, None]).astype(F32)
     for t in range(steps):
         np.multiply(state, fresh[t], out=past[t])
         np.matmul(past[t], par[2], out=hidden[t])
-        zr[t] = _sigmoid(gates[t, :, : 2 * h] + hidden[t, :, : 2 * h])
-        inner = zr[t, :, h:] * hidden[t, :, 2 * h :]
+        _sigmoid(np.add(gates[t, :, : 2 * h], hidden[t, :, : 2 * h], out=zr[t]))
+        inner = np.multiply(zr[t, :, h:], hidden[t, :, 2 * h :], out=new[t])
         inner += gates[t, :, 2 * h :]
-        np.tanh(inner, out=new[t])
-        state = past[t] - new[t]
+        np.tanh(inner, out=inner)
+        state = np.subtract(past[t], inner, out=after[t])
         state *= zr[t, :, :h]
-        state += new[t]
-        after[t] = state
+        state += inner
     seen = np.flatnonzero(live.ravel())
     everything = len(seen) == live.size
     flat = after.reshape(-1, h)
@@ -238,9 +261,16 @@ def window_grads(layout: Layout, par: list[np.ndarray], state: np.ndarray, input
     back = back.reshape(steps, width, h)
     # What doesn't depend on the steps after: the gates' slopes.
     z, r = zr[:, :, :h], zr[:, :, h:]
-    slope_n = (1 - z) * (1 - new * new)
-    slope_z = (past - new) * z * (1 - z)
-    slope_r = hidden[:, :, 2 * h :] * r * (1 - r)
+    stay = F32(1) - z
+    slope_z = past - new
+    slope_z *= z
+    slope_z *= stay
+    slope_n = new * new
+    np.subtract(F32(1), slope_n, out=slope_n)
+    slope_n *= stay
+    slope_r = F32(1) - r
+    slope_r *= r
+    slope_r *= hidden[:, :, 2 * h :]
     dx, dh = np.empty((steps, width, 3 * h), F32), np.empty((steps, width, 3 * h), F32)
     carry = np.zeros((width, h), F32)
     across = np.ascontiguousarray(par[2].T)
@@ -257,9 +287,9 @@ def window_grads(layout: Layout, par: list[np.ndarray], state: np.ndarray, input
         carry *= fresh[t]
     dx, dh = dx.reshape(-1, 3 * h), dh.reshape(-1, 3 * h)
     grads[1] += x.T @ dx
-    grads[3] += dx.sum(axis=0)
+    grads[3] += np.ones(len(dx), F32) @ dx
     grads[2] += past.reshape(-1, h).T @ dh
-    order = np.argsort(inputs.ravel(), kind="stable")
+    order = np.argsort(inputs.ravel().astype(np.uint16) if layout.inputs <= 1 << 16 else inputs.ravel(), kind="stable")
     ranked = inputs.ravel()[order]
     first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
     grads[0][ranked[first]] += np.add.reduceat((dx @ par[1].T)[order], first, axis=0)
@@ -298,8 +328,16 @@ def fit(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start: i
             for i, g in enumerate(grads):
                 g *= F32(1 / count)
                 np.clip(g, -0.1, 0.1, out=g)
-                mean[i] += F32(0.1) * (g - mean[i])
+                mean[i] *= F32(0.9)
+                mean[i] += F32(0.1) * g
                 g *= g
-                var[i] += F32(0.01) * (g - var[i])
-                par[i] -= scale * mean[i] / (np.sqrt(var[i] / F32(1 - 0.99**steps)) + F32(1e-6))
+                g *= F32(0.01)
+                var[i] *= F32(0.99)
+                var[i] += g
+                np.multiply(var[i], F32(1 / (1 - 0.99**steps)), out=g)
+                np.sqrt(g, out=g)
+                g += F32(1e-6)
+                np.divide(mean[i], g, out=g)
+                g *= scale
+                par[i] -= g
     return par
