@@ -352,12 +352,58 @@ def eval_rollup(spark, sf):
     return evaluation.rollup(rows)
 
 
+def _submissions(spark, sf):
+    """Cases by document, and the results of two agents, one of which leaves some out."""
+    d = _read(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", F.col("doc_id").cast("string").alias("case_id"))
+    n = F.col("doc_id")
+    names = lambda first, step, k: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.concat(F.lit("p"), (n * first + i * step) % 11))
+    cases = d.select(
+        "case_id", F.when(n % 4 == 0, "target_required").otherwise("complete").alias("expected_status"), names(2, 3, 3).alias("must_find"),
+        names(5, 1, 2).alias("must_not_adopt"), F.when(n % 2 == 0, F.array(F.lit("reason"), F.lit("links"))).alias("required_evidence"),
+    )
+    agents = spark.createDataFrame([("a", 1), ("b", 2)], "agent string, k int")
+    k = F.col("k")
+    item = lambda x: F.concat(F.lit("p"), x % 11)
+    found = d.join(F.broadcast(agents), (k == 1) | (n % 5 != 0)).select(
+        "agent", "case_id", F.when(n % (k * 8) == 0, "complete").otherwise("target_required").alias("status"), F.array(item(n * 2), item(n * 2 + 3)).alias("found"),
+        F.array(item(n * 2 * k), item(n * 2)).alias("opened"), F.array(item(n * 2 + 6)).alias("returned"), F.array(item(n * 5), item(n * k)).alias("adopted"),
+        F.when(n % 6 == 0, F.array(F.lit("reason"))).alias("evidence"),
+    )
+    return found, cases
+
+
+def eval_submissions(spark, sf):
+    return evaluation.submission_metrics(*_submissions(spark, sf))
+
+
+def eval_failures(spark, sf):
+    return evaluation.submission_failures(*_submissions(spark, sf))
+
+
+def eval_consistency(spark, sf):
+    return evaluation.consistency(*_submissions(spark, sf), 2)
+
+
+def link_counts(spark, sf):
+    return C.link_counts(_notes(spark, sf), 2)
+
+
+def find_within(spark, sf):
+    notes = _notes(spark, sf).withColumn("type", F.when(F.col("doc_id") % 2 == 0, "Book").otherwise("note"))
+    return C.find(C.within(notes, COLLECTIONS, "english", "Sources/en/src1", "book"), ["doc_1"])
+
+
+def warning_codes(spark, sf):
+    return C.warning_codes(C.issues(_notes(spark, sf), COLLECTIONS, ("Sources/en",)))
+
+
 _NAMES = (
     "tokenize_docs term_freq doc_freq corpus_stats bm25_topk bm25_scoped hash_embed_dims dense_topk_vectors hybrid_topk split_windows"
     " heading_sections extract_links resolve_links backlink_counts match_tiers find_exact find_page resolve_path collection_membership"
     " primary_collection collection_summary child_counts related_collections ancestor_paths frontmatter_fields identity_summary duplicate_ids"
     " ambiguous_names snapshot_diff possible_moves chunk_audit catalog_issues severity_counts content_digest ledger_cross_check envelope_routes event_redaction"
     " readme_ancestors identity_totals legacy_moves issue_bag issue_totals event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
+    " eval_submissions eval_failures eval_consistency link_counts find_within warning_codes"
 )
 
 

@@ -147,6 +147,16 @@ def backlinks(notes: DataFrame) -> DataFrame:
     return hits.groupBy("path").agg(F.count(F.lit(1)).alias("backlinks"))
 
 
+def link_counts(notes: DataFrame, most: int = 1000) -> DataFrame:
+    """(path, outlinks, embeds, backlinks) of every note; backlinks are reported up to ``most``.
+
+    Notes are counted where ``embeds`` is absent as having none.
+    """
+    size = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) if c in notes.columns else F.lit(0)
+    own = notes.select("path", size("outlinks").alias("outlinks"), size("embeds").alias("embeds"))
+    return own.join(backlinks(notes), "path", "left").select("path", "outlinks", "embeds", F.least(F.coalesce("backlinks", F.lit(0)), F.lit(most)).alias("backlinks"))
+
+
 # --- finding -------------------------------------------------------------
 
 
@@ -182,6 +192,21 @@ def find(notes: DataFrame, queries: list[str], exact: bool = False) -> DataFrame
     return hits.select("query", "path", "score")
 
 
+def within(notes: DataFrame, collections: list[Collection], collection: str = "", under: str = "", note_type: str = "") -> DataFrame:
+    """Notes of a collection, below a prefix and of a type; an empty filter lets all pass.
+
+    The collection's name and the prefix keep their case, the type's doesn't count.
+    """
+    kept = notes
+    if collection:
+        kept = kept.where(F.array_contains(F.transform(_matches(F.col("path"), collections), lambda x: x["name"]), collection))
+    if under:
+        kept = kept.where(P.under(F.col("path"), F.lit(under)))
+    if note_type:
+        kept = kept.where(match_key(F.coalesce("type", F.lit(""))) == match_key(F.lit(note_type)))
+    return kept
+
+
 def find_page(notes: DataFrame, query: str, limit: int = 20, exact: bool = False) -> DataFrame:
     """(position, path, score, total): a page of at most 24 matches, best first, with the exact total."""
     hits = find(notes, [query], exact)
@@ -334,5 +359,15 @@ def issue_totals(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.when(F.col("severity") == "error", 1)).alias("errors"), F.count(F.when(F.col("severity") == "warning", 1)).alias("warnings"))
 
 
+def warning_codes(found: DataFrame) -> DataFrame:
+    """(code) of all warnings, each once."""
+    return found.where("severity = 'warning'").select("code").distinct()
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """Issues by severity, code, path and target, the last two without regard to case first."""
+    return found.orderBy("severity", "code", F.lower("path"), "path", F.lower("target"), "target")
+
+
 def severity_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("issues"))

@@ -40,3 +40,66 @@ def reciprocal_rank(ranked: DataFrame, relevant: DataFrame, query: str, item: st
     """(query, reciprocal_rank): one over the rank of the first relevant result, 0 without any."""
     hits = ranked.join(relevant.select(query, item).distinct().withColumn("good", F.lit(True)), [query, item], "left")
     return hits.groupBy(query).agg(F.round(F.coalesce(F.max(F.when(F.col("good"), 1.0 / F.col("rank"))), F.lit(0.0)), 6).alias("reciprocal_rank"))
+
+
+def _met(submissions: DataFrame, cases: DataFrame) -> DataFrame:
+    """Each result beside its case, absent lists empty; results of no case are left out."""
+    both = submissions.join(cases, "case_id")
+    lists = ("must_find", "must_not_adopt", "required_evidence", "found", "opened", "returned", "adopted", "evidence")
+    return both.withColumns({c: F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))) for c in lists})
+
+
+def submission_failures(submissions: DataFrame, cases: DataFrame) -> DataFrame:
+    """(agent, case_id, code, item): every rule that a result breaks.
+
+    ``cases(case_id, expected_status, must_find, must_not_adopt, required_evidence)``;
+    ``submissions(agent, case_id, status, found, opened, returned, adopted, evidence)``, where
+    evidence names the fields that the result fills.  All rules are set operations
+    within a row, behind one equi join.
+    """
+    rules = {
+        "must_find_missed": F.array_except("must_find", "found"),
+        "must_find_not_opened": F.array_except("must_find", "opened"),
+        "must_find_without_query_evidence": F.array_except("must_find", "returned"),
+        "forbidden_relation_adopted": F.array_intersect("must_not_adopt", "adopted"),
+        "evidence_missing": F.array_except("required_evidence", "evidence"),
+    }
+    guessed = (F.col("expected_status") == "target_required") & ~F.col("status").eqNullSafe(F.lit("target_required"))
+    def tagged(code: str, items: Column) -> Column:
+        return F.transform(items, lambda x: F.struct(F.lit(code).alias("code"), x.alias("item")))
+
+    one_or_none = F.when(guessed, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    broken = [tagged(code, items) for code, items in (rules | {"ambiguous_target_guessed": one_or_none}).items()]
+    return _met(submissions, cases).select("agent", "case_id", F.explode(F.concat(*broken)).alias("f")).select("agent", "case_id", "f.code", "f.item")
+
+
+def submission_metrics(submissions: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row an agent: rates of what must be found, opened, proved and left unguessed; null where nothing was asked."""
+    total = lambda c: F.sum(F.size(c))
+    must, proof = total("must_find"), total("required_evidence")
+    unsure = F.col("expected_status") == "target_required"
+    return _met(submissions, cases).groupBy("agent").agg(
+        rate(total(F.array_intersect("must_find", "found")), must).alias("must_find_recall"),
+        rate(total(F.array_intersect("must_find", "opened")), must).alias("must_find_open_rate"),
+        total(F.array_intersect("must_not_adopt", "adopted")).alias("forbidden_adopted"),
+        rate(total(F.array_intersect("required_evidence", "evidence")), proof).alias("evidence_rate"),
+        rate(F.count_if(unsure & (F.col("status") == "target_required")), F.count_if(unsure)).alias("target_safety_rate"),
+    )
+
+
+def consistency(submissions: DataFrame, cases: DataFrame, agents: int) -> DataFrame:
+    """(case_id, status_agreement, adopted_jaccard) over ``agents`` agents; one that has no result counts as
+    one with no status that adopted nothing.
+
+    ``submissions`` has one row for each agent and case.  Items are counted by a partial
+    aggregate, so a case that adopts very much is no row of its own.
+    """
+    given = submissions.groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("results"), F.count("status").alias("stated"), F.min("status").alias("low"), F.max("status").alias("high")
+    )
+    items = submissions.select("agent", "case_id", F.explode(F.array_distinct("adopted")).alias("item")).groupBy("case_id", "item").agg(F.count(F.lit(1)).alias("n"))
+    sums = items.groupBy("case_id").agg(F.count_if(F.col("n") == agents).alias("common"), F.count(F.lit(1)).alias("either"))
+    joined = cases.select("case_id").join(given, "case_id", "left").join(sums, "case_id", "left")
+    none, all_stated = F.coalesce("stated", F.lit(0)) == 0, (F.col("stated") == agents) & (F.col("low") == F.col("high"))
+    share = F.when(F.col("either").isNull(), 1.0).otherwise(F.round(F.col("common") / F.col("either"), 4))
+    return joined.select("case_id", F.coalesce(none | all_stated, F.lit(False)).alias("status_agreement"), share.alias("adopted_jaccard"))

@@ -136,6 +136,17 @@ found AS (
   SELECT 'error', 'ledger_output_missing', unit_id, '' FROM joined WHERE made AND note_id = '' AND NOT there)
 """
 
+_SUBMISSIONS = r"""
+d AS (SELECT doc_id AS n, CAST(doc_id AS VARCHAR) AS case_id FROM documents WHERE doc_id % 3 = 0),
+cases AS (SELECT case_id, n % 4 = 0 AS unsure, list_distinct(['p' || (2 * n) % 11, 'p' || (2 * n + 3) % 11, 'p' || (2 * n + 6) % 11]) AS must,
+    list_distinct(['p' || (5 * n) % 11, 'p' || (5 * n + 1) % 11]) AS never, CASE WHEN n % 2 = 0 THEN ['reason', 'links'] ELSE [] END AS proofs FROM d),
+given AS (SELECT agent, case_id, CASE WHEN n % (8 * k) = 0 THEN 'complete' ELSE 'target_required' END AS status, ['p' || (2 * n) % 11, 'p' || (2 * n + 3) % 11] AS found,
+    ['p' || (2 * n * k) % 11, 'p' || (2 * n) % 11] AS opened, ['p' || (2 * n + 6) % 11] AS returned, list_distinct(['p' || (5 * n) % 11, 'p' || (n * k) % 11]) AS adopted,
+    CASE WHEN n % 6 = 0 THEN ['reason'] ELSE [] END AS evidence
+    FROM d, (VALUES ('a', 1), ('b', 2)) AS t(agent, k) WHERE k = 1 OR n % 5 <> 0),
+met AS (SELECT * FROM given JOIN cases USING (case_id)),
+musts AS (SELECT *, unnest(must) AS item FROM met), nevers AS (SELECT *, unnest(never) AS item FROM met), asked AS (SELECT *, unnest(proofs) AS item FROM met)"""
+
 SQL = {
     "tokenize_docs": f"WITH {_TOKENS} SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM toks",
     "term_freq": f"WITH {_TOKENS} SELECT doc_id, token, tf FROM tf",
@@ -277,4 +288,26 @@ SQL = {
     "eval_rollup": """WITH r AS (SELECT 'm' || doc_id % 4 AS metric, CASE WHEN doc_id % 5 = 0 THEN 'skipped' WHEN quality = 1 THEN 'passed' ELSE 'failed' END AS status FROM labels)
         SELECT metric, count(*) AS total, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
           round(count(*) FILTER (status = 'passed') / nullif(count(*) FILTER (status <> 'skipped'), 0), 4) AS rate FROM r GROUP BY metric""",
+    "eval_submissions": f"""WITH {_SUBMISSIONS},
+        m AS (SELECT agent, round(avg(CAST(list_contains(found, item) AS INT)), 4) AS must_find_recall, round(avg(CAST(list_contains(opened, item) AS INT)), 4) AS must_find_open_rate FROM musts GROUP BY agent),
+        f AS (SELECT agent, count(*) FILTER (list_contains(adopted, item)) AS forbidden_adopted FROM nevers GROUP BY agent),
+        e AS (SELECT agent, round(avg(CAST(list_contains(evidence, item) AS INT)), 4) AS evidence_rate FROM asked GROUP BY agent),
+        t AS (SELECT agent, round(avg(CAST(status = 'target_required' AS INT)) FILTER (unsure), 4) AS target_safety_rate FROM met GROUP BY agent)
+        SELECT * FROM m JOIN f USING (agent) LEFT JOIN e USING (agent) JOIN t USING (agent)""",
+    "eval_failures": f"""WITH {_SUBMISSIONS}
+        SELECT agent, case_id, 'must_find_missed' AS code, item FROM musts WHERE NOT list_contains(found, item) UNION ALL
+        SELECT agent, case_id, 'must_find_not_opened', item FROM musts WHERE NOT list_contains(opened, item) UNION ALL
+        SELECT agent, case_id, 'must_find_without_query_evidence', item FROM musts WHERE NOT list_contains(returned, item) UNION ALL
+        SELECT agent, case_id, 'forbidden_relation_adopted', item FROM nevers WHERE list_contains(adopted, item) UNION ALL
+        SELECT agent, case_id, 'evidence_missing', item FROM asked WHERE NOT list_contains(evidence, item) UNION ALL
+        SELECT agent, case_id, 'ambiguous_target_guessed', '' FROM met WHERE unsure AND status <> 'target_required'""",
+    "eval_consistency": f"""WITH {_SUBMISSIONS},
+        i AS (SELECT case_id, item, count(*) AS n FROM (SELECT case_id, unnest(adopted) AS item FROM given) GROUP BY ALL),
+        j AS (SELECT case_id, count(*) FILTER (n = 2) / count(*) AS share FROM i GROUP BY case_id), s AS (SELECT case_id, count(*) = 2 AND count(DISTINCT status) = 1 AS same FROM given GROUP BY case_id)
+        SELECT case_id, same AS status_agreement, round(share, 4) AS adopted_jaccard FROM s JOIN j USING (case_id)""",
+    "link_counts": f"""WITH {_NOTES}, b AS (SELECT l.path, count(DISTINCT e.path) AS n FROM ends e JOIN lookup l USING (key) GROUP BY l.path)
+        SELECT path, CAST(5 AS INTEGER) AS outlinks, CAST(0 AS INTEGER) AS embeds, least(coalesce(n, 0), 2) AS backlinks FROM notes LEFT JOIN b USING (path)""",
+    "find_within": f"""WITH {_NOTES} SELECT 'doc_1' AS query, path, CAST(CASE WHEN stem = 'doc_1' THEN 96 WHEN starts_with(stem, 'doc_1') THEN 80 ELSE 60 END AS INTEGER) AS score
+        FROM notes WHERE contains(lower(path), 'doc_1') AND starts_with(path, 'Sources/en/src1/') AND doc_id % 2 = 0""",
+    "warning_codes": f"WITH {_ISSUES} SELECT DISTINCT code FROM found WHERE severity = 'warning'",
 }

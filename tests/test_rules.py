@@ -55,3 +55,27 @@ def test_catalog_rules(spark):
     assert tuple(C.identity_totals(notes, ("a",)).first()) == (1, 2, 0, 1) and tuple(C.identity_totals(notes.limit(0)).first()) == (0, 0, 0, 0)
     later = notes.where("path <> 'a/README.md' and path <> 'a/b/n.md'").union(spark.createDataFrame([("c/x.md", "", "h1"), ("c/y.md", stable, "h2")], notes.schema))
     assert [tuple(r) for r in C.legacy_moves(notes, later).collect()] == [("a/README.md", "c/x.md")] and C.legacy_moves(notes, later, ("a",)).count() == 0
+
+
+def test_submissions_by_hand(spark):
+    from scriptorium.operators import evaluation
+
+    lists = "must_find array<string>, must_not_adopt array<string>, required_evidence array<string>"
+    cases = spark.createDataFrame(
+        [("c1", "complete", ["a", "b"], ["z"], ["why"]), ("c2", "target_required", None, None, None), ("c3", None, [], [], [])],
+        f"case_id string, expected_status string, {lists}",
+    )
+    results = spark.createDataFrame(
+        [
+            ("x", "c1", "complete", ["a"], ["a", "b"], ["a", "b"], ["z", "z"], None), ("x", "c2", None, None, None, None, None, None),
+            ("y", "c1", "complete", ["a", "b"], [], ["a"], ["a", "z"], ["why"]), ("y", "c2", None, None, None, None, None, None),
+        ],
+        "agent string, case_id string, status string, found array<string>, opened array<string>, returned array<string>, adopted array<string>, evidence array<string>",
+    )
+    metrics = {r.agent: tuple(r)[1:] for r in evaluation.submission_metrics(results, cases).collect()}
+    assert metrics == {"x": (0.5, 1.0, 1, 0.0, 0.0), "y": (1.0, 0.0, 1, 1.0, 0.0)}
+    broken = sorted(tuple(r)[1:] for r in evaluation.submission_failures(results, cases).where("agent = 'x'").collect())
+    assert broken == [("c1", "evidence_missing", "why"), ("c1", "forbidden_relation_adopted", "z"), ("c1", "must_find_missed", "b"), ("c2", "ambiguous_target_guessed", "")]
+    agreed = sorted(map(tuple, evaluation.consistency(results, cases, 2).collect()))
+    assert agreed == [("c1", True, 0.5), ("c2", True, 1.0), ("c3", True, 1.0)]
+    assert evaluation.submission_metrics(results.limit(0), cases).count() == 0
