@@ -397,13 +397,39 @@ def warning_codes(spark, sf):
     return C.warning_codes(C.issues(_notes(spark, sf), COLLECTIONS, ("Sources/en",)))
 
 
+def _entries(spark, sf, kinds: list[str]) -> DataFrame:
+    """A unit for each document whose JSON is one of ``kinds``, # standing for the id."""
+    n = F.col("doc_id")
+    chosen = F.element_at(F.array(*map(F.lit, kinds)), (n % len(kinds) + 1).cast("int"))
+    return _read(spark, sf, "documents").select(F.concat(F.lit("u"), n).alias("unit_id"), F.replace(chosen, F.lit("#"), n.cast("string")).alias("json"))
+
+
+def ledger_inputs(spark, sf):
+    good = '"role": "raw", "presence": "present"'
+    kinds = [
+        '[{"role": "raw", "path": "./Inbox\\\\#.pdf", "presence": "removed", "sha256": "%s"}]' % ("aB" * 32), '{"role": "raw"}', '["x"]', '[{"role": " ", "path": "a"}]',
+        '[{"role": 3, "path": "a"}]', "[{%s}]" % good, '[{%s, "path": "a/../#"}]' % good, '[{"role": "raw", "path": "a", "presence": "gone"}]',
+        '[{%s, "path": "a", "sha256": "zz"}]' % good, '[{%s, "path": "a", "sha256": null}, {%s, "path": "b/#/"}]' % (good, good),
+    ]
+    return ledger.input_entries(_entries(spark, sf, kinds).withColumnRenamed("json", "inputs"))
+
+
+def ledger_outputs(spark, sf):
+    good = '"role": "official", "path": "Notes/#.md"'
+    kinds = [
+        "[{%s}]" % good, "7", "[null]", '[{%s, "extensions": []}]' % good, '[{%s, "extensions": {"note_id": "n"}}]' % good,
+        '[{%s, "extensions": {"note_id": "note_%s"}}]' % (good, "0f" * 16), "[]", '[{"role": "official", "path": "C:/x"}]',
+    ]
+    return ledger.output_entries(_entries(spark, sf, kinds).withColumnRenamed("json", "outputs"))
+
+
 _NAMES = (
     "tokenize_docs term_freq doc_freq corpus_stats bm25_topk bm25_scoped hash_embed_dims dense_topk_vectors hybrid_topk split_windows"
     " heading_sections extract_links resolve_links backlink_counts match_tiers find_exact find_page resolve_path collection_membership"
     " primary_collection collection_summary child_counts related_collections ancestor_paths frontmatter_fields identity_summary duplicate_ids"
     " ambiguous_names snapshot_diff possible_moves chunk_audit catalog_issues severity_counts content_digest ledger_cross_check envelope_routes event_redaction"
     " readme_ancestors identity_totals legacy_moves issue_bag issue_totals event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
-    " eval_submissions eval_failures eval_consistency link_counts find_within warning_codes"
+    " eval_submissions eval_failures eval_consistency link_counts find_within warning_codes ledger_inputs ledger_outputs"
 )
 
 

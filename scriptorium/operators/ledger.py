@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import normalize
+from ..functions.text import match_key
+
 # The ledger's enumerations.
 DONE = ("integrated", "verified")
 CLEANUP = ("ready-for-cleanup", "raw-and-draft-cleaned")
@@ -30,6 +33,84 @@ def read(document: DataFrame, column: str = "document") -> tuple[DataFrame, Data
     return sources, units.withColumns({"processing_status": known("processing_status", PROCESSING), "cleanup_status": known("cleanup_status", CLEANUP_ALL), "outputs": outputs})
 
 
+def _text(item: Column, name: str) -> Column:
+    """A member of a JSON object, an absent one as the empty text; null where it is no text."""
+    member = F.try_variant_get(item, f"$.{name}", "variant")
+    return F.when(member.isNull(), "").when(F.schema_of_variant(member) == "STRING", F.try_variant_get(item, f"$.{name}", "string"))
+
+
+def _entries(units: DataFrame, column: str) -> DataFrame:
+    """(unit_id, position, item, listed) of a column of JSON arrays; one row with ``listed`` false for what is no array."""
+    value = F.try_parse_json(F.col(column).cast("string"))
+    listed = F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("ARRAY")), F.lit(False))
+    items = F.when(listed, value).try_cast("array<variant>")
+    return units.select("unit_id", listed.alias("listed"), F.posexplode_outer(items).alias("position", "item")).where("not listed or position is not null")
+
+
+def _shape(item: Column, invalid: str) -> tuple[Column, Column, Column]:
+    """(code, role, path): the first rule that an entry breaks before its own fields are looked at."""
+    role, path = _text(item, "role"), F.replace(_text(item, "path"), F.lit("\\"), F.lit("/"))
+    blank = lambda c: ~F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
+    unsafe = path.rlike(r"^(/|[A-Za-z]:)|^/*$") | F.array_contains(F.split(path, "/"), "..")
+    code = (
+        F.when(~F.startswith(F.schema_of_variant(item), F.lit("OBJECT")), invalid)
+        .when(blank(role), "ledger_role_missing")
+        .when(blank(path), "ledger_path_missing")
+        .when(unsafe, "ledger_path_unsafe")
+    )
+    return code, role, normalize(F.btrim(path, F.lit("/")))
+
+
+def input_entries(units: DataFrame) -> DataFrame:
+    """(unit_id, position, code, kept, role, path, presence, sha256) of ``units(unit_id, inputs)``, inputs a JSON array.
+
+    code: the first rule that an entry breaks, null for none.  Only entries without a code are kept.
+    A text that is null or no array gives one row without a position; an empty array gives none.
+    """
+    code, role, path = _shape(F.col("item"), "ledger_path_invalid")
+    presence, sha = _text(F.col("item"), "presence"), _text(F.col("item"), "sha256")
+    code = (
+        F.when(~F.col("listed"), "ledger_paths_not_array")
+        .when(code.isNotNull(), code)
+        .when(~F.coalesce(presence.isin("present", "removed", "unknown"), F.lit(False)), "ledger_presence_invalid")
+        .when(~F.coalesce(sha.rlike("^([0-9a-fA-F]{64})?$"), F.lit(False)), "ledger_hash_invalid")
+    )
+    good = lambda c: F.when(F.col("code").isNull(), c)
+    return _entries(units, "inputs").withColumn("code", code).select(
+        "unit_id", "position", "code", F.col("code").isNull().alias("kept"), good(role).alias("role"), good(path).alias("path"),
+        good(presence).alias("presence"), good(F.lower(sha)).alias("sha256"),
+    )
+
+
+def output_entries(units: DataFrame) -> DataFrame:
+    """(unit_id, position, code, kept, role, path, note_id) of ``units(unit_id, outputs)``, outputs a JSON array.
+
+    As ``input_entries``, but an entry whose extensions or note id are malformed is kept without an id.
+    """
+    code, role, path = _shape(F.col("item"), "ledger_output_invalid")
+    extensions = F.try_variant_get(F.col("item"), "$.extensions", "variant")
+    odd = extensions.isNotNull() & ~F.startswith(F.schema_of_variant(extensions), F.lit("OBJECT"))
+    note = F.when(extensions.isNull() | odd, "").otherwise(_text(extensions, "note_id"))
+    well = F.coalesce(note.rlike("^(note_[0-9a-f]{32})?$"), F.lit(False))
+    kept = F.col("listed") & code.isNull()
+    code = (
+        F.when(~F.col("listed"), "ledger_outputs_not_array")
+        .when(code.isNotNull(), code)
+        .when(odd, "ledger_output_extensions_invalid")
+        .when(~well, "ledger_note_id_invalid")
+    )
+    return _entries(units, "outputs").select(
+        "unit_id", "position", code.alias("code"), kept.alias("kept"), F.when(kept, role).alias("role"), F.when(kept, path).alias("path"),
+        F.when(kept, F.when(well, note).otherwise("")).alias("note_id"),
+    )
+
+
+def named(units: DataFrame, query: str) -> DataFrame:
+    """Units whose own or source's id contains the query, without regard to case."""
+    wanted = match_key(F.lit(query))
+    return units.where(F.contains(match_key(F.col("unit_id")), wanted) | F.contains(match_key(F.col("source_id")), wanted))
+
+
 def cross_check(units: DataFrame, sources: DataFrame, notes: DataFrame, identity: DataFrame) -> DataFrame:
     """(severity, code, unit_id, path, target) of units that contradict the catalog.
 

@@ -310,4 +310,16 @@ SQL = {
     "find_within": f"""WITH {_NOTES} SELECT 'doc_1' AS query, path, CAST(CASE WHEN stem = 'doc_1' THEN 96 WHEN starts_with(stem, 'doc_1') THEN 80 ELSE 60 END AS INTEGER) AS score
         FROM notes WHERE contains(lower(path), 'doc_1') AND starts_with(path, 'Sources/en/src1/') AND doc_id % 2 = 0""",
     "warning_codes": f"WITH {_ISSUES} SELECT DISTINCT code FROM found WHERE severity = 'warning'",
+    "ledger_inputs": """WITH d AS (SELECT doc_id, doc_id % 10 AS k, unnest(CASE WHEN doc_id % 10 = 9 THEN [0, 1] ELSE [0] END) AS i FROM documents),
+        c AS (SELECT doc_id, k, i, CASE k WHEN 1 THEN 'ledger_paths_not_array' WHEN 2 THEN 'ledger_path_invalid' WHEN 3 THEN 'ledger_role_missing' WHEN 4 THEN 'ledger_role_missing'
+            WHEN 5 THEN 'ledger_path_missing' WHEN 6 THEN 'ledger_path_unsafe' WHEN 7 THEN 'ledger_presence_invalid' WHEN 8 THEN 'ledger_hash_invalid'
+            WHEN 9 THEN CASE i WHEN 0 THEN 'ledger_hash_invalid' END END AS code FROM d)
+        SELECT 'u' || doc_id AS unit_id, CAST(CASE WHEN k <> 1 THEN i END AS INTEGER) AS position, code, code IS NULL AS kept, CASE WHEN code IS NULL THEN 'raw' END AS role,
+          CASE WHEN code IS NULL THEN CASE k WHEN 0 THEN 'Inbox/' || doc_id || '.pdf' ELSE 'b/' || doc_id END END AS path,
+          CASE WHEN code IS NULL THEN CASE k WHEN 0 THEN 'removed' ELSE 'present' END END AS presence, CASE WHEN code IS NULL THEN CASE k WHEN 0 THEN repeat('ab', 32) ELSE '' END END AS sha256 FROM c""",
+    "ledger_outputs": """WITH c AS (SELECT doc_id, doc_id % 8 AS k, doc_id % 8 IN (0, 3, 4, 5) AS kept FROM documents WHERE doc_id % 8 <> 6)
+        SELECT 'u' || doc_id AS unit_id, CAST(CASE WHEN k <> 1 THEN 0 END AS INTEGER) AS position, CASE k WHEN 1 THEN 'ledger_outputs_not_array' WHEN 2 THEN 'ledger_output_invalid'
+            WHEN 3 THEN 'ledger_output_extensions_invalid' WHEN 4 THEN 'ledger_note_id_invalid' WHEN 7 THEN 'ledger_path_unsafe' END AS code, kept,
+          CASE WHEN kept THEN 'official' END AS role, CASE WHEN kept THEN 'Notes/' || doc_id || '.md' END AS path,
+          CASE WHEN kept THEN CASE k WHEN 5 THEN 'note_' || repeat('0f', 16) ELSE '' END END AS note_id FROM c""",
 }
