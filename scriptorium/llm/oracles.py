@@ -69,10 +69,44 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP12 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS k FROM t),
+f AS (SELECT *, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR k[3] % 100 >= 90 THEN 'plain' WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(text, 1, a) AS pre, substr(text, a + 1, b - a) AS mid, substr(text, b + 1) AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p
+"""
+
+OP13 = r"""
+WITH RECURSIVE
+crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run),
+hashed AS (SELECT run, k, xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM counted, crc),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, k FROM hashed),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+holes AS (SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b FROM words, range(10000) r(i) WHERE i < length(word)),
+replaced AS (SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM holes x JOIN holes y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word),
+grown AS (SELECT DISTINCT w.word, w.n, x.word AS near, x.n AS near_n FROM words w JOIN holes x ON w.word = x.a || x.b),
+near AS (SELECT * FROM replaced UNION ALL SELECT * FROM grown UNION ALL SELECT near, near_n, word, n FROM grown),
+met AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM near GROUP BY word),
+best AS (SELECT m.word, m.n_near, m.top, min(e.near) AS near FROM met m JOIN near e ON m.word = e.word AND m.top = e.near_n GROUP BY m.word, m.n_near, m.top),
+forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.top >= 5 * w.n THEN b.near END AS form, CASE WHEN b.top >= 5 * w.n THEN b.top END AS form_n FROM words w LEFT JOIN best b ON w.word = b.word),
+walk(word, tip) AS (SELECT word, word FROM forms UNION ALL SELECT k.word, f.form FROM walk k JOIN forms f ON k.tip = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT k.word, k.tip AS root FROM walk k JOIN forms f ON k.tip = f.word WHERE f.form IS NULL)
+SELECT f.word, f.form, e.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n FROM forms f JOIN ends e ON f.word = e.word
+"""
+
 ORACLES = {
     "op1_warc_dictionary": OP1,
     "op2_minhash_near_dedup": OP2,
     "op3_prefix_sum_shards": OP3,
     "op4_hypergeometric_mix": OP4,
     "op6_exact_topk": OP6,
+    "op12_fill_in_middle": OP12,
+    "op13_spelling_variants": OP13,
 }

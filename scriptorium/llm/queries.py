@@ -19,6 +19,10 @@ from .op7_langid import held_out, identify
 from .op8_fingerprints import edited_fingerprints
 from .op9_lm import score_documents
 from .op10_toxicity import score_toxicity
+from .op11_packing import pack
+from .op11_packing import public_vocabulary as packing_vocabulary
+from .op12_fim import fill_in_middle, restored, sha256
+from .op13_spelling import spelling_groups, spelt_words
 from .oracles import ORACLES
 
 
@@ -75,6 +79,20 @@ def op10_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op11_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), packing_vocabulary())
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_in_middle(_table(spark, sf_dir, "documents"))
+    digests = sha256("output").alias("output_sha256"), sha256(restored("output", "form")).alias("restored_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(spelt_words(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit() and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

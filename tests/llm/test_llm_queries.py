@@ -12,8 +12,8 @@ def test_matches_sql(spark, small, duck, name):
     assert compare.differences(found, duck, queries.oracle_sql()[name]) == ""
 
 
-def test_ten_queries():
-    assert [int(q[2:].split("_")[0]) for q in queries.queries()] == list(range(1, 11))
+def test_thirteen_queries():
+    assert [int(q[2:].split("_")[0]) for q in queries.queries()] == list(range(1, 14))
 
 
 def test_pipeline(spark, small):
