@@ -17,9 +17,10 @@ from . import oracles
 from .functions import paths as P
 from .functions import text as T
 from .operators import catalog as C
-from .operators import chunks, evaluation, ledger, retrieval, traces
+from .operators import chunk_index, chunks, evaluation, ledger, retrieval, traces
 from .plans import envelopes
 from .session import attach
+from .storage import workspace
 
 COLLECTIONS = [
     C.Collection("sources", ("Sources",), related=("english", "archive")),
@@ -423,6 +424,58 @@ def ledger_outputs(spark, sf):
     return ledger.output_entries(_entries(spark, sf, kinds).withColumnRenamed("json", "outputs"))
 
 
+LAYOUT = chunk_index.Layout(buckets=8, shelves=8)
+_SYNC = ("scanned", "changed", "deleted", "chunks_upserted", "chunks_deleted")
+
+
+def _vault(spark, sf):
+    """Every document as a note with its text and fields."""
+    notes = _notes(spark, sf).select("path", "title", "doc_id")
+    d = _read(spark, sf, "documents").select(F.col("doc_id").alias("n"), "text", F.col("source").alias("area"), F.col("lang").alias("type"))
+    found = notes.join(d, F.col("doc_id").eqNullSafe(F.col("n")))
+    return found.select("path", "title", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "text", "area", "type", "doc_id")
+
+
+def _edited_vault(spark, sf):
+    """A later state: some notes deleted, moved or with more text."""
+    n = F.col("doc_id")
+    text = F.when(n % 7 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" more"))).otherwise(F.col("text"))
+    path = F.when(n % 17 == 0, F.concat(F.lit("Moved/doc_"), n, F.lit(".md"))).otherwise(F.col("path"))
+    return _vault(spark, sf).where(n % 11 != 0).withColumns({"text": text, "path": path}).withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+
+
+def _searched(spark, sf, prefixes=()):
+    store = workspace(spark, "chunk-index")
+    chunk_index.sync(_vault(spark, sf), store, LAYOUT)
+    found = chunk_index.search(spark, store, _read(spark, sf, "benchmark"), prefixes, LAYOUT)
+    return found.select("item_id", "chunk_id", "path", "piece", "rank", "score")
+
+
+def chunk_search(spark, sf):
+    return _searched(spark, sf)
+
+
+def chunk_search_scoped(spark, sf):
+    return _searched(spark, sf, ("Sources/en", "Sources/fr/src1"))
+
+
+def index_sync(spark, sf):
+    store = workspace(spark, "chunk-index")
+    done = [chunk_index.sync(notes(spark, sf), store, LAYOUT) for notes in (_vault, _edited_vault, _edited_vault)]
+    rows = [(i, *(x[c] for c in _SYNC)) for i, x in enumerate(done)]
+    return spark.createDataFrame(rows, "sync int, " + ", ".join(f"{c} long" for c in _SYNC))
+
+
+def index_audit(spark, sf):
+    """Right after a sync, and against notes that have changed since."""
+    store = workspace(spark, "chunk-index")
+    chunk_index.sync(_vault(spark, sf), store, LAYOUT)
+    found = [chunk_index.audit(spark, store, notes(spark, sf), LAYOUT) for notes in (_vault, _edited_vault)]
+    names = ("files", "chunks", "missing_chunks", "orphaned_chunks", "storage_consistent", "pipeline_current", "fresh", "ready")
+    kinds = ", ".join(f"{c} {'long' if i < 4 else 'boolean'}" for i, c in enumerate(names))
+    return spark.createDataFrame([(i, *(x[c] for c in names)) for i, x in enumerate(found)], "audit int, " + kinds)
+
+
 _NAMES = (
     "tokenize_docs term_freq doc_freq corpus_stats bm25_topk bm25_scoped hash_embed_dims dense_topk_vectors hybrid_topk split_windows"
     " heading_sections extract_links resolve_links backlink_counts match_tiers find_exact find_page resolve_path collection_membership"
@@ -430,6 +483,7 @@ _NAMES = (
     " ambiguous_names snapshot_diff possible_moves chunk_audit catalog_issues severity_counts content_digest ledger_cross_check envelope_routes event_redaction"
     " readme_ancestors identity_totals legacy_moves issue_bag issue_totals event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
     " eval_submissions eval_failures eval_consistency link_counts find_within warning_codes ledger_inputs ledger_outputs"
+    " chunk_search chunk_search_scoped index_sync index_audit"
 )
 
 

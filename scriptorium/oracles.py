@@ -147,7 +147,53 @@ given AS (SELECT agent, case_id, CASE WHEN n % (8 * k) = 0 THEN 'complete' ELSE
 met AS (SELECT * FROM given JOIN cases USING (case_id)),
 musts AS (SELECT *, unnest(must) AS item FROM met), nevers AS (SELECT *, unnest(never) AS item FROM met), asked AS (SELECT *, unnest(proofs) AS item FROM met)"""
 
+_HYBRID = r"""
+dots AS (SELECT q.id AS item_id, d.id AS doc_id, sum(q.weight * d.weight) AS s FROM qv q JOIN dv d USING (dim) GROUP BY ALL),
+near AS (
+  SELECT b.item_id, d.doc_id, round(coalesce(s, 0), 6) + 0.0 AS score FROM (SELECT item_id FROM benchmark) b CROSS JOIN (SELECT doc_id FROM chunked) d
+  LEFT JOIN dots x ON x.item_id = b.item_id AND x.doc_id = d.doc_id),
+dr AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM near) WHERE r <= 40),
+sr AS (SELECT * FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0) WHERE r <= 40),
+fused AS (
+  SELECT coalesce(dr.item_id, sr.item_id) AS item_id, coalesce(dr.doc_id, sr.doc_id) AS doc_id, dr.r AS a, sr.r AS b,
+    round(coalesce(1.0 / (60 + dr.r), 0) + coalesce(1.0 / (60 + sr.r), 0), 9) AS score FROM dr FULL JOIN sr ON dr.item_id = sr.item_id AND dr.doc_id = sr.doc_id)
+"""
+
+_WHOLE = "(SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_TRIMMED = f"SELECT doc_id, trim(coalesce(text, ''), {_BLANKS}) AS text FROM documents"
+_NUMBER = "CASE WHEN piece < 10000 THEN lpad(CAST(piece AS VARCHAR), 4, '0') ELSE CAST(piece AS VARCHAR) END"
+
+
+def _chunk_search(scope: str) -> str:
+    """The index's search by whole scans: pieces of notes under their headers, both rankings, their fusion."""
+    return f"""WITH RECURSIVE {_PIECES.replace(_WHOLE, f"({_TRIMMED})")}, {_NOTES},
+        tagged AS (SELECT *, concat_ws(', ', nullif(source, ''), nullif(lang, '')) AS tags FROM documents),
+        chunked AS (
+          SELECT substr(sha1(lower(path)), 1, 16) || '::' || {_NUMBER} AS doc_id, path, piece, '' AS lang,
+            '[Source: ' || title || ']' || CASE WHEN tags <> '' THEN ' (' || tags || ')' ELSE '' END || chr(10) || content AS text
+          FROM pieces JOIN notes USING (doc_id) JOIN tagged USING (doc_id) WHERE content <> '' AND ({scope})),
+        {_BM25.replace("FROM documents)", "FROM chunked)")}, dv AS ({_HASH.format(id="doc_id", table="chunked")}), qv AS ({_HASH.format(id="item_id", table="benchmark")}), {_HYBRID}
+        SELECT r.item_id, r.doc_id AS chunk_id, c.path, c.piece, CAST(r.rank AS INTEGER) AS rank, r.score FROM (
+          SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, a NULLS LAST, b NULLS LAST) AS rank FROM fused) r JOIN chunked c USING (doc_id) WHERE rank <= 6"""
+
+
+_EDITED = f"SELECT 1000000000000 + doc_id, trim(coalesce(text, '') || ' more', {_BLANKS}) FROM documents WHERE doc_id % 7 = 0"
+_INDEXED = f"""{_PIECES.replace(_WHOLE, f"({_TRIMMED} UNION ALL {_EDITED})")},
+    sizes AS (SELECT doc_id, count(*) AS n FROM pieces WHERE content <> '' GROUP BY doc_id),
+    states AS (SELECT d.doc_id AS k, coalesce(s.n, 0) AS before, CASE WHEN k % 7 = 0 THEN coalesce(e.n, 0) ELSE coalesce(s.n, 0) END AS after
+      FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN sizes e ON e.doc_id = 1000000000000 + d.doc_id)"""
+
 SQL = {
+    "chunk_search": _chunk_search("TRUE"),
+    "chunk_search_scoped": _chunk_search("starts_with(path, 'Sources/en/') OR starts_with(path, 'Sources/fr/src1/')"),
+    "index_sync": f"""WITH RECURSIVE {_INDEXED}
+        SELECT 0 AS sync, count(*) AS scanned, count(*) AS changed, 0 AS deleted, CAST(sum(before) AS BIGINT) AS chunks_upserted, 0 AS chunks_deleted FROM states UNION ALL
+        SELECT 1, count(*) FILTER (k % 11 <> 0), count(*) FILTER (k % 11 <> 0 AND (k % 17 = 0 OR k % 7 = 0)), count(*) FILTER (k % 11 = 0 OR k % 17 = 0),
+          CAST(coalesce(sum(after) FILTER (k % 11 <> 0 AND (k % 17 = 0 OR k % 7 = 0)), 0) AS BIGINT), CAST(coalesce(sum(before) FILTER (k % 11 = 0 OR k % 17 = 0 OR k % 7 = 0), 0) AS BIGINT) FROM states UNION ALL
+        SELECT 2, count(*) FILTER (k % 11 <> 0), 0, 0, 0, 0 FROM states""",
+    "index_audit": f"""WITH RECURSIVE {_INDEXED} SELECT a AS audit, count(*) AS files, CAST(sum(before) AS BIGINT) AS chunks, 0 AS missing_chunks, 0 AS orphaned_chunks, TRUE AS storage_consistent,
+        TRUE AS pipeline_current, a = 0 AS fresh, a = 0 AS ready FROM states, (VALUES (0), (1)) AS t(a) GROUP BY a""",
     "tokenize_docs": f"WITH {_TOKENS} SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM toks",
     "term_freq": f"WITH {_TOKENS} SELECT doc_id, token, tf FROM tf",
     "doc_freq": f"WITH {_TOKENS} SELECT token, count(*) AS df FROM tf GROUP BY token",
