@@ -398,30 +398,25 @@ def warning_codes(spark, sf):
     return C.warning_codes(C.issues(_notes(spark, sf), COLLECTIONS, ("Sources/en",)))
 
 
-def _entries(spark, sf, kinds: list[str]) -> DataFrame:
-    """A unit for each document whose JSON is one of ``kinds``, # standing for the id."""
-    n = F.col("doc_id")
-    chosen = F.element_at(F.array(*map(F.lit, kinds)), (n % len(kinds) + 1).cast("int"))
-    return _read(spark, sf, "documents").select(F.concat(F.lit("u"), n).alias("unit_id"), F.replace(chosen, F.lit("#"), n.cast("string")).alias("json"))
-
-
 def ledger_inputs(spark, sf):
-    good = '"role": "raw", "presence": "present"'
-    kinds = [
-        '[{"role": "raw", "path": "./Inbox\\\\#.pdf", "presence": "removed", "sha256": "%s"}]' % ("aB" * 32), '{"role": "raw"}', '["x"]', '[{"role": " ", "path": "a"}]',
-        '[{"role": 3, "path": "a"}]', "[{%s}]" % good, '[{%s, "path": "a/../#"}]' % good, '[{"role": "raw", "path": "a", "presence": "gone"}]',
-        '[{%s, "path": "a", "sha256": "zz"}]' % good, '[{%s, "path": "a", "sha256": null}, {%s, "path": "b/#/"}]' % (good, good),
-    ]
-    return ledger.input_entries(_entries(spark, sf, kinds).withColumnRenamed("json", "inputs"))
+    """An input for every note: its path, hash and source, some of them spoilt."""
+    n = F.col("doc_id")
+    path = F.when(n % 6 == 0, F.concat(F.lit("../"), "path")).otherwise(F.concat(F.lit("./"), "path"))
+    presence = F.element_at(F.array(*map(F.lit, ("present", "removed", "unknown", "gone"))), (n % 4 + 1).cast("int"))
+    sha = F.when(n % 5 == 0, F.substring("sha256", 1, 63)).otherwise(F.upper("sha256"))
+    item = F.struct(F.concat(F.lit(" "), F.split("path", "/")[2], F.lit(" ")).alias("role"), path.alias("path"), presence.alias("presence"), sha.alias("sha256"))
+    inputs = F.when(n % 7 == 0, F.to_json(item)).otherwise(F.to_json(F.array(item, item)))
+    return ledger.input_entries(_notes(spark, sf).select(F.concat(F.lit("u"), n).alias("unit_id"), inputs.alias("inputs")))
 
 
 def ledger_outputs(spark, sf):
-    good = '"role": "official", "path": "Notes/#.md"'
-    kinds = [
-        "[{%s}]" % good, "7", "[null]", '[{%s, "extensions": []}]' % good, '[{%s, "extensions": {"note_id": "n"}}]' % good,
-        '[{%s, "extensions": {"note_id": "note_%s"}}]' % (good, "0f" * 16), "[]", '[{"role": "official", "path": "C:/x"}]',
-    ]
-    return ledger.output_entries(_entries(spark, sf, kinds).withColumnRenamed("json", "outputs"))
+    """An output for every note: its path and id, well formed or not, some extensions no objects."""
+    n = F.col("doc_id")
+    role = F.when(n % 9 == 0, " ").otherwise(F.split("path", "/")[1])
+    item = F.struct(role.alias("role"), F.col("path").alias("path"), F.struct(F.col("id").alias("note_id")).alias("extensions"))
+    odd = F.struct(role.alias("role"), F.col("path").alias("path"), F.col("id").alias("extensions"))
+    outputs = F.when(n % 7 == 0, F.to_json(item)).when(n % 4 == 1, F.to_json(F.array(odd))).otherwise(F.to_json(F.array(item)))
+    return ledger.output_entries(_notes(spark, sf).select(F.concat(F.lit("u"), n).alias("unit_id"), outputs.alias("outputs")))
 
 
 LAYOUT = chunk_index.Layout(buckets=8, shelves=8)
@@ -476,6 +471,86 @@ def index_audit(spark, sf):
     return spark.createDataFrame([(i, *(x[c] for c in names)) for i, x in enumerate(found)], "audit int, " + kinds)
 
 
+_SHA = "aB" * 32
+# What the ledgers derived from documents hold, # standing for the id: by the id's remainder.
+_SOURCES = (
+    '{"kind": " book ", "title": "T#", "canonical_key": "k", "inbox_roots": ["./Inbox/#", "a\\\\b/"], "entry_path": null}',
+    '{"kind": "book", "title": " ", "inbox_roots": []}', '{"kind": "book", "title": "T#", "canonical_key": "k", "inbox_roots": "x"}',
+    '{"kind": "book", "title": "T#", "canonical_key": "k", "inbox_roots": ["ok", "../up", 5]}',
+    '{"kind": "book", "title": "T#", "canonical_key": "k", "official_root": "/abs", "entry_path": "Notes/#.md"}', "5",
+)
+_STATUS, _CLEANUP = ('"done"', "[]", '"captured"', '"verified"', '"blocked"'), ("{}", '"not-ready"', '"unknown"', '"ready-for-cleanup"')
+_ORIGIN = (
+    '"x"', '{"basis": [1], "confidence": "exact"}', '{"basis": ["b", "c"], "confidence": "sure"}', "{}", '{"basis": ["b"], "confidence": "reviewed"}', '{"confidence": "exact"}',
+)
+_INPUTS = (
+    '[{"role": " raw ", "path": "./Inbox\\\\#.pdf", "presence": "removed", "sha256": "%s"}]' % _SHA, '{"role": "raw"}', '["x", {"role": 3, "path": "a"}]',
+    '[{"role": " ", "path": "a"}, {"role": "raw", "path": " "}, {"role": "raw", "path": "a/../#"}]', '[{"role": "raw", "path": "b/#/", "presence": "gone"}]', "[]",
+    '[{"role": "raw", "path": "c/#", "presence": "present", "sha256": "zz"}, {"role": "draft", "path": "d/#", "presence": "present", "sha256": null}, {"role": "draft", "path": "e/#", "presence": "unknown"}]',
+)
+_OUTPUTS = (
+    '[{"role": "official", "path": "Notes/#.md"}]', "7", '[null, {"role": " official\\t", "path": "N/#", "extensions": []}]', '[{"role": "x", "path": "N/#", "extensions": {"note_id": "n#"}}]',
+    '[{"role": "official", "path": "N/#", "extensions": {"note_id": "note_%s"}}, {"role": "official", "path": "C:/x"}]' % ("0f" * 16),
+)
+
+
+def _ledgers(spark, sf):
+    """A ledger for every 20 documents, some in the legacy form, some unreadable; each document gives a source and a unit."""
+    n = F.col("doc_id")
+    pick = lambda kinds: F.replace(F.element_at(F.array(*map(F.lit, kinds)), (n % len(kinds) + 1).cast("int")), F.lit("#"), n.cast("string"))
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    named = F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("s"), n))
+    unit = text(
+        '{"source_id": "', named, '", "kind": ', F.when(n % 8 == 0, "7").otherwise('"chapter"'), ', "scope": ', F.when(n % 9 == 0, "[]").otherwise('{"label": "x"}'),
+        ', "processing_status": ', pick(_STATUS), ', "cleanup_status": ', pick(_CLEANUP), ', "provenance": ', pick(_ORIGIN), ', "issues": ', F.when(n % 11 == 0, "[1]").otherwise('["i"]'),
+        ', "inputs": ', pick(_INPUTS), ', "outputs": ', pick(_OUTPUTS), "}",
+    )
+    old = text(
+        '{"unit_id": "', F.when(n % 13 == 0, "again").otherwise(F.concat(F.lit("u"), n)), '", "source_id": "', named, ' ", "processing_status": ', pick(_STATUS), ', "cleanup_status": ', pick(_CLEANUP),
+        ', "raw_paths": ["R/', n.cast("string"), '", {"path": "S/', n.cast("string"), '", "state": "removed"}], "draft_paths": ', F.when(n % 4 == 1, "5").otherwise("[]"),
+        ', "official_paths": [{"path": "O/', n.cast("string"), '"}, 6]}',
+    )
+    rows = _read(spark, sf, "documents").where("doc_id is not null").select(
+        F.floor(n / 20).alias("ledger"), "doc_id", text('"s', n.cast("string"), '": ', pick(_SOURCES)).alias("source"), text('"u', n.cast("string"), '": ', unit).alias("unit"), old.alias("old")
+    )
+    lists = rows.groupBy("ledger").agg(*(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", c))), lambda x: x[c]), ", ").alias(c) for c in ("source", "unit", "old")))
+    form = F.col("ledger") % 9
+    version = F.when(form == 3, "x").otherwise(ledger.FORMAT)
+    modern = text('{"schema_version": "', version, '", "sources": {', F.col("source"), '}, "units": {', F.col("unit"), "}}")
+    legacy = text('{"version": 1, "allowed_statuses": ["captured", "verified"], "units": [', F.col("old"), "]}")
+    document = F.when(form == 8, "not json").when(form == 7, "[1]").when(form != 6, F.when(form.isin(4, 5), legacy).otherwise(modern))
+    return lists.select("ledger", document.alias("document"))
+
+
+def ledger_documents(spark, sf):
+    return ledger.shred(_ledgers(spark, sf)).documents.select("ledger", F.regexp_replace("revision", "[0-9a-f]{64}", "hash").alias("state"))
+
+
+def ledger_sources(spark, sf):
+    found = ledger.shred(_ledgers(spark, sf)).sources
+    return found.withColumn("inbox_roots", F.array_join("inbox_roots", "|"))
+
+
+def ledger_units(spark, sf):
+    found = ledger.shred(_ledgers(spark, sf)).units
+    joined = lambda c, *names: F.array_join(F.transform(c, lambda e: F.concat_ws(":", *(e[n] for n in names))), "|").alias(c)
+    return found.select(
+        "ledger", "unit_id", "source_id", "kind", "scope", "processing_status", "cleanup_status", F.array_join("basis", "|").alias("basis"), "confidence", F.array_join("issues", "|").alias("issues"),
+        joined("inputs", "role", "path", "sha256", "presence"), joined("outputs", "role", "path", "note_id"),
+    )
+
+
+def ledger_issues(spark, sf):
+    return ledger.shred(_ledgers(spark, sf)).issues
+
+
+def ledger_focus(spark, sf):
+    focus = spark.createDataFrame([("inbox/1",), ("Notes",), ("N",), ("notes/4.MD",), ("a/b",), ("R",), ("C/6",)], "focus string")
+    notes = _notes(spark, sf)
+    identity = notes.select(F.lit("note_" + "0f" * 16).alias("id"), F.lit("Now/here.md").alias("path")).limit(1)
+    return ledger.matching(ledger.shred(_ledgers(spark, sf)), focus.union(spark.createDataFrame([("Now",)], "focus string")), identity)
+
+
 _NAMES = (
     "tokenize_docs term_freq doc_freq corpus_stats bm25_topk bm25_scoped hash_embed_dims dense_topk_vectors hybrid_topk split_windows"
     " heading_sections extract_links resolve_links backlink_counts match_tiers find_exact find_page resolve_path collection_membership"
@@ -483,7 +558,7 @@ _NAMES = (
     " ambiguous_names snapshot_diff possible_moves chunk_audit catalog_issues severity_counts content_digest ledger_cross_check envelope_routes event_redaction"
     " readme_ancestors identity_totals legacy_moves issue_bag issue_totals event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
     " eval_submissions eval_failures eval_consistency link_counts find_within warning_codes ledger_inputs ledger_outputs"
-    " chunk_search chunk_search_scoped index_sync index_audit"
+    " chunk_search chunk_search_scoped index_sync index_audit ledger_documents ledger_sources ledger_units ledger_issues ledger_focus"
 )
 
 

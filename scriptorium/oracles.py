@@ -184,7 +184,56 @@ _INDEXED = f"""{_PIECES.replace(_WHOLE, f"({_TRIMMED} UNION ALL {_EDITED})")},
     states AS (SELECT d.doc_id AS k, coalesce(s.n, 0) AS before, CASE WHEN k % 7 = 0 THEN coalesce(e.n, 0) ELSE coalesce(s.n, 0) END AS after
       FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN sizes e ON e.doc_id = 1000000000000 + d.doc_id)"""
 
+_LEDGERS = """
+d AS (SELECT doc_id AS n, doc_id // 20 AS ledger, (doc_id // 20) % 9 AS form FROM documents WHERE doc_id IS NOT NULL),
+m AS (SELECT *, 's' || n AS s, 'u' || n AS u FROM d WHERE form < 4), l AS (SELECT * FROM d WHERE form IN (4, 5)),
+l1 AS (SELECT *, CASE WHEN n % 13 = 0 THEN 'again' ELSE 'u' || n END AS u, row_number() OVER (PARTITION BY ledger, CASE WHEN n % 13 = 0 THEN 'again' ELSE 'u' || n END ORDER BY n) AS turn FROM l),
+src AS (
+  SELECT ledger, s AS source_id, 'book' AS kind, 'T' || n AS title, 'k' AS canonical_key, CASE WHEN n % 6 = 0 THEN ['Inbox/' || n, 'a/b'] ELSE [] END AS roots,
+    CAST(NULL AS VARCHAR) AS official_root, CAST(NULL AS VARCHAR) AS entry_path FROM m WHERE n % 6 = 0 UNION ALL
+  SELECT DISTINCT ledger, 's' || n, 'legacy', 's' || n, 's' || n, [], NULL, NULL FROM l WHERE n % 3 <> 0),
+units AS (
+  SELECT ledger, u AS unit_id, n, CASE WHEN n % 3 = 0 THEN '' ELSE s END AS source_id, CASE WHEN n % 8 = 0 THEN '' ELSE 'chapter' END AS kind, CASE WHEN n % 9 = 0 THEN '{}' ELSE '{"label":"x"}' END AS scope,
+    ['', '', 'captured', 'verified', 'blocked'][n % 5 + 1] AS processing_status, ['', 'not-ready', 'unknown', 'ready-for-cleanup'][n % 4 + 1] AS cleanup_status,
+    ['', '', 'b|c', '', 'b', ''][n % 6 + 1] AS basis, ['', 'exact', '', '', 'reviewed', 'exact'][n % 6 + 1] AS confidence, CASE WHEN n % 11 = 0 THEN '' ELSE 'i' END AS issues,
+    CASE n % 7 WHEN 0 THEN [{'r': 'raw', 'p': 'Inbox/' || n || '.pdf', 'h': repeat('ab', 32), 'e': 'removed'}] WHEN 6 THEN [{'r': 'draft', 'p': 'e/' || n, 'h': '', 'e': 'unknown'}] ELSE [] END AS ins,
+    CASE n % 5 WHEN 0 THEN [{'r': 'official', 'p': 'Notes/' || n || '.md', 'i': ''}] WHEN 1 THEN [] WHEN 2 THEN [{'r': 'official', 'p': 'N/' || n, 'i': ''}] WHEN 3 THEN [{'r': 'x', 'p': 'N/' || n, 'i': ''}]
+      ELSE [{'r': 'official', 'p': 'N/' || n, 'i': 'note_' || repeat('0f', 16)}] END AS outs FROM m UNION ALL
+  SELECT ledger, u, n, CASE WHEN n % 3 = 0 THEN '' ELSE 's' || n || ' ' END, 'legacy', '{}', ['', '', 'captured', 'verified', ''][n % 5 + 1], ['', 'not-ready', 'unknown', 'ready-for-cleanup'][n % 4 + 1],
+    'legacy-ledger', 'unresolved', '', [{'r': 'raw', 'p': 'R/' || n, 'h': '', 'e': 'present'}, {'r': 'raw', 'p': 'S/' || n, 'h': '', 'e': 'removed'}], [{'r': 'official', 'p': 'O/' || n, 'i': ''}] FROM l1 WHERE turn = 1)
+"""
+
+
+def _broken(code: str, test: str, rows: str = "m", unit: str = "u", path: str = "''", severity: str = "error") -> str:
+    return f"SELECT ledger, '{severity}' AS severity, '{code}' AS code, {unit} AS unit_id, {path} AS path FROM {rows} WHERE {test}"
+
+
+_BROKEN = " UNION ALL ".join([
+    "SELECT DISTINCT ledger, 'error' AS severity, CASE form WHEN 6 THEN 'ledger_missing' WHEN 7 THEN 'ledger_invalid_root' WHEN 8 THEN 'ledger_invalid_json' ELSE 'ledger_version_invalid' END AS code, '' AS unit_id, '' AS path FROM d WHERE form IN (3, 6, 7, 8)",
+    "SELECT DISTINCT ledger, 'warning', 'ledger_legacy_format', '', '' FROM l",
+    _broken("ledger_source_field_missing", "n % 6 = 1", "m, range(2)", "s"), _broken("ledger_source_roots_invalid", "n % 6 = 2", unit="s"),
+    _broken("ledger_path_unsafe", "n % 6 = 3", "m, range(2)", "s"), _broken("ledger_path_unsafe", "n % 6 = 4", unit="s"), _broken("ledger_source_invalid", "n % 6 = 5", unit="''"),
+    _broken("ledger_status_unknown", "n % 5 < 2"), _broken("ledger_cleanup_status_unknown", "n % 4 = 0"), _broken("ledger_source_id_missing", "n % 3 = 0"), _broken("ledger_kind_missing", "n % 8 = 0"),
+    _broken("ledger_scope_invalid", "n % 9 = 0"), _broken("ledger_provenance_invalid", "n % 6 = 0"), _broken("ledger_provenance_basis_invalid", "n % 6 = 1"),
+    _broken("ledger_provenance_confidence_invalid", "n % 6 IN (0, 2, 3)"), _broken("ledger_issues_invalid", "n % 11 = 0"), _broken("ledger_paths_not_array", "n % 7 = 1"), _broken("ledger_outputs_not_array", "n % 5 = 1"),
+    _broken("ledger_path_invalid", "n % 7 = 2"), _broken("ledger_role_missing", "n % 7 = 2"), _broken("ledger_role_missing", "n % 7 = 3"), _broken("ledger_path_missing", "n % 7 = 3"), _broken("ledger_path_unsafe", "n % 7 = 3"),
+    _broken("ledger_presence_invalid", "n % 7 = 4", path="'b/' || n"), _broken("ledger_hash_invalid", "n % 7 = 6", path="'c/' || n"), _broken("ledger_hash_invalid", "n % 7 = 6", path="'d/' || n"),
+    _broken("ledger_output_invalid", "n % 5 = 2"), _broken("ledger_output_extensions_invalid", "n % 5 = 2", path="'N/' || n"), _broken("ledger_note_id_invalid", "n % 5 = 3", path="'N/' || n"), _broken("ledger_path_unsafe", "n % 5 = 4"),
+    _broken("ledger_unit_id_invalid", "turn > 1", "l1", "''"), _broken("ledger_source_id_missing", "turn = 1 AND n % 3 = 0", "l1"), _broken("ledger_status_unknown", "turn = 1 AND n % 5 IN (0, 1, 4)", "l1"),
+    _broken("ledger_cleanup_status_unknown", "turn = 1 AND n % 4 = 0", "l1"), _broken("ledger_paths_not_array", "turn = 1 AND n % 4 = 1", "l1"), _broken("ledger_output_invalid", "turn = 1", "l1"),
+])
+
 SQL = {
+    "ledger_documents": f"WITH {_LEDGERS} SELECT DISTINCT ledger, CASE WHEN form = 6 THEN 'missing' WHEN form > 6 THEN 'invalid:hash' ELSE 'sha256:hash' END AS state FROM d",
+    "ledger_sources": f"WITH {_LEDGERS} SELECT ledger, source_id, kind, title, canonical_key, array_to_string(roots, '|') AS inbox_roots, official_root, entry_path FROM src",
+    "ledger_units": f"""WITH {_LEDGERS} SELECT ledger, unit_id, source_id, kind, scope, processing_status, cleanup_status, basis, confidence, issues,
+        array_to_string(list_transform(ins, lambda e: e.r || ':' || e.p || ':' || e.h || ':' || e.e), '|') AS inputs, array_to_string(list_transform(outs, lambda e: e.r || ':' || e.p || ':' || e.i), '|') AS outputs FROM units""",
+    "ledger_issues": f"WITH {_LEDGERS} {_BROKEN}",
+    "ledger_focus": f"""WITH {_LEDGERS}, asked AS (SELECT unnest(['inbox/1', 'Notes', 'N', 'notes/4.MD', 'a/b', 'R', 'C/6', 'Now']) AS focus),
+        paths AS (SELECT ledger, unit_id, unnest(list_transform(ins, lambda e: e.p)) AS path FROM units UNION ALL
+          SELECT ledger, unit_id, unnest(list_transform(outs, lambda e: CASE WHEN e.i = '' THEN e.p ELSE 'Now/here.md' END)) FROM units UNION ALL
+          SELECT u.ledger, u.unit_id, unnest(s.roots) FROM units u JOIN src s ON u.ledger = s.ledger AND u.source_id = s.source_id)
+        SELECT DISTINCT focus, ledger, unit_id FROM paths, asked WHERE lower(path) = lower(focus) OR (NOT contains(focus, '.') AND starts_with(lower(path), lower(focus) || '/'))""",
     "chunk_search": _chunk_search("TRUE"),
     "chunk_search_scoped": _chunk_search("starts_with(path, 'Sources/en/') OR starts_with(path, 'Sources/fr/src1/')"),
     "index_sync": f"""WITH RECURSIVE {_INDEXED}
@@ -356,16 +405,16 @@ SQL = {
     "find_within": f"""WITH {_NOTES} SELECT 'doc_1' AS query, path, CAST(CASE WHEN stem = 'doc_1' THEN 96 WHEN starts_with(stem, 'doc_1') THEN 80 ELSE 60 END AS INTEGER) AS score
         FROM notes WHERE contains(lower(path), 'doc_1') AND starts_with(path, 'Sources/en/src1/') AND doc_id % 2 = 0""",
     "warning_codes": f"WITH {_ISSUES} SELECT DISTINCT code FROM found WHERE severity = 'warning'",
-    "ledger_inputs": """WITH d AS (SELECT doc_id, doc_id % 10 AS k, unnest(CASE WHEN doc_id % 10 = 9 THEN [0, 1] ELSE [0] END) AS i FROM documents),
-        c AS (SELECT doc_id, k, i, CASE k WHEN 1 THEN 'ledger_paths_not_array' WHEN 2 THEN 'ledger_path_invalid' WHEN 3 THEN 'ledger_role_missing' WHEN 4 THEN 'ledger_role_missing'
-            WHEN 5 THEN 'ledger_path_missing' WHEN 6 THEN 'ledger_path_unsafe' WHEN 7 THEN 'ledger_presence_invalid' WHEN 8 THEN 'ledger_hash_invalid'
-            WHEN 9 THEN CASE i WHEN 0 THEN 'ledger_hash_invalid' END END AS code FROM d)
-        SELECT 'u' || doc_id AS unit_id, CAST(CASE WHEN k <> 1 THEN i END AS INTEGER) AS position, code, code IS NULL AS kept, CASE WHEN code IS NULL THEN 'raw' END AS role,
-          CASE WHEN code IS NULL THEN CASE k WHEN 0 THEN 'Inbox/' || doc_id || '.pdf' ELSE 'b/' || doc_id END END AS path,
-          CASE WHEN code IS NULL THEN CASE k WHEN 0 THEN 'removed' ELSE 'present' END END AS presence, CASE WHEN code IS NULL THEN CASE k WHEN 0 THEN repeat('ab', 32) ELSE '' END END AS sha256 FROM c""",
-    "ledger_outputs": """WITH c AS (SELECT doc_id, doc_id % 8 AS k, doc_id % 8 IN (0, 3, 4, 5) AS kept FROM documents WHERE doc_id % 8 <> 6)
-        SELECT 'u' || doc_id AS unit_id, CAST(CASE WHEN k <> 1 THEN 0 END AS INTEGER) AS position, CASE k WHEN 1 THEN 'ledger_outputs_not_array' WHEN 2 THEN 'ledger_output_invalid'
-            WHEN 3 THEN 'ledger_output_extensions_invalid' WHEN 4 THEN 'ledger_note_id_invalid' WHEN 7 THEN 'ledger_path_unsafe' END AS code, kept,
-          CASE WHEN kept THEN 'official' END AS role, CASE WHEN kept THEN 'Notes/' || doc_id || '.md' END AS path,
-          CASE WHEN kept THEN CASE k WHEN 5 THEN 'note_' || repeat('0f', 16) ELSE '' END END AS note_id FROM c""",
+    "ledger_inputs": f"""WITH {_NOTES}, e AS (
+          SELECT 'u' || doc_id AS unit_id, doc_id % 7 = 0 AS odd, split_part(path, '/', 3) AS role, path, ['present', 'removed', 'unknown', 'gone'][doc_id % 4 + 1] AS presence, sha256,
+            CASE WHEN doc_id % 7 = 0 THEN 'ledger_paths_not_array' WHEN doc_id % 6 = 0 THEN 'ledger_path_unsafe' WHEN doc_id % 4 = 3 THEN 'ledger_presence_invalid' WHEN doc_id % 5 = 0 THEN 'ledger_hash_invalid' END AS code,
+            unnest(CASE WHEN doc_id % 7 = 0 THEN [0] ELSE [0, 1] END) AS position FROM notes)
+        SELECT unit_id, CASE WHEN NOT odd THEN CAST(position AS INTEGER) END AS position, code, code IS NULL AS kept, CASE WHEN code IS NULL THEN role END AS role,
+          CASE WHEN code IS NULL OR code IN ('ledger_presence_invalid', 'ledger_hash_invalid') THEN path END AS path, CASE WHEN code IS NULL THEN presence END AS presence, CASE WHEN code IS NULL THEN sha256 END AS sha256 FROM e""",
+    "ledger_outputs": f"""WITH {_NOTES}, e AS (
+          SELECT 'u' || doc_id AS unit_id, doc_id % 7 = 0 AS odd, doc_id % 7 <> 0 AND doc_id % 9 <> 0 AS kept, split_part(path, '/', 2) AS role, path, id, doc_id % 4 = 1 AS spoilt,
+            CASE WHEN doc_id % 7 = 0 THEN 'ledger_outputs_not_array' WHEN doc_id % 9 = 0 THEN 'ledger_role_missing' WHEN doc_id % 4 = 1 THEN 'ledger_output_extensions_invalid'
+              WHEN NOT regexp_full_match(id, '(note_[0-9a-f]{{32}})?') THEN 'ledger_note_id_invalid' END AS code FROM notes)
+        SELECT unit_id, CASE WHEN NOT odd THEN 0 END AS position, code, kept, CASE WHEN kept THEN role END AS role, CASE WHEN kept THEN path END AS path,
+          CASE WHEN kept THEN CASE WHEN spoilt OR code IS NOT NULL THEN '' ELSE id END END AS note_id FROM e""",
 }

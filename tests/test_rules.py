@@ -40,7 +40,7 @@ def test_nothing_private_leaves(spark):
 
 
 def test_ledger_lists_may_be_absent(spark):
-    document = spark.createDataFrame([('{"sources": {"s": {}}, "units": {"u": {"source_id": "s", "processing_status": "integrated", "cleanup_status": "ready-for-cleanup"}}}',)], "document string")
+    document = spark.createDataFrame([('{"sources": {"s": {"kind": "k", "title": "t", "canonical_key": "c"}}, "units": {"u": {"source_id": "s", "processing_status": "integrated", "cleanup_status": "ready-for-cleanup"}}}',)], "document string")
     sources, units = ledger.read(document)
     notes = spark.createDataFrame([], "path string, sha256 string, id string")
     codes = {r.code for r in ledger.cross_check(units, sources, notes, notes.select("id", "path")).collect()}
