@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cluster import durable, release
@@ -12,20 +11,20 @@ from .cluster import durable, release
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every end of ``links(a, b)``: the smallest node reachable.
 
-    Each round deals the links out by their larger end, which keeps the least of its
-    smaller ends and links the others to that one.  Once no end has two, the links
+    In each round every node's smallest smaller neighbour is found by a partial aggregate; the node
+    keeps that one, and its other links go over to it.  Once no node has two, the links
     are a forest; its nodes then take their parent's parent until all parents are roots.
-    A component's root is never the key of a deal, so hubs with many links don't fill a
-    task; the lookups are merge joins that AQE can split (not broadcast ones: dozens of
+    No group is ever gathered: a hub with many links costs one row of the aggregate a task, and
+    the lookups are merge joins that AQE can split (not broadcast ones: dozens of
     small broadcasts would pile up in the driver).  Rounds are cut by checkpoints; nothing
     is collected.  A null end or a loop drops the link.  An empty input gives an empty result.
     """
     spark = links.sparkSession
     larger, smaller = F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")
     edges = links.where("a is not null and b is not null and a <> b").select(larger, smaller)
-    least = F.min("b").over(W.partitionBy("a"))
     for _ in range(max_rounds):
-        ends = edges.repartition("a").distinct().withColumn("least", least)
+        ends = edges.distinct()
+        ends = ends.join(edges.groupBy("a").agg(F.min("b").alias("least")).hint("merge"), "a")
         extra = F.col("b") > F.col("least")
         found = durable(ends.select(F.when(extra, F.col("b")).otherwise(F.col("a")).alias("a"), F.col("least").alias("b"), extra.alias("extra")))
         edges = found.select("a", "b")

@@ -5,7 +5,10 @@ labelled texts (``train_chars`` characters).  Prediction: a text is cut greedily
 into phrases, each the longest match that starts there and occurs in the training
 text; the walk through the automaton yields those match lengths.  The language
 that needs the fewest phrases for each character, times the log of its training
-length over the log of the text's (Ziv and Merhav's normalisation), wins.
+length (bits a character, a text's cross-parsing cost), wins.
+
+A filter rejects texts that no language fits: those whose winner needs far more phrases a
+character than training texts that were held back from the automata (``Model.limit``).
 
 Every letter of the training texts has a symbol of its own.  The automata are
 sparse: the transitions of all states lie interleaved in one pair of arrays (row
@@ -18,7 +21,7 @@ each is walked in plain Python.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import count as numbers
 
 import numpy as np
@@ -100,6 +103,7 @@ class Model:
     again: np.ndarray  # (symbols, languages): where a missing transition leads
     roots: np.ndarray
     lengths: np.ndarray
+    limit: float = 0.5  # phrases a character from which no language fits
 
 
 def simplify(text: str) -> str:
@@ -215,41 +219,59 @@ def _sequences(model: Model, texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def score(model: Model, texts: list[str], most_chars: int = 8 << 20) -> tuple[list[str], list[float]]:
-    """Predicted language and confidence: the winner's margin to the runner-up in bits
-    for each character, squashed to 0..1.  Without letters ``und`` and 0."""
+def parsed(model: Model, texts: list[str], most_chars: int = 8 << 20) -> list[tuple[str, float, int, int]]:
+    """(predicted language, confidence, symbols, phrases under the winner) of each text.
+
+    Confidence is the winner's margin to the runner-up in bits for each character, squashed to 0..1.  Without
+    letters ``und`` and 0.
+    """
     if len(texts) > 1 and sum(map(len, texts)) > most_chars:  # halves, so that no array of a whole large batch is made
         half = len(texts) // 2
-        return tuple(x + y for x, y in zip(score(model, texts[:half], most_chars), score(model, texts[half:], most_chars)))
-    sequences = _sequences(model, texts)
-    found = phrases(model, sequences)
-    names, sure = [], []
-    for seq, n in zip(sequences, found):
-        letters = int((seq > 0).sum())
-        if not letters or not model.languages:
-            names.append(UNKNOWN)
-            sure.append(0.0)
+        return parsed(model, texts[:half], most_chars) + parsed(model, texts[half:], most_chars)
+    sequences, out = _sequences(model, texts), []
+    for seq, n in zip(sequences, phrases(model, sequences)):
+        if not (seq > 0).any() or not model.languages:
+            out.append((UNKNOWN, 0.0, len(seq), 0))
             continue
         cost = n * np.log2(np.maximum(model.lengths, 2)) / len(seq)
         order = np.argsort(cost, kind="stable")
-        names.append(model.languages[order[0]])
-        if len(order) == 1:
-            sure.append(1.0)
-        else:
-            sure.append(float(1 - cost[order[0]] / cost[order[1]]) if cost[order[1]] else 0.0)
-    return names, sure
+        sure = 1.0 if len(order) == 1 else float(1 - cost[order[0]] / cost[order[1]]) if cost[order[1]] else 0.0
+        out.append((model.languages[order[0]], sure, len(seq), int(n[order[0]])))
+    return out
+
+
+def score(model: Model, texts: list[str], most_chars: int = 8 << 20) -> tuple[list[str], list[float]]:
+    """Predicted language and confidence of each text."""
+    found = parsed(model, texts, most_chars)
+    return [x[0] for x in found], [x[1] for x in found]
+
+
+def fits(model: Model, texts: list[str], slack: int = 4) -> list[bool]:
+    """Whether some language fits: a letter, and no more phrases than the limit allows for the length and ``slack``
+    more, by which texts too short to tell are kept."""
+    return [name != UNKNOWN and n <= model.limit * size + slack for name, _, size, n in parsed(model, texts)]
+
+
+def calibrated(model: Model, held: list[str], far: float = 2.0, least: int = 60) -> Model:
+    """The model with its limit at ``far`` times what 19 in 20 of the held-back texts of ``least`` symbols or more need;
+    without such texts it stays as it is."""
+    rates = [n / size for name, _, size, n in parsed(model, held) if name != UNKNOWN and size >= least]
+    return replace(model, limit=far * float(np.quantile(rates, 0.95))) if rates else model
 
 
-def train(labelled: DataFrame, text_col: str, lang_col: str, *, train_texts: int, train_chars: int) -> Model:
+def train(labelled: DataFrame, text_col: str, lang_col: str, *, train_texts: int, train_chars: int, most_languages: int = 4096) -> Model:
     """Fits on about ``train_texts`` distinct texts for each language, chosen by hash.
 
     The sample is bounded for each language, by ``train_texts`` texts and ``train_chars``
-    characters spread over them; every language is learnt.
+    characters spread over them (beginnings, where the texts are longer); every language is learnt.  As many texts again set the
+    model's limit.  More than ``most_languages`` distinct labels raise: an automaton for each would not fit the driver.
     """
     text = F.col(text_col).cast("string")
     rows = labelled.where(F.col(lang_col).isNotNull() & text.isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(F.lit("langid"), text).alias("h"))
-    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} distinct languages in {lang_col}")
     if not counts:
         return fit({}, train_chars)
     limits = [(lang, int(min(1.0, 2 * train_texts / max(n, 1)) * (1 << 30)) + 1) for lang, n in counts]
@@ -257,10 +279,12 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, *, train_texts: int
     drawn = rows.join(limit, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("below")).dropDuplicates(["lang", "h"])
     sample = drawn.select("lang", F.substring("text", 1, train_chars), F.pmod("h", F.lit(1 << 30))).collect()
     samples: dict[str, list[str]] = {}
+    held: dict[str, list[str]] = {}
     for lang, text, _ in sorted(sample, key=lambda r: (r[0], r[2], r[1])):
-        if len(samples.setdefault(lang, [])) < train_texts:
-            samples[lang].append(text)
-    return fit(samples, train_chars)
+        into = samples if len(samples.setdefault(lang, [])) < train_texts else held
+        if len(into.setdefault(lang, [])) < train_texts:
+            into[lang].append(text)
+    return calibrated(fit(samples, train_chars), [t for texts in held.values() for t in texts])
 
 
 def identify(
@@ -296,17 +320,17 @@ def identify(
     return narrow.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
-def language_column(model: Model, docs: DataFrame):
-    """A function that gives the predicted language of a text column, row by row."""
+def fits_column(model: Model, docs: DataFrame):
+    """A function that says of a text column, row by row, whether some language fits."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def named(texts: pd.Series) -> pd.Series:
-        found = pd.Series(score(shared.value, [x or "" for x in texts])[0], dtype=object)
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        found = pd.Series(fits(shared.value, [x or "" for x in texts]), dtype=bool)
         give_back()
         return found
 
-    return named
+    return run
 
 
 def held_out(id_col: str, parts: int, part: int) -> Column:

@@ -74,7 +74,7 @@ def test_components(spark):
     from scriptorium.llm.components import connected_components
 
     draw = random.Random(3)
-    links = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1090)] + [(2000, 2000 + i) for i in range(1, 60)]
+    links = [(draw.randrange(300), draw.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1090)] + [(2000, 2000 + i) for i in range(1, 60)] + [(9000, 8000 + i) for i in range(60)]
     part: dict = {}
 
     def root(x):
