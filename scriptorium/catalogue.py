@@ -311,6 +311,18 @@ def event_redaction(spark, sf):
     return found.select("event_id", "name", F.array_join(F.array_sort(F.map_keys("attributes")), ",").alias("keys"), F.col("attributes")["result_count"].alias("result_count"))
 
 
+def event_redaction_typed(spark, sf):
+    """Attributes as JSON: scalars, texts that look nested, nested values, and some that repeat a key."""
+    e = _read(spark, sf, "events")
+    n, k = F.col("event_id"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("0"))
+    action = F.when(n % 5 == 0, F.lit('"[1]"')).when(n % 5 == 1, F.lit('{"a": "secret"}')).when(n % 5 == 2, F.lit('{"a": 1, "a": "secret"}')).when(n % 5 == 3, F.lit("null")).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
+    json = F.concat(F.lit('{"action": '), action, F.lit(', "result_count": '), k, F.lit(', "secret": "x", "variant": ["y"]}'))
+    rows = e.select("event_id", F.lit("rag").alias("component"), F.col("event_type").alias("operation"), F.try_parse_json(json).alias("attributes"))
+    found = traces.sanitize(rows)
+    keys = F.array_join(F.array_sort(F.map_keys("attributes")), ",").alias("keys")
+    return found.select("event_id", keys, F.col("attributes")["action"].alias("action"), F.col("attributes")["result_count"].alias("result_count"))
+
+
 def event_spans(spark, sf):
     return traces.spans(_traces(spark, sf)).select("event_id", "start_ns", "end_ns", "span_kind")
 
@@ -558,7 +570,7 @@ _NAMES = (
     " ambiguous_names snapshot_diff possible_moves chunk_audit catalog_issues severity_counts content_digest ledger_cross_check envelope_routes event_redaction"
     " readme_ancestors identity_totals legacy_moves issue_bag issue_totals event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
     " eval_submissions eval_failures eval_consistency link_counts find_within warning_codes ledger_inputs ledger_outputs"
-    " chunk_search chunk_search_scoped index_sync index_audit ledger_documents ledger_sources ledger_units ledger_issues ledger_focus"
+    " chunk_search chunk_search_scoped index_sync index_audit ledger_documents ledger_sources ledger_units ledger_issues ledger_focus event_redaction_typed"
 )
 
 

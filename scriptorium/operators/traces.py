@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 # The attributes that may leave the machine.
 SAFE_ATTRIBUTES = (
@@ -19,10 +20,21 @@ EVENT_FIELDS = ("timestamp", "trace_id", "run_id", "span_id", "parent_span_id",
 NAMED_FIELDS = ("agent", "component", "operation", "status")
 
 
-def redact(attributes: Column) -> Column:
-    """The allowed attributes of a map that are scalars; nested values, which arrive as JSON, go."""
-    nested = lambda v: F.coalesce(v.rlike(r"^\s*[\[{]") & F.try_parse_json(v).isNotNull(), F.lit(False))
-    return F.map_filter(attributes, lambda k, v: k.isin(*SAFE_ATTRIBUTES) & ~nested(v))
+def redact(attributes: Column, typed: bool = False) -> Column:
+    """The allowed attributes that are scalars, as a map of texts.
+
+    ``typed``: a variant, whose values are judged by their stored type, so that a text which looks like
+    an array stays and any nested value goes.  Else a map of texts, in which nested values have arrived as JSON: what reads as
+    an array or object goes, objects that repeat a key included.
+    """
+    if not typed:
+        return F.map_filter(attributes, lambda k, v: k.isin(*SAFE_ATTRIBUTES) & ~F.coalesce(v.rlike(r"^\s*[\[{]") & F.get_json_object(v, "$").isNotNull(), F.lit(False)))
+    pairs = []
+    for name in SAFE_ATTRIBUTES:
+        value = F.try_variant_get(attributes, f"$.{name}", "variant")
+        nested = F.schema_of_variant(value).rlike("^(ARRAY|OBJECT)")
+        pairs.append(F.when(value.isNotNull() & ~nested, F.struct(F.lit(name).alias("k"), value.try_cast("string").alias("v"))))
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull()))
 
 
 def sanitize(events: DataFrame, local_context: bool = False) -> DataFrame:
@@ -34,12 +46,13 @@ def sanitize(events: DataFrame, local_context: bool = False) -> DataFrame:
     has = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
     field = lambda c: F.coalesce(has(c), F.lit("unknown")) if c in NAMED_FIELDS else has(c)
     plain = F.expr("cast(map() as map<string, string>)")
-    attributes = F.coalesce("attributes", plain) if "attributes" in events.columns else plain
+    typed = "attributes" in events.columns and isinstance(events.schema["attributes"].dataType, VariantType)
+    attributes = redact(F.col("attributes"), typed) if typed else redact(F.coalesce("attributes", plain)) if "attributes" in events.columns else plain
     return events.select(
         *(["event_id"] if "event_id" in events.columns else []),
         F.concat(field("component"), F.lit("."), field("operation")).alias("name"),
         *(field(c).alias(c) for c in EVENT_FIELDS),
-        redact(attributes).alias("attributes"),
+        F.coalesce(attributes, plain).alias("attributes"),
         F.lit(False).alias("content_included"),
         *([has("target").alias("target")] if local_context else []),
     )

@@ -367,6 +367,8 @@ SQL = {
             ELSE 'resolve_target,read_target,read_entrypoints,inspect_direct_links,extract_candidates,resolve_candidates,sync_indexes,validate' END
           || CASE processor WHEN 'book' THEN ',read_book' WHEN 'project' THEN ',read_plan' ELSE '' END AS required_checks, blocks = '' AS ready FROM r""",
     "event_redaction": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'rag' ELSE 'task' END || '.' || event_type AS name, 'action,result_count' AS keys, json_extract_string(props, '$.k') AS result_count FROM events""",
+    "event_redaction_typed": """SELECT event_id, CASE event_id % 5 WHEN 1 THEN 'result_count' WHEN 2 THEN '' ELSE 'action,result_count' END AS keys,
+        CASE event_id % 5 WHEN 0 THEN '[1]' WHEN 4 THEN event_type END AS action, CASE WHEN event_id % 5 <> 2 THEN coalesce(json_extract_string(props, '$.k'), '0') END AS result_count FROM events""",
     "event_spans": """SELECT event_id, epoch_us(ts) * 1000 AS start_ns, epoch_us(ts) * 1000 + CAST(trunc(greatest(0.0, coalesce(value, 0.0)) * 1000000) AS BIGINT) AS end_ns,
         CASE WHEN event_id % 3 = 0 THEN 'RETRIEVER' ELSE 'TASK' END AS span_kind FROM events""",
     "session_supersede": """SELECT user_id AS session_key, step, count(*) AS steps FROM (

@@ -10,14 +10,16 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import traces
+from ..storage import exists, written
 
 EVENT = (
     "event_id string, trace_id string, run_id string, span_id string, parent_span_id string, timestamp timestamp, agent string, session_key string,"
-    " component string, operation string, status string, duration_ms double, target string, attributes map<string, string>"
+    " component string, operation string, status string, duration_ms double, target string"
 )
 
 
@@ -26,8 +28,14 @@ def append(events: DataFrame, log: str) -> None:
     events.withColumn("event_date", F.to_date("timestamp")).write.mode("append").partitionBy("event_date").json(log)
 
 
+def _events(lines: DataFrame, *more: str) -> DataFrame:
+    """Events of the log's lines; attributes keep their JSON types as a variant, and those that can't be parsed are null."""
+    attributes = F.try_parse_json(F.get_json_object("value", "$.attributes"))
+    return lines.select(F.from_json("value", EVENT).alias("e"), attributes.alias("attributes"), *more).select("e.*", "attributes", *(m.split(".")[-1] for m in more))
+
+
 def source(spark: SparkSession, log: str, files_per_batch: int = 20) -> DataFrame:
-    return spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").json(log)
+    return _events(spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").text(log))
 
 
 def export(spark: SparkSession, log: str, checkpoint: str, send: Callable[[DataFrame, int], None], local_context: bool = False, files_per_batch: int = 20) -> StreamingQuery:
@@ -40,22 +48,64 @@ def export(spark: SparkSession, log: str, checkpoint: str, send: Callable[[DataF
     return clean.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def log_lines(spark: SparkSession, log: str) -> DataFrame:
+    """Events with the file and the line, from 1, where they lie.
+
+    A line's number is its place in the file, so an event that comes late moves no line that was acknowledged.
+    """
+    read = spark.read.option("recursiveFileLookup", "true").text(log)
+    place = read.select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("place"))
+    rows = _events(place, "file_path", "file_block_start", "place").withColumnRenamed("file_path", "file")
+    return rows.withColumn("line", F.row_number().over(W.partitionBy("file").orderBy("file_block_start", "place"))).drop("file_block_start", "place")
+
+
 def preview(spark: SparkSession, log: str, cursors: DataFrame, limit: int = 5) -> tuple[list, int]:
     """(first events, how many are pending) past the cursors, without moving them.
 
     ``cursors(file, acked)`` names files of the log and the lines acknowledged in each.
     """
-    from pyspark.sql import Window as W
-
-    read = spark.read.schema(EVENT).option("recursiveFileLookup", "true").json(log)
-    place = ("_metadata.file_block_start", F.monotonically_increasing_id().alias("place"))
-    rows = read.select("*", F.col("_metadata.file_path").alias("file"), *place)
-    # A line's number is its place in the file, so a late event moves no line that was acknowledged.
-    lines = rows.withColumn("line", F.row_number().over(W.partitionBy("file").orderBy("file_block_start", "place")))
-    left = traces.sanitize(traces.pending(lines, cursors))
+    left = traces.sanitize(traces.pending(log_lines(spark, log), cursors))
     return left.orderBy("timestamp", "event_id").limit(limit).collect(), left.count()
 
 
+_CURSORS = "file string, acked int"
+
+
+def cursors(spark: SparkSession, store: str) -> DataFrame:
+    """(file, acked): the lines acknowledged in each file; the last whole version counts."""
+    number = _version(spark, store)
+    return spark.createDataFrame([], _CURSORS) if number is None else spark.read.schema(_CURSORS).parquet(f"{store}/v={number}")
+
+
+def _version(spark: SparkSession, store: str) -> int | None:
+    if not exists(spark, f"{store}/pointer"):
+        return None
+    return spark.read.schema("version long").json(f"{store}/pointer").agg(F.max("version")).first()[0]
+
+
+def export_pending(
+    spark: SparkSession, log: str, store: str, send: Callable[[DataFrame, int], None], *, max_events: int = 20, local_context: bool = False
+) -> int:
+    """Sends at most ``max_events`` pending events, in order of file and line, and then moves the cursors past them.
+
+    Returns how many were sent.  If ``send`` fails no cursor moves, and the next call sends the same events again.
+    ``send`` gets the events and the number of the batch, which stays until it is acknowledged.
+    """
+    if max_events < 1:
+        raise ValueError("max_events must be positive")
+    known, number = cursors(spark, store), (_version(spark, store) or 0) + 1
+    due = traces.pending(log_lines(spark, log), known).orderBy("file", "line").limit(max_events)
+    due = written(due, f"{store}/batch={number}")
+    sent = due.count()
+    if not sent:
+        return 0
+    send(traces.spans(traces.sanitize(due, local_context)), number)
+    moved = known.union(due.select("file", F.col("line").alias("acked"))).groupBy("file").agg(F.max("acked").alias("acked"))
+    moved.write.mode("overwrite").parquet(f"{store}/v={number}")
+    spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").json(f"{store}/pointer")
+    return sent
+
+
 def session_steps(starts: DataFrame, key: str = "session_key", target: str = "target") -> DataFrame:
     """Streaming (session_key, event_id, step): start, reuse or supersede, by the target that the
     session had before.  A finished task (operation ``task.finish``) clears its session."""

@@ -103,3 +103,41 @@ def test_sync(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").json(feed)
         E.sync(spark.readStream.schema(schema).json(feed), store, str(tmp_path / "mark")).awaitTermination()
     assert {r.path: r.sha256 for r in E.current(spark, store).collect()} == {"a": "9", "c": "3"}
+
+
+def test_export_keeps_cursors(spark, tmp_path):
+    log, store, got = str(tmp_path / "log"), str(tmp_path / "cursors"), []
+    E.append(events(spark, [(str(i), "s", "p", "go", i) for i in range(7)]).coalesce(1), log)
+
+    def broken(batch, number):
+        got.append((number, [r.event_id for r in batch.collect()]))
+        raise RuntimeError("sink is away")
+
+    send = lambda batch, number: got.append((number, [r.event_id for r in batch.collect()]))
+    with pytest.raises(RuntimeError):
+        E.export_pending(spark, log, store, broken, max_events=3)
+    assert E.cursors(spark, store).count() == 0
+    assert E.export_pending(spark, log, store, send, max_events=3) == 3 and got[0] == got[1]  # the batch that failed, once more
+    acked = {r.file: r.acked for r in E.cursors(spark, store).collect()}
+    assert list(acked.values()) == [3]
+    E.append(events(spark, [("late", "s", "p", "go", 0)]), log)  # older than all, in a file of its own
+    assert {r.file: r.acked for r in E.cursors(spark, store).collect()} == acked
+    assert [E.export_pending(spark, log, store, send, max_events=3) for _ in range(3)] == [3, 2, 0]
+    sent = [e for _, batch in got[1:] for e in batch]
+    assert sorted(sent) == sorted([*map(str, range(7)), "late"]) and max(len(b) for _, b in got) == 3
+    with pytest.raises(ValueError):
+        E.export_pending(spark, log, store, send, max_events=0)
+
+
+def test_nested_values_never_leave(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    lines = [
+        '{"event_id": "1", "attributes": {"action": "[1]", "variant": ["s"], "workflow": {"a": 1}, "secret": 2, "result_count": 3, "low_quality": true, "task_kind": null}}',
+        '{"event_id": "2", "attributes": {"action": {"a": 1, "a": "secret"}, "result_count": 3}}', '{"event_id": "3", "attributes": "action"}', '{"event_id": "4"}',
+    ]
+    (log / "a.json").write_text("\n".join(lines))
+    rows = {r.event_id: r.attributes for r in E.traces.sanitize(E.log_lines(spark, str(log))).collect()}
+    assert rows == {"1": {"action": "[1]", "result_count": "3", "low_quality": "true", "task_kind": None}, "2": {}, "3": {}, "4": {}}
+    texts = spark.createDataFrame([({"action": '{"a":1,"a":"secret"}', "variant": ' [1]', "case_id": "{x"},)], "attributes map<string,string>")
+    assert texts.select(E.traces.redact(F.col("attributes"))).first()[0] == {"case_id": "{x"}
