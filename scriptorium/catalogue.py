@@ -17,7 +17,8 @@ from . import oracles
 from .functions import paths as P
 from .functions import text as T
 from .operators import catalog as C
-from .operators import chunk_index, chunks, evaluation, ledger, retrieval, traces
+from .operators import catalog_sync as CS
+from .operators import chunk_index, chunks, digests, evaluation, ledger, retrieval, traces
 from .plans import envelopes
 from .session import attach
 from .storage import workspace
@@ -563,6 +564,45 @@ def ledger_focus(spark, sf):
     return ledger.matching(ledger.shred(_ledgers(spark, sf)), focus.union(spark.createDataFrame([("Now",)], "focus string")), identity)
 
 
+def _files(spark, sf, later=False):
+    """Every document as a Markdown file (path, file, kind, extension, size, modified, content); later some moved, edited, touched, spoilt or gone."""
+    n = F.col("doc_id")
+    notes = _edited_vault(spark, sf) if later else _vault(spark, sf)
+    ids = _notes(spark, sf).select("doc_id", "id")
+    rows = notes.join(ids, "doc_id")
+    head = F.concat(F.lit("---\nid: "), "id", F.lit("\ntitle: Doc "), n, F.lit("\n---\n"))
+    content = F.concat(head, F.coalesce("text", F.lit(""))).cast("binary")
+    stamp = F.timestamp_seconds(F.when(F.lit(later) & ((n % 7 == 0) | (n % 5 == 0)), 2_000_000_000).otherwise(1_700_000_000) + n % 1000)
+    spoilt = F.when(F.lit(later) & (n % 13 == 0), F.concat(content, F.unhex(F.lit("FF")))).otherwise(content)
+    return rows.select("path", F.col("path").alias("file"), F.lit("markdown").alias("kind"), F.lit(".md").alias("extension"), F.length(content).cast("long").alias("size"), stamp.alias("modified"), spoilt.alias("content"))
+
+
+_SYNCED = ("scanned", "files", "changed", "unchanged", "deleted", "errors", "opened", "possible_legacy_moves")
+
+
+def catalog_sync(spark, sf):
+    folder, scope, rows = workspace(spark, "catalog"), CS.Scope(collections=tuple(COLLECTIONS), buckets=8), []
+    for turn, later in enumerate((False, True)):
+        files = _files(spark, sf, later)
+        done = CS.sync(files.drop("content"), lambda wanted, files=files: files.select("file", "content").join(wanted, "file"), folder, scope)
+        rows.append((turn, *(done[c] for c in _SYNCED)))
+    return spark.createDataFrame(rows, "sync int, " + ", ".join(f"{c} long" for c in _SYNCED))
+
+
+def watermarks(spark, sf):
+    """The digests that say whether contents, structure, index input or membership have changed."""
+    notes = C.with_collections(_notes(spark, sf), COLLECTIONS)
+    state = C.identity_state(F.col("id"), F.col("path"))
+    known = notes.withColumn("key", CS.identity_key(F.col("id"), F.col("path"))).withColumn("state", state)
+    members = C.membership(notes, COLLECTIONS)
+    parts = {
+        "content": digests.tree_digest(known, "key", "sha256"), "structure": digests.tree_digest(known, "path", "id", "state", "title", "primary_collection"),
+        "index_input": digests.tree_digest(known, "path", "sha256"), "members": digests.tree_digest(members, "path", "collection"),
+    }
+    found = [df.select(F.lit(name).alias("name"), "digest") for name, df in parts.items()]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
 _NAMES = (
     "tokenize_docs term_freq doc_freq corpus_stats bm25_topk bm25_scoped hash_embed_dims dense_topk_vectors hybrid_topk split_windows"
     " heading_sections extract_links resolve_links backlink_counts match_tiers find_exact find_page resolve_path collection_membership"
@@ -570,7 +610,7 @@ _NAMES = (
     " ambiguous_names snapshot_diff possible_moves chunk_audit catalog_issues severity_counts content_digest ledger_cross_check envelope_routes event_redaction"
     " readme_ancestors identity_totals legacy_moves issue_bag issue_totals event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
     " eval_submissions eval_failures eval_consistency link_counts find_within warning_codes ledger_inputs ledger_outputs"
-    " chunk_search chunk_search_scoped index_sync index_audit ledger_documents ledger_sources ledger_units ledger_issues ledger_focus event_redaction_typed"
+    " chunk_search chunk_search_scoped index_sync index_audit ledger_documents ledger_sources ledger_units ledger_issues ledger_focus event_redaction_typed catalog_sync watermarks"
 )
 
 

@@ -223,7 +223,25 @@ _BROKEN = " UNION ALL ".join([
     _broken("ledger_cleanup_status_unknown", "turn = 1 AND n % 4 = 0", "l1"), _broken("ledger_paths_not_array", "turn = 1 AND n % 4 = 1", "l1"), _broken("ledger_output_invalid", "turn = 1", "l1"),
 ])
 
+def _tree(name: str, rows: str) -> str:
+    """A digest tree over rows' texts ``t``, of the one level that 32 to 8,191 rows have."""
+    return f"""SELECT '{name}' AS name, sha256(string_agg(value, '' ORDER BY p)) AS digest FROM (
+          SELECT substr(h, 1, 2) AS p, sha256(string_agg(sha256(h || ':' || n), '' ORDER BY h)) AS value FROM (SELECT sha256(t) AS h, count(*) AS n FROM ({rows}) GROUP BY 1) GROUP BY 1)"""
+
+
+_KEY = "CASE WHEN state = 'stable' THEN id ELSE 'legacy-path:' || path END"
+
 SQL = {
+    "catalog_sync": """WITH s AS (SELECT doc_id AS n, doc_id % 11 = 0 AS gone, doc_id % 11 <> 0 AND doc_id % 17 = 0 AS moved, doc_id % 7 = 0 OR doc_id % 5 = 0 AS touched FROM documents WHERE doc_id IS NOT NULL),
+        f AS (SELECT *, NOT gone AND (moved OR touched) AS opened FROM s)
+        SELECT 0 AS sync, count(*) AS scanned, count(*) AS files, count(*) AS changed, 0 AS unchanged, 0 AS deleted, 0 AS errors, count(*) AS opened, 0 AS possible_legacy_moves FROM f UNION ALL
+        SELECT 1, count(*) FILTER (NOT gone), count(*) FILTER (NOT gone AND NOT moved) + count(*) FILTER (moved AND n % 13 <> 0), count(*) FILTER (opened AND n % 13 <> 0), count(*) FILTER (NOT gone AND NOT opened),
+          count(*) FILTER (gone OR moved), count(*) FILTER (opened AND n % 13 = 0), count(*) FILTER (opened), count(*) FILTER (moved AND n % 10 = 0 AND n % 13 <> 0 AND n % 7 <> 0) FROM f""",
+    "watermarks": f"""WITH {_NOTES}, known AS (SELECT s.*, coalesce(p.collection, '') AS first FROM state s LEFT JOIN placed p ON p.path = s.path AND p.position = 0)
+        {_tree("content", f"SELECT {_KEY} || chr(31) || sha256 AS t FROM known")} UNION ALL
+        {_tree("structure", "SELECT concat_ws(chr(31), path, id, state, title, first) AS t FROM known")} UNION ALL
+        {_tree("index_input", "SELECT path || chr(31) || sha256 AS t FROM known")} UNION ALL
+        {_tree("members", "SELECT path || chr(31) || collection AS t FROM placed")}""",
     "ledger_documents": f"WITH {_LEDGERS} SELECT DISTINCT ledger, CASE WHEN form = 6 THEN 'missing' WHEN form > 6 THEN 'invalid:hash' ELSE 'sha256:hash' END AS state FROM d",
     "ledger_sources": f"WITH {_LEDGERS} SELECT ledger, source_id, kind, title, canonical_key, array_to_string(roots, '|') AS inbox_roots, official_root, entry_path FROM src",
     "ledger_units": f"""WITH {_LEDGERS} SELECT ledger, unit_id, source_id, kind, scope, processing_status, cleanup_status, basis, confidence, issues,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import traces
-from ..storage import exists, written
+from ..storage import Buckets, exists, written
 
 EVENT = (
     "event_id string, trace_id string, run_id string, span_id string, parent_span_id string, timestamp timestamp, agent string, session_key string,"
@@ -133,35 +133,28 @@ def session_steps(starts: DataFrame, key: str = "session_key", target: str = "ta
     return rows.groupBy("session_key").applyInPandasWithState(run, "session_key string, event_id string, step string", "target string", "append", "NoTimeout")
 
 
-def sync(changes: DataFrame, store: str, checkpoint: str, key: str = "path") -> StreamingQuery:
-    """Applies a stream of (key, sha256, deleted, ...) to a versioned Parquet store.
+def sync(changes: DataFrame, store: str, checkpoint: str, key: str = "path", buckets: int = 64) -> StreamingQuery:
+    """Applies a stream of (key, ..., deleted) to a bucketed Parquet store (``storage.Buckets``).
 
-    Each batch writes a new version and then moves the pointer to it, so readers always see a
-    whole version and a repeated batch gives the same one.
+    A batch rewrites only the buckets that hold one of its keys.  Readers always see whole batches, and a repeated batch
+    gives the same rows.  Of several rows of a key in a batch the one with the largest ``seq`` counts, if there is such a column.
     """
+    fields = [c for c in changes.columns if c != "deleted"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in changes.schema.fields if f.name != "deleted")
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fields = [c for c in batch.columns if c != "deleted"]
-        latest = batch.groupBy(key).agg(F.max_by(F.struct(*fields, "deleted"), "seq").alias("r")) if "seq" in fields else batch.groupBy(key).agg(F.first(F.struct(*fields, "deleted")).alias("r"))
-        fresh = latest.select("r.*")
-        before = current(spark, store, below=number)
-        kept = fresh.where("not deleted").select(*fields)
-        if before is not None:
-            kept = before.join(fresh.select(key), key, "left_anti").select(*fields).unionByName(kept)
-        kept.write.mode("overwrite").parquet(f"{store}/v={number}")
-        spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("append").json(f"{store}/pointer")
+        table = Buckets(batch.sparkSession, store, kinds, key, buckets)
+        row = F.struct(*fields, "deleted")
+        latest = batch.groupBy(key).agg((F.max_by(row, "seq") if "seq" in fields else F.first(row)).alias("r")).select("r.*")
+        latest = written(latest, f"{store}/batch={number}")
+        touched = {b for (b,) in latest.select(table.bucket()).distinct().collect()}
+        stays = table.read(touched, below=number).join(latest.select(key), key, "left_anti").select(*fields)
+        table.write(stays.unionByName(latest.where("not deleted").select(*fields)), touched, number, note=kinds)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, store: str, below: int | None = None) -> DataFrame | None:
-    """The store's last whole version (before batch ``below``), or None."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        versions = spark.read.schema("version long").json(f"{store}/pointer")
-        last = (versions if below is None else versions.where(F.col("version") < below)).agg(F.max("version")).first()[0]
-    except AnalysisException:
-        return None
-    return None if last is None else spark.read.parquet(f"{store}/v={last}")
+def current(spark: SparkSession, store: str) -> DataFrame | None:
+    """The rows that the batches so far have left in the store; None before the first."""
+    found = Buckets(spark, store, "key string", "key").manifest()
+    return None if found is None else Buckets(spark, store, found[2], "key").read()
