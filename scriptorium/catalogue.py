@@ -8,6 +8,7 @@ aliases and links are derived from its columns by arithmetic, ``pages`` give hea
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,10 +19,10 @@ from .functions import paths as P
 from .functions import text as T
 from .operators import catalog as C
 from .operators import catalog_sync as CS
-from .operators import chunk_index, chunks, digests, evaluation, ledger, retrieval, traces
+from .operators import chunk_index, chunks, context, digests, evaluation, ledger, retrieval, traces
 from .plans import envelopes
 from .session import attach
-from .storage import workspace
+from .storage import workspace, written
 
 COLLECTIONS = [
     C.Collection("sources", ("Sources",), related=("english", "archive")),
@@ -603,6 +604,24 @@ def watermarks(spark, sf):
     return found[0].union(found[1]).union(found[2]).union(found[3])
 
 
+def _foci(spark, sf):
+    """Notes whose id 50 divides, by path; folders, queries, a collection, and a place that isn't there."""
+    named = _notes(spark, sf).where("doc_id % 50 = 0").select(F.concat(F.lit("note"), "doc_id").alias("focus"), F.lit("path").alias("kind"), F.regexp_replace("path", r"\.md$", "").alias("value"))
+    more = [("d1", "path", "Sources/en"), ("d2", "path", "Sources/fr/src1"), ("d3", "path", "Nowhere"), ("d4", "path", "Notes"), ("d5", "path", "d42"), ("q1", "query", "doc_12"), ("q2", "query", "s7"), ("c1", "collection", "english")]
+    return named.union(spark.createDataFrame(more, "focus string, kind string, value string"))
+
+
+def context_sections(spark, sf):
+    folder, notes = workspace(spark, "context"), _notes(spark, sf)
+    found = ledger.shred(_ledgers(spark, sf))
+    kept = replace(found, units=written(found.units, f"{folder}/units"), sources=written(found.sources, f"{folder}/sources"))
+    return context.sections(_foci(spark, sf), notes, COLLECTIONS, kept, folder)
+
+
+def route_capsules(spark, sf):
+    return context.routes(context_sections(spark, sf), budget=700, least=600)
+
+
 _NAMES = (
     "tokenize_docs term_freq doc_freq corpus_stats bm25_topk bm25_scoped hash_embed_dims dense_topk_vectors hybrid_topk split_windows"
     " heading_sections extract_links resolve_links backlink_counts match_tiers find_exact find_page resolve_path collection_membership"
@@ -610,7 +629,7 @@ _NAMES = (
     " ambiguous_names snapshot_diff possible_moves chunk_audit catalog_issues severity_counts content_digest ledger_cross_check envelope_routes event_redaction"
     " readme_ancestors identity_totals legacy_moves issue_bag issue_totals event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
     " eval_submissions eval_failures eval_consistency link_counts find_within warning_codes ledger_inputs ledger_outputs"
-    " chunk_search chunk_search_scoped index_sync index_audit ledger_documents ledger_sources ledger_units ledger_issues ledger_focus event_redaction_typed catalog_sync watermarks"
+    " chunk_search chunk_search_scoped index_sync index_audit ledger_documents ledger_sources ledger_units ledger_issues ledger_focus event_redaction_typed catalog_sync watermarks context_sections route_capsules"
 )
 
 

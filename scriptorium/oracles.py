@@ -231,7 +231,63 @@ def _tree(name: str, rows: str) -> str:
 
 _KEY = "CASE WHEN state = 'stable' THEN id ELSE 'legacy-path:' || path END"
 
+_CONTEXT = f"""{_NOTES}, {_LEDGERS},
+foci AS (SELECT 'note' || doc_id AS focus, 'path' AS kind, bare AS value FROM notes WHERE doc_id % 50 = 0 UNION ALL
+  SELECT unnest(['d1', 'd2', 'd3', 'd4', 'd5', 'q1', 'q2', 'c1']), unnest(['path', 'path', 'path', 'path', 'path', 'query', 'query', 'collection']), unnest(['Sources/en', 'Sources/fr/src1', 'Nowhere', 'Notes', 'd42', 'doc_12', 's7', 'english'])),
+named AS (SELECT f.focus, count(DISTINCT l.path) AS n, min(l.path) AS path FROM foci f JOIN lookup l ON l.key = lower(f.value) WHERE f.kind = 'path' GROUP BY f.focus),
+aims AS (SELECT f.focus, f.value, coalesce(x.path, CASE WHEN m.n = 1 THEN m.path END) AS path, CASE WHEN x.path IS NULL AND m.n > 1 THEN m.n ELSE 0 END AS several
+  FROM foci f LEFT JOIN notes x ON x.path IN (f.value, f.value || '.md') LEFT JOIN named m ON m.focus = f.focus WHERE f.kind = 'path'),
+aimed AS (SELECT focus, path FROM aims WHERE path IS NOT NULL), loose AS (SELECT focus, value AS folder, several FROM aims WHERE path IS NULL),
+below AS (SELECT l.focus, split_part(substr(n.path, length(l.folder) + 2), '/', 1) AS name FROM loose l JOIN notes n ON starts_with(n.path, l.folder || '/')),
+hits AS (SELECT f.focus, n.path, row_number() OVER (PARTITION BY f.focus ORDER BY CASE WHEN stem = lower(value) THEN 96 WHEN starts_with(lower(title), lower(value)) OR starts_with(alias, lower(value)) OR starts_with(stem, lower(value)) OR starts_with(lower(path), lower(value)) THEN 80 ELSE 60 END DESC, lower(path), path) AS turn
+  FROM foci f JOIN notes n ON contains(lower(n.path), lower(value)) OR contains(lower(n.title), lower(value)) OR contains(alias, lower(value)) OR contains(stem, lower(value)) WHERE f.kind = 'query'),
+unit_paths AS (SELECT ledger, unit_id, unnest(list_transform(ins, lambda e: e.p)) AS path FROM units UNION ALL
+  SELECT ledger, unit_id, unnest(list_transform(list_filter(outs, lambda e: e.i = ''), lambda e: e.p)) FROM units UNION ALL
+  SELECT u.ledger, u.unit_id, unnest(s.roots) FROM units u JOIN src s ON u.ledger = s.ledger AND u.source_id = s.source_id),
+touched AS (SELECT DISTINCT a.focus, p.ledger, p.unit_id FROM (SELECT focus, coalesce(path, value) AS spot FROM aims) a JOIN unit_paths p ON lower(p.path) = lower(a.spot) OR (NOT contains(a.spot, '.') AND starts_with(lower(p.path), lower(a.spot) || '/')) UNION
+  SELECT f.focus, u.ledger, u.unit_id FROM foci f JOIN units u ON contains(lower(u.unit_id), lower(f.value)) OR contains(lower(u.source_id), lower(f.value)) WHERE f.kind = 'query'),
+sourced AS (SELECT DISTINCT t.focus, s.ledger, s.source_id FROM touched t JOIN units u USING (ledger, unit_id) JOIN src s ON s.ledger = u.ledger AND s.source_id = u.source_id),
+places AS (SELECT focus, path, 0 AS t FROM aimed UNION ALL SELECT focus, folder || '/x', 0 FROM loose UNION ALL SELECT focus, path, turn FROM hits WHERE turn <= 12),
+collected AS (SELECT focus, 'sources' AS name, t, 1 AS depth, 0 AS ord FROM places WHERE starts_with(lower(path), 'sources/') UNION ALL
+  SELECT focus, 'english', t, 2, 1 FROM places WHERE starts_with(lower(path), 'sources/en/') UNION ALL SELECT focus, 'romance', t, 2, 2 FROM places WHERE regexp_matches(lower(path), '^sources/(fr|es|it)/') UNION ALL
+  SELECT focus, 'first', t, 3, 3 FROM places WHERE regexp_matches(lower(path), '^sources/(en|de)/src1/') UNION ALL SELECT 'c1', 'english', 0, 0, 0),
+matched AS (SELECT focus, name, min((t, -depth, ord)) AS spot FROM collected GROUP BY focus, name),
+hints(name, related, i) AS (VALUES ('sources', 'english', 0), ('sources', 'archive', 1), ('english', 'romance', 0), ('romance', 'english', 0), ('romance', 'sources', 1)),
+reached AS (SELECT m.focus, h.related AS name, min((m.spot, h.i)) AS spot FROM matched m JOIN hints h USING (name) WHERE (m.focus, h.related) NOT IN (SELECT (focus, name) FROM matched) GROUP BY 1, 2),
+items AS (
+  SELECT focus, 'outlinks' AS section, target AS item, row_number() OVER (PARTITION BY focus ORDER BY ord) AS position FROM aimed JOIN out_links USING (path) UNION ALL
+  SELECT focus, 'backlinks', item, row_number() OVER (PARTITION BY focus ORDER BY lower(item), item) FROM (SELECT DISTINCT a.focus, e.path AS item FROM aimed a JOIN lookup l ON l.path = a.path JOIN ends e ON e.key = l.key) UNION ALL
+  SELECT focus, 'siblings', item, row_number() OVER (PARTITION BY focus ORDER BY lower(item), item) FROM (SELECT a.focus, o.path AS item FROM aimed a JOIN notes n ON n.path = a.path JOIN notes o ON o.folder = n.folder AND o.path <> n.path) UNION ALL
+  SELECT focus, 'children', name || ':' || n, row_number() OVER (PARTITION BY focus ORDER BY lower(name), name) FROM (SELECT focus, name, count(*) AS n FROM below GROUP BY ALL) UNION ALL
+  SELECT focus, 'focus_issues', code, row_number() OVER (PARTITION BY focus ORDER BY code) FROM (SELECT focus, 'focus_ambiguous' AS code FROM loose WHERE several > 1 UNION ALL SELECT focus, 'focus_not_found' FROM loose WHERE focus NOT IN (SELECT focus FROM below)) UNION ALL
+  SELECT focus, 'matches', path, turn FROM hits UNION ALL
+  SELECT focus, 'reading_units', item, row_number() OVER (PARTITION BY focus ORDER BY lower(item), item) FROM (SELECT focus, ledger || '/' || unit_id AS item FROM touched) UNION ALL
+  SELECT focus, 'reading_sources', item, row_number() OVER (PARTITION BY focus ORDER BY lower(item), item) FROM (SELECT focus, ledger || '/' || source_id AS item FROM sourced) UNION ALL
+  SELECT focus, 'matched_collections', name, row_number() OVER (PARTITION BY focus ORDER BY spot, name) FROM matched UNION ALL
+  SELECT focus, 'related_collections', name, row_number() OVER (PARTITION BY focus ORDER BY spot, name) FROM reached),
+around AS (SELECT *, count(*) OVER (PARTITION BY focus, section) AS total, CASE WHEN section LIKE '%collections' THEN 64 ELSE 12 END AS most FROM items),
+shown AS (SELECT focus, section, position, item, total, total > most AS truncated FROM around WHERE position <= most)"""
+_ROUTE = "['reading_units', 'matched_collections', 'related_collections', 'reading_sources', 'matches', 'focus_issues', 'children', 'outlinks', 'backlinks', 'embeds', 'siblings']"
+
 SQL = {
+    "context_sections": f"WITH {_CONTEXT} SELECT focus, section, CAST(position AS INTEGER) AS position, item, total, truncated FROM shown",
+    "route_capsules": f"""WITH RECURSIVE {_CONTEXT},
+        rungs AS (SELECT unnest({_ROUTE}) AS section, unnest(range(11)) AS s),
+        queue AS (SELECT focus, s, section, length(to_json(item)) AS chars, to_json(item) AS json, total, row_number() OVER (PARTITION BY focus ORDER BY s, position) AS n FROM shown JOIN rungs USING (section)),
+        totals AS (SELECT f.focus, n.section, n.s, coalesce(max(q.total), 0) AS total FROM (SELECT DISTINCT focus FROM queue) f CROSS JOIN rungs n LEFT JOIN queue q ON q.focus = f.focus AND q.s = n.s GROUP BY ALL),
+        blank AS (SELECT focus, 2 + 11 + sum(length(section) + 5) + 12 + sum(length(section) + 3 + length(CAST(total AS VARCHAR))) + 10 AS base FROM totals GROUP BY focus),
+        walk(focus, n, used, s, taken, stopped, fits) AS (
+          SELECT focus, 0, CAST(base AS BIGINT), -1, 0, FALSE, FALSE FROM blank UNION ALL
+          SELECT focus, n, CASE WHEN ok THEN after ELSE used END, s, before + CASE WHEN ok THEN 1 ELSE 0 END, NOT ok, ok FROM (
+            SELECT *, NOT halted AND after + 16 <= 700 AS ok FROM (
+              SELECT w.focus, q.n, w.used, q.s, CASE WHEN w.s = q.s THEN w.taken ELSE 0 END AS before, w.s = q.s AND w.stopped AS halted,
+                w.used + q.chars + CASE WHEN w.s = q.s AND w.taken > 0 THEN 1 ELSE 0 END + length(CAST(q.total - CASE WHEN w.s = q.s THEN w.taken ELSE 0 END - 1 AS VARCHAR)) - length(CAST(q.total - CASE WHEN w.s = q.s THEN w.taken ELSE 0 END AS VARCHAR)) AS after
+              FROM walk w JOIN queue q ON q.focus = w.focus AND q.n = w.n + 1))),
+        kept AS (SELECT q.* FROM walk w JOIN queue q ON q.focus = w.focus AND q.n = w.n WHERE w.fits),
+        parts AS (SELECT t.focus, t.section, t.total - count(k.n) AS missing, '"' || t.section || '":[' || coalesce(string_agg(k.json, ',' ORDER BY k.n), '') || ']' AS shown FROM totals t LEFT JOIN kept k ON k.focus = t.focus AND k.s = t.s GROUP BY t.focus, t.section, t.total),
+        fields AS (SELECT focus, section AS name, shown AS text FROM parts UNION ALL SELECT focus, 'omitted', '"omitted":{{' || string_agg('"' || section || '":' || missing, ',' ORDER BY section) || '}}' FROM parts GROUP BY focus),
+        capsules AS (SELECT focus, '{{' || string_agg(text, ',' ORDER BY name) || '}}' AS capsule FROM fields GROUP BY focus)
+        SELECT c.focus, CAST(length(c.capsule) AS BIGINT) AS used_chars, (SELECT bool_or(missing > 0) FROM parts p WHERE p.focus = c.focus) AS truncated, c.capsule FROM capsules c""",
     "catalog_sync": """WITH s AS (SELECT doc_id AS n, doc_id % 11 = 0 AS gone, doc_id % 11 <> 0 AND doc_id % 17 = 0 AS moved, doc_id % 7 = 0 OR doc_id % 5 = 0 AS touched FROM documents WHERE doc_id IS NOT NULL),
         f AS (SELECT *, NOT gone AND (moved OR touched) AS opened FROM s)
         SELECT 0 AS sync, count(*) AS scanned, count(*) AS files, count(*) AS changed, 0 AS unchanged, 0 AS deleted, 0 AS errors, count(*) AS opened, 0 AS possible_legacy_moves FROM f UNION ALL
