@@ -183,14 +183,6 @@ def related_collections(spark, sf):
     return found.groupBy("collection").agg(F.count(F.lit(1)).alias("files"))
 
 
-def ancestor_paths(spark, sf):
-    notes = _notes(spark, sf).select("path")
-    readmes = notes.select(F.concat(P.parent(F.col("path")), F.lit("/README.md")).alias("path")).distinct()
-    top = notes.sparkSession.createDataFrame([("README.md",), ("Sources/README.md",)], "path string")
-    found = C.ancestor_readmes(notes.union(readmes).union(top))
-    return found.select("path", "readme", "distance")
-
-
 def readme_ancestors(spark, sf):
     notes = _notes(spark, sf).select("path")
     readmes = notes.select(F.concat(P.parent(F.col("path")), F.lit("/README.md")).alias("path")).distinct()
@@ -209,7 +201,9 @@ def legacy_moves(spark, sf):
 
 
 def issue_bag(spark, sf):
-    return C.issue_bag(_notes(spark, sf), COLLECTIONS, ("Sources/en",))
+    """The catalog's own issues with those of the ledgers, whose units stand as targets."""
+    more = ledger.shred(_ledgers(spark, sf)).issues.withColumnRenamed("unit_id", "target")
+    return C.issue_bag(_notes(spark, sf), COLLECTIONS, ("Sources/en",), more)
 
 
 def issue_totals(spark, sf):
@@ -226,10 +220,6 @@ def frontmatter_fields(spark, sf):
     return m.select("doc_id", F.col("m")["title"].alias("title"), F.col("m")["type"].alias("type"), F.col("m")["area"].alias("area"), F.array_join(T.list_items(F.col("m")["tags"]), "|").alias("tags"), F.size("m").alias("fields"))
 
 
-def identity_summary(spark, sf):
-    return C.identity_summary(_notes(spark, sf))
-
-
 def duplicate_ids(spark, sf):
     return C.duplicate_ids(_notes(spark, sf))
 
@@ -243,11 +233,6 @@ def snapshot_diff(spark, sf):
     return C.snapshot_diff(notes, _edited(notes)).groupBy("change").agg(F.count(F.lit(1)).alias("files"))
 
 
-def possible_moves(spark, sf):
-    notes = _notes(spark, sf)
-    return C.possible_moves(notes, _edited(notes))
-
-
 def chunk_audit(spark, sf):
     pieces = chunks.split_windows(_read(spark, sf, "documents"))
     name = P.chunk_id(F.concat(F.lit("Doc_"), F.col("doc_id")), F.col("piece"))
@@ -256,14 +241,6 @@ def chunk_audit(spark, sf):
     return C.chunk_audit(want, have)
 
 
-def catalog_issues(spark, sf):
-    return C.issues(_notes(spark, sf), COLLECTIONS, ("Sources/en",))
-
-
-def severity_counts(spark, sf):
-    return C.severity_counts(C.issues(_notes(spark, sf), COLLECTIONS, ("Sources/en",)))
-
-
 def content_digest(spark, sf):
     return C.digest(_notes(spark, sf), "path", "sha256")
 
@@ -369,7 +346,7 @@ def eval_rollup(spark, sf):
 
 def _submissions(spark, sf):
     """Cases by document, and the results of two agents, one of which leaves some out."""
-    d = _read(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", F.col("doc_id").cast("string").alias("case_id"))
+    d = _read(spark, sf, "documents").select("doc_id", F.col("doc_id").cast("string").alias("case_id"))
     n = F.col("doc_id")
     names = lambda first, step, k: F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.concat(F.lit("p"), (n * first + i * step) % 11))
     cases = d.select(
@@ -400,12 +377,14 @@ def eval_consistency(spark, sf):
 
 
 def link_counts(spark, sf):
-    return C.link_counts(_notes(spark, sf), 2)
+    n = F.col("doc_id")
+    some = lambda k: F.slice("outlinks", F.lit(1), (n % k).cast("int"))
+    return C.link_counts(_notes(spark, sf).withColumn("embeds", some(3)).withColumn("outlinks", some(6)), 2)
 
 
 def find_within(spark, sf):
     notes = _notes(spark, sf).withColumn("type", F.when(F.col("doc_id") % 2 == 0, "Book").otherwise("note"))
-    return C.find(C.within(notes, COLLECTIONS, "english", "Sources/en/src1", "book"), ["doc_1"])
+    return C.find(C.within(notes, COLLECTIONS, "english", "Sources/en", "book"), ["doc_1", "doc_", "src1"])
 
 
 def warning_codes(spark, sf):
@@ -622,14 +601,36 @@ def route_capsules(spark, sf):
     return context.routes(context_sections(spark, sf), budget=700, least=600)
 
 
+WIDE = ["doc_12", "ＤＯＣ  7", "Ｄ42", "STRASSE 3", "straße", "ﬁ"]
+
+
+def _wide_notes(spark, sf):
+    """Notes whose titles, aliases and links are written in full width or with letters that only case folding matches."""
+    n, wide = F.col("doc_id"), lambda c: F.translate(c, "Do", "Ｄｏ")
+    notes = _notes(spark, sf)
+    title = F.when(n % 4 == 0, wide(F.col("title"))).otherwise(F.col("title"))
+    aliases = F.concat(F.when(n % 4 == 1, F.transform("aliases", wide)).otherwise(F.col("aliases")), F.array(F.concat(F.lit("Straße "), n % 7)))
+    links = F.when(n % 4 == 2, F.transform("outlinks", wide)).otherwise(F.col("outlinks"))
+    return notes.withColumns({"title": title, "aliases": aliases, "outlinks": links})
+
+
+def match_tiers_folded(spark, sf):
+    return C.find(_wide_notes(spark, sf), WIDE)
+
+
+def resolve_links_folded(spark, sf):
+    return C.resolve_links(_wide_notes(spark, sf))
+
+
 _NAMES = (
     "tokenize_docs term_freq doc_freq corpus_stats bm25_topk bm25_scoped hash_embed_dims dense_topk_vectors hybrid_topk split_windows"
     " heading_sections extract_links resolve_links backlink_counts match_tiers find_exact find_page resolve_path collection_membership"
-    " primary_collection collection_summary child_counts related_collections ancestor_paths frontmatter_fields identity_summary duplicate_ids"
-    " ambiguous_names snapshot_diff possible_moves chunk_audit catalog_issues severity_counts content_digest ledger_cross_check envelope_routes event_redaction"
+    " primary_collection collection_summary child_counts related_collections frontmatter_fields duplicate_ids"
+    " ambiguous_names snapshot_diff chunk_audit content_digest ledger_cross_check envelope_routes event_redaction"
     " readme_ancestors identity_totals legacy_moves issue_bag issue_totals event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
     " eval_submissions eval_failures eval_consistency link_counts find_within warning_codes ledger_inputs ledger_outputs"
     " chunk_search chunk_search_scoped index_sync index_audit ledger_documents ledger_sources ledger_units ledger_issues ledger_focus event_redaction_typed catalog_sync watermarks context_sections route_capsules"
+    " match_tiers_folded resolve_links_folded"
 )
 
 

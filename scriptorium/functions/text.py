@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -28,16 +32,38 @@ def tokens(text: Column) -> Column:
 
 
 def match_key(text: Column) -> Column:
-    """Lower case, blanks collapsed: the lookup key (exact for ASCII; see ``fold_key``)."""
+    """Lower case, blanks collapsed: the lookup key of ASCII texts (``folded`` is for any)."""
     return F.lower(F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
 
 
+def fold_text(text: str | None) -> str:
+    """The lookup key for any script: NFKC, case folding, blanks collapsed; null is empty."""
+    return " ".join(unicodedata.normalize("NFKC", text or "").casefold().split())
+
+
 @F.pandas_udf(StringType())
 def fold_key(text):
-    """The lookup key for any script: NFKC, case folding, blanks collapsed."""
-    import unicodedata
+    """``fold_text`` as a column."""
+    return text.map(fold_text, na_action=None)
+
+
+def folded(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the texts of an array column as their lookup keys.
+
+    Rows of ASCII texts stay in the JVM; only the others take an Arrow pass.  Null texts are empty keys, a null
+    array an empty one.
+    """
+    given = rows.withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
+    plain = F.array_join(column, "").rlike(r"^\p{ASCII}*$")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.schema.names.index(column)
+            keys = [[fold_text(t) for t in texts] for texts in batch.column(i).to_pylist()]
+            yield batch.set_column(i, column, pa.array(keys, pa.list_(pa.string())))
 
-    return text.fillna("").map(lambda x: " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
+    native = given.where(plain).withColumn(column, F.transform(column, match_key))
+    return native.unionByName(given.where(~plain).mapInArrow(run, given.schema))
 
 
 def hash_dimension(token: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions.text import match_key
+from ..functions.text import fold_text, folded, match_key
 
 STABLE = r"^note_[0-9a-f]{32}$"
 
@@ -79,14 +79,6 @@ def related(members: DataFrame, collections: list[Collection]) -> DataFrame:
     return reached.join(members.select("path", "collection"), ["path", "collection"], "left_anti")
 
 
-def ancestor_readmes(notes: DataFrame, name: str = "README.md") -> DataFrame:
-    """(path, readme, distance) of the cataloged README files in the folders above each note."""
-    above = notes.select("path", F.posexplode(P.ancestors(F.col("path"))).alias("distance", "folder"))
-    readme = F.when(F.col("folder") == "", F.lit(name)).otherwise(F.concat("folder", F.lit("/" + name)))
-    made = above.select("path", "distance", readme.alias("readme")).where("path <> readme")
-    return made.join(notes.select(F.col("path").alias("readme")), "readme", "left_semi")
-
-
 def readmes_above(notes: DataFrame, name: str = "README.md") -> DataFrame:
     """(path, depth, readme): the cataloged README files of the folders on the way to each note.
 
@@ -101,10 +93,11 @@ def readmes_above(notes: DataFrame, name: str = "README.md") -> DataFrame:
 
 
 def lookup(notes: DataFrame) -> DataFrame:
-    """(key, path): every name a note answers to."""
+    """(key, path): every name a note answers to, folded for any script."""
     p = F.col("path")
     names = F.concat(F.array(p, P.without_suffix(p), P.stem(p), F.coalesce("id", F.lit("")), F.coalesce("title", F.lit(""))), F.coalesce("aliases", F.array().cast("array<string>")))
-    return notes.select("path", F.explode(F.array_distinct(F.transform(names, match_key))).alias("key")).where("key <> ''").select("key", "path")
+    keys = folded(notes.select("path", names.alias("names")), "names")
+    return keys.select("path", F.explode(F.array_distinct("names")).alias("key")).where("key <> ''").select("key", "path")
 
 
 def ambiguous_names(notes: DataFrame) -> DataFrame:
@@ -112,20 +105,20 @@ def ambiguous_names(notes: DataFrame) -> DataFrame:
     return lookup(notes).groupBy("key").agg(F.count(F.lit(1)).alias("paths")).where("paths > 1")
 
 
-def link_keys(path: Column, target: Column) -> Column:
-    """The keys a link may be found under; an empty target is the note itself."""
+def link_names(path: Column, target: Column) -> Column:
+    """The names a link may be found under; an empty target is the note itself."""
     clean = F.btrim(F.replace(target, F.lit("\\"), F.lit("/")), F.lit(" /"))
     bare = F.when(F.lower(P.suffix(clean)) == ".md", P.without_suffix(clean)).otherwise(clean)
     folder = P.parent(path)
     beside = F.when(folder == "", bare).otherwise(F.concat(folder, F.lit("/"), bare))
-    keys = F.when(F.instr(clean, "/") > 0, F.array(match_key(bare), match_key(beside))).otherwise(F.array(match_key(bare)))
-    return F.when(clean == "", F.array(match_key(path))).otherwise(F.array_distinct(keys))
+    return F.when(clean == "", F.array(path)).when(F.instr(clean, "/") > 0, F.array(bare, beside)).otherwise(F.array(bare))
 
 
 def edges(notes: DataFrame) -> DataFrame:
-    """(path, ord, target, key): an outgoing link for each key it may resolve under."""
+    """(path, ord, target, key): an outgoing link for each key it may resolve under, folded for any script."""
     out = notes.select("path", F.posexplode("outlinks").alias("ord", "target"))
-    return out.select("path", "ord", "target", F.explode(link_keys(F.col("path"), F.col("target"))).alias("key"))
+    keys = folded(out.select("path", "ord", "target", link_names(F.col("path"), F.col("target")).alias("keys")), "keys")
+    return keys.select("path", "ord", "target", F.explode(F.array_distinct("keys")).alias("key"))
 
 
 def resolve_links(notes: DataFrame) -> DataFrame:
@@ -160,32 +153,38 @@ def link_counts(notes: DataFrame, most: int = 1000) -> DataFrame:
 # --- finding -------------------------------------------------------------
 
 
-def match_score(query: Column, exact: bool = False) -> Column:
-    """Tier of a note (columns path, title, aliases, id) for a query: 110 to 60, or null."""
-    p = F.col("path")
-    q, q_path = match_key(query), match_key(F.btrim(F.replace(query, F.lit("\\"), F.lit("/")), F.lit("/")))
-    whole = F.array(match_key(p), match_key(P.without_suffix(p)))
-    stem, title, alias = match_key(P.stem(p)), match_key(F.col("title")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), match_key)
-    names = F.concat(whole, F.array(stem, title), alias)
+def _with_keys(notes: DataFrame) -> DataFrame:
+    """path and ``keys``: the folded path, path without suffix, stem, title, id and aliases."""
+    p, none = F.col("path"), F.array().cast("array<string>")
+    names = F.concat(F.array(p, P.without_suffix(p), P.stem(p), F.col("title"), F.col("id")), F.coalesce("aliases", none))
+    return folded(notes.select("path", names.alias("keys")), "keys")
+
+
+def match_score(query: str, exact: bool = False) -> Column:
+    """Tier of a note (its ``keys``) for a query: 110 to 60, or null."""
+    q, q_path = F.lit(fold_text(query)), F.lit(fold_text(query.replace("\\", "/").strip("/")))
+    key = lambda i: F.get("keys", F.lit(i))
+    aliases = F.slice("keys", F.lit(6), F.size("keys"))
     tier = (
-        F.when((match_key(F.col("id")) != "") & (match_key(F.col("id")) == q), 110)
-        .when(F.array_contains(whole, q_path), 100)
-        .when(title == q, 98)
-        .when(F.array_contains(alias, q), 97)
-        .when(stem == q, 96)
+        F.when((key(4) != "") & (key(4) == q), 110)
+        .when((key(0) == q_path) | (key(1) == q_path), 100)
+        .when(key(3) == q, 98)
+        .when(F.array_contains(aliases, q), 97)
+        .when(key(2) == q, 96)
     )
+    names = F.concat(F.slice("keys", F.lit(1), F.lit(4)), aliases)
     return tier if exact else tier.when(F.exists(names, lambda v: F.startswith(v, q)), 80).when(F.exists(names, lambda v: F.contains(v, q)), 60)
 
 
 def find(notes: DataFrame, queries: list[str], exact: bool = False) -> DataFrame:
     """(query, path, score) of all matches; in exact mode only each query's best tier.
 
-    The stated queries are literals of one pass over the catalog.
+    Names and queries are folded for any script.  The stated queries are literals of one pass over the catalog.
     """
     if not all(q.strip() for q in queries):
         raise ValueError("a query must not be empty")
-    tried = [F.struct(F.lit(q).alias("query"), match_score(F.lit(q), exact).alias("score")) for q in queries]
-    hits = notes.select("path", F.explode(F.filter(F.array(*tried), lambda x: x["score"].isNotNull())).alias("m")).select("m.query", "path", "m.score")
+    tried = [F.struct(F.lit(q).alias("query"), match_score(q, exact).alias("score")) for q in queries]
+    hits = _with_keys(notes).select("path", F.explode(F.filter(F.array(*tried), lambda x: x["score"].isNotNull())).alias("m")).select("m.query", "path", "m.score")
     if exact:
         best = hits.groupBy("query").agg(F.max("score").alias("score"))
         hits = hits.join(F.broadcast(best), ["query", "score"])  # a row for each stated query
@@ -367,7 +366,3 @@ def warning_codes(found: DataFrame) -> DataFrame:
 def in_order(found: DataFrame) -> DataFrame:
     """Issues by severity, code, path and target, the last two without regard to case first."""
     return found.orderBy("severity", "code", F.lower("path"), "path", F.lower("target"), "target")
-
-
-def severity_counts(found: DataFrame) -> DataFrame:
-    return found.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("issues"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
-from ..functions.text import match_key
+from ..functions.text import folded, match_key
 from ..storage import written
 from . import catalog as C
 from . import ledger as L
@@ -27,7 +27,7 @@ def resolve_focus(foci: DataFrame, notes: DataFrame) -> DataFrame:
     as_is = asked.join(notes.select("path"), F.col("value") == F.col("path")).select("focus", "path", F.lit(0).alias("turn"))
     suffixed = asked.join(notes.select("path"), F.concat("value", F.lit(".md")) == F.col("path")).select("focus", "path", F.lit(1).alias("turn"))
     names = C.lookup(notes).groupBy("key").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("n"))
-    named = asked.withColumn("key", match_key(F.col("value"))).join(names, "key")
+    named = folded(asked.withColumn("keys", F.array("value")), "keys").select("focus", F.get("keys", F.lit(0)).alias("key")).join(names, "key")
     unique = named.where("n = 1").select("focus", "path", F.lit(2).alias("turn"))
     best = as_is.union(suffixed).union(unique).groupBy("focus").agg(F.min(F.struct("turn", "path")).alias("b"))
     found = asked.join(best, "focus", "left").join(named.select("focus", "n"), "focus", "left")

@@ -137,7 +137,7 @@ found AS (
 """
 
 _SUBMISSIONS = r"""
-d AS (SELECT doc_id AS n, CAST(doc_id AS VARCHAR) AS case_id FROM documents WHERE doc_id % 3 = 0),
+d AS (SELECT doc_id AS n, CAST(doc_id AS VARCHAR) AS case_id FROM documents),
 cases AS (SELECT case_id, n % 4 = 0 AS unsure, list_distinct(['p' || (2 * n) % 11, 'p' || (2 * n + 3) % 11, 'p' || (2 * n + 6) % 11]) AS must,
     list_distinct(['p' || (5 * n) % 11, 'p' || (5 * n + 1) % 11]) AS never, CASE WHEN n % 2 = 0 THEN ['reason', 'links'] ELSE [] END AS proofs FROM d),
 given AS (SELECT agent, case_id, CASE WHEN n % (8 * k) = 0 THEN 'complete' ELSE 'target_required' END AS status, ['p' || (2 * n) % 11, 'p' || (2 * n + 3) % 11] AS found,
@@ -269,7 +269,19 @@ around AS (SELECT *, count(*) OVER (PARTITION BY focus, section) AS total, CASE
 shown AS (SELECT focus, section, position, item, total, total > most AS truncated FROM around WHERE position <= most)"""
 _ROUTE = "['reading_units', 'matched_collections', 'related_collections', 'reading_sources', 'matches', 'focus_issues', 'children', 'outlinks', 'backlinks', 'embeds', 'siblings']"
 
+_BAG = f"""{_ISSUES}, {_LEDGERS}, broken AS ({_BROKEN}),
+bag AS (
+  SELECT severity, code, path, target FROM found WHERE code <> 'missing_stable_id' UNION ALL
+  (SELECT severity, code, path, target FROM found WHERE code = 'missing_stable_id' ORDER BY lower(path), path LIMIT 1) UNION ALL
+  SELECT severity, code, path, unit_id FROM broken)"""
+
 SQL = {
+    "match_tiers_folded": f"""WITH {_NOTES}, asked AS (SELECT unnest(['doc_12', 'ＤＯＣ  7', 'Ｄ42', 'STRASSE 3', 'straße', 'ﬁ']) AS query, unnest(['doc_12', 'doc 7', 'd42', 'strasse 3', 'strasse', 'fi']) AS q),
+        n AS (SELECT *, [lower(path), lower(bare), stem, lower(title), alias, 'strasse ' || doc_id % 7] AS keys FROM notes)
+        SELECT query, path, CAST(score AS INTEGER) AS score FROM (SELECT query, path, CASE WHEN q IN (lower(path), lower(bare)) THEN 100 WHEN q = lower(title) THEN 98 WHEN q IN (alias, 'strasse ' || doc_id % 7) THEN 97 WHEN q = stem THEN 96
+          WHEN len(list_filter(keys, lambda k: starts_with(k, q))) > 0 THEN 80 WHEN len(list_filter(keys, lambda k: contains(k, q))) > 0 THEN 60 END AS score FROM asked, n) WHERE score IS NOT NULL""",
+    "resolve_links_folded": f"""WITH {_NOTES} SELECT r.path, CAST(r.ord AS INTEGER) AS ord, CASE WHEN n.doc_id % 4 = 2 THEN translate(r.target, 'Do', 'Ｄｏ') ELSE r.target END AS target, r.status, r.resolved
+        FROM resolved r JOIN notes n USING (path)""",
     "context_sections": f"WITH {_CONTEXT} SELECT focus, section, CAST(position AS INTEGER) AS position, item, total, truncated FROM shown",
     "route_capsules": f"""WITH RECURSIVE {_CONTEXT},
         rungs AS (SELECT unnest({_ROUTE}) AS section, unnest(range(11)) AS s),
@@ -393,25 +405,16 @@ SQL = {
     "related_collections": f"""WITH {_NOTES}, links AS (SELECT unnest([['sources', 'english'], ['sources', 'archive'], ['english', 'romance'], ['romance', 'english'], ['romance', 'sources']]) AS l),
         reached AS (SELECT DISTINCT m.path, l[2] AS collection FROM members m JOIN links ON l[1] = m.collection)
         SELECT r.collection, count(*) AS files FROM reached r WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.path = r.path AND m.collection = r.collection) GROUP BY 1""",
-    "ancestor_paths": f"""WITH {_NOTES}, files AS (
-          SELECT path FROM notes UNION ALL SELECT DISTINCT folder || '/README.md' FROM notes UNION ALL SELECT unnest(['README.md', 'Sources/README.md'])),
-        parts AS (SELECT path, string_split(path, '/') AS p FROM files),
-        above AS (SELECT path, len(p) - 1 - n AS distance, CASE WHEN n = 0 THEN 'README.md' ELSE array_to_string(p[1:n], '/') || '/README.md' END AS readme FROM (SELECT path, p, unnest(range(0, len(p))) AS n FROM parts))
-        SELECT path, readme, CAST(distance AS INTEGER) AS distance FROM above WHERE path <> readme AND readme IN (SELECT path FROM files)""",
     "frontmatter_fields": "SELECT doc_id, 'Last ' || doc_id AS title, coalesce(lang, '') AS type, coalesce(source, '') AS area, 'a' || (doc_id % 3) || '|b' AS tags, CAST(4 AS INTEGER) AS fields FROM documents",
-    "identity_summary": f"WITH {_NOTES} SELECT state, count(*) AS files FROM state GROUP BY state",
     "duplicate_ids": f"WITH {_NOTES} SELECT id, count(*) AS files, min(path) AS first_path FROM state WHERE state = 'stable' GROUP BY id HAVING count(*) > 1",
     "ambiguous_names": f"WITH {_NOTES} SELECT key, count(*) AS paths FROM lookup GROUP BY key HAVING count(*) > 1",
     "snapshot_diff": f"""WITH {_NOTES} SELECT CASE WHEN n.path IS NULL THEN 'added' WHEN l.path IS NULL THEN 'deleted' WHEN n.sha256 = l.sha256 THEN 'unchanged' ELSE 'changed' END AS change, count(*) AS files
         FROM notes n FULL JOIN later l ON n.path = l.path GROUP BY 1""",
-    "possible_moves": f"""WITH {_NOTES}, gone AS (SELECT sha256, min(path) AS old_path FROM notes WHERE path NOT IN (SELECT path FROM later) GROUP BY sha256 HAVING count(*) = 1),
-        come AS (SELECT sha256, min(path) AS new_path FROM later WHERE path NOT IN (SELECT path FROM notes) GROUP BY sha256 HAVING count(*) = 1) SELECT old_path, new_path FROM gone JOIN come USING (sha256)""",
     "chunk_audit": f"""WITH RECURSIVE {_PIECES}, named AS (
           SELECT doc_id, piece, substr(sha1('doc_' || doc_id), 1, 16) || '::' || CASE WHEN piece < 10000 THEN lpad(CAST(piece AS VARCHAR), 4, '0') ELSE CAST(piece AS VARCHAR) END AS chunk_id FROM pieces),
         have AS (SELECT CASE WHEN piece = 2 THEN chunk_id || 'x' ELSE chunk_id END AS chunk_id FROM named WHERE doc_id % 13 <> 0)
         SELECT chunk_id, 'missing' AS problem FROM named WHERE chunk_id NOT IN (SELECT chunk_id FROM have) UNION ALL
         SELECT chunk_id, 'orphaned' FROM have WHERE chunk_id NOT IN (SELECT chunk_id FROM named)""",
-    "catalog_issues": f"WITH {_ISSUES} SELECT severity, code, path, target FROM found",
     "readme_ancestors": f"""WITH {_NOTES}, files AS (
           SELECT path FROM notes UNION ALL SELECT DISTINCT folder || '/README.md' FROM notes UNION ALL SELECT unnest(['README.md', 'Sources/README.md'])),
         parts AS (SELECT path, string_split(path, '/') AS p FROM files),
@@ -423,11 +426,8 @@ SQL = {
         gone AS (SELECT sha256, min(path) AS old_path FROM notes WHERE id = '' AND path NOT IN (SELECT path FROM after) GROUP BY sha256 HAVING count(*) = 1),
         come AS (SELECT sha256, min(path) AS new_path FROM after WHERE id = '' AND path NOT IN (SELECT path FROM notes) GROUP BY sha256 HAVING count(*) = 1)
         SELECT old_path, new_path FROM gone JOIN come USING (sha256)""",
-    "issue_bag": f"""WITH {_ISSUES} SELECT severity, code, path, target FROM found WHERE code <> 'missing_stable_id' UNION ALL
-        (SELECT severity, code, path, target FROM found WHERE code = 'missing_stable_id' ORDER BY lower(path), path LIMIT 1)""",
-    "issue_totals": f"""WITH {_ISSUES} SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning' AND code <> 'missing_stable_id')
-        + CAST(bool_or(code = 'missing_stable_id') AS BIGINT) AS warnings FROM found""",
-    "severity_counts": f"WITH {_ISSUES} SELECT severity, code, count(*) AS issues FROM found GROUP BY ALL",
+    "issue_bag": f"WITH {_BAG} SELECT severity, code, path, target FROM bag",
+    "issue_totals": f"WITH {_BAG} SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM bag",
     "content_digest": f"""WITH {_NOTES}, h AS (SELECT sha256(path || chr(31) || sha256) AS h FROM notes), lots AS (SELECT substr(h, 1, 3) AS lot, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1)
         SELECT sha256(string_agg(h, '' ORDER BY lot)) AS digest FROM lots""",
     "ledger_cross_check": f"WITH {_LEDGER} SELECT severity, code, count(*) AS issues, min(unit_id) AS first_unit, count(*) FILTER (target <> '') AS with_target FROM found GROUP BY severity, code",
@@ -476,10 +476,10 @@ SQL = {
         i AS (SELECT case_id, item, count(*) AS n FROM (SELECT case_id, unnest(adopted) AS item FROM given) GROUP BY ALL),
         j AS (SELECT case_id, count(*) FILTER (n = 2) / count(*) AS share FROM i GROUP BY case_id), s AS (SELECT case_id, count(*) = 2 AND count(DISTINCT status) = 1 AS same FROM given GROUP BY case_id)
         SELECT case_id, same AS status_agreement, round(share, 4) AS adopted_jaccard FROM s JOIN j USING (case_id)""",
-    "link_counts": f"""WITH {_NOTES}, b AS (SELECT l.path, count(DISTINCT e.path) AS n FROM ends e JOIN lookup l USING (key) GROUP BY l.path)
-        SELECT path, CAST(5 AS INTEGER) AS outlinks, CAST(0 AS INTEGER) AS embeds, least(coalesce(n, 0), 2) AS backlinks FROM notes LEFT JOIN b USING (path)""",
-    "find_within": f"""WITH {_NOTES} SELECT 'doc_1' AS query, path, CAST(CASE WHEN stem = 'doc_1' THEN 96 WHEN starts_with(stem, 'doc_1') THEN 80 ELSE 60 END AS INTEGER) AS score
-        FROM notes WHERE contains(lower(path), 'doc_1') AND starts_with(path, 'Sources/en/src1/') AND doc_id % 2 = 0""",
+    "link_counts": f"""WITH {_NOTES}, b AS (SELECT l.path, count(DISTINCT e.path) AS n FROM ends e JOIN notes s ON s.path = e.path AND e.ord < s.doc_id % 6 JOIN lookup l USING (key) GROUP BY l.path)
+        SELECT path, CAST(least(5, doc_id % 6) AS INTEGER) AS outlinks, CAST(doc_id % 3 AS INTEGER) AS embeds, least(coalesce(n, 0), 2) AS backlinks FROM notes LEFT JOIN b USING (path)""",
+    "find_within": f"""WITH {_NOTES}, asked AS (SELECT unnest(['doc_1', 'doc_', 'src1']) AS query) SELECT query, path, CAST(CASE WHEN stem = query THEN 96 WHEN starts_with(stem, query) THEN 80 ELSE 60 END AS INTEGER) AS score
+        FROM notes, asked WHERE contains(lower(path), query) AND starts_with(path, 'Sources/en/') AND doc_id % 2 = 0""",
     "warning_codes": f"WITH {_ISSUES} SELECT DISTINCT code FROM found WHERE severity = 'warning'",
     "ledger_inputs": f"""WITH {_NOTES}, e AS (
           SELECT 'u' || doc_id AS unit_id, doc_id % 7 = 0 AS odd, split_part(path, '/', 3) AS role, path, ['present', 'removed', 'unknown', 'gone'][doc_id % 4 + 1] AS presence, sha256,
