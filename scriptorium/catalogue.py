@@ -622,6 +622,35 @@ def resolve_links_folded(spark, sf):
     return C.resolve_links(_wide_notes(spark, sf))
 
 
+def _results(spark, sf):
+    """Cases by note, and the JSON results of two agents: some left out, some no objects, some with bad evidence."""
+    n, path = F.col("doc_id"), F.col("path")
+    notes = _notes(spark, sf).select("doc_id", "path")
+    agents = F.explode(F.array(F.struct(F.lit("a").alias("agent"), F.lit(1).alias("k")), F.struct(F.lit("b").alias("agent"), F.lit(2).alias("k")))).alias("x")
+    rows = notes.select("doc_id", "path", agents).where((F.col("x.k") == 1) | (n % 5 != 0))
+    quoted = F.concat(F.lit('"'), path, F.lit('"'))
+    status = F.when(n % (F.col("x.k") * 8) == 0, "completed").otherwise("target_required")
+    found = F.when(n % 3 == 0, F.concat(quoted, F.lit(', "gone/'), n, F.lit('"'))).otherwise(quoted)
+    good = F.concat(F.lit('[{"query": "q", "mode": "exact", "exit_code": 0, "returned_paths": ['), quoted, F.lit("]}]"))
+    queries = F.when(n % 6 == 0, '"x"').when(n % 6 == 1, '[{"query": "q", "mode": "fuzzy", "exit_code": 0, "returned_paths": []}, 3]').otherwise(good)
+    decisions = F.concat(F.lit('[{"path": '), quoted, F.lit(', "decision": "adopt"'), F.when(n % 7 == 0, "}]").otherwise(', "reason": "r"}]'))
+    json = F.concat(
+        F.lit('{"status": "'), status, F.lit('", "found_paths": ['), found, F.lit('], "opened_paths": ['), F.when(n % 2 == 0, quoted).otherwise(""), F.lit('], "queries": '), queries,
+        F.lit(', "decisions": '), decisions, F.lit("}"),
+    )
+    results = rows.select("x.agent", n.cast("string").alias("case_id"), F.when(n % 9 == 4, "5").otherwise(json).alias("result"))
+    none = F.array().cast("array<string>")
+    cases = notes.select(
+        n.cast("string").alias("case_id"), F.when(n % 4 == 0, "target_required").alias("expected_status"), F.array(path).alias("must_find"),
+        F.when(n % 10 == 0, F.array(path)).otherwise(none).alias("must_not_adopt"), F.when(n % 2 == 0, F.array(F.lit("queries"), F.lit("notes"))).otherwise(none).alias("required_evidence"),
+    )
+    return evaluation.shred_results(results), cases, notes
+
+
+def eval_evidence(spark, sf):
+    return evaluation.evaluation_failures(*_results(spark, sf), ["a", "b"])
+
+
 _NAMES = (
     "tokenize_docs term_freq doc_freq corpus_stats bm25_topk bm25_scoped hash_embed_dims dense_topk_vectors hybrid_topk split_windows"
     " heading_sections extract_links resolve_links backlink_counts match_tiers find_exact find_page resolve_path collection_membership"
@@ -630,7 +659,7 @@ _NAMES = (
     " readme_ancestors identity_totals legacy_moves issue_bag issue_totals event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
     " eval_submissions eval_failures eval_consistency link_counts find_within warning_codes ledger_inputs ledger_outputs"
     " chunk_search chunk_search_scoped index_sync index_audit ledger_documents ledger_sources ledger_units ledger_issues ledger_focus event_redaction_typed catalog_sync watermarks context_sections route_capsules"
-    " match_tiers_folded resolve_links_folded"
+    " match_tiers_folded resolve_links_folded eval_evidence"
 )
 
 

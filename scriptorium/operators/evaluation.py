@@ -103,3 +103,57 @@ def consistency(submissions: DataFrame, cases: DataFrame, agents: int) -> DataFr
     none, all_stated = F.coalesce("stated", F.lit(0)) == 0, (F.col("stated") == agents) & (F.col("low") == F.col("high"))
     share = F.when(F.col("either").isNull(), 1.0).otherwise(F.round(F.col("common") / F.col("either"), 4))
     return joined.select("case_id", F.coalesce(none | all_stated, F.lit(False)).alias("status_agreement"), share.alias("adopted_jaccard"))
+
+
+def shred_results(results: DataFrame) -> DataFrame:
+    """Results as rows from ``results (agent, case_id, result)``, result a JSON text; what is no object gives none.
+
+    (agent, case_id, status, found, opened, returned, adopted, evidence, bad_queries, bad_decisions): evidence names the fields that
+    hold a filled list.  A query needs a text, a mode, an exit code and a list of paths, else it is bad and returns nothing; one bad
+    decision spoils all of a result's.  Members are judged by their stored types.
+    """
+    root = F.try_parse_json("result")
+    kind = lambda v, *names: F.coalesce(F.schema_of_variant(v).rlike("^(" + "|".join(names) + ")"), F.lit(False))
+    member = lambda v, name: F.try_variant_get(v, f"$.{name}", "variant")
+    text = lambda v, name: F.when(kind(member(v, name), "STRING"), F.try_variant_get(v, f"$.{name}", "string"))
+    none, many = F.array().cast("array<string>"), F.array().cast("array<variant>")
+    listed = lambda v: F.coalesce(F.when(kind(v, "ARRAY"), v.try_cast("array<variant>")), many)
+    texts = lambda v: F.transform(listed(v), lambda x: x.try_cast("string"))
+    filled = lambda v, name: F.coalesce(text(v, name) != "", F.lit(False))
+    r = F.col("r")
+    good_query = lambda q: kind(q, "OBJECT") & filled(q, "query") & F.coalesce(text(q, "mode").isin("exact", "broad"), F.lit(False)) & kind(member(q, "exit_code"), "BIGINT", "BOOLEAN") & kind(member(q, "returned_paths"), "ARRAY")  # noqa: E731, E501
+    good_decision = lambda d: kind(d, "OBJECT") & text(d, "path").isNotNull() & F.coalesce(text(d, "decision").isin("adopt", "reject", "defer"), F.lit(False)) & filled(d, "reason")  # noqa: E731, E501
+    queries, decisions = member(r, "queries"), member(r, "decisions")
+    odd = lambda v: v.isNotNull() & ~kind(v, "ARRAY")
+    spoilt = odd(decisions) | F.exists(listed(decisions), lambda d: ~good_decision(d))
+    chosen = F.transform(F.filter(listed(decisions), lambda d: text(d, "decision") == "adopt"), lambda d: text(d, "path"))
+    fields = F.map_filter(r.try_cast("map<string, variant>"), lambda _, v: kind(v, "ARRAY") & (F.size(listed(v)) > 0))
+    rows = results.select("agent", "case_id", root.alias("r")).where(kind(r, "OBJECT"))
+    return rows.select(
+        "agent", "case_id", text(r, "status").alias("status"), texts(member(r, "found_paths")).alias("found"), texts(member(r, "opened_paths")).alias("opened"),
+        F.flatten(F.transform(F.filter(listed(queries), good_query), lambda q: texts(member(q, "returned_paths")))).alias("returned"),
+        F.when(spoilt, none).otherwise(chosen).alias("adopted"), F.map_keys(fields).alias("evidence"),
+        (F.size(F.filter(listed(queries), lambda q: ~good_query(q))) + odd(queries).cast("int")).alias("bad_queries"), spoilt.alias("bad_decisions"),
+    )
+
+
+def evaluation_failures(results: DataFrame, cases: DataFrame, files: DataFrame, agents: list[str]) -> DataFrame:
+    """(agent, case_id, code, item): every rule that the results of ``agents`` break.
+
+    Beside those of ``submission_failures``: a case without a result, another status than expected (``completed`` where none
+    is named), bad queries and decisions, and evidence of paths that ``files (path)`` doesn't hold.  Results are those of
+    ``shred_results``; each case is met once for each of the stated agents.
+    """
+    asked = cases.select("case_id", F.coalesce("expected_status", F.lit("completed")).alias("expected"), F.explode(F.array(*map(F.lit, agents))).alias("agent"))
+    rows = lambda df, code, item=None: df.select("agent", "case_id", F.lit(code).alias("code"), (F.lit("") if item is None else item).alias("item"))
+    met = asked.join(results, ["agent", "case_id"])
+    named = F.array_distinct(F.concat("found", "opened", "returned"))
+    paths = met.select("agent", "case_id", F.explode(named).alias("path")).join(files.select("path"), "path", "left_anti")
+    return (
+        submission_failures(results, cases)
+        .unionByName(rows(asked.join(results.select("agent", "case_id"), ["agent", "case_id"], "left_anti"), "submission_case_missing"))
+        .unionByName(rows(met.where(~F.col("status").eqNullSafe(F.col("expected"))), "submission_status_mismatch"))
+        .unionByName(rows(met.select("agent", "case_id", F.explode(F.array_repeat(F.lit(1), F.col("bad_queries")))), "query_evidence_invalid"))
+        .unionByName(rows(met.where("bad_decisions"), "decision_evidence_invalid"))
+        .unionByName(rows(paths, "evidence_path_missing", F.col("path")))
+    )

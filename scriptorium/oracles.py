@@ -275,7 +275,23 @@ bag AS (
   (SELECT severity, code, path, target FROM found WHERE code = 'missing_stable_id' ORDER BY lower(path), path LIMIT 1) UNION ALL
   SELECT severity, code, path, unit_id FROM broken)"""
 
+_RESULTS = f"""{_NOTES},
+r AS (SELECT n.doc_id AS n, CAST(n.doc_id AS VARCHAR) AS case_id, n.path, t.agent, t.k, (t.k = 1 OR n.doc_id % 5 <> 0) AND n.doc_id % 9 <> 4 AS given FROM notes n, (VALUES ('a', 1), ('b', 2)) AS t(agent, k)),
+g AS (SELECT *, CASE WHEN n % (k * 8) = 0 THEN 'completed' ELSE 'target_required' END AS status, n % 6 > 1 AS asked FROM r WHERE given)"""
+
 SQL = {
+    "eval_evidence": f"""WITH {_RESULTS}
+        SELECT agent, case_id, 'submission_case_missing' AS code, '' AS item FROM r WHERE NOT given UNION ALL
+        SELECT agent, case_id, 'submission_status_mismatch', '' FROM g WHERE status <> CASE WHEN n % 4 = 0 THEN 'target_required' ELSE 'completed' END UNION ALL
+        SELECT agent, case_id, 'query_evidence_invalid', '' FROM g WHERE n % 6 = 0 UNION ALL SELECT agent, case_id, 'query_evidence_invalid', '' FROM g, range(2) WHERE n % 6 = 1 UNION ALL
+        SELECT agent, case_id, 'decision_evidence_invalid', '' FROM g WHERE n % 7 = 0 UNION ALL
+        SELECT agent, case_id, 'evidence_path_missing', 'gone/' || n FROM g WHERE n % 3 = 0 UNION ALL
+        SELECT agent, case_id, 'ambiguous_target_guessed', '' FROM g WHERE n % 4 = 0 AND status <> 'target_required' UNION ALL
+        SELECT agent, case_id, 'must_find_not_opened', path FROM g WHERE n % 2 = 1 UNION ALL
+        SELECT agent, case_id, 'must_find_without_query_evidence', path FROM g WHERE NOT asked UNION ALL
+        SELECT agent, case_id, 'forbidden_relation_adopted', path FROM g WHERE n % 10 = 0 AND n % 7 <> 0 UNION ALL
+        SELECT agent, case_id, 'evidence_missing', 'notes' FROM g WHERE n % 2 = 0 UNION ALL
+        SELECT agent, case_id, 'evidence_missing', 'queries' FROM g WHERE n % 2 = 0 AND n % 6 = 0""",
     "match_tiers_folded": f"""WITH {_NOTES}, asked AS (SELECT unnest(['doc_12', 'ＤＯＣ  7', 'Ｄ42', 'STRASSE 3', 'straße', 'ﬁ']) AS query, unnest(['doc_12', 'doc 7', 'd42', 'strasse 3', 'strasse', 'fi']) AS q),
         n AS (SELECT *, [lower(path), lower(bare), stem, lower(title), alias, 'strasse ' || doc_id % 7] AS keys FROM notes)
         SELECT query, path, CAST(score AS INTEGER) AS score FROM (SELECT query, path, CASE WHEN q IN (lower(path), lower(bare)) THEN 100 WHEN q = lower(title) THEN 98 WHEN q IN (alias, 'strasse ' || doc_id % 7) THEN 97 WHEN q = stem THEN 96

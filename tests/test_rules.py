@@ -79,3 +79,28 @@ def test_submissions_by_hand(spark):
     agreed = sorted(map(tuple, evaluation.consistency(results, cases, 2).collect()))
     assert agreed == [("c1", True, 0.5), ("c2", True, 1.0), ("c3", True, 1.0)]
     assert evaluation.submission_metrics(results.limit(0), cases).count() == 0
+
+
+def test_results_are_judged_by_type(spark):
+    from scriptorium.operators import evaluation
+
+    good = '{"query": "q", "mode": "broad", "exit_code": 1, "returned_paths": ["a", 2]}'
+    results = [
+        '{"status": "completed", "found_paths": ["a", "a"], "opened_paths": "a", "queries": [%s, {"query": ""}], "decisions": [{"path": "a", "decision": "adopt", "reason": "r"}, {"path": "b", "decision": "defer", "reason": "r"}]}' % good,
+        '{"status": 3, "queries": {}, "decisions": [{"path": "a", "decision": "adopt", "reason": "r"}, null]}', "[]", None,
+    ]
+    frame = spark.createDataFrame([("x", f"c{i}", r) for i, r in enumerate(results)], "agent string, case_id string, result string")
+    rows = {r.case_id: r for r in evaluation.shred_results(frame).collect()}
+    assert set(rows) == {"c0", "c1"}
+    assert (rows["c0"].found, rows["c0"].opened, rows["c0"].returned, rows["c0"].adopted, rows["c0"].bad_queries, rows["c0"].bad_decisions) == (["a", "a"], [], ["a", "2"], ["a"], 1, False)
+    assert sorted(rows["c0"].evidence) == ["decisions", "found_paths", "queries"]
+    assert (rows["c1"].status, rows["c1"].adopted, rows["c1"].bad_queries, rows["c1"].bad_decisions) == (None, [], 1, True)
+    none = "cast(array() as array<string>)"
+    cases = spark.sql("select * from values ('c0', 'target_required'), ('c1', null), ('c2', null) t(case_id, expected_status)").selectExpr("*", f"{none} must_find", f"{none} must_not_adopt", f"{none} required_evidence")
+    files = spark.createDataFrame([("a",)], "path string")
+    found = evaluation.evaluation_failures(evaluation.shred_results(frame), cases, files, ["x", "y"])
+    assert sorted((r.agent, r.case_id, r.code, r.item) for r in found.collect()) == sorted([
+        ("x", "c0", "ambiguous_target_guessed", ""), ("x", "c0", "evidence_path_missing", "2"), ("x", "c0", "query_evidence_invalid", ""), ("x", "c0", "submission_status_mismatch", ""),
+        ("x", "c1", "decision_evidence_invalid", ""), ("x", "c1", "query_evidence_invalid", ""), ("x", "c1", "submission_status_mismatch", ""), ("x", "c2", "submission_case_missing", ""),
+        *[("y", f"c{i}", "submission_case_missing", "") for i in range(3)],
+    ])
