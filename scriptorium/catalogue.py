@@ -651,6 +651,23 @@ def eval_evidence(spark, sf):
     return evaluation.evaluation_failures(*_results(spark, sf), ["a", "b"])
 
 
+def find_pages(spark, sf):
+    return C.find_pages(_notes(spark, sf), [*QUERIES, "no such note"], 20)
+
+
+def find_pages_exact(spark, sf):
+    return C.find_pages(_notes(spark, sf), [*QUERIES, "no such note"], 20, exact=True)
+
+
+def resolve_targets(spark, sf):
+    """Every note by its path in capitals, by its id, or by both, some of which belong to two notes."""
+    notes, n = _notes(spark, sf), F.col("doc_id")
+    path = F.upper(F.regexp_replace("path", r"\.md$", ""))
+    other = F.when(n % 12 == 5, F.concat(F.lit("note_"), F.md5((n + 1).cast("string").cast("binary")))).otherwise(F.nullif("id", F.lit("")))
+    asked = notes.select(n.cast("string").alias("asked"), F.when(n % 3 != 0, other).alias("id"), F.when((n % 3 != 1) | other.isNull(), path).alias("path"))
+    return C.resolve_targets(notes, asked)
+
+
 _NAMES = (
     "tokenize_docs term_freq doc_freq corpus_stats bm25_topk bm25_scoped hash_embed_dims dense_topk_vectors hybrid_topk split_windows"
     " heading_sections extract_links resolve_links backlink_counts match_tiers find_exact find_page resolve_path collection_membership"
@@ -659,7 +676,7 @@ _NAMES = (
     " readme_ancestors identity_totals legacy_moves issue_bag issue_totals event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
     " eval_submissions eval_failures eval_consistency link_counts find_within warning_codes ledger_inputs ledger_outputs"
     " chunk_search chunk_search_scoped index_sync index_audit ledger_documents ledger_sources ledger_units ledger_issues ledger_focus event_redaction_typed catalog_sync watermarks context_sections route_capsules"
-    " match_tiers_folded resolve_links_folded eval_evidence"
+    " match_tiers_folded resolve_links_folded eval_evidence find_pages find_pages_exact resolve_targets"
 )
 
 

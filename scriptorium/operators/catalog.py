@@ -224,6 +224,59 @@ def resolve(notes: DataFrame, paths: list[str]) -> DataFrame:
     return asked.join(found, "asked", "left").select("asked", status.alias("status"), F.when(F.col("n") == 1, F.col("path")).otherwise("").alias("path"))
 
 
+def find_pages(notes: DataFrame, queries: list[str], limit: int = 20, exact: bool = False) -> DataFrame:
+    """(query, status, total, truncated, position, path, score): a page of at most 24 matches of every query, best first.
+
+    status: ``matches``; in exact mode, where only the best tier counts, ``unique`` or ``ambiguous``; ``not_found`` with one
+    row without a path.
+    """
+    if limit < 1:
+        raise ValueError("limit must be positive")
+    most, hits = min(limit, 24), find(notes, list(dict.fromkeys(queries)), exact)
+    order = W.partitionBy("query").orderBy(F.col("score").desc(), F.lower("path"), "path")
+    page = hits.withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)
+    totals = hits.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    asked = notes.sparkSession.createDataFrame([(q,) for q in dict.fromkeys(queries)], "query string")
+    total = F.coalesce("n", F.lit(0))
+    status = F.when(total == 0, "not_found").when(F.lit(not exact), "matches").when(total == 1, "unique").otherwise("ambiguous")
+    found = asked.join(totals, "query", "left").join(page, "query", "left")
+    return found.select("query", status.alias("status"), total.alias("total"), (total > most).alias("truncated"), "position", "path", "score")
+
+
+def resolve_targets(notes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, status, match_type, path, other, matches) of ``asked (asked, id, path)``, id or path null where it isn't given.
+
+    An id is met folded, a path without regard to case, ``.md`` implied where it has no suffix.  Given both, they must agree: one note
+    each, but not the same, is ``id_path_conflict`` (path and other are the two); only one of them found is
+    ``not_found``.  matches counts the notes met; path is the first of them unless nothing is unique.
+    """
+    if not asked.where("coalesce(id, path) is null").isEmpty():
+        raise ValueError("each row needs an id or a path")
+    own = folded(notes.select("path", F.array("id").alias("k")), "k").select("path", F.get("k", F.lit(0)).alias("key")).where("key <> ''")
+    by_id = own.groupBy("key").agg(F.count(F.lit(1)).alias("id_n"), F.min("path").alias("id_path"))
+    by_path = notes.select("path", F.lower("path").alias("low")).groupBy("low").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("found"))
+    keyed = folded(asked.withColumn("k", F.array("id")), "k").withColumn("key", F.get("k", F.lit(0)))
+    low = F.lower(P.normalize(F.btrim(F.replace("path", F.lit("\\"), F.lit("/")), F.lit("/"))))
+    names = F.when(P.suffix(low) == "", F.array(low, F.concat(low, F.lit(".md")))).otherwise(F.array(low))
+    paths = asked.where("path is not null").select("asked", F.explode(names).alias("low")).join(by_path, "low").groupBy("asked").agg(F.sum("n").alias("path_n"), F.min("found").alias("path_path"))
+    met = keyed.join(by_id, "key", "left").join(paths, "asked", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("id_n", "path_n")})
+    both, with_id = F.col("id").isNotNull() & F.col("path").isNotNull(), F.col("id").isNotNull()
+    ids, places = F.when(with_id, F.col("id_n")).otherwise(0), F.col("path_n")
+    n, first = F.when(with_id, F.col("id_n")).otherwise(F.col("path_n")), F.when(with_id, F.col("id_path")).otherwise(F.col("path_path"))
+    apart = (ids == 1) & (places == 1) & (F.col("id_path") != F.col("path_path"))
+    status = (
+        F.when(both & ((ids > 1) | (places > 1)), "ambiguous").when(both & apart, "id_path_conflict").when(both & (ids == 1) & (places == 1), "unique").when(both, "not_found")
+        .when(n == 1, "unique").when(n > 1, "ambiguous").otherwise("not_found")
+    )
+    kind = F.when(both, "stable_id_and_path").when(with_id, "stable_id").otherwise("path")
+    found = met.withColumn("status", status)
+    unique, conflict = F.col("status") == "unique", F.col("status") == "id_path_conflict"
+    return found.select(
+        "asked", "status", F.when(unique, kind).alias("match_type"), F.when(conflict, F.col("id_path")).when(unique, first).alias("path"), F.when(conflict, F.col("path_path")).alias("other"),
+        F.when(F.col("status") == "not_found", 0).otherwise(F.when(both, F.greatest(ids, places)).otherwise(n)).cast("long").alias("matches"),
+    )
+
+
 # --- identity ------------------------------------------------------------
 
 

@@ -279,7 +279,23 @@ _RESULTS = f"""{_NOTES},
 r AS (SELECT n.doc_id AS n, CAST(n.doc_id AS VARCHAR) AS case_id, n.path, t.agent, t.k, (t.k = 1 OR n.doc_id % 5 <> 0) AND n.doc_id % 9 <> 4 AS given FROM notes n, (VALUES ('a', 1), ('b', 2)) AS t(agent, k)),
 g AS (SELECT *, CASE WHEN n % (k * 8) = 0 THEN 'completed' ELSE 'target_required' END AS status, n % 6 > 1 AS asked FROM r WHERE given)"""
 
+_PAGES = """asked7 AS (SELECT query FROM asked UNION ALL SELECT 'no such note'), hits AS ({}),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, lower(path), path) AS position, count(*) OVER (PARTITION BY query) AS n FROM hits)
+        SELECT query, CASE WHEN n IS NULL THEN 'not_found' {} END AS status, coalesce(n, 0) AS total, coalesce(n, 0) > 20 AS truncated, CAST(position AS INTEGER) AS position, path, CAST(score AS INTEGER) AS score
+        FROM asked7 LEFT JOIN (SELECT * FROM ranked WHERE position <= 20) USING (query)"""
+
 SQL = {
+    "find_pages": f"WITH {_NOTES}, {_TIERS}, " + _PAGES.format("SELECT * FROM tried WHERE score IS NOT NULL", "ELSE 'matches'"),
+    "find_pages_exact": f"WITH {_NOTES}, {_TIERS}, "
+    + _PAGES.format("SELECT query, path, score FROM (SELECT *, max(score) OVER (PARTITION BY query) AS best FROM tried WHERE score > 80) WHERE score = best", "WHEN n = 1 THEN 'unique' ELSE 'ambiguous'"),
+    "resolve_targets": f"""WITH {_NOTES},
+        a AS (SELECT *, CASE WHEN doc_id % 12 = 5 THEN 'note_' || md5(CAST(doc_id + 1 AS VARCHAR)) ELSE nullif(id, '') END AS other FROM notes),
+        q AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN other END AS qid, doc_id % 3 <> 1 OR other IS NULL AS by_path, path FROM a),
+        m AS (SELECT q.doc_id, q.qid, q.by_path, q.path AS place, count(n.path) AS ids, min(n.path) AS id_path FROM q LEFT JOIN notes n ON n.id <> '' AND lower(n.id) = lower(q.qid) GROUP BY ALL),
+        s AS (SELECT *, CASE WHEN qid IS NULL THEN 'unique' WHEN ids > 1 THEN 'ambiguous' WHEN NOT by_path AND ids = 1 THEN 'unique' WHEN ids = 0 THEN 'not_found' WHEN id_path <> place THEN 'id_path_conflict' ELSE 'unique' END AS status FROM m)
+        SELECT CAST(doc_id AS VARCHAR) AS asked, status, CASE WHEN status = 'unique' THEN CASE WHEN qid IS NULL THEN 'path' WHEN by_path THEN 'stable_id_and_path' ELSE 'stable_id' END END AS match_type,
+          CASE WHEN status = 'id_path_conflict' THEN id_path WHEN status = 'unique' THEN CASE WHEN qid IS NULL THEN place ELSE id_path END END AS path, CASE WHEN status = 'id_path_conflict' THEN place END AS other,
+          CAST(CASE WHEN status = 'not_found' THEN 0 WHEN qid IS NULL THEN 1 ELSE greatest(ids, CASE WHEN by_path THEN 1 ELSE 0 END) END AS BIGINT) AS matches FROM s""",
     "eval_evidence": f"""WITH {_RESULTS}
         SELECT agent, case_id, 'submission_case_missing' AS code, '' AS item FROM r WHERE NOT given UNION ALL
         SELECT agent, case_id, 'submission_status_mismatch', '' FROM g WHERE status <> CASE WHEN n % 4 = 0 THEN 'target_required' ELSE 'completed' END UNION ALL
