@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cluster import durable
+
 _HIT = "query_id long, vec_id long, score long"
 TILE = 4096
 
@@ -131,10 +133,11 @@ def top_k(
     asked = rows.where("asks")
     blocks = max(1, -(-asked.count() // block_queries))
     hits = []
-    for b in range(blocks):  # each block is bounded; the blocks together are one job
+    for b in range(blocks):  # each block is bounded and has a job of its own
         block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "v").distinct().collect()
         if block:
-            hits.append(rows.select("vec_id", "v").mapInArrow(_scan([tuple(r) for r in block], k), _HIT))
+            hit = rows.select("vec_id", "v").mapInArrow(_scan([tuple(r) for r in block], k), _HIT)
+            hits.append(hit if blocks == 1 else durable(hit))  # the driver lets a block go before it takes the next
     if not hits:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     order = [F.col("score").desc(), F.col("vec_id")]
