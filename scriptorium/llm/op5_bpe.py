@@ -456,18 +456,21 @@ def encode(
     fold_most: int = 512,
     most_words: int = 600_000,
     most_shared: int = 1 << 19,
+    apart: bool = False,
 ) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), with ``full`` also token_ids and decoded.
 
     ids_sha256 is over the ids as little-endian unsigned 32-bit integers,
     decoded_sha256 over the decoded bytes.  Null or empty text: no tokens.  Every row
     is encoded for itself, so repeated ids, null ids and equal rows each give a row.
-    ``ranks_path`` must be readable on every worker.  An empty table gives no rows.
+    ``ranks_path`` must be readable on every worker.  An empty table gives no rows.  ``apart`` writes the folded
+    pieces between the two Python passes: more disk, half the workers at a time.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(share(narrow.select("text"), ranks_path, pattern, fold_most, most_shared))
     cut = narrow.mapInArrow(_cut(ranks_path, pattern, flush_bytes, fold_most, most_words, shared), _ROWS)
     folded = _fold(cut, read_ranks(ranks_path), ["ids", "counts", "seq", "far", "fresh"])
+    folded = durable(folded) if apart else folded
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return folded.mapInArrow(_lay(ranks_path, full, shared), schema + (", token_ids array<int>, decoded string" if full else ""))
 

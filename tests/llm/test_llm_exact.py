@@ -35,8 +35,8 @@ def test_pieces_folded_for_all_tasks(spark):
     texts = [" ".join(draw.choice(vocabulary) for _ in range(200)) for _ in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).checkpoint()
     assert len(O.share(docs.select("text"), path, pattern, 512, 1000).offs) > 10
-    for most in (0, 50, 1000):
-        for r in O.encode(docs, path, pattern, full=True, most_shared=most).collect():
+    for most, apart in ((0, False), (50, True), (1000, False)):
+        for r in O.encode(docs, path, pattern, full=True, most_shared=most, apart=apart).collect():
             assert r.token_ids == library.encode_ordinary(texts[r.doc_id]) and r.decoded == texts[r.doc_id]
             assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
