@@ -19,7 +19,7 @@ from .functions import paths as P
 from .functions import text as T
 from .operators import catalog as C
 from .operators import catalog_sync as CS
-from .operators import chunk_index, chunks, context, digests, evaluation, ledger, retrieval, traces
+from .operators import chunk_index, chunks, context, digests, evaluation, ledger, projections, retrieval, traces
 from .plans import envelopes
 from .session import attach
 from .storage import workspace, written
@@ -668,6 +668,30 @@ def resolve_targets(spark, sf):
     return C.resolve_targets(notes, asked)
 
 
+def public_records(spark, sf):
+    """Notes with titles of up to 700 characters, up to 19 aliases and up to 29 fields, as answers show them."""
+    n = F.col("doc_id")
+    many = lambda k: F.filter(F.sequence(F.lit(1), F.lit(k)), lambda i: i <= n % k)
+    fields = F.map_from_entries(F.transform(many(30), lambda i: F.struct(F.concat(F.lit("F"), F.lpad(i.cast("string"), 2, "0")).alias("k"), F.concat(F.lit("v"), n * i).alias("v"))))
+    aliases = F.transform(many(20), lambda i: F.concat(F.lit("a"), i))
+    notes = _notes(spark, sf).withColumns({"title": F.concat("title", F.expr("repeat('x', cast(doc_id % 700 as int))")), "aliases": aliases, "metadata": fields})
+    found = projections.public_records(C.with_collections(notes, COLLECTIONS))
+    joined = {c: F.array_join(F.col(f"{c}.items"), "|") for c in ("aliases", "collections")} | {"metadata": F.array_join(F.map_values("metadata.items"), "|")}
+    totals = {f"{c}_total": F.col(f"{c}.total") for c in ("aliases", "metadata")} | {"truncated": F.col("aliases.truncated") | F.col("metadata.truncated")}
+    return found.select("path", "id", "identity_state", "identity_key", F.md5(F.col("title").cast("binary")).alias("title_md5"), "primary_collection", *(x.alias(c) for c, x in (totals | joined).items()))
+
+
+def trace_events(spark, sf):
+    """Steps of the event table as events, without what is drawn at random."""
+    e = _read(spark, sf, "events")
+    steps = e.select(
+        F.col("event_id").cast("string").alias("trace_id"), F.lit("run").alias("run_id"), F.concat(F.lit("root"), "user_id").alias("root_span_id"), F.when(F.col("event_id") % 2 == 0, "x").alias("agent"),
+        F.concat(F.lit("x:process:"), "user_id").alias("session"), F.lit("rag").alias("component"), F.col("event_type").alias("operation"), F.lit("ok").alias("status"), F.col("value").alias("duration_ms"),
+        F.when(F.col("event_id") % 3 == 0, "parent").alias("parent_span_id"), F.lit(None).cast("string").alias("target"),
+    )
+    return projections.events(steps).select("trace_id", "parent_span_id", "agent", "session_key", "operation", F.length("event_id").alias("id_chars"), F.length("span_id").alias("span_chars"), (F.round("duration_ms", 2)).alias("duration"))
+
+
 _NAMES = (
     "tokenize_docs term_freq doc_freq corpus_stats bm25_topk bm25_scoped hash_embed_dims dense_topk_vectors hybrid_topk split_windows"
     " heading_sections extract_links resolve_links backlink_counts match_tiers find_exact find_page resolve_path collection_membership"
@@ -676,7 +700,7 @@ _NAMES = (
     " readme_ancestors identity_totals legacy_moves issue_bag issue_totals event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
     " eval_submissions eval_failures eval_consistency link_counts find_within warning_codes ledger_inputs ledger_outputs"
     " chunk_search chunk_search_scoped index_sync index_audit ledger_documents ledger_sources ledger_units ledger_issues ledger_focus event_redaction_typed catalog_sync watermarks context_sections route_capsules"
-    " match_tiers_folded resolve_links_folded eval_evidence find_pages find_pages_exact resolve_targets"
+    " match_tiers_folded resolve_links_folded eval_evidence find_pages find_pages_exact resolve_targets public_records trace_events"
 )
 
 

@@ -285,6 +285,14 @@ _PAGES = """asked7 AS (SELECT query FROM asked UNION ALL SELECT 'no such note'),
         FROM asked7 LEFT JOIN (SELECT * FROM ranked WHERE position <= 20) USING (query)"""
 
 SQL = {
+    "public_records": f"""WITH {_NOTES}, shown AS (SELECT path, string_agg(collection, '|' ORDER BY position) AS collections, min(collection) FILTER (position = 0) AS first FROM placed GROUP BY path),
+        t AS (SELECT s.*, title || repeat('x', CAST(doc_id % 700 AS BIGINT)) AS long FROM state s)
+        SELECT t.path, id, state AS identity_state, CASE WHEN state = 'stable' THEN id ELSE 'legacy-path:' || t.path END AS identity_key, md5(CASE WHEN length(long) > 512 THEN long[1:509] || '...' ELSE long END) AS title_md5,
+          coalesce(first, '') AS primary_collection, CAST(doc_id % 20 AS INTEGER) AS aliases_total, CAST(doc_id % 30 AS INTEGER) AS metadata_total, doc_id % 20 > 12 OR doc_id % 30 > 24 AS truncated,
+          array_to_string(list_transform(range(1, 1 + least(12, doc_id % 20)), lambda i: 'a' || i), '|') AS aliases, coalesce(collections, '') AS collections,
+          array_to_string(list_transform(range(1, 1 + least(24, doc_id % 30)), lambda i: 'v' || doc_id * i), '|') AS metadata FROM t LEFT JOIN shown USING (path)""",
+    "trace_events": """SELECT CAST(event_id AS VARCHAR) AS trace_id, CASE WHEN event_id % 3 = 0 THEN 'parent' ELSE 'root' || user_id END AS parent_span_id, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE 'unknown' END AS agent,
+        substr(sha256('x:process:' || user_id), 1, 16) AS session_key, event_type AS operation, CAST(32 AS INTEGER) AS id_chars, CAST(16 AS INTEGER) AS span_chars, round(round(value, 3), 2) AS duration FROM events""",
     "find_pages": f"WITH {_NOTES}, {_TIERS}, " + _PAGES.format("SELECT * FROM tried WHERE score IS NOT NULL", "ELSE 'matches'"),
     "find_pages_exact": f"WITH {_NOTES}, {_TIERS}, "
     + _PAGES.format("SELECT query, path, score FROM (SELECT *, max(score) OVER (PARTITION BY query) AS best FROM tried WHERE score > 80) WHERE score = best", "WHEN n = 1 THEN 'unique' ELSE 'ambiguous'"),
