@@ -13,7 +13,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Where the setting is absent (tests on one machine) a temporary folder is used.
+    Where the setting is absent, a session on one machine (tests) gets a temporary folder; any other raises.
     """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     context = spark.sparkContext._jsc.sc()
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if current.isDefined():
         return current.get()
+    if not context.isLocal():
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="scriptorium-checkpoints-")
     spark.sparkContext.setCheckpointDir(local)
     return "file://" + local
