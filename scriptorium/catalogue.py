@@ -692,6 +692,14 @@ def trace_events(spark, sf):
     return projections.events(steps).select("trace_id", "parent_span_id", "agent", "session_key", "operation", F.length("event_id").alias("id_chars"), F.length("span_id").alias("span_chars"), (F.round("duration_ms", 2)).alias("duration"))
 
 
+def embed_issues(spark, sf):
+    """Embeds of the next note, a picture, nothing, and a note that isn't there, with and without other files in the catalog."""
+    n = F.col("doc_id")
+    notes = _notes(spark, sf).withColumn("embeds", F.array(F.lit("pic.PNG"), F.concat(F.lit("doc_"), n + 1), F.lit(""), F.concat(F.lit("none_"), n, F.lit(".md"))))
+    found = [C.embed_issues(notes, other).withColumn("non_markdown", F.lit(other)) for other in (False, True)]
+    return found[0].union(found[1])
+
+
 _NAMES = (
     "tokenize_docs term_freq doc_freq corpus_stats bm25_topk bm25_scoped hash_embed_dims dense_topk_vectors hybrid_topk split_windows"
     " heading_sections extract_links resolve_links backlink_counts match_tiers find_exact find_page resolve_path collection_membership"
@@ -700,7 +708,7 @@ _NAMES = (
     " readme_ancestors identity_totals legacy_moves issue_bag issue_totals event_spans session_supersede pending_events eval_recall eval_jaccard eval_rollup"
     " eval_submissions eval_failures eval_consistency link_counts find_within warning_codes ledger_inputs ledger_outputs"
     " chunk_search chunk_search_scoped index_sync index_audit ledger_documents ledger_sources ledger_units ledger_issues ledger_focus event_redaction_typed catalog_sync watermarks context_sections route_capsules"
-    " match_tiers_folded resolve_links_folded eval_evidence find_pages find_pages_exact resolve_targets public_records trace_events"
+    " match_tiers_folded resolve_links_folded eval_evidence find_pages find_pages_exact resolve_targets public_records trace_events embed_issues"
 )
 
 

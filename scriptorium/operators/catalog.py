@@ -133,6 +133,19 @@ def resolve_links(notes: DataFrame) -> DataFrame:
     return met.select("path", "ord", "target", status.alias("status"), F.coalesce("first", F.lit("")).alias("resolved"))
 
 
+def embed_issues(notes: DataFrame, non_markdown: bool = False) -> DataFrame:
+    """(severity, code, path, target) of embeds that resolve to nothing or to several notes.
+
+    An embed of a file that is no note is looked at only where the catalog holds such files (``non_markdown``); an empty
+    target and a null list are none.
+    """
+    listed = F.coalesce("embeds", F.array().cast("array<string>"))
+    kind = lambda t: F.lower(P.suffix(t))
+    wanted = F.filter(listed, lambda t: (t != "") & (F.lit(non_markdown) | kind(t).isin("", ".md")))
+    broken = resolve_links(notes.withColumn("outlinks", wanted)).where("status <> 'unique'")
+    return broken.select(F.lit("warning").alias("severity"), F.concat("status", F.lit("_wikilink")).alias("code"), "path", "target")
+
+
 def backlinks(notes: DataFrame) -> DataFrame:
     """(path, backlinks): in how many notes a link resolves to the path."""
     ends = edges(notes).select(F.col("path").alias("source"), "key").distinct()
@@ -362,7 +375,7 @@ def digest(rows: DataFrame, *columns: str) -> DataFrame:
 # --- issues --------------------------------------------------------------
 
 
-def issues(notes: DataFrame, collections: list[Collection], identity_paths: tuple[str, ...] = ("",)) -> DataFrame:
+def issues(notes: DataFrame, collections: list[Collection], identity_paths: tuple[str, ...] = ("",), non_markdown: bool = False) -> DataFrame:
     """(severity, code, path, target): identity, registry and graph problems of a catalog."""
     state = identity_state(F.col("id"), F.col("path"))
     managed = F.lit(False)
@@ -390,6 +403,7 @@ def issues(notes: DataFrame, collections: list[Collection], identity_paths: tupl
         rows(wanted.join(there, "path", "left_anti"), "error", "collection_path_missing"),
         rows(entry.join(files, "path", "left_anti"), "error", "collection_entrypoint_missing"),
         rows(loose, "warning", "unclassified_files"),
+        *([embed_issues(notes, non_markdown)] if "embeds" in notes.columns else []),
     ]
     out = found[0]
     for more in found[1:]:

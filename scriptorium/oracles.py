@@ -285,6 +285,9 @@ _PAGES = """asked7 AS (SELECT query FROM asked UNION ALL SELECT 'no such note'),
         FROM asked7 LEFT JOIN (SELECT * FROM ranked WHERE position <= 20) USING (query)"""
 
 SQL = {
+    "embed_issues": f"""WITH {_NOTES} SELECT 'warning' AS severity, status || '_wikilink' AS code, path, target, m AS non_markdown FROM resolved, (VALUES (FALSE), (TRUE)) AS t(m) WHERE ord = 0 AND status <> 'unique' UNION ALL
+        SELECT 'warning', 'unresolved_wikilink', path, 'none_' || doc_id || '.md', m FROM notes, (VALUES (FALSE), (TRUE)) AS t(m) UNION ALL
+        SELECT 'warning', 'unresolved_wikilink', path, 'pic.PNG', TRUE FROM notes""",
     "public_records": f"""WITH {_NOTES}, shown AS (SELECT path, string_agg(collection, '|' ORDER BY position) AS collections, min(collection) FILTER (position = 0) AS first FROM placed GROUP BY path),
         t AS (SELECT s.*, title || repeat('x', CAST(doc_id % 700 AS BIGINT)) AS long FROM state s)
         SELECT t.path, id, state AS identity_state, CASE WHEN state = 'stable' THEN id ELSE 'legacy-path:' || t.path END AS identity_key, md5(CASE WHEN length(long) > 512 THEN long[1:509] || '...' ELSE long END) AS title_md5,
