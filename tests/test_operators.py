@@ -141,3 +141,14 @@ def test_evaluation(spark):
     assert {r.q: r.reciprocal_rank for r in evaluation.reciprocal_rank(ranked, good, "q", "d").collect()} == {1: 0.5, 2: 0.0}
     cases = spark.createDataFrame([("m", "passed"), ("m", "skipped"), ("n", "skipped")], "metric string, status string")
     assert {r.metric: r.rate for r in evaluation.rollup(cases).collect()} == {"m": 1.0, "n": None}
+
+
+def test_bm25_shuffles_nothing_of_a_document_and_keeps_ties(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("same words "), F.col("id") % 3).alias("text"), F.when(F.col("id") % 2 == 0, "a").alias("scope"))
+    asked = spark.createDataFrame([(1, "same 2 same"), (2, "words"), (3, "none")], "item_id long, text string")
+    found = retrieval.bm25(docs, asked, best=2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    order = lambda rows: [tuple(r) for r in retrieval.top(rows, 2, "item_id").orderBy("item_id", "rank").select("item_id", "doc_id", "score").collect()]
+    assert order(found) == order(retrieval.bm25(docs, asked)) and [x[:2] for x in order(found)] == [(1, 2), (1, 5), (2, 0), (2, 1)]
+    scoped = retrieval.bm25(docs, asked, scope_col="scope")
+    assert {r.scope for r in scoped.select("scope").distinct().collect()} == {"a"} and scoped.count() == 2 * 2500
