@@ -90,7 +90,7 @@ def bm25_topk(spark, sf):
 
 def bm25_scoped(spark, sf):
     docs = _read(spark, sf, "documents").withColumn("scope", F.coalesce("lang", F.lit("xx")))
-    found = retrieval.bm25(docs, _read(spark, sf, "benchmark"), scope_col="scope")
+    found = retrieval.bm25(docs, _read(spark, sf, "benchmark"), scope_col="scope", best=5)
     return retrieval.top(found, 5, "item_id", "scope").select("item_id", "scope", "doc_id", "rank", "score")
 
 
