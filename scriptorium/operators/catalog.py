@@ -146,11 +146,27 @@ def embed_issues(notes: DataFrame, non_markdown: bool = False) -> DataFrame:
     return broken.select(F.lit("warning").alias("severity"), F.concat("status", F.lit("_wikilink")).alias("code"), "path", "target")
 
 
-def backlinks(notes: DataFrame) -> DataFrame:
-    """(path, backlinks): in how many notes a link resolves to the path."""
+def backlinks(notes: DataFrame, crowd: int = 16) -> DataFrame:
+    """(path, backlinks): in how many notes a link resolves to the path.
+
+    Links meet notes one by one only under names of at most ``crowd`` notes.  The notes that link to a more common name are
+    counted once for each set of such names that some note answers to; of the links under other names those
+    count that come from a note not counted so.
+    """
     ends = edges(notes).select(F.col("path").alias("source"), "key").distinct()
-    hits = ends.join(lookup(notes), "key").select("source", "path").distinct()
-    return hits.groupBy("path").agg(F.count(F.lit(1)).alias("backlinks"))
+    names = lookup(notes).distinct()
+    linked = ends.groupBy("key").agg(F.count(F.lit(1)).alias("sources"))
+    common = names.groupBy("key").agg(F.count(F.lit(1)).alias("notes")).where(F.col("notes") > crowd).join(linked, "key").select("key", "sources")
+    pairs = ends.join(common, "key", "left_anti").join(names, "key").select("source", "path").distinct()
+    shared = names.join(common, "key").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("key", "sources"))).alias("shared"))
+    own = pairs.join(shared, "path", "left").select("source", "path", F.explode_outer("shared.key").alias("key"))
+    met = own.join(ends.withColumn("counted", F.lit(True)), ["source", "key"], "left").groupBy("source", "path").agg(F.max("counted").alias("counted"))
+    single = met.where("counted is null").groupBy("path").agg(F.count(F.lit(1)).alias("single"))
+    sets = shared.where(F.size("shared") > 1).select(F.col("shared.key").alias("keys")).distinct()
+    several = sets.select("keys", F.explode("keys").alias("key")).join(ends, "key").select("keys", "source").distinct().groupBy("keys").agg(F.count(F.lit(1)).alias("several"))
+    totals = shared.select("path", F.col("shared.key").alias("keys"), F.get("shared", F.lit(0))["sources"].alias("sources")).join(several, "keys", "left")
+    both = totals.select("path", F.coalesce("several", "sources").alias("total")).join(single, "path", "full_outer")
+    return both.select("path", (F.coalesce("total", F.lit(0)) + F.coalesce("single", F.lit(0))).alias("backlinks"))
 
 
 def link_counts(notes: DataFrame, most: int = 1000) -> DataFrame:

@@ -152,3 +152,18 @@ def test_bm25_shuffles_nothing_of_a_document_and_keeps_ties(spark):
     assert order(found) == order(retrieval.bm25(docs, asked)) and [x[:2] for x in order(found)] == [(1, 2), (1, 5), (2, 0), (2, 1)]
     scoped = retrieval.bm25(docs, asked, scope_col="scope")
     assert {r.scope for r in scoped.select("scope").distinct().collect()} == {"a"} and scoped.count() == 2 * 2500
+
+
+def test_backlinks_under_common_names(spark):
+    import random
+
+    draw = random.Random(5)
+    names = [f"n{i}" for i in range(9)]
+    rows = [(f"p{i}.md", f"T{i}", f"id{i % 40}", draw.sample(names, i % 4), [*draw.choices(names, k=i % 6), f"p{i * 7 % 61}", f"ID{i % 50}"]) for i in range(60)]
+    notes = spark.createDataFrame(rows, "path string, title string, id string, aliases array<string>, outlinks array<string>")
+    hits = C.edges(notes).select(F.col("path").alias("source"), "key").join(C.lookup(notes), "key").select("source", "path").distinct()
+    want = {tuple(r) for r in hits.groupBy("path").count().collect()}
+    for crowd in (0, 1, 5, 1000):
+        assert {tuple(r) for r in C.backlinks(notes, crowd).collect()} == want
+    many = spark.range(20_000).select(F.concat(F.lit("p"), "id").alias("path"), F.lit("").alias("title"), F.lit("").alias("id"), F.array(F.lit("same")).alias("aliases"), F.array(F.lit("same")).alias("outlinks"))
+    assert C.backlinks(many).agg(F.min("backlinks"), F.max("backlinks"), F.count("path")).first() == (20_000, 20_000, 20_000)  # 400 million pairs
