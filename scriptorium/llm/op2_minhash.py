@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .cluster import durable
+from .cluster import durable, release
 from .components import connected_components, merged
 from .textkit import give_back, mix, mix_one, shingles, tidy, words
 
@@ -120,9 +120,10 @@ def _slots(halves: pa.Array, tables: int) -> np.ndarray:
     return mix(half + np.arange(1, 2 * tables + 1, dtype=np.uint64))
 
 
-def _bucket_rows(reps: DataFrame, tables: int, hot: int, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def _bucket_rows(reps: DataFrame, tables: int, hot: int, common: tuple[np.ndarray, np.ndarray] | None = None, firsts: range | None = None) -> DataFrame:
     """(key, weight, rep, centre): a row for each bucket of each representative.  Rows with
-    a centre are links made inside a batch already; their key only spreads them."""
+    a centre are links made inside a batch already; their key only spreads them.  ``firsts``: only
+    the tables of these first half-keys."""
     salt = np.array([mix_one(7919 * (t + 1)) for t in range(tables * tables)], np.uint64)
     shared = reps.sparkSession.sparkContext.broadcast(common or (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
 
@@ -140,7 +141,7 @@ def _bucket_rows(reps: DataFrame, tables: int, hot: int, common: tuple[np.ndarra
                     weight = np.where(known[spot] == slots, counts[spot], 0).sum(axis=1)
                 rank = np.argsort(np.lexsort((ids, -weight)))  # the most common first, then by id
                 keys, reps_, centres, weights = [], [], [], []
-                for i in range(tables):
+                for i in firsts or range(tables):
                     for j in range(tables):
                         key = mix((half[:, i] ^ salt[i * tables + j]) + half[:, tables + j] * np.uint64(0x9E3779B97F4A7C15))
                         order = np.lexsort((rank, key))
@@ -239,6 +240,16 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, wid
     return sets.join(wanted.hint("merge"), "rep", "left_semi")
 
 
+def _in_turns(make, turns: int, release_with) -> DataFrame:
+    """The rows of ``make(turn)`` of all turns; what a turn shuffled is dropped before the next one begins."""
+    found = None
+    for turn in range(turns):
+        rows = durable(make(turn))
+        release(release_with)
+        found = rows if found is None else found.union(rows)
+    return found
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b, ...) with the full sets ``fa`` and ``fb`` of their ends."""
     left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("found").alias("fa")).hint("merge"), "a")
@@ -363,13 +374,17 @@ def _open_pairs(stars: DataFrame, groups: DataFrame, sets: DataFrame, percent: i
     return found.distinct()
 
 
-def _confirm(stars: DataFrame, sets: DataFrame, percent: int, crowd: int = 128) -> DataFrame:
+def _confirm(stars: DataFrame, sets: DataFrame, percent: int, crowd: int = 128, turns: int = 1) -> DataFrame:
     """(node, component) from links confirmed on full sets: those of all stars, then those
-    that ``_open_pairs`` finds between components."""
+    that ``_open_pairs`` finds between components.  Pairs that carry sets are dealt in turns, by one end."""
+    spark, turn_of = stars.sparkSession, F.pmod(F.xxhash64("b"), F.lit(turns))
+    in_turns = lambda pairs: _in_turns(lambda turn: _linked(pairs.where(turn_of == turn), sets, percent), turns, spark)
     nodes = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    solved = connected_components(_linked(stars, sets, percent))
+    solved = connected_components(in_turns(stars))
     groups = durable(nodes.join(solved.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
-    return merged(groups, _linked(_open_pairs(stars, groups, sets, percent, crowd), sets, percent))
+    more = durable(_open_pairs(stars, groups, sets, percent, crowd))
+    release(spark)
+    return merged(groups, in_turns(more))
 
 
 def near_duplicates(
@@ -383,6 +398,7 @@ def near_duplicates(
     rows: int = 3,
     hot: int = 64,
     common_halves: int = 1 << 17,
+    turns: int = 5,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -391,7 +407,8 @@ def near_duplicates(
     1.4e-4, at 0.9 with 4e-6.
 
     Empty or null texts: no shingles, linked with nothing.  Rows that repeat a
-    doc_id are one node.  A null doc_id takes no part: component_id null, kept true.
+    doc_id are one node.  Bucket rows and pairs that carry their sets are shuffled in ``turns`` parts, of which
+    the disk holds one at a time.  A null doc_id takes no part: component_id null, kept true.
     An empty table gives an empty result.  Other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -400,10 +417,13 @@ def near_duplicates(
     classes = durable(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("halves", "doc_id").alias("halves")))
     reps = classes.select("rep", "halves")
     common = _common_halves(reps, tables, common_halves)
-    stars = durable(_stars(_bucket_rows(reps, tables, hot, common)))
+    spark, turns = docs.sparkSession, max(1, min(turns, tables))
+    parts = _in_turns(lambda turn: _stars(_bucket_rows(reps, tables, hot, common, range(turn, tables, turns))), turns, spark)
+    stars = durable(parts.groupBy("a", "b").agg(F.sum("hits").alias("hits")))
     ends = stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     sets = durable(_sets_of(base, "doc_id", "text", durable(ends), width).distinct())
-    groups = _confirm(stars, sets, percent)
+    release(spark)
+    groups = _confirm(stars, sets, percent, turns=turns)
     known = classes.join(groups.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
         "d1", "d2", F.coalesce("component", "rep").alias("component")
     )
