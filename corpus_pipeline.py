@@ -1,7 +1,7 @@
 """A corpus pipeline: five stages over ``documents``, each one of the llm operators.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-keep the columns of documents.  ``run`` writes each stage's rows as Parquet in the
+keep the columns of documents.  A stage first releases what the one before left in the driver and on disk.  ``run`` writes each stage's rows as Parquet in the
 shared folder and reads them again as the next stage's input.
 """
 
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.cluster import shared_dir
+from scriptorium.llm.cluster import release, shared_dir
 from scriptorium.llm.op2_minhash import drop_near_duplicates
 from scriptorium.llm.op4_mixing import mixed_documents
 from scriptorium.llm.op5_bpe import encode, public_vocabulary
@@ -28,8 +28,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay.  Rows of one id are judged apart.
     """
-    labels = attach(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    release(attach(spark))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train_toxicity(docs, labels, "doc_id", "text", "toxic", F.lit(True), train_docs=2000, train_chars=20_000_000)
+    release(spark)
     return docs.where(toxicity_column(model, docs)(F.col("text").cast("string")) < 0.5)
 
 
@@ -37,10 +39,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that some language fits, each row judged by its own text.
 
     A text goes where the language that cuts it into the fewest phrases still needs, for each character, over twice
-    the phrases of held-back training texts, and where it has no letter (null texts included).  Where no row has a
+    the phrases of all labelled texts that were not learnt, and where it has no letter (null texts included).  Where no row has a
     language to learn from, all that have a letter stay.
     """
-    attach(spark)
+    release(attach(spark))
     model = train_languages(docs, "text", "lang", train_texts=64, train_chars=24_000)
     text = F.col("text").cast("string")
     if not model.languages:
@@ -54,13 +56,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id and texts without a word stay; rows that repeat the kept id stay.
     """
-    attach(spark)
+    release(attach(spark))
     return drop_near_duplicates(docs, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them, cut where it takes a part."""
-    attach(spark)
+    release(attach(spark))
     return mixed_documents(docs)
 
 
@@ -70,7 +72,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Workers know fewer pieces at once than the operator's default lets them, and fold more of them again, and the two
     Python passes run one after the other, since the executors' heaps are grown by the stages before.
     """
-    attach(spark)
+    release(attach(spark))
     return encode(docs, *public_vocabulary(), flush_bytes=1 << 18, most_words=150_000, most_shared=1 << 17, apart=True)
 
 

@@ -252,19 +252,36 @@ def fits(model: Model, texts: list[str], slack: int = 4) -> list[bool]:
     return [name != UNKNOWN and n <= model.limit * size + slack for name, _, size, n in parsed(model, texts)]
 
 
-def calibrated(model: Model, held: list[str], far: float = 2.0, least: int = 60) -> Model:
-    """The model with its limit at ``far`` times what 19 in 20 of the held-back texts of ``least`` symbols or more need;
-    without such texts it stays as it is."""
-    rates = [n / size for name, _, size, n in parsed(model, held) if name != UNKNOWN and size >= least]
-    return replace(model, limit=far * float(np.quantile(rates, 0.95))) if rates else model
+def calibrated(model: Model, held: DataFrame, text_col: str, far: float = 2.0, least: int = 60, places: int = 10_000) -> Model:
+    """The model with its limit at ``far`` times what 19 in 20 of all held-back texts of ``least`` symbols or more need, told
+    to 1 / ``places`` of a phrase a character; without such texts it stays as it is.
+
+    Every text counts; tasks send back how many texts need how much.
+    """
+    shared = held.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = parsed(shared.value, batch.column(0).to_pylist())
+            rates = np.array([n / size for name, _, size, n in found if name != UNKNOWN and size >= least])
+            cells, n = np.unique(np.ceil(rates * places).astype(np.int64), return_counts=True)
+            yield pa.record_batch([pa.array(cells), pa.array(n, pa.int64())], names=["cell", "n"])
+            give_back()
+
+    counts = held.select(F.col(text_col).cast("string")).mapInArrow(tidy(run), "cell long, n long")
+    cells = sorted(map(tuple, counts.groupBy("cell").agg(F.sum("n")).collect()))  # at most ``places`` + 1
+    if not cells:
+        return model
+    up_to = np.cumsum([n for _, n in cells])
+    return replace(model, limit=far * cells[int(np.searchsorted(up_to, 0.95 * up_to[-1]))][0] / places)
 
 
-def train(labelled: DataFrame, text_col: str, lang_col: str, *, train_texts: int, train_chars: int, most_languages: int = 4096) -> Model:
+def train(labelled: DataFrame, text_col: str, lang_col: str, *, train_texts: int, train_chars: int, most_languages: int = 4096, limited: bool = True) -> Model:
     """Fits on about ``train_texts`` distinct texts for each language, chosen by hash.
 
     The sample is bounded for each language, by ``train_texts`` texts and ``train_chars``
-    characters spread over them (beginnings, where the texts are longer); every language is learnt.  As many texts again set the
-    model's limit.  More than ``most_languages`` distinct labels raise: an automaton for each would not fit the driver.
+    characters spread over them (beginnings, where the texts are longer); every language is learnt.  With ``limited`` all
+    other labelled texts, whole ones, set the model's limit.  More than ``most_languages`` distinct labels raise: an automaton for each would not fit the driver.
     """
     text = F.col(text_col).cast("string")
     rows = labelled.where(F.col(lang_col).isNotNull() & text.isNotNull())
@@ -277,14 +294,18 @@ def train(labelled: DataFrame, text_col: str, lang_col: str, *, train_texts: int
     limits = [(lang, int(min(1.0, 2 * train_texts / max(n, 1)) * (1 << 30)) + 1) for lang, n in counts]
     limit = F.broadcast(labelled.sparkSession.createDataFrame(limits, "lang string, below long"))
     drawn = rows.join(limit, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("below")).dropDuplicates(["lang", "h"])
-    sample = drawn.select("lang", F.substring("text", 1, train_chars), F.pmod("h", F.lit(1 << 30))).collect()
+    sample = drawn.select("lang", F.substring("text", 1, train_chars), F.pmod("h", F.lit(1 << 30)), "h").collect()
     samples: dict[str, list[str]] = {}
-    held: dict[str, list[str]] = {}
-    for lang, text, _ in sorted(sample, key=lambda r: (r[0], r[2], r[1])):
-        into = samples if len(samples.setdefault(lang, [])) < train_texts else held
-        if len(into.setdefault(lang, [])) < train_texts:
-            into[lang].append(text)
-    return calibrated(fit(samples, train_chars), [t for texts in held.values() for t in texts])
+    learnt: set[tuple[str, int]] = set()
+    for lang, text, _, h in sorted(sample, key=lambda r: (r[0], r[2], r[1])):
+        if len(samples.setdefault(lang, [])) < train_texts:
+            samples[lang].append(text)
+            learnt.add((lang, h))
+    model = fit(samples, train_chars)
+    if not limited:
+        return model
+    known = F.broadcast(labelled.sparkSession.createDataFrame(sorted(learnt), "lang string, h long"))  # at most ``train_texts`` a language
+    return calibrated(model, rows.join(known, ["lang", "h"], "left_anti"), "text")
 
 
 def identify(
@@ -306,7 +327,7 @@ def identify(
     """
     model = train(
         docs.where(F.coalesce(trusted, F.lit(False))), text_col, lang_col,
-        train_texts=train_texts, train_chars=train_chars,
+        train_texts=train_texts, train_chars=train_chars, limited=False,
     )
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -419,3 +419,28 @@ def test_toxicity(spark, small):
     assert len(odd) == len(ODD)
     assert score_toxicity(docs(spark, []), labels, F.lit(True)).count() == 0
     assert score_toxicity(docs(spark, ODD), labels.limit(0), F.lit(True)).agg(F.max("score")).first()[0] < 1e-9
+
+
+def test_every_labelled_text_sets_the_limit(spark, monkeypatch):
+    from scriptorium.llm import op7_langid as L
+
+    draw, learnt, fit = random.Random(4), [], L.fit
+    word = lambda odd: "".join(draw.choices("qxzjkvw" if odd else "aeinrst", k=5))
+    texts = [" ".join(word(i % 5 == 0) for _ in range(20 + i % 7)) for i in range(150)]
+    monkeypatch.setattr(L, "fit", lambda samples, most: learnt.extend(x for t in samples.values() for x in t) or fit(samples, most))
+    frame = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    model = L.train(frame, "text", "lang", train_texts=2, train_chars=10_000)
+    assert len(learnt) == 2
+    rates = sorted(n / size for _, _, size, n in L.parsed(model, [t for t in texts if t not in learnt]))
+    want = 2 * rates[-(-95 * len(rates) // 100) - 1]
+    assert len(rates) == 148 and want <= model.limit <= want + 3e-4
+
+
+def test_near_duplicates_in_turns(spark):
+    from scriptorium.llm.op2_minhash import near_duplicates
+
+    draw = random.Random(8)
+    base = [[f"w{draw.randrange(3000)}" for _ in range(90)] for _ in range(6)]
+    rows = [(i, " ".join(w if draw.random() > 0.004 else "new" for w in base[i % 6])) for i in range(60)]
+    found = [sorted(map(tuple, near_duplicates(docs(spark, rows), turns=n).collect())) for n in (1, 3, 10)]
+    assert found[0] == found[1] == found[2] and len({r[2] for r in found[0]}) < 60
