@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .cluster import durable, release
-from .components import connected_components, merged
+from .components import bridges, connected_components, merged
 from .textkit import give_back, mix, mix_one, shingles, tidy, words
 
 _SEED = 0x5DEECE66D
@@ -100,8 +100,9 @@ def _common_halves(reps: DataFrame, tables: int, most: int) -> tuple[np.ndarray,
 
     counts = reps.select("halves").mapInArrow(tidy(run), "half long, n long").groupBy("half").agg(F.sum("n").alias("n")).where("n > 2")
     counts = durable(counts)
-    seen, least = 0, None
-    for n, kinds in sorted(map(tuple, counts.groupBy("n").agg(F.count(F.lit(1))).collect()), reverse=True):
+    few = counts.count() <= most
+    seen, least = 0, 0 if few else None
+    for n, kinds in [] if few else sorted(map(tuple, counts.groupBy("n").agg(F.count(F.lit(1))).collect()), reverse=True):
         seen += kinds
         if seen > most:
             break
@@ -240,6 +241,11 @@ def _sets_of(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, wid
     return sets.join(wanted.hint("merge"), "rep", "left_semi")
 
 
+def _turns(size: int, each: int, most: int = 5) -> int:
+    """One turn for each ``each`` of what is shuffled, ``most`` at most: small tables aren't worth more."""
+    return max(1, min(most, -(-size // each)))
+
+
 def _in_turns(make, turns: int, release_with) -> DataFrame:
     """The rows of ``make(turn)`` of all turns; what a turn shuffled is dropped before the next one begins."""
     found = None
@@ -338,11 +344,13 @@ def _open_pairs(stars: DataFrame, groups: DataFrame, sets: DataFrame, percent: i
     with a reference of its own; after four such turns they meet as they are.
     """
     high = 100 + percent
-    families = connected_components(stars.select("a", "b"))
-    placed = families.select("node", F.col("component").alias("fam")).join(groups.hint("merge"), "node")
-    several = placed.groupBy("fam").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("one"), F.max("component").alias("two"))
-    several = several.where("size > 2 and one < two").select("fam")
-    members = durable(placed.withColumnsRenamed({"node": "rep", "component": "comp"}).join(several.hint("merge"), "fam", "left_semi"))
+    between = durable(bridges(groups, stars))
+    if between.isEmpty():
+        return between
+    families = connected_components(between).toDF("component", "fam")
+    placed = groups.join(families.hint("merge"), "component").select("fam", F.col("node").alias("rep"), F.col("component").alias("comp"))
+    several = placed.groupBy("fam").agg(F.count(F.lit(1)).alias("size")).where("size > 2").select("fam")
+    members = durable(placed.join(several.hint("merge"), "fam", "left_semi"))
     found = None
     for turn in range(5):
         rows = durable(_differences(members, sets, percent))
@@ -374,12 +382,17 @@ def _open_pairs(stars: DataFrame, groups: DataFrame, sets: DataFrame, percent: i
     return found.distinct()
 
 
-def _confirm(stars: DataFrame, sets: DataFrame, percent: int, crowd: int = 128, turns: int = 1) -> DataFrame:
+def _ends(stars: DataFrame, name: str) -> DataFrame:
+    return stars.select(F.explode(F.array("a", "b")).alias(name)).distinct()
+
+
+def _confirm(stars: DataFrame, sets: DataFrame, percent: int, crowd: int = 128, turns: int = 1, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) from links confirmed on full sets: those of all stars, then those
-    that ``_open_pairs`` finds between components.  Pairs that carry sets are dealt in turns, by one end."""
+    that ``_open_pairs`` finds between components.  Pairs that carry sets are dealt in turns, by one end.
+    ``nodes``: the stars' ends, if they are at hand."""
     spark, turn_of = stars.sparkSession, F.pmod(F.xxhash64("b"), F.lit(turns))
     in_turns = lambda pairs: _in_turns(lambda turn: _linked(pairs.where(turn_of == turn), sets, percent), turns, spark)
-    nodes = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = _ends(stars, "node") if nodes is None else nodes
     solved = connected_components(in_turns(stars))
     groups = durable(nodes.join(solved.hint("merge"), "node", "left").select("node", F.coalesce("component", "node").alias("component")))
     more = durable(_open_pairs(stars, groups, sets, percent, crowd))
@@ -398,7 +411,9 @@ def near_duplicates(
     rows: int = 3,
     hot: int = 64,
     common_halves: int = 1 << 17,
-    turns: int = 5,
+    turns: int | None = None,
+    turn_rows: int = 5_000_000,
+    turn_shingles: int = 32_000_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -408,22 +423,31 @@ def near_duplicates(
 
     Empty or null texts: no shingles, linked with nothing.  Rows that repeat a
     doc_id are one node.  Bucket rows and pairs that carry their sets are shuffled in ``turns`` parts, of which
-    the disk holds one at a time.  A null doc_id takes no part: component_id null, kept true.
+    the disk holds one at a time; by default a part for each ``turn_rows`` bucket rows and one for each ``turn_shingles``
+    of the different sets, up to five.  A null doc_id takes no part: component_id null, kept true.
     An empty table gives an empty result.  Other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     notes = durable(signatures(base, "doc_id", "text", width, tables, rows))
     live = notes.where("n_shingles > 0 and doc_id is not null")
-    classes = durable(live.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("halves", "doc_id").alias("halves")))
+    least = F.min("doc_id").alias("rep"), F.min_by("halves", "doc_id").alias("halves"), F.max("n_shingles").alias("n")
+    classes = durable(live.groupBy("d1", "d2").agg(*least))
     reps = classes.select("rep", "halves")
     common = _common_halves(reps, tables, common_halves)
-    spark, turns = docs.sparkSession, max(1, min(turns, tables))
-    parts = _in_turns(lambda turn: _stars(_bucket_rows(reps, tables, hot, common, range(turn, tables, turns))), turns, spark)
-    stars = durable(parts.groupBy("a", "b").agg(F.sum("hits").alias("hits")))
-    ends = stars.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    sets = durable(_sets_of(base, "doc_id", "text", durable(ends), width).distinct())
+    spark = docs.sparkSession
+    if turns is None:
+        different, size = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        deals, turns = _turns(different * tables**2, turn_rows), _turns(size, turn_shingles)
+    else:
+        deals = turns = max(1, turns)
+    deals = min(deals, tables)
+    stars = _in_turns(lambda turn: _stars(_bucket_rows(reps, tables, hot, common, range(turn, tables, deals))), deals, spark)
+    if deals > 1:
+        stars = durable(stars.groupBy("a", "b").agg(F.sum("hits").alias("hits")))
+    ends = durable(_ends(stars, "rep"))
+    sets = durable(_sets_of(base, "doc_id", "text", ends, width).distinct())
     release(spark)
-    groups = _confirm(stars, sets, percent, turns=turns)
+    groups = _confirm(stars, sets, percent, turns=turns, nodes=ends.toDF("node"))
     known = classes.join(groups.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(
         "d1", "d2", F.coalesce("component", "rep").alias("component")
     )

@@ -444,3 +444,16 @@ def test_near_duplicates_in_turns(spark):
     rows = [(i, " ".join(w if draw.random() > 0.004 else "new" for w in base[i % 6])) for i in range(60)]
     found = [sorted(map(tuple, near_duplicates(docs(spark, rows), turns=n).collect())) for n in (1, 3, 10)]
     assert found[0] == found[1] == found[2] and len({r[2] for r in found[0]}) < 60
+
+
+def test_near_duplicates_turns_follow_the_size(spark, monkeypatch):
+    """A small table isn't dealt in turns, each of which costs a dozen shuffles; a large one is, with the same result."""
+    from scriptorium.llm import op2_minhash as O
+
+    draw, seen, deal = random.Random(9), [], O._in_turns
+    monkeypatch.setattr(O, "_in_turns", lambda make, turns, spark: seen.append(turns) or deal(make, turns, spark))
+    base = [f"w{draw.randrange(3000)}" for _ in range(90)]
+    rows = [(i, " ".join(w if draw.random() > 0.01 else f"new{i}" for w in base)) for i in range(1, 20)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in O.near_duplicates(docs(spark, rows)).collect()}
+    assert found == brute_components(rows) and set(seen) == {1}
+    assert [O._turns(n, 10) for n in (0, 10, 11, 50, 10**9)] == [1, 1, 2, 5, 5]
