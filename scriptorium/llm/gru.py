@@ -161,7 +161,7 @@ def lanes(texts: list[np.ndarray], start: int) -> tuple[np.ndarray, np.ndarray,
 def score(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start: int, window: int = 16, most: int = 16384, width: int = 1024) -> np.ndarray:
     """Natural log probability of each whole text; the state runs on from window to window.
 
-    Texts of like length run side by side, ``width`` at a time.
+    Texts of like length run side by side, ``width`` at a time; where few are left a window is as much longer.
     """
     if len(texts) > width:
         out, order = np.zeros(len(texts)), np.argsort([len(t) for t in texts], kind="stable")
@@ -173,20 +173,30 @@ def score(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start:
     begin, longest = np.cumsum(sizes) - sizes, int(sizes.max(initial=0))
     h = layout.hidden
     project = (par[0] @ par[1] + par[3]).astype(F32)
+    # By gates, and half of what a sigmoid takes: 1 / (1 + exp(-x)) = (1 + tanh(x / 2)) / 2.
+    half = F32(0.5)
+    x_zr, x_new = np.ascontiguousarray(project[:, : 2 * h] * half), np.ascontiguousarray(project[:, 2 * h :])
+    h_zr, h_new = np.ascontiguousarray(par[2][:, : 2 * h] * half), np.ascontiguousarray(par[2][:, 2 * h :])
     state = np.zeros((len(texts), h), F32)
     total = np.zeros(len(texts))
     active = np.searchsorted(-sizes, -np.arange(longest), "left")
-    for at in range(0, longest, window):
+    at = 0
+    while at < longest:
         states, seen, owner = [], [], []
-        for t in range(at, min(longest, at + window)):
+        to = min(longest, at + max(window, most // int(active[at])))
+        for t in range(at, to):
             n = int(active[t])
             spot = begin[:n] + t
-            gate_x = project.take(inputs[spot], axis=0)
+            given = inputs[spot]
             now = state[:n]
-            gate_h = now @ par[2]
-            zr = _sigmoid(gate_x[:, : 2 * h] + gate_h[:, : 2 * h])
-            new = zr[:, h:] * gate_h[:, 2 * h :]
-            new += gate_x[:, 2 * h :]
+            zr = x_zr.take(given, axis=0)
+            zr += now @ h_zr
+            np.tanh(zr, out=zr)
+            zr += F32(1)
+            zr *= half
+            new = now @ h_new
+            new *= zr[:, h:]
+            new += x_new.take(given, axis=0)
             np.tanh(new, out=new)
             now -= new
             now *= zr[:, :h]
@@ -194,6 +204,7 @@ def score(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start:
             states.append(now.copy())
             seen.append(targets[spot])
             owner.append(np.arange(n))
+        at = to
         states_, seen_, owner_ = np.concatenate(states), np.concatenate(seen), np.concatenate(owner)
         for a in range(0, len(seen_), most):
             logs, _ = output_log(layout, par, states_[a : a + most], seen_[a : a + most])

@@ -204,6 +204,7 @@ def score_documents(
     known_most: int = 1 << 18,
     rounds: int = 4,
     group_docs: int = 4000,
+    lot_tokens: int = 6_000_000,
 ) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
@@ -211,7 +212,8 @@ def score_documents(
     of log10((c + 0.5) / (N + 0.5 (V + 1))).  score: the model's log10 probability.
     Rows where ``usable`` holds are learnt from.  Null or empty text: the end alone.
     Repeated rows count as often as they occur and score alike; null ids are scored.  An
-    empty table gives no rows; with nothing to learn from every word is unknown.
+    empty table gives no rows; with nothing to learn from every word is unknown.  A task scores
+    the texts of several batches side by side, of ``lot_tokens`` tokens and a batch at most.
     """
     spark = docs.sparkSession
     learnt = docs.where(F.coalesce(usable, F.lit(False)))
@@ -223,9 +225,19 @@ def score_documents(
     found = train(learnt, key, text_col, lex, layout, start, rounds=rounds, group_docs=group_docs)
     parameters = spark.sparkContext.broadcast(found)
 
+    def scored(lot: list[tuple[list[pa.Array], list[np.ndarray], np.ndarray]], known: Lexicon, par: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        texts = [t for _, own, _ in lot for t in own]
+        scores = gru.score(known.layout, par, texts, known.end_input) / _LN10 if texts else np.zeros(0)
+        at = 0
+        for (*first, tails, counts_), own, rare in lot:
+            model = pa.array(scores[at : at + len(own)] + rare, pa.float64())
+            at += len(own)
+            yield pa.record_batch([*first, model, tails, counts_], names=["doc_id", "n_tokens", "n_known", "base", "model", "tails", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lex.value
         par = gru.restore(known.layout, parameters.value)
+        lot, size = [], 0
         for batch in batches:
             texts, n_known, base, rare, tails, tail_counts = [], [], [], [], [], []
             for hashes, shape in tokens(batch.column(1)):
@@ -240,20 +252,21 @@ def score_documents(
                 h, c = np.unique(hashes[~hit], return_counts=True)
                 tails.append(h.view(np.int64))
                 tail_counts.append(c)
-            scores = gru.score(known.layout, par, texts, known.end_input) / _LN10 if texts else np.zeros(0)
-            yield pa.record_batch(
-                [
-                    batch.column(0),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array(n_known, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(scores + np.array(rare), pa.float64()),
-                    pa.array(tails, pa.list_(pa.int64())),
-                    pa.array(tail_counts, pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n_tokens", "n_known", "base", "model", "tails", "counts"],
-            )
+            columns = [
+                pa.array(batch.column(0).to_pylist(), pa.int64()),  # a copy: the batch's texts aren't held with it
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array(n_known, pa.int64()),
+                pa.array(base, pa.float64()),
+                pa.array(tails, pa.list_(pa.int64())),
+                pa.array(tail_counts, pa.list_(pa.int64())),
+            ]
+            lot.append((columns, texts, np.array(rare)))
+            size += sum(map(len, texts))
+            if size >= lot_tokens:
+                yield from scored(lot, known, par)
+                lot, size = [], 0
             give_back()
+        yield from scored(lot, known, par)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, n_known long, base double, model double, tails array<long>, counts array<long>"

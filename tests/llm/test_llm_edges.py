@@ -457,3 +457,38 @@ def test_near_duplicates_turns_follow_the_size(spark, monkeypatch):
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in O.near_duplicates(docs(spark, rows)).collect()}
     assert found == brute_components(rows) and set(seen) == {1}
     assert [O._turns(n, 10) for n in (0, 10, 11, 50, 10**9)] == [1, 1, 2, 5, 5]
+
+
+def test_gru_windows_lengthen_with_few_texts(monkeypatch):
+    """A lone long text is scored in windows as long as many texts' windows are wide; the scores are those of one step at a time."""
+    from scriptorium.llm import gru
+
+    draw = np.random.default_rng(6)
+    layout = gru.Layout(6, 2, np.array([0, 0, 0, 1, 1, 2, 3, 4]), np.array([0, 1, 2, 0, 1, 0, 0, 0]), np.array([3, 2, 1]))
+    par = [draw.normal(0, 0.4, shape).astype(np.float32) for shape in layout.shapes()]
+    texts = [draw.integers(0, 8, n).astype(np.int32) for n in (4000, 1, 0, 30)]
+    calls, output = [], gru.output_log
+    monkeypatch.setattr(gru, "output_log", lambda layout, par, states, *rest: calls.append(len(states)) or output(layout, par, states, *rest))
+    found = gru.score(layout, par, texts, 0)
+    assert len(calls) == 1 and sum(calls) == 4031
+    singly = gru.score(layout, par, texts, 0, window=1, most=1)
+    assert np.allclose(found, singly, rtol=1e-5) and len(calls) > 4000
+
+
+def test_scoring_in_lots(spark):
+    """However many batches are scored side by side, each row keeps its own score."""
+    from scriptorium.llm.op9_lm import score_documents
+
+    draw = random.Random(11)
+    rows = [(None if i == 7 else i, " ".join(draw.choice(["ab", "cde", "f", "ghi", f"x{i}"]) for _ in range(draw.randrange(40)))) for i in range(40)]
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        found = [{r.doc_id: r for r in score_documents(docs(spark, rows), F.lit(True), lot_tokens=n).collect()} for n in (1, 10**6)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert len(found[0]) == len(found[1]) == 40
+    for i, text in rows:
+        one, other = found[0][i], found[1][i]
+        assert one.n_tokens == other.n_tokens == len(text.split()) + 1 and one.n_known == other.n_known
+        assert abs(one.score - other.score) < 1e-4 and one.base_score == other.base_score
