@@ -57,15 +57,19 @@ def flatten(parameters: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([p.ravel() for p in parameters])
 
 
-def restore(layout: Layout, flat: np.ndarray) -> list[np.ndarray]:
+def _views(layout: Layout, flat: np.ndarray) -> list[np.ndarray]:
     out, at = [], 0
     for shape in layout.shapes():
         n = int(np.prod(shape))
-        out.append(flat[at : at + n].reshape(shape).astype(F32))
+        out.append(flat[at : at + n].reshape(shape))
         at += n
     return out
 
 
+def restore(layout: Layout, flat: np.ndarray) -> list[np.ndarray]:
+    return [v.astype(F32) for v in _views(layout, flat)]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place of ``x``."""
     x *= F32(0.5)
@@ -271,7 +275,7 @@ def window_grads(layout: Layout, par: list[np.ndarray], state: np.ndarray, input
         back[seen] = back_seen
     back = back.reshape(steps, width, h)
     # What doesn't depend on the steps after: the gates' slopes.
-    z, r = zr[:, :, :h], zr[:, :, h:]
+    z, r = np.ascontiguousarray(zr[:, :, :h]), np.ascontiguousarray(zr[:, :, h:])
     stay = F32(1) - z
     slope_z = past - new
     slope_z *= z
@@ -316,8 +320,9 @@ def fit(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start: i
     total = sum(map(len, texts))
     longest = max(map(len, texts), default=0)
     lanes_ = lanes_ or int(min(192, max(16, total // max(longest, 24 * window))))
-    par = [p.copy() for p in par]
-    mean, var, steps = [np.zeros_like(p) for p in par], [np.zeros_like(p) for p in par], 0
+    values = flatten(par)
+    par = _views(layout, values)
+    mean, var, steps = np.zeros_like(values), np.zeros_like(values), 0
     inputs, targets, begins, live = deal(texts, start, lanes_)
     for _ in range(epochs):
         state = np.zeros((lanes_, layout.hidden), F32)
@@ -336,19 +341,19 @@ def fit(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start: i
                 continue
             steps += 1
             scale = F32(rate * min(1.0, 2 * count / (lanes_ * window)) / (1 - 0.9**steps))
-            for i, g in enumerate(grads):
-                g *= F32(1 / count)
-                np.clip(g, -0.1, 0.1, out=g)
-                mean[i] *= F32(0.9)
-                mean[i] += F32(0.1) * g
-                g *= g
-                g *= F32(0.01)
-                var[i] *= F32(0.99)
-                var[i] += g
-                np.multiply(var[i], F32(1 / (1 - 0.99**steps)), out=g)
-                np.sqrt(g, out=g)
-                g += F32(1e-6)
-                np.divide(mean[i], g, out=g)
-                g *= scale
-                par[i] -= g
+            g = flatten(grads)
+            g *= F32(1 / count)
+            np.clip(g, -0.1, 0.1, out=g)
+            mean *= F32(0.9)
+            mean += F32(0.1) * g
+            g *= g
+            g *= F32(0.01)
+            var *= F32(0.99)
+            var += g
+            np.multiply(var, F32(1 / (1 - 0.99**steps)), out=g)
+            np.sqrt(g, out=g)
+            g += F32(1e-6)
+            np.divide(mean, g, out=g)
+            g *= scale
+            values -= g
     return par
