@@ -9,6 +9,7 @@ for each rare class.
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,13 +71,25 @@ def restore(layout: Layout, flat: np.ndarray) -> list[np.ndarray]:
     return [v.astype(F32) for v in _views(layout, flat)]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place of ``x``."""
-    x *= F32(0.5)
-    np.tanh(x, out=x)
+class Room:
+    """Float arrays by name, whose memory one window after another uses anew, so that the system doesn't clear it each time."""
+
+    def __init__(self) -> None:
+        self.kept: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.kept or len(self.kept[name]) < size:
+            self.kept[name] = np.empty(size, F32)
+        return self.kept[name][:size].reshape(shape)
+
+
+def _shut(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(x)), the sigmoid of -x, in place of ``x``."""
+    with np.errstate(over="ignore"):  # an infinite exp stands for a gate that is shut
+        np.exp(x, out=x)
     x += F32(1)
-    x *= F32(0.5)
-    return x
+    return np.reciprocal(x, out=x)
 
 
 def _flat(weights: np.ndarray, bias: np.ndarray) -> bool:
@@ -84,67 +97,96 @@ def _flat(weights: np.ndarray, bias: np.ndarray) -> bool:
     return float((np.abs(weights).sum(axis=1) + np.abs(bias)).max(initial=0)) < 60
 
 
-def _exp_rows(x: np.ndarray, flat: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of exp of each row, its log), ``x`` becoming the exp; rows are shifted unless ``flat``."""
+def _exp_rows(x: np.ndarray, flat: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """(sum of exp of each row, what each row was shifted by), ``x`` becoming the exp; no row is shifted if ``flat``."""
     top = None
     if not flat:
-        top = x.max(axis=1, keepdims=True)
-        x -= top
+        top = x.max(axis=1)
+        x -= top[:, None]
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], F32)
-    logs = np.log(total)
-    return total, logs if top is None else logs + top[:, 0]
+    return x @ np.ones(x.shape[1], F32), top
 
 
 #: Rows of class outputs that are worked on at once, so that they stay in a core's cache.
 _ROWS = 1536
 
 
-def output_log(layout: Layout, par: list[np.ndarray], states: np.ndarray, tokens: np.ndarray, grads: list[np.ndarray] | None = None):
+def output_log(
+    layout: Layout, par: list[np.ndarray], states: np.ndarray, tokens: np.ndarray, grads: list[np.ndarray] | None = None, room: Room | None = None
+):
     """Natural log probability of each token after its state; with ``grads``, also the
-    gradient of the summed loss (added to ``grads``) with respect to the states."""
+    gradient of the summed loss (added to ``grads``) with respect to the states.
+
+    Of a softmax only exp and its sums are kept: the division by the sum is left to what is h wide.
+    """
     wc, bc, wo, bo = par[4:]
+    h, n, room = layout.hidden, len(tokens), room or Room()
     group = layout.classes[tokens]
-    out, back = np.empty(len(tokens)), None if grads is None else np.empty_like(states)
-    flat = _flat(wc.T, bc)
-    for at in range(0, len(tokens), _ROWS):
-        rows = slice(at, at + _ROWS)
-        own, picked = states[rows], group[rows]
-        every = np.arange(len(picked))
-        chance = own @ wc
-        chance += bc
-        out[rows] = chance[every, picked]
-        total, logs = _exp_rows(chance, flat)
-        out[rows] -= logs
+    out, back = np.empty(n), None if grads is None else room("back", n, h)
+    own = room("own", n, h + 1)  # states, and a one for the bias
+    own[:, :h], own[:, h] = states, 1
+    wide, flat = np.vstack([wc, bc]), _flat(wc.T, bc)
+    starts = np.arange(_ROWS) * layout.groups
+    by_group = None if grads is None else np.zeros((layout.groups, h + 1), F32)
+    for at in range(0, n, _ROWS):
+        rows = slice(at, min(n, at + _ROWS))
+        chance = np.matmul(own[rows], wide, out=room("chance", rows.stop - at, layout.groups))
+        spot = starts[: rows.stop - at] + group[rows]
+        own_log = chance.ravel().take(spot)
+        total, top = _exp_rows(chance, flat)
+        out[rows] = own_log - (np.log(total) if top is None else np.log(total) + top)
         if grads is not None:
-            chance *= (1 / total)[:, None]
-            chance[every, picked] -= F32(1)
-            grads[4] += own.T @ chance
-            grads[5] += np.ones(len(picked), F32) @ chance
+            every = chance.reshape(-1)
+            every[spot] = every.take(spot) - total
+            share = 1 / total
+            by_group += chance.T @ (own[rows] * share[:, None])
             np.matmul(chance, wc.T, out=back[rows])
+            back[rows] *= share[:, None]
     order = np.argsort(group.astype(np.int16), kind="stable")
     cut = np.searchsorted(group[order], np.arange(len(layout.sizes) + 1))
-    order = order[: cut[-1]]
-    inside, by_class = layout.member[tokens[order]], states[order]
-    gain, slope = np.zeros(len(order)), None if grads is None else np.zeros_like(by_class)
-    flat, starts = _flat(wo, bo), layout.starts()
-    for g in np.flatnonzero((layout.sizes > 1) & (np.diff(cut) > 0)).tolist():
-        rows, span = slice(cut[g], cut[g + 1]), slice(starts[g], starts[g] + layout.sizes[g])
-        own, member = by_class[rows], inside[rows]
-        every = np.arange(len(member))
-        chance = own @ wo[span].T
-        chance += bo[span]
-        gain[rows] = chance[every, member]
-        total, logs = _exp_rows(chance, flat)
-        gain[rows] -= logs
+    order, cut = order[: cut[-1]], cut.tolist()
+    inside, by_class = layout.member[tokens[order]], np.take(own, order, axis=0, out=room("by_class", len(order), h + 1), mode="clip")
+    gain, total, shift = np.zeros(len(order), F32), np.ones(len(order), F32), None
+    deep, flat = np.column_stack([wo, bo]), _flat(wo, bo)
+    if not flat:
+        shift = np.zeros(len(order), F32)
+    if grads is not None:
+        by_member, slope, share = np.zeros_like(deep), room("slope", len(order), h), np.empty((len(order), 1), F32)
+    every_row, a = np.arange(len(order)), 0
+    for g, size in enumerate(layout.sizes.tolist()):
+        rows, span = slice(cut[g], cut[g + 1]), slice(a, a + size)
+        a += size
+        if cut[g] == cut[g + 1]:
+            continue
+        if size == 1:
+            if grads is not None:
+                slope[rows] = 0
+            continue
+        own_rows = by_class[rows]
+        chance = own_rows @ deep[span].T
+        every = chance.reshape(-1)
+        spot = every_row[: len(chance)] * size
+        spot += inside[rows]
+        every.take(spot, out=gain[rows], mode="clip")
+        sums, top = _exp_rows(chance, flat)
+        total[rows] = sums
+        if top is not None:
+            shift[rows] = top
         if grads is not None:
-            chance *= (1 / total)[:, None]
-            chance[every, member] -= F32(1)
-            grads[6][span] += chance.T @ own
-            grads[7][span] += np.ones(len(member), F32) @ chance
+            every[spot] = every.take(spot) - sums
+            np.divide(1, sums, out=share[rows, 0])
+            np.matmul(chance.T, own_rows * share[rows], out=by_member[span])
             np.matmul(chance, wo[span], out=slope[rows])
+            slope[rows] *= share[rows]
+    gain -= np.log(total)
+    if shift is not None:
+        gain -= shift
     out[order] += gain
     if grads is not None:
+        grads[4] += by_group[:, :h].T
+        grads[5] += by_group[:, h]
+        grads[6] += by_member[:, :h]
+        grads[7] += by_member[:, h]
         back[order] += slope
     return out, back
 
@@ -177,10 +219,9 @@ def score(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start:
     begin, longest = np.cumsum(sizes) - sizes, int(sizes.max(initial=0))
     h = layout.hidden
     project = (par[0] @ par[1] + par[3]).astype(F32)
-    # By gates, and half of what a sigmoid takes: 1 / (1 + exp(-x)) = (1 + tanh(x / 2)) / 2.
-    half = F32(0.5)
-    x_zr, x_new = np.ascontiguousarray(project[:, : 2 * h] * half), np.ascontiguousarray(project[:, 2 * h :])
-    h_zr, h_new = np.ascontiguousarray(par[2][:, : 2 * h] * half), np.ascontiguousarray(par[2][:, 2 * h :])
+    # By gates; what a gate's sigmoid, 1 / (1 + exp(-x)), takes has the other sign.
+    x_z, x_r, x_new = (np.ascontiguousarray(project[:, k * h : k * h + h] * F32(sign)) for k, sign in enumerate((-1, -1, 1)))
+    h_z, h_r, h_new = (np.ascontiguousarray(par[2][:, k * h : k * h + h] * F32(sign)) for k, sign in enumerate((-1, -1, 1)))
     state = np.zeros((len(texts), h), F32)
     total = np.zeros(len(texts))
     active = np.searchsorted(-sizes, -np.arange(longest), "left")
@@ -193,17 +234,16 @@ def score(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start:
             spot = begin[:n] + t
             given = inputs[spot]
             now = state[:n]
-            zr = x_zr.take(given, axis=0)
-            zr += now @ h_zr
-            np.tanh(zr, out=zr)
-            zr += F32(1)
-            zr *= half
+            z, r = now @ h_z, now @ h_r
+            for gate, x in ((z, x_z), (r, x_r)):
+                gate += x.take(given, axis=0)
+                _shut(gate)
             new = now @ h_new
-            new *= zr[:, h:]
+            new *= r
             new += x_new.take(given, axis=0)
             np.tanh(new, out=new)
             now -= new
-            now *= zr[:, :h]
+            now *= z
             now += new
             states.append(now.copy())
             seen.append(targets[spot])
@@ -245,70 +285,80 @@ def deal(texts: list[np.ndarray], start: int, lanes_: int) -> tuple[np.ndarray,
     return inputs, targets, begins, live
 
 
-def window_grads(layout: Layout, par: list[np.ndarray], state: np.ndarray, inputs: np.ndarray, targets: np.ndarray, begins: np.ndarray, live: np.ndarray):
-    """(loss, tokens, gradients, last state) of one window of steps by lanes, backpropagated inside it."""
-    h, (steps, width) = layout.hidden, inputs.shape
+def window_grads(
+    layout: Layout, par: list[np.ndarray], state: np.ndarray, inputs: np.ndarray, targets: np.ndarray, begins: np.ndarray, live: np.ndarray, room: Room | None = None
+):
+    """(loss, tokens, gradients, last state) of one window of steps by lanes, backpropagated inside it.
+
+    A step's gates and states are held lane by lane in each row, so that every gate is one span of memory.
+    """
+    h, (steps, width), room = layout.hidden, inputs.shape, room or Room()
     grads = [np.zeros_like(x) for x in par]
-    x = par[0].take(inputs.ravel(), axis=0)
-    gates = x @ par[1]
-    gates += par[3]
-    gates = gates.reshape(steps, width, 3 * h)
-    past, hidden = np.empty((steps, width, h), F32), np.empty((steps, width, 3 * h), F32)
-    zr, new, after = np.empty((steps, width, 2 * h), F32), np.empty((steps, width, h), F32), np.empty((steps, width, h), F32)
-    fresh = (~begins[:, :, None]).astype(F32)
+    x = np.take(par[0], inputs, axis=0, out=room("x", steps, width, layout.embedding), mode="clip")
+    # What a gate's sigmoid, 1 / (1 + exp(-x)), takes has the other sign from the start.
+    sign = np.repeat(np.array([-1, 1], F32), (2 * h, h))
+    gates = np.matmul((par[1] * sign).T, x.transpose(0, 2, 1), out=room("gates", steps, 3 * h, width))
+    gates += (par[3] * sign)[:, None]
+    across = np.ascontiguousarray((par[2] * sign).T)
+    hidden = room("hidden", steps, 3 * h, width)
+    past, after, inner = room("past", steps, h, width), room("after", steps, h, width), room("inner", h, width)
+    fresh = (~begins[:, None, :]).astype(F32)
+    state = state.T
     for t in range(steps):
         np.multiply(state, fresh[t], out=past[t])
-        np.matmul(past[t], par[2], out=hidden[t])
-        _sigmoid(np.add(gates[t, :, : 2 * h], hidden[t, :, : 2 * h], out=zr[t]))
-        inner = np.multiply(zr[t, :, h:], hidden[t, :, 2 * h :], out=new[t])
-        inner += gates[t, :, 2 * h :]
-        np.tanh(inner, out=inner)
-        state = np.subtract(past[t], inner, out=after[t])
-        state *= zr[t, :, :h]
-        state += inner
+        np.matmul(across, past[t], out=hidden[t])
+        zr, new = gates[t, : 2 * h], gates[t, 2 * h :]
+        _shut(np.add(zr, hidden[t, : 2 * h], out=zr))
+        new += np.multiply(zr[h:], hidden[t, 2 * h :], out=inner)
+        np.tanh(new, out=new)
+        state = np.subtract(past[t], new, out=after[t])
+        state *= zr[:h]
+        state += new
     seen = np.flatnonzero(live.ravel())
     everything = len(seen) == live.size
-    flat = after.reshape(-1, h)
-    logs, back_seen = output_log(layout, par, flat if everything else flat[seen], targets.ravel()[seen], grads)
-    back = back_seen if everything else np.zeros_like(flat)
+    flat = room("flat", steps * width, h)
+    flat.reshape(steps, width, h)[:] = after.transpose(0, 2, 1)
+    logs, back_seen = output_log(layout, par, flat if everything else flat[seen], targets.ravel()[seen], grads, room)
+    back_flat = back_seen if everything else np.zeros_like(flat)
     if not everything:
-        back[seen] = back_seen
-    back = back.reshape(steps, width, h)
+        back_flat[seen] = back_seen
+    back = room("back_steps", steps, h, width)
+    back[:] = back_flat.reshape(steps, width, h).transpose(0, 2, 1)
     # What doesn't depend on the steps after: the gates' slopes.
-    z, r = np.ascontiguousarray(zr[:, :, :h]), np.ascontiguousarray(zr[:, :, h:])
-    stay = F32(1) - z
-    slope_z = past - new
+    z, r, new = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h :]
+    dx, stay = room("dx", steps, 3 * h, width), np.subtract(F32(1), z, out=room("stay", steps, h, width))
+    slope_z = np.subtract(past, new, out=dx[:, :h])
     slope_z *= z
     slope_z *= stay
-    slope_n = new * new
+    slope_n = np.multiply(new, new, out=dx[:, 2 * h :])
     np.subtract(F32(1), slope_n, out=slope_n)
     slope_n *= stay
-    slope_r = F32(1) - r
+    slope_r = np.subtract(F32(1), r, out=dx[:, h : 2 * h])
     slope_r *= r
-    slope_r *= hidden[:, :, 2 * h :]
-    dx, dh = np.empty((steps, width, 3 * h), F32), np.empty((steps, width, 3 * h), F32)
-    carry = np.zeros((width, h), F32)
-    across = np.ascontiguousarray(par[2].T)
+    slope_r *= hidden[:, 2 * h :]
+    dh = hidden  # its place is free from here on
+    carry = np.zeros((h, width), F32)
     for t in range(steps - 1, -1, -1):
-        d = carry + back[t]
-        dn = d * slope_n[t]
-        dx[t, :, 2 * h :] = dn
-        np.multiply(d, slope_z[t], out=dx[t, :, :h])
-        np.multiply(dn, slope_r[t], out=dx[t, :, h : 2 * h])
-        dh[t, :, : 2 * h] = dx[t, :, : 2 * h]
-        np.multiply(dn, r[t], out=dh[t, :, 2 * h :])
-        carry = dh[t] @ across
-        carry += d * z[t]
+        d, own = back[t], dx[t]
+        d += carry
+        own[2 * h :] *= d
+        own[:h] *= d
+        own[h : 2 * h] *= own[2 * h :]
+        dh[t, : 2 * h] = own[: 2 * h]
+        np.multiply(own[2 * h :], r[t], out=dh[t, 2 * h :])
+        np.matmul(par[2], dh[t], out=carry)
+        d *= z[t]
+        carry += d
         carry *= fresh[t]
-    dx, dh = dx.reshape(-1, 3 * h), dh.reshape(-1, 3 * h)
-    grads[1] += x.T @ dx
-    grads[3] += np.ones(len(dx), F32) @ dx
-    grads[2] += past.reshape(-1, h).T @ dh
+    grads[1] += np.matmul(dx, x).sum(axis=0).T
+    grads[3] += (dx @ np.ones(width, F32)).sum(axis=0)
+    grads[2] += np.matmul(dh, past.transpose(0, 2, 1)).sum(axis=0).T
     order = np.argsort(inputs.ravel().astype(np.uint16) if layout.inputs <= 1 << 16 else inputs.ravel(), kind="stable")
     ranked = inputs.ravel()[order]
     first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-    grads[0][ranked[first]] += np.add.reduceat((dx @ par[1].T)[order], first, axis=0)
-    return -float(logs.sum()), len(seen), grads, state
+    to_inputs = np.matmul(dx.transpose(0, 2, 1), par[1].T, out=room("to_inputs", steps, width, layout.embedding))
+    grads[0][ranked[first]] += np.add.reduceat(to_inputs.reshape(-1, layout.embedding)[order], first, axis=0)
+    return -float(logs.sum()), len(seen), grads, state.T.copy()
 
 
 def fit(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start: int, *, window: int = 24, lanes_: int | None = None, rate: float = 0.01, epochs: int = 1) -> list[np.ndarray]:
@@ -324,6 +374,7 @@ def fit(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start: i
     par = _views(layout, values)
     mean, var, steps = np.zeros_like(values), np.zeros_like(values), 0
     inputs, targets, begins, live = deal(texts, start, lanes_)
+    room = Room()
     for _ in range(epochs):
         state = np.zeros((lanes_, layout.hidden), F32)
         for at in range(0, len(inputs), window):
@@ -334,7 +385,7 @@ def fit(layout: Layout, par: list[np.ndarray], texts: list[np.ndarray], start: i
                 inputs, targets, begins, live = (np.ascontiguousarray(v[:, keep]) for v in (inputs, targets, begins, live))
                 state, width = state[keep], len(keep)
             now = [np.ascontiguousarray(v[span, :width]) for v in (inputs, targets, begins, live)]
-            _, count, grads, last = window_grads(layout, par, state[:width], *now)
+            _, count, grads, last = window_grads(layout, par, state[:width], *now, room)
             state = last
             inputs, targets, begins, live = (v[:, :width] for v in (inputs, targets, begins, live))
             if not count:

@@ -492,3 +492,28 @@ def test_scoring_in_lots(spark):
         one, other = found[0][i], found[1][i]
         assert one.n_tokens == other.n_tokens == len(text.split()) + 1 and one.n_known == other.n_known
         assert abs(one.score - other.score) < 1e-4 and one.base_score == other.base_score
+
+
+def test_gru_windows_use_memory_anew():
+    """Windows of other sizes, outputs that must be shifted and earlier contents change no gradient; a window takes little new memory."""
+    import tracemalloc
+
+    from scriptorium.llm import gru
+
+    draw = np.random.default_rng(12)
+    layout = gru.Layout(6, 2, np.array([0, 0, 0, 1, 1, 2, 3, 4]), np.array([0, 1, 2, 0, 1, 0, 0, 0]), np.array([3, 2, 1]))
+    par = [draw.normal(0, 0.4, shape).astype(np.float32) for shape in layout.shapes()]
+    wide = [p + np.float32(200) * (i == 5) for i, p in enumerate(par)]  # exp of these outputs is infinite unless shifted
+    room = gru.Room()
+    for own, steps, width, share in ((par, 24, 160, 1.0), (par, 5, 7, 0.6), (wide, 24, 160, 0.9), (par, 24, 160, 1.0)):
+        inputs, targets = (draw.integers(0, 8, (steps, width)).astype(np.int32) for _ in range(2))
+        state = draw.normal(0, 0.5, (width, layout.hidden)).astype(np.float32)
+        window = (state, inputs, targets, draw.random((steps, width)) < 0.1, draw.random((steps, width)) < share)
+        fresh = gru.window_grads(layout, own, *window)
+        tracemalloc.start()
+        found = gru.window_grads(layout, own, *window, room)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert found[:2] == fresh[:2] and np.array_equal(found[3], fresh[3]) and np.isfinite(found[0])
+        assert all(np.array_equal(a, b) and np.isfinite(a).all() for a, b in zip(found[2], fresh[2]))
+    assert most < 24 * 160 * layout.hidden * 4 * 4, most  # the gates and slopes alone take nine such arrays
