@@ -11,6 +11,9 @@ class.  All training documents are dealt into rounds and, in a round, into group
 groups of a round are trained side by side from the mean of the round before (at first
 from the unigram distribution) and averaged.
 
+Texts are read twice: to count their words, and to write their tokens as the model's
+inputs (two bytes each), from which it learns and scores.
+
 Scores.  Documents of a batch run side by side, the state carried over windows to
 their ends.  Counts of the most frequent words, at most ``known_most``, go to the tasks (a
 bounded table); words beyond it meet their counts in a join.
@@ -29,12 +32,13 @@ from pyspark.sql import functions as F
 
 from . import gru
 from .cluster import durable
-from .textkit import Words, give_back, mix_one, tidy, words
+from .textkit import Words, give_back, mix_one, tidy, utf8, words
 
 END = np.uint64(mix_one(0xE0D0F0D0C0))
 _LENGTHS, _TAILS = (6, 9), 10
 RARE = 2 * (len(_LENGTHS) + 1) * _TAILS
 _LN10 = np.log(10.0)
+_NO_TAIL = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
 def shapes(part: Words) -> np.ndarray:
@@ -47,14 +51,6 @@ def shapes(part: Words) -> np.ndarray:
     return (accented * (len(_LENGTHS) + 1) + size) * _TAILS + tail
 
 
-def tokens(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word hashes, rare classes) of each document of a column, without the end."""
-    for part in words(column):
-        hashes, shape = part.hashes(), shapes(part)
-        for a, b in zip(part.bounds[:-1].tolist(), part.bounds[1:].tolist()):
-            yield hashes[a:b], shape[a:b]
-
-
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(h, c, shape) over all rows: each distinct word's count; ends not included."""
 
@@ -159,29 +155,77 @@ def lexicon(counts: DataFrame, documents: int, head: int, head_classes: int, kno
     )
 
 
-def train(docs: DataFrame, key: Column, text_col: str, lex, layout: gru.Layout, start: np.ndarray, *, rounds: int, group_docs: int) -> np.ndarray:
+def encode(docs: DataFrame, lex) -> DataFrame:
+    """(doc_id, learnt, spot) of ``docs``, each with what one pass over its ``text`` finds.
+
+    tokens: the model's inputs with the end, in the bytes of ``_code``; n_tokens; n_known, base and rare: the
+    known words, the sum of their log10(c + 0.5), and of what the model's rare classes leave of it; tails,
+    counts: the words that the tasks' table doesn't hold.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lex.value
+        head, code = known.layout.head, _code(known.layout)
+        left = np.append(np.zeros(head), known.rare_log / _LN10)  # of each input
+        for batch in batches:
+            for part in words(batch.column(3)):
+                hashes = part.hashes()
+                inputs, count, hit = known.look_up(hashes, shapes(part))
+                logs = np.where(hit, np.log10(count + 0.5), 0.0)
+
+                def each(values: np.ndarray) -> np.ndarray:
+                    return np.bincount(part.owner, values, part.docs)
+
+                ends = part.bounds[1:] + np.arange(part.docs)
+                flat = np.empty(len(inputs) + part.docs, code)
+                flat[np.arange(len(inputs)) + part.owner] = inputs
+                flat[ends] = known.end_input
+                offsets = np.append(0, ends + 1).astype(np.int32) * code.itemsize
+                missed = np.flatnonzero(~hit)
+                cut = np.searchsorted(part.owner[missed], np.arange(part.docs + 1)).tolist()
+                tails = [np.unique(hashes[missed[a:b]], return_counts=True) if a < b else _NO_TAIL for a, b in zip(cut[:-1], cut[1:])]
+                columns = [
+                    *(batch.column(i).slice(part.first, part.docs) for i in range(3)),
+                    pa.array(np.diff(offsets) // code.itemsize, pa.int64()),
+                    pa.array(each(hit).astype(np.int64) + (known.end_count > 0), pa.int64()),
+                    pa.array(each(logs) + np.log10(known.end_count + 0.5), pa.float64()),
+                    pa.array(each(np.where(inputs >= head, logs, 0.0)) - each(left.take(inputs)), pa.float64()),
+                    pa.array([h.view(np.int64) for h, _ in tails], pa.list_(pa.int64())),
+                    pa.array([c for _, c in tails], pa.list_(pa.int64())),
+                    pa.Array.from_buffers(pa.binary(), part.docs, [None, pa.py_buffer(offsets), pa.py_buffer(flat)]),
+                ]
+                names = ["doc_id", "learnt", "spot", "n_tokens", "n_known", "base", "rare", "tails", "counts", "tokens"]
+                yield pa.record_batch(columns, names=names)
+            give_back()
+
+    schema = "doc_id long, learnt boolean, spot long, n_tokens long, n_known long, base double, rare double, tails array<long>, counts array<long>, tokens binary"
+    return docs.select("doc_id", "learnt", "spot", "text").mapInArrow(tidy(run), schema)
+
+
+def _code(layout: gru.Layout) -> np.dtype:
+    """How an input is written in ``tokens``."""
+    return np.dtype("<u2" if layout.inputs <= 1 << 16 else "<u4")
+
+
+def train(coded: DataFrame, documents: int, lex, layout: gru.Layout, start: np.ndarray, *, rounds: int, group_docs: int) -> np.ndarray:
     """Parameters averaged over groups of about ``group_docs`` documents, in up to ``rounds`` rounds.
 
-    Every document is in one group of one round.  Groups are trained on the executors; only
-    the averages come back.
+    Every row of ``coded`` (spot, tokens), of which there are ``documents``, is in one group of one round.  Groups are
+    trained on the executors; only the averages come back.
     """
-    spot = F.xxhash64(F.lit("gru"), key)
-    dealt = docs.select(F.col(text_col).cast("string").alias("text"), spot.alias("spot"))
-    groups = max(1, -(-docs.count() // group_docs))
+    groups = max(1, -(-documents // group_docs))
     rounds = min(rounds, groups)
-    dealt = dealt.withColumn("lot", F.pmod(F.xxhash64("spot"), F.lit(groups)))
+    dealt = coded.select("spot", "tokens").withColumn("lot", F.pmod(F.xxhash64("spot"), F.lit(groups)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["spot", "text"], na_position="first")
-        known, texts = lex.value, []
-        for hashes, shape in tokens(pa.array(frame.text, pa.string())):
-            texts.append(np.append(known.look_up(hashes, shape)[0], np.int32(known.end_input)))
-        flat = gru.flatten(gru.fit(layout, gru.restore(layout, begin.value), texts, known.end_input))
+        ranked, code = sorted(zip(frame.spot.tolist(), frame.tokens)), _code(layout)
+        texts = [np.frombuffer(own, code).astype(np.int32) for _, own in ranked]
+        flat = gru.flatten(gru.fit(layout, gru.restore(layout, begin.value), texts, lex.value.end_input))
         pieces = [flat[i : i + 4096].astype(float) for i in range(0, len(flat), 4096)]
         return pd.DataFrame({"piece": range(len(pieces)), "values": pieces})
 
     for turn in range(rounds):
-        begin = docs.sparkSession.sparkContext.broadcast(start)
+        begin = coded.sparkSession.sparkContext.broadcast(start)
         trained = dealt.where(F.col("lot") % rounds == turn).groupBy("lot").applyInPandas(run, "piece int, values array<double>")
         means = (
             trained.select("piece", F.posexplode("values").alias("at", "value")).groupBy("piece", "at").agg(F.avg("value").alias("mean")).toPandas()
@@ -216,67 +260,58 @@ def score_documents(
     the texts of several batches side by side, of ``lot_tokens`` tokens and a batch at most.
     """
     spark = docs.sparkSession
-    learnt = docs.where(F.coalesce(usable, F.lit(False)))
-    counts = durable(word_counts(learnt, text_col))
-    lex_ = lexicon(counts, learnt.count(), head, head_classes, known_most)
+    text = F.col(text_col).cast("string")
+    key = F.concat_ws("#", F.col(id_col).cast("string"), F.length(text))
+    narrow = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(usable, F.lit(False)).alias("learnt"),
+        F.xxhash64(F.lit("gru"), key).alias("spot"),
+        text.alias("text"),
+    )
+    learnt = narrow.where("learnt")
+    counts, documents = durable(word_counts(learnt, "text")), learnt.count()
+    lex_ = lexicon(counts, documents, head, head_classes, known_most)
     lex, layout = spark.sparkContext.broadcast(lex_), lex_.layout
+    rows = durable(encode(narrow, lex)).withColumn("row", F.monotonically_increasing_id())
     start = gru.flatten(gru.initial(layout, lex_.class_log, lex_.word_log))
-    key = F.concat_ws("#", F.col(id_col).cast("string"), F.length(F.col(text_col).cast("string")))
-    found = train(learnt, key, text_col, lex, layout, start, rounds=rounds, group_docs=group_docs)
+    found = train(rows.where("learnt"), documents, lex, layout, start, rounds=rounds, group_docs=group_docs)
     parameters = spark.sparkContext.broadcast(found)
 
-    def scored(lot: list[tuple[list[pa.Array], list[np.ndarray], np.ndarray]], known: Lexicon, par: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        texts = [t for _, own, _ in lot for t in own]
+    def scored(lot: list[tuple[list[pa.Array], list[np.ndarray]]], known: Lexicon, par: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        texts = [t for _, own in lot for t in own]
         scores = gru.score(known.layout, par, texts, known.end_input) / _LN10 if texts else np.zeros(0)
         at = 0
-        for (*first, tails, counts_), own, rare in lot:
+        for (*first, rare), own in lot:
             model = pa.array(scores[at : at + len(own)] + rare, pa.float64())
             at += len(own)
-            yield pa.record_batch([*first, model, tails, counts_], names=["doc_id", "n_tokens", "n_known", "base", "model", "tails", "counts"])
+            yield pa.record_batch([*first, model], names=["row", "doc_id", "n_tokens", "n_known", "base", "model"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lex.value
-        par = gru.restore(known.layout, parameters.value)
+        par, code = gru.restore(known.layout, parameters.value), _code(known.layout)
         lot, size = [], 0
         for batch in batches:
-            texts, n_known, base, rare, tails, tail_counts = [], [], [], [], [], []
-            for hashes, shape in tokens(batch.column(1)):
-                inputs, count, hit = known.look_up(hashes, shape)
-                texts.append(np.append(inputs, np.int32(known.end_input)))
-                logs = np.log10(count + 0.5)
-                outside = inputs >= known.layout.head
-                n_known.append(int(hit.sum()) + (known.end_count > 0))
-                base.append(float(logs[hit].sum()) + float(np.log10(known.end_count + 0.5)))
-                mass = known.rare_log[inputs[outside] - known.layout.head].sum() / _LN10
-                rare.append(float(logs[outside & hit].sum()) - float(mass))
-                h, c = np.unique(hashes[~hit], return_counts=True)
-                tails.append(h.view(np.int64))
-                tail_counts.append(c)
-            columns = [
-                pa.array(batch.column(0).to_pylist(), pa.int64()),  # a copy: the batch's texts aren't held with it
-                pa.array([len(t) for t in texts], pa.int64()),
-                pa.array(n_known, pa.int64()),
-                pa.array(base, pa.float64()),
-                pa.array(tails, pa.list_(pa.int64())),
-                pa.array(tail_counts, pa.list_(pa.int64())),
-            ]
-            lot.append((columns, texts, np.array(rare)))
-            size += sum(map(len, texts))
+            raw, offsets = utf8(batch.column(6))
+            flat, cut = raw.view(code).astype(np.int32), (offsets // code.itemsize).tolist()
+            texts = [flat[a:b] for a, b in zip(cut[:-1], cut[1:])]
+            # Copies: the batch's tokens aren't held with them.
+            columns = [pa.array(batch.column(i).to_pylist(), batch.column(i).type) for i in range(5)]
+            lot.append(([*columns, np.array(batch.column(5))], texts))
+            size += len(flat)
             if size >= lot_tokens:
                 yield from scored(lot, known, par)
                 lot, size = [], 0
             give_back()
         yield from scored(lot, known, par)
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n_tokens long, n_known long, base double, model double, tails array<long>, counts array<long>"
-    rows = durable(narrow.mapInArrow(tidy(run), schema)).withColumn("row", F.monotonically_increasing_id())
+    schema = "row long, doc_id long, n_tokens long, n_known long, base double, model double"
+    modelled = durable(rows.select("row", "doc_id", "n_tokens", "n_known", "base", "rare", "tokens").mapInArrow(tidy(run), schema))
     tail = rows.select("row", F.explode(F.arrays_zip("tails", "counts")).alias("t")).select("row", F.col("t.tails").alias("h"), F.col("t.counts").alias("n"))
     met = tail.join(counts.select("h", "c"), "h", "left")
     logs = F.log10(F.coalesce("c", F.lit(0)) + 0.5)
     # Rounded, so that the order of additions doesn't show.
     sums = met.groupBy("row").agg(F.round(F.sum(F.col("n") * logs), 11).alias("logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("known"))
-    joined = rows.drop("tails", "counts").join(sums, "row", "left")
+    joined = modelled.join(sums, "row", "left")
     more = F.coalesce("logs", F.lit(0.0))
     whole = float(np.log10(lex_.total + 0.5 * (lex_.distinct + 1)))
     return joined.select(

@@ -517,3 +517,46 @@ def test_gru_windows_use_memory_anew():
         assert found[:2] == fresh[:2] and np.array_equal(found[3], fresh[3]) and np.isfinite(found[0])
         assert all(np.array_equal(a, b) and np.isfinite(a).all() for a, b in zip(found[2], fresh[2]))
     assert most < 24 * 160 * layout.hidden * 4 * 4, most  # the gates and slopes alone take nine such arrays
+
+
+def test_scoring_reads_texts_twice(spark):
+    """Once to count words and once to write tokens, however many rounds learn from them."""
+    from scriptorium.llm.op9_lm import score_documents
+
+    draw = random.Random(13)
+    rows = [(i, " ".join(draw.choice(["ab", "cde", "f", f"x{i}"]) for _ in range(draw.randrange(40)))) for i in range(60)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    counted = docs(spark, rows).withColumn("text", F.udf(count)("text"))
+    found = score_documents(counted, F.col("doc_id") % 3 != 0, group_docs=10).collect()
+    assert len(found) == 60 and seen.value <= 120, seen.value
+
+
+def test_tokens_are_those_of_each_text(spark):
+    """Rows of several batches, null and empty texts, and words that the tasks' table doesn't hold."""
+    from scriptorium.llm import op9_lm as L
+
+    draw = random.Random(14)
+    rows = [(1, None), (2, ""), (3, " \n "), *((i, " ".join(draw.choice(["Ab", "cde", "f", f"x{i}"]) for _ in range(i))) for i in range(4, 40))]
+    frame = docs(spark, rows).select("doc_id", F.lit(True).alias("learnt"), F.col("doc_id").alias("spot"), "text")
+    counts = L.word_counts(frame, "text").cache()
+    count = {}
+    for _, text in rows:
+        for w in (text or "").lower().split():
+            count[w] = count.get(w, 0) + 1
+    lex = L.lexicon(counts, len(rows), 2, 2, 3)
+    found = {r.doc_id: r for r in L.encode(frame, spark.sparkContext.broadcast(lex)).collect()}
+    assert set(found) == {i for i, _ in rows}
+    known = sorted(count, key=count.get)[-3:]
+    for i, text in rows:
+        own, words = found[i], (text or "").lower().split()
+        codes = np.frombuffer(own.tokens, L._code(lex.layout))
+        assert own.n_tokens == len(codes) == len(words) + 1 and codes[-1] == lex.end_input
+        assert own.n_known == sum(w in known for w in words) + 1 and sum(own.counts) == sum(w not in known for w in words)
+        assert abs(own.base - sum(np.log10(count[w] + 0.5) for w in words if w in known) - np.log10(len(rows) + 0.5)) < 1e-9
+        head = [int(c) for c, w in zip(codes, words) if w in known[-2:]]
+        assert all(c < lex.layout.head for c in head) and sum(c < lex.layout.head for c in codes) == len(head) + 1
