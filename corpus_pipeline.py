@@ -69,11 +69,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded again.
 
-    Workers know fewer pieces at once than the operator's default lets them, and fold more of them again, and the two
-    Python passes run one after the other, since the executors' heaps are grown by the stages before.
+    Workers know fewer pieces of their own at once than the operator's default lets them, and the two Python passes run
+    one after the other, since the executors' heaps are grown by the stages before.  Pieces folded for all tasks are as many as there.
     """
     release(attach(spark))
-    return encode(docs, *public_vocabulary(), flush_bytes=1 << 18, most_words=150_000, most_shared=1 << 17, apart=True)
+    return encode(docs, *public_vocabulary(), flush_bytes=1 << 18, most_words=150_000, apart=True)
 
 
 STAGES = [

@@ -73,6 +73,12 @@ def rank_map(pairs: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]
         sizes = tuple(n * 2 + 1 for n in sizes)
 
 
+def opening(ranks: dict[bytes, int], pairs: dict[tuple[int, int], int]) -> np.ndarray:
+    """At ``a * 257 + b`` the fold's first entry of a byte a before a byte b, or before the end (256): the pair's rank above a's id."""
+    ids = [ranks[bytes([i])] for i in range(256)]
+    return np.array([pairs.get((a, b), _NONE) << 17 | a for a in ids for b in (*ids, -1)], np.int64)
+
+
 def _place(sides: list[list[int]], entry: int) -> bool:
     """Puts the entry in its place, moving what it finds to the other side, and so on."""
     for turn in range(500):
@@ -327,7 +333,8 @@ def _cut(ranks_path: str, pattern: str, flush_bytes: int, fold_most: int, most_w
 def _fold(rows: DataFrame, ranks: dict[bytes, int], keep: list[str]) -> DataFrame:
     """``tokens`` (ids of each of the ``words``), ``bytes`` (each word decoded again) and the columns to keep."""
     spark = rows.sparkSession
-    sides = rank_map(pair_ranks(ranks))
+    pairs = pair_ranks(ranks)
+    sides = rank_map(pairs)
     pieces = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         pieces[rank] = token
@@ -335,7 +342,7 @@ def _fold(rows: DataFrame, ranks: dict[bytes, int], keep: list[str]) -> DataFram
         pa.table({
             "first": pa.array([sides[0]], pa.list_(pa.int64())),
             "second": pa.array([sides[1]], pa.list_(pa.int64())),
-            "alphabet": pa.array([[ranks[bytes([i])] for i in range(256)]], pa.list_(pa.int64())),
+            "opening": pa.array([opening(ranks, pairs)], pa.list_(pa.int64())),
             "pieces": pa.array([pieces], pa.list_(pa.binary())),
         })
     )
@@ -352,8 +359,7 @@ def _fold(rows: DataFrame, ranks: dict[bytes, int], keep: list[str]) -> DataFram
 
     # State: for each part its rank with the right neighbour above its id.  Equal ranks are
     # equal pairs, so the least entry is the least rank, and its first place the leftmost.
-    begin = "transform(w, b -> get(alphabet, cast(b as int)))"
-    start = f"transform(array({begin}), p -> transform(p, (a, i) -> {joint('a', 'get(p, i + 1)')}))[0]"
+    start = "transform(w, (b, i) -> get(opening, cast(b as int) * 257 + coalesce(cast(get(w, i + 1) as int), 256)))"
     none = "cast(array() as array<bigint>)"
     id_at = "(get(s, {}) & 131071L)"
     left = f"if(at > 1, array({joint(id_at.format('at - 2'), 'm')}), {none})"

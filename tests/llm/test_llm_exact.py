@@ -201,3 +201,30 @@ def test_toxicity_fit_equals_plain_arithmetic():
     model = T.fit(texts, toxic)
     got = T.score(model, model.weight != 0, texts)
     assert np.allclose(got, 1 / (1 + np.exp(-(x @ w + b))), atol=1e-3)
+
+
+def test_folds_open_with_a_look_up(spark):
+    from scriptorium.llm import op5_bpe as O
+
+    ranks = O.read_ranks(O.public_vocabulary()[0])
+    entries = O.opening(ranks, O.pair_ranks(ranks))
+    for a in range(256):
+        for b in range(257):
+            rank = ranks.get(bytes([a, b]), 1 << 17) if b < 256 else 1 << 17
+            assert entries[a * 257 + b] == rank << 17 | ranks[bytes([a])]
+    words = spark.createDataFrame([([[0], [255, 255], [32, 97, 116], [195, 169] * 40],)], "words array<array<smallint>>")
+    found = O._fold(words, ranks, [])
+    assert found.first().tokens == [O.merge_long(bytes(w), ranks) for w in words.first().words]
+    assert "opening" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pipeline_shares_as_many_pieces_as_the_operator(monkeypatch, spark, small):
+    import inspect
+
+    import corpus_pipeline
+    from scriptorium.llm import op5_bpe as O
+
+    given = {}
+    monkeypatch.setattr(corpus_pipeline, "encode", lambda *a, **b: given.update(b))
+    corpus_pipeline.encoding(spark, None, small)
+    assert given.get("most_shared", 1 << 19) >= inspect.signature(O.encode).parameters["most_shared"].default
